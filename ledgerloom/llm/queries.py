@@ -14,8 +14,36 @@ def op1_simhash(spark, sf_dir):
     return found.select(shown_id().alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), shown_id("component").alias("component_id"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    from .linededup import line_digests, line_keep_bitmaps
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_digests(docs, line_keep_bitmaps(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op10_byte_bpe(spark, sf_dir):
+    from .bpe import bpe_round_trip
+
+    return bpe_round_trip(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
     "op1_simhash": op1_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z lower-cased without touching other letters.
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": f"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+             k AS (SELECT *, {LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+             c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+             f AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.top AS lost FROM k LEFT JOIN c ON k.key = c.key)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+        FROM f GROUP BY doc_id""",
+}
