@@ -5,16 +5,18 @@ code is perfect: each word lies within 3 bits of one codeword, and a word at dis
 Two words within 2 bits share one of these up to six codewords, and of two words at distance 1, each one's nearest
 codeword is among the other's six.
 
-Pigeonhole: with at most 4 differing bits over three segments, some pair of segments differs in at most 2 bits:
-(2, 0), (1, 1) or (0, 2). So for each pair of segments the keys (near codeword, nearest codeword) and (nearest, near)
-suffice: about 10 keys of 24 bits for each of three pairs. Fingerprints that meet under a key are verified by their
-differing bits.
+Pigeonhole: with at most 4 differing bits over three segments, either each segment has at most 2 of them, or one has 3
+or 4 and the other two have at most 1 together. In the first case the fingerprints share a triple of codewords of which
+two may be near ones and one is the nearest (about 70 keys of 36 bits). In the second, one of the other two segments
+is equal and the remaining one is at distance 1 or 0: they share the equal segment with a near codeword of the other
+(about 32 keys of 33 bits). Fingerprints that meet under a key are verified by their differing bits. With keys that
+long, chance meetings stay rare: 29 keys of 24 bits would do too, but their meetings grow with the square of the input.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, permutations, product
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -68,12 +70,20 @@ def fingerprint_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of fingerprints (int64) and the rows that they belong to."""
     prints = prints.view(np.uint64)
     near = [near_codewords(((prints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
+    whole = [((prints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     keys, rows = [], []
-    for k, (i, j) in enumerate(combinations(range(3), 2)):
-        for a, b in [(0, c) for c in range(6)] + [(c, 0) for c in range(1, 6)]:
-            ok = np.flatnonzero((near[i][:, a] >= 0) & (near[j][:, b] >= 0))
-            keys.append(k << 24 | near[i][ok, a] << 12 | near[j][ok, b])
-            rows.append(ok)
+
+    def add(kind, found, ok):
+        ok = np.flatnonzero(ok)
+        keys.append(kind << 48 | found[ok])
+        rows.append(ok)
+
+    for a, b, c in product(range(6), repeat=3):
+        if 0 in (a, b, c):
+            add(0, near[0][:, a] << 24 | near[1][:, b] << 12 | near[2][:, c], (near[0][:, a] >= 0) & (near[1][:, b] >= 0) & (near[2][:, c] >= 0))
+    for kind, (i, j) in enumerate(permutations(range(3), 2), 1):
+        for c in range(6):
+            add(kind, whole[i] << 12 | near[j][:, c], near[j][:, c] >= 0)
     return np.concatenate(keys), np.concatenate(rows)
 
 
