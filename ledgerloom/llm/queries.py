@@ -27,7 +27,21 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_lm_scoring(spark, sf_dir):
+    from .ngramlm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_repeated_passages(spark, sf_dir):
+    from .repeats import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents")).withColumn("id", shown_id()).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op6_lm_scoring": op6_lm_scoring,
+    "op9_repeated_passages": op9_repeated_passages,
     "op4_line_dedup": op4_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op1_simhash": op1_simhash,
