@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import shown_id, table
 
 
@@ -39,7 +40,21 @@ def op9_repeated_passages(spark, sf_dir):
     return repeat_digests(table(spark, sf_dir, "documents")).withColumn("id", shown_id()).withColumnRenamed("id", "doc_id")
 
 
+def op3_quality_rules(spark, sf_dir):
+    from .quality import quality_rules, trusted_ids
+
+    rows = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted_ids(spark, sf_dir))
+    return rows.select("doc_id", "__q.*", F.col("__kept").alias("kept"), F.col("__score").alias("llr_per_ngram"))
+
+
+def op7_source_mixing(spark, sf_dir):
+    rows = mixing.mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"))
+
+
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op7_source_mixing": op7_source_mixing,
     "op6_lm_scoring": op6_lm_scoring,
     "op9_repeated_passages": op9_repeated_passages,
     "op4_line_dedup": op4_line_dedup,
@@ -51,6 +66,7 @@ QUERIES = {
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_source_mixing": mixing.oracle_sql(),
     "op4_line_dedup": f"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
