@@ -52,7 +52,22 @@ def op7_source_mixing(spark, sf_dir):
     return rows.select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"))
 
 
+def op2_html_extraction(spark, sf_dir):
+    from .htmltext import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_embedding_pq(spark, sf_dir):
+    from .embeddings import embedding_near_duplicates
+
+    found = embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(shown_id().alias("vec_id"), "n_links", shown_id("component").alias("component_id"), "kept")
+
+
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
+    "op8_embedding_pq": op8_embedding_pq,
     "op3_quality_rules": op3_quality_rules,
     "op7_source_mixing": op7_source_mixing,
     "op6_lm_scoring": op6_lm_scoring,
