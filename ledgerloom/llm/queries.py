@@ -65,7 +65,14 @@ def op8_embedding_pq(spark, sf_dir):
     return found.select(shown_id().alias("vec_id"), "n_links", shown_id("component").alias("component_id"), "kept")
 
 
+def op5_toxicity(spark, sf_dir):
+    from .toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op2_html_extraction": op2_html_extraction,
     "op8_embedding_pq": op8_embedding_pq,
     "op3_quality_rules": op3_quality_rules,
