@@ -11,8 +11,9 @@ Bucket-pointer refinement over suffixes that are compared to `length` bytes only
   by window: the bucket of the q-gram at a window's start together with that of the q-gram at the later offset q.
 
 Identifiers are 64-bit hashes that are equal wherever the bytes are equal, so a bucket's identifier at a later offset
-is at hand without a shuffle; a window is identified by its anchor's bucket and its own, 128 bits together. Counting in
-buckets combines on the map side, so a passage in very many documents is one row for each task.
+is at hand without a shuffle; a window is identified by its anchor's bucket and its own, 128 bits together. A window
+that is met twice in a slice of texts is settled there and sent on once, so the windows of a very common passage are a
+row for each slice.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_bytes, keyed, pieces, written
@@ -28,6 +29,8 @@ from .common import arrow_bytes, keyed, pieces, written
 LENGTH = 400
 #: Window starts that are handled at once.
 CHUNK = 1 << 17
+#: Kinds of window rows: one that only stands for others, one that waits for a partner, one that has been met.
+SHOWN, SINGLE, SETTLED = 0, 1, 2
 ROOT = 0x9E3779B97F4A7C15 | 1
 
 
@@ -102,17 +105,56 @@ def _anchor_rows(batches, length):
 
 
 def _window_rows(batches, length):
+    """Rows (text, id, own, todo) -> windows to match elsewhere; of those met twice in a slice, one, and the others as settled."""
     import pyarrow as pa
 
     for batch in batches:
         for part in pieces(batch, 4 << 20):
             out = []
-            for text, i, o, todo in zip(arrow_bytes(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+            for text, i, o, todo in zip(opened(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
                 for x in todo:
                     n = x["n"]
                     out.append((np.full(n, x["a"]), _mixed(windows(text, x["lo"], n, length) + np.arange(x["place"], x["place"] - n, -1).astype(np.uint64)).view(np.int64), np.full(n, i), np.full(n, o), np.arange(x["lo"], x["lo"] + n, dtype=np.int32), np.full(n, x["single"])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "h", "id", "own", "lo", "single"])
+            if not out:
+                continue
+            a, h, i, o, lo, single = (np.concatenate(x) for x in zip(*out))
+            _, at, back, many = np.unique(_mixed(a.view(np.uint64)) + h.view(np.uint64), return_index=True, return_inverse=True, return_counts=True)
+            twice = many[back] > 1
+            settled = single & twice
+            sent = ~twice
+            sent[at] = True
+            single = single & ~twice
+            # Settled rows need no partner: a key of their own (text, place) spreads them.
+            kind = np.r_[single[sent].astype(np.int8), np.full(settled.sum(), SETTLED, np.int8)]
+            a, h = np.r_[a[sent], o[settled]], np.r_[h[sent], lo[settled]]
+            i, o, lo = (np.r_[c[sent], c[settled]] for c in (i, o, lo))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, h, i, o, lo, kind)], ["a", "h", "id", "own", "lo", "kind"])
+
+
+def _closed(batches):
+    """The first column, a text, compressed: texts are shuffled, and whole texts pack better than Spark's small blocks."""
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for part in pieces(batch):
+            yield pa.RecordBatch.from_arrays([pa.array([pack(x) for x in arrow_bytes(part.column(0))], pa.binary()), *part.columns[1:]], ["packed", "id", "own"])
+
+
+def opened(column) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x) for x in column.to_pylist()]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return keyed(docs, id_col, text_col, "text").select("text", "id", F.xxhash64("text").alias("own"))
+
+
+def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _texts(docs, id_col, text_col).mapInArrow(_closed, "packed binary, id long, own long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -121,17 +163,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own is a hash of the text, so rows that repeat an id are told apart; a row that occurs twice repeats itself. Null
     and empty texts and those of fewer than `length` bytes have no span. Ranges may overlap and are in no order.
     """
-    rows = keyed(docs, id_col, text_col, "text").withColumn("own", F.xxhash64("text"))
-    found = written(rows.mapInArrow(lambda b: _anchor_rows(b, length), "a long, e long, id long, own long, lo int, n int, place int"), "anchors")
-    parts = found.groupBy("a", "e").agg(F.count("*").alias("members"), *[F.first(c).alias(c) for c in ("id", "own", "lo", "n", "place")])
-    parts = written(parts.withColumn("single", F.col("members") == 1), "parts")
-    done = found.join(parts.where("not single").select("a", "e"), ["a", "e"]).select("id", "own", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi"))
-    split = parts.groupBy("a").agg(F.count("*").alias("parts")).where("parts > 1").select("a")
-    todo = parts.join(split, "a").groupBy("id", "own").agg(F.collect_list(F.struct("a", "lo", "n", "place", "single")).alias("todo"))
-    finer = rows.join(todo, ["id", "own"]).select("text", "id", "own", "todo").mapInArrow(lambda b: _window_rows(b, length), "a long, h long, id long, own long, lo int, single boolean")
-    finer = written(finer, "windows")
-    twice = finer.groupBy("a", "h").agg(F.count("*").alias("members")).where("members > 1").select("a", "h")
-    more = finer.where("single").join(twice, ["a", "h"]).select("id", "own", "lo", (F.col("lo") + length).alias("hi"))
+    found = _texts(docs, id_col, text_col).select("id", "text", "own").mapInArrow(lambda b: _anchor_rows(b, length), "a long, e long, id long, own long, lo int, n int, place int")
+    # One shuffle on the bucket serves all three; a bucket's rows stream and spill, none is held in memory.
+    bucket, part = Window.partitionBy("a"), Window.partitionBy("a", "e")
+    met = found.withColumns({"members": F.count("*").over(part), "nth": F.row_number().over(part.orderBy("id", "own", "lo")), "all": F.count("*").over(bucket)}).where("all > 1")
+    met = written(met, "anchors")
+    done = met.where("members > 1").select("id", "own", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi"))
+    todo = met.where("`all` > members AND nth = 1").groupBy("id", "own").agg(F.collect_list(F.struct("a", "lo", "n", "place", (F.col("members") == 1).alias("single"))).alias("todo"))
+    finer = packed_texts(docs, id_col, text_col).join(todo, ["id", "own"]).select("packed", "id", "own", "todo").mapInArrow(lambda b: _window_rows(b, length), "a long, h long, id long, own long, lo int, kind byte")
+    finer = finer.withColumn("many", F.count("*").over(Window.partitionBy("a", "h")))
+    more = finer.where(f"kind = {SETTLED} OR (kind = {SINGLE} AND many > 1)").select("id", "own", "lo", (F.col("lo") + length).alias("hi"))
     return done.union(more).groupBy("id", "own").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -153,7 +194,7 @@ def _digests(batches):
 
     for batch in batches:
         for part in pieces(batch, 4 << 20):
-            texts = arrow_bytes(part.column(1))
+            texts = opened(part.column(1))
             found = [remaining(t, s) for t, s in zip(texts, part.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in found], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -161,5 +202,5 @@ def _digests(batches):
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
     spans = repeated_spans(docs, id_col, text_col, length)
-    rows = keyed(docs, id_col, text_col, "text").withColumn("own", F.xxhash64("text")).join(spans, ["id", "own"], "left")
-    return rows.select("id", "text", "spans").mapInArrow(_digests, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = packed_texts(docs, id_col, text_col).join(spans, ["id", "own"], "left")
+    return rows.select("id", "packed", "spans").mapInArrow(_digests, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
