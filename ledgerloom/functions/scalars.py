@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Currency spellings (fixed values).
@@ -122,3 +122,29 @@ def without_accents(x: Column) -> Column:
 
 def csv_safe(x: Column) -> Column:
     return F.when(x.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), x)).otherwise(x)
+
+
+def reference_mentions(df: DataFrame, note: str) -> DataFrame:
+    """A row for each mention: start_at and end_at (from 0) of the whole match, and the candidate. Offsets are running lengths of the pieces between matches."""
+    rows = df.withColumn("__between", F.split(note, REFERENCE, -1)).withColumn("__found", F.regexp_extract_all(note, F.lit(REFERENCE), F.lit(0)))
+    lengths = lambda name, n: F.aggregate(F.slice(name, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+    rows = rows.select(*df.columns, "__between", "__found", F.posexplode("__found").alias("__n", "__text"))
+    rows = rows.withColumn("start_at", lengths("__between", F.col("__n") + 1) + lengths("__found", F.col("__n"))).withColumn("end_at", F.col("start_at") + F.length("__text"))
+    return rows.withColumn("candidate", F.regexp_extract("__text", REFERENCE, 1)).drop("__between", "__found", "__n", "__text")
+
+
+def redacted_preview(x: Column) -> Column:
+    """Plain text with runs of three digits or more as at most eight bullets, e-mail addresses masked, 240 characters."""
+    s = normalize_channel(x)
+    for n in range(3, 8):
+        s = F.regexp_replace(s, rf"(?<!\d)\d{{{n}}}(?!\d)", "•" * n)
+    s = F.regexp_replace(s, r"(?<!\d)\d{8,}(?!\d)", "•" * 8)
+    return F.left(F.regexp_replace(s, r"[\w.+-]+@[\w.-]+", "•••@•••"), F.lit(240))
+
+
+def resolved_references(rows: DataFrame) -> DataFrame:
+    """(reservation, reference, status) from extractions with a decision: the first accepted one wins, else what is not rejected decides."""
+    left = F.when(~F.col("decision").eqNullSafe("REJECT"), F.col("candidate"))
+    per = rows.groupBy("reservation").agg(F.min(F.when(F.col("decision") == "ACCEPT", F.struct("extraction", "candidate"))).alias("a"), F.count_distinct(left).alias("n"), F.min(left).alias("one"))
+    status = F.when(F.col("a").isNotNull() | (F.col("n") == 1), "MANUAL_CONFIRMED").when(F.col("n") > 1, "CONFLICT").otherwise("MISSING")
+    return per.select("reservation", F.when(F.col("a").isNotNull(), F.col("a.candidate")).when(F.col("n") == 1, F.col("one")).alias("reference"), status.alias("status"))

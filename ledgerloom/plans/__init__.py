@@ -1 +1,3 @@
-"""Payment reconciliation as Spark jobs."""
+"""Derived tables, and the registered queries in modules that add themselves to the registry."""
+
+from . import decisions, ingestion, registry  # noqa: F401

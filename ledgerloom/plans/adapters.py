@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 MINOR = "CAST(ROUND(o_totalprice * 100) AS BIGINT)"
 SIGN = "(CASE WHEN o_orderkey % 17 = 0 THEN -1 ELSE 1 END)"
 CURRENCY = "CASE WHEN o_custkey % 3 = 0 THEN 'EUR' ELSE 'CZK' END"
+AMOUNT_TEXT = f"concat(CAST(CAST(FLOOR({MINOR} / 100) AS BIGINT) AS STRING), ',', lpad(CAST({MINOR} % 100 AS STRING), 2, '0'))"
 RES = "CAST(FLOOR(o_orderkey / 2) AS BIGINT)"
 REF = f"CASE WHEN {RES} % 5 <> 0 THEN concat('R', CAST({RES} AS STRING)) END"
 
@@ -31,6 +32,14 @@ TABLES = {
     "membership": """SELECT l_orderkey AS group_id, concat('S', CAST(l_partkey AS STRING)) AS member, CASE WHEN l_linenumber % 2 = 0 THEN 'DOCUMENT' ELSE 'SOURCE' END AS side,
         CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS amount_minor, CASE WHEN l_orderkey % 3 = 0 THEN 'EUR' ELSE 'CZK' END AS currency, CAST(l_shipdate AS DATE) AS made_on,
         CASE WHEN l_linestatus = 'F' THEN 'AUTO' ELSE 'MANUAL' END AS method FROM {lineitem}""",
+    "bank_raw": f"""SELECT o_orderkey AS row_no, o_orderpriority AS file_id, CASE o_orderkey % 16 WHEN 0 THEN 'Uzávěrka' WHEN 1 THEN 'Počet transakcí: 5' WHEN 2 THEN '' WHEN 3 THEN 'VRÁCENÍ'
+        WHEN 4 THEN 'Mystery' WHEN 5 THEN 'Dobropis' WHEN 6 THEN 'Info' ELSE ' Prodej  ' END AS kind_text, CASE WHEN o_orderkey % 16 = 2 OR o_orderkey % 37 = 0 THEN '' ELSE 'T1' END AS terminal,
+        CASE WHEN o_orderkey % 16 = 2 THEN '' ELSE lpad(CAST(o_orderkey AS STRING), 8, '0') END AS seq, CASE WHEN o_orderkey % 16 = 2 THEN '' WHEN o_orderkey % 31 = 0 THEN '0,00' ELSE {AMOUNT_TEXT} END AS amount_text,
+        CASE WHEN o_orderkey % 16 = 2 THEN '' WHEN o_custkey % 3 = 0 THEN 'eur' ELSE 'Kč' END AS currency_text, CASE WHEN o_orderkey % 3 = 0 THEN '1,50' ELSE '' END AS tip_text FROM {{orders}}""",
+    "cash_raw": f"""SELECT o_orderkey AS row_no, CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE concat(CAST(o_orderkey AS STRING), '.0') END AS number, CASE WHEN o_orderkey % 16 = 0 THEN 'Počáteční stav' ELSE o_orderpriority END AS label,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'hotově' ELSE 'Karta' END AS form, CASE WHEN o_orderkey % 3 = 0 THEN {AMOUNT_TEXT} ELSE '' END AS income, CASE WHEN o_orderkey % 3 = 1 OR o_orderkey % 21 = 0 THEN {AMOUNT_TEXT} ELSE '' END AS expense,
+        concat(CAST(CAST(o_orderdate AS DATE) AS STRING), ' 12:30:00') AS issued FROM {{orders}}""",
+    "alert": """SELECT event_id AS alert_id, concat('["', CAST(user_id AS STRING), '","', CAST(user_id + 1 AS STRING), '"]') AS group_ids FROM {events} WHERE event_type = 'error'""",
 }
 BASE = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
