@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, embeddings, htmltext, linededup, mixing, ngramlm, quality, queries, repeats, simhash, toxicity
+from ledgerloom.llm import bpe, embeddings, htmltext, linededup, mixing, ngramlm, quality, queries, repeats, shingles, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 #: Extra columns with names that operators use inside.
@@ -43,6 +43,7 @@ def labels(spark):
 def operators(labels):
     return {
         "simhash": simhash.simhash_near_duplicates,
+        "shingles": shingles.similar_components,
         "lines": lambda d: linededup.line_digests(d, linededup.line_keep_bitmaps(d)),
         "dropped lines": linededup.drop_shared_lines,
         "repeats": repeats.repeat_digests,
@@ -55,7 +56,7 @@ def operators(labels):
     }
 
 
-@pytest.mark.parametrize("name", ["simhash", "lines", "dropped lines", "repeats", "lm", "bpe", "ids", "mixing", "quality", "toxicity"])
+@pytest.mark.parametrize("name", ["simhash", "shingles", "lines", "dropped lines", "repeats", "lm", "bpe", "ids", "mixing", "quality", "toxicity"])
 def test_awkward_rows(docs, empty, labels, name):
     op = operators(labels)[name]
     assert op(docs).count() == len(ROWS)
@@ -95,6 +96,33 @@ def test_simhash_blocks(spark, monkeypatch):
     assert {r["print"]: r["component"] for r in got} == want
 
 
+def test_similar_components(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "HUBS", 2)
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(300)]
+    texts = [[word() for _ in range(200)] for _ in range(20)]
+    for _ in range(40):  # a family around one text: similar to it, less so to each other
+        copy = list(base)
+        for at in rng.sample(range(300), 6):
+            copy[at] = word()
+        texts.append(copy)
+    texts += [t[: int(len(t) * share)] for t in texts[:10] for share in (0.88, 0.7)]  # similar and not similar enough
+    chain = [word() for _ in range(400)]
+    texts += [chain[20 * i : 20 * i + 250] for i in range(6)]
+    texts += [texts[3], texts[30], [], [], ["one"], ["one"]]
+    d = spark.createDataFrame(list(enumerate(" ".join(t) for t in texts)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in shingles.similar_components(d).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    low = list(range(len(texts)))
+    for _ in range(8):
+        for i in range(len(texts)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    low[i] = low[j] = min(low[i], low[j])
+    assert got == dict(enumerate(low))
+
+
 def test_lines(spark):
     line, short = "This line is common to many", "short one"
     d = spark.createDataFrame([(i, f"{short}\n {line.upper()}\t\nown {i}\n{line}") for i in range(5)] + [(9, line + "\n" + line)], "doc_id long, text string")
