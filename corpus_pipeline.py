@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, linededup, mixing, quality, simhash
+from ledgerloom.llm import bpe, linededup, mixing, quality, shingles
 from ledgerloom.llm.common import NULL_ID, table, written
 
 
@@ -30,16 +30,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies on five-word shingles: the one with the smallest id.
+    """One document of each group of near copies, of a similarity of 0.8 on five-word shingles: that with the smallest id.
 
-    Of rows that repeat an id with the same fingerprint all stay or go together, but exact repeats stay once.
+    Of rows that repeat an id all stay or go together, but exact repeats stay once.
     """
-    rows = docs.dropDuplicates(["doc_id", "text"])
-    prints = written(simhash.fingerprints(rows, 5), "prints")
-    groups = simhash.fingerprint_components(prints)
-    keep = prints.join(groups, "print").where("id = component").select("id").distinct()
-    rows = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return rows.join(keep.withColumnRenamed("id", "__id"), "__id", "left_semi").select(*docs.columns)
+    found = written(shingles.similar_components(docs.select("doc_id", "text")), "near")
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    rows = rows.join(found.where("id = component").select(F.col("id").alias("__id")).distinct(), "__id", "left_semi").select(*docs.columns)
+    repeated = found.groupBy("id").count().where("count > 1")
+    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
