@@ -1,12 +1,10 @@
 """Main text of web pages by deducing each host's template from equivalence classes of its tokens.
 
-Tokens are tags with their class or id. Per page a token has a number of occurrences; tokens of a host whose numbers
-agree on every page have the same occurrence vector and form an equivalence class. Vectors are never gathered: a token's
-vector is the xor of hashes of (page, number), combined on the map side, so a host with a third of all pages is as many
-small rows as there are tasks. Classes with two or more tokens that occur on most pages are valid and nest by where their
-tokens lie; the class of tokens found once on every page is the root of the template, and its open and close tags bound
-the slots. The slot with the main text is the innermost element of the root that holds most of the text which differs
-from page to page outside links and named boilerplate.
+Tokens are elements (tags with their class or id, numbers of three digits and more as #). Those found exactly once on
+most pages of a host are its template. A block's text lies on a path of elements; texts are counted by path with map-side
+sums, so a host with a third of all pages is as many small rows as there are tasks, and pages are parsed twice. The
+container is the article or main element with most of the text, else the innermost element of the template that leaves
+no text of its host outside but links and named boilerplate.
 """
 
 from __future__ import annotations
@@ -28,10 +26,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that are no main text whatever the template.
 BOILERPLATE = frozenset("nav footer aside form button head header menu dialog".split())
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav\w*|menu|footer|header|masthead|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|comment-?list|replies|disqus|login|search)(?:$|[\s_-])", re.I)
-#: An element of the root must hold this share of a host's varying text.
+#: An article or main element is the container from this share of its host's text on; others must hold all of it.
 MAIN_SHARE = 0.6
+#: Tokens of the template are on this share of a host's pages.
+MOST_PAGES = 0.8
 #: Elements that can be the main text's own; a heading or a paragraph is never it, however often it comes.
-SECTIONS = r"^<(?:article|main|section|div|td|body|html)[ >]"
+SECTIONS = frozenset("article main section div td body html".split())
+NUMBER = re.compile(r"[0-9]{3,}")
 
 
 def parts(page: str):
@@ -46,126 +47,134 @@ def parts(page: str):
             if m[2]:
                 yield ("close", tag, f"</{tag}>", False)
             else:
-                name = " ".join(a or b or c for a, b, c in NAME.findall(m[4] or "")) if m[4] else ""
+                name = NUMBER.sub("#", " ".join(a or b or c for a, b, c in NAME.findall(m[4])).replace("\x1f", " ")) if m[4] else ""
                 yield ("open", tag, f"<{tag}{' ' + name if name else ''}>", tag in BOILERPLATE or bool(name and tag not in ("html", "body", "article", "main") and NAMED.search(name)))
     if last < len(page):
         yield ("text", page[last:], "", False)
 
 
-def elements(page: str):
-    """Of each open tag's token: occurrences, place, and for single ones the characters of text under it outside links and boilerplate, with their hash."""
-    count, place, chars, seen, stack, skip, link, text = {}, {}, {}, {}, [], 0, 0, 0
-    for k, (kind, tag, token, poor) in enumerate(parts(page)):
-        if kind == "text":
-            if not skip and not link and (own := tag.strip()):
-                text += len(own)
-                h = hash_of(own)
-                for x in stack:
-                    seen[x[1]] = seen.get(x[1], 0) ^ h
-        elif kind == "open":
-            count[token] = count.get(token, 0) + 1
-            place.setdefault(token, k)
-            if tag not in VOID:
-                stack.append((tag, token, text, poor))
-                skip += poor
-                link += tag == "a"
-        else:
-            count[token] = count.get(token, 0) + 1
-            place.setdefault(token, k)
-            if any(x[0] == tag for x in stack):
-                while True:
-                    own, name, before, poor = stack.pop()
-                    skip -= poor
-                    link -= own == "a"
-                    chars[name] = text - before
-                    if own == tag:
-                        break
-    for _, name, before, _ in stack:
-        chars[name] = text - before
-    return [(t, n, place[t], chars.get(t, 0), seen.get(t, 0)) for t, n in count.items()]
-
-
-def hash_of(text: str) -> int:
-    import xxhash
+def scan(page: str) -> tuple[list, dict[str, int]]:
+    """Blocks of text in page order, each a list of (path, text, whether in a link), and how often each element comes.
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1
-
-
-def main_text(page: str, container: str | None) -> str:
-    """Blocks of text under the container's token (the whole page without one), boilerplate left out, joined by line ends."""
-    out, block, stack, skip, inside, has = [], [], [], 0, 0, container is not None
-    if has and not any(p[0] == "open" and p[2] == container for p in parts(page)):
-        has = False
+    A path is the tokens of the open elements that can be a container or are boilerplate (these with !), each after \\x1f.
+    """
+    blocks, count, stack, block, path, link = [], {}, [], [], "", 0
 
     def end():
-        own = " ".join(html_lib.unescape("".join(block)).split())
-        if own:
-            out.append(own)
+        if any(t.strip() for _, t, _ in block):
+            blocks.append(block.copy())
         block.clear()
 
     for kind, tag, token, poor in parts(page):
         if kind == "text":
-            if not skip and (inside or not has):
-                block.append(tag)
+            block.append((path, tag, link > 0))
             continue
         if tag in BLOCKS:
             end()
         elif tag == "br":
-            block.append(" ")
+            block.append((path, " ", link > 0))
         if kind == "open":
-            if tag not in VOID:
-                poor = poor and not (has and token == container)
-                stack.append((tag, poor, has and token == container))
-                skip += poor
-                inside += stack[-1][2]
+            if tag in VOID:
+                continue
+            stack.append((tag, path, link))
+            link += tag == "a"
+            if poor or tag in SECTIONS:
+                count[token] = count.get(token, 0) + 1
+                path = f"{path}\x1f{'!' if poor else ''}{token}"
         elif any(x[0] == tag for x in stack):
             while True:
-                own, poor, here = stack.pop()
-                skip -= poor
-                inside -= here
+                own, path, link = stack.pop()
                 if own == tag:
                     break
     end()
+    return blocks, count
+
+
+def plain(text: str) -> str:
+    return " ".join(html_lib.unescape(text).split())
+
+
+def hash_of(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1
+
+
+def shown(path: str, container: str | None) -> bool:
+    """Whether text on the path is main text: under the container, and not under boilerplate within it."""
+    own = path.split("\x1f")[1:]
+    if container is not None:
+        bare = [x.removeprefix("!") for x in own]
+        if container not in bare:
+            return False
+        own = own[len(bare) - bare[::-1].index(container) :]
+    return not any(x[0] == "!" for x in own)
+
+
+def main_text(page: str, container: str | None) -> str:
+    """Blocks of text under the container's token (the whole page without one), boilerplate left out, joined by line ends."""
+    blocks, count = scan(page)
+    container, known, out = container if container in count else None, {}, []
+    for block in blocks:
+        for path, _, _ in block:
+            if path not in known:
+                known[path] = shown(path, container)
+        own = plain("".join(t for path, t, _ in block if known[path]))
+        if own:
+            out.append(own)
     return "\n".join(out)
 
 
+def rows_of(page: str):
+    """(kind, key, at, n, chars): 0 for the page, 1 for each element found once, 2 for each block on each of its paths outside links."""
+    blocks, count = scan(page)
+    yield (0, "", 0, 1, 0)
+    yield from ((1, token, 0, 1, 0) for token, n in count.items() if n == 1)
+    seen = set()
+    for block in blocks:
+        at, chars = hash_of(plain("".join(t for _, t, _ in block))), {}
+        for path, t, link in block:
+            chars[path] = chars.get(path, 0) + (0 if link else len(t.strip()))
+        for path, n in chars.items():
+            yield (2, path, at, int(at not in seen), n)
+            seen.add(at)
+
+
 def _tokens(batches):
     import pyarrow as pa
 
     for batch in batches:
-        rows = [(h, hash_of(f"{p} {n}"), *x) for h, p, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()) for x in elements(page or "") for t, n in [x[:2]]]
-        cols = list(zip(*rows)) or [[]] * 7
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "at", "token", "n", "place", "chars", "seen"])
+        rows = [(h, *x) for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if page for x in rows_of(page)]
+        cols = list(zip(*rows)) or [[]] * 6
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "kind", "key", "at", "n", "chars"])
 
 
 def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def token_classes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, token, class, pages, least, most, place, chars, varied): each token's occurrence vector as `class`."""
-    rows = pages.select(host(pages[url_col]).alias("host"), F.coalesce(pages[id_col].cast("string"), F.lit("")).alias("page"), pages[html_col].alias("html"))
-    tokens = rows.mapInArrow(_tokens, "host string, at long, token string, n int, place int, chars long, seen long")
-    return tokens.groupBy("host", "token").agg(F.bit_xor("at").alias("class"), F.count("*").alias("pages"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("place").alias("place"), F.avg("chars").alias("chars"), F.approx_count_distinct("seen").alias("varied"))
+def token_classes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, kind, key, at, n, chars): the rows of rows_of, summed; n is a number of pages."""
+    rows = pages.select(host(pages[url_col]).alias("host"), pages[html_col].alias("html"))
+    return rows.mapInArrow(_tokens, "host string, kind int, key string, at long, n long, chars long").groupBy("host", "kind", "key", "at").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
 
 
 def host_templates(classes: DataFrame) -> DataFrame:
-    """(host, root, container): tokens of the root class in their order and the token of the main text's element.
-
-    A valid class has two tokens or more (an element's open and close tag). Where no element of the root holds the
-    share asked for, the container is null and the whole page counts.
-    """
-    valid = classes.groupBy("host", "class").agg(F.count("*").alias("tokens"))
-    total = classes.groupBy("host").agg(F.max("pages").alias("all"))
-    root = classes.join(valid.where("tokens > 1"), ["host", "class"]).join(total, "host").where("least = 1 and most = 1 and pages = all")
-    varying = F.when(F.col("token").startswith("</") | ((F.col("varied") < 0.2 * F.col("pages")) & (F.col("pages") > 9)), 0.0).otherwise(F.col("chars"))
-    root = root.withColumn("text", varying)
-    most = root.groupBy("host").agg(F.max("text").alias("most_text"), F.array_sort(F.collect_list(F.struct("place", "token"))).alias("tokens"))
-    good = root.join(most.select("host", "most_text"), "host").where(F.col("token").rlike(SECTIONS) & (F.col("text") > 0) & (F.col("text") >= MAIN_SHARE * F.col("most_text")))
-    # The innermost is the one that opens last.
-    inner = good.groupBy("host").agg(F.max_by("token", "place").alias("container"))
-    return most.join(inner, "host", "left").select("host", F.col("tokens.token").alias("root"), "container")
+    """(host, container): the token of the main text's element; null where the whole page counts."""
+    total = classes.where("kind = 0").select("host", F.col("n").alias("all"))
+    once = classes.where("kind = 1").join(total, "host").where(F.col("n") >= MOST_PAGES * F.col("all")).select("host", F.col("key").alias("token"))
+    paths = written(classes.where("kind = 2").groupBy("host", "key").agg(F.sum("chars").alias("chars")).where("chars > 0"), "paths")
+    rows = paths.withColumn("own", F.slice(F.split("key", "\x1f"), 2, 10**6))
+    # Where the last boilerplate is on the path; -1 without any.
+    last = F.array_max(F.concat(F.array(F.lit(-1)), F.transform("own", lambda x, i: F.when(x.startswith("!"), i).otherwise(-1))))
+    rows = rows.withColumn("last", last)
+    whole = rows.where("last < 0").groupBy("host").agg(F.sum("chars").alias("whole"))
+    under = rows.select("host", "chars", "last", F.posexplode("own").alias("depth", "token")).where("depth > last")
+    under = under.groupBy("host", "token").agg(F.sum("chars").alias("chars"), F.max("depth").alias("depth"))
+    named = F.col("token").rlike(r"^<(?:article|main)[ >]") & (F.col("chars") >= MAIN_SHARE * F.col("whole"))
+    good = under.join(once, ["host", "token"]).join(whole, "host").withColumn("named", named).where("named or chars = whole")
+    return total.join(good.groupBy("host").agg(F.max_by("token", F.struct("named", "chars", "depth")).alias("container")), "host", "left").select("host", "container")
 
 
 def _extracted(batches):
@@ -182,7 +191,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Null or empty html gives the empty text; a null url is a host of its own; rows that repeat an id each give a row;
     no rows give no rows; other columns are not looked at.
     """
-    templates = written(host_templates(token_classes(pages, id_col, url_col, html_col)), "templates")
+    templates = written(host_templates(written(token_classes(pages, url_col, html_col), "classes")), "templates")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host(pages[url_col]).alias("host"))
     rows = rows.join(templates.select("host", "container"), "host", "left")
     return rows.select("page_id", "url", "html", "container").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

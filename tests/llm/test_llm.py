@@ -230,3 +230,14 @@ def test_pipeline(spark):
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert {r["doc_id"]: r["decoded_sha256"] for r in rows} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
     assert 0 < len(rows) < docs.count()
+
+
+def html_texts(spark, pages):
+    rows = [(i, "http://h.example/x", page) for i, page in enumerate(pages)]
+    return [r["text"] for r in htmltext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_nested_article(spark):
+    page = "<html><body><div class='top'>Site</div><article><h1>Headline {0}</h1><div class='lead'>Lead text of page {0}</div><div class='content'><p>The long body of the page {0}, more than sixty of a hundred of it</p></div></article></body></html>"
+    want = "Headline {0}\nLead text of page {0}\nThe long body of the page {0}, more than sixty of a hundred of it"
+    assert html_texts(spark, [page.format(i) for i in range(12)]) == [want.format(i) for i in range(12)]
