@@ -4,7 +4,7 @@ Tokens are elements (tags with their class or id, numbers of three digits and mo
 most pages of a host are its template. A block's text lies on a path of elements; texts are counted by path with map-side
 sums, so a host with a third of all pages is as many small rows as there are tasks, and pages are parsed twice. The
 container is the article or main element with most of the text, else the innermost element of the template that leaves
-no text of its host outside but links and named boilerplate.
+no text of its host outside but links and named boilerplate. A name makes boilerplate only of what holds little of the text.
 """
 
 from __future__ import annotations
@@ -23,11 +23,15 @@ NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that have no end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are no main text whatever the template.
+#: Elements that are no main text unless they hold much of it.
 BOILERPLATE = frozenset("nav footer aside form button head header menu dialog".split())
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav\w*|menu|footer|header|masthead|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|comment-?list|replies|disqus|login|search)(?:$|[\s_-])", re.I)
+#: Names that say boilerplate outside an article only.
+HEADS = re.compile(r"(?:header|masthead)", re.I)
 #: An article or main element is the container from this share of its host's text on; others must hold all of it.
 MAIN_SHARE = 0.6
+#: An element named like boilerplate is none with this share of its host's text, or with the lesser share of its article (a nav, footer, button, menu or dialog excepted).
+WRAPPER_SHARE, INNER_SHARE = 0.5, 0.15
 #: Tokens of the template are on this share of a host's pages.
 MOST_PAGES = 0.8
 #: Elements that can be the main text's own; a heading or a paragraph is never it, however often it comes.
@@ -53,12 +57,17 @@ def parts(page: str):
         yield ("text", page[last:], "", False)
 
 
+def head(tag: str, token: str) -> bool:
+    """Whether an element within an article is its own header and not boilerplate."""
+    return tag == "header" or tag not in BOILERPLATE and not NAMED.search(HEADS.sub("h", token[len(tag) + 2 : -1]))
+
+
 def scan(page: str) -> tuple[list, dict[str, int]]:
     """Blocks of text in page order, each a list of (path, text, whether in a link), and how often each element comes.
 
     A path is the tokens of the open elements that can be a container or are boilerplate (these with !), each after \\x1f.
     """
-    blocks, count, stack, block, path, link = [], {}, [], [], "", 0
+    blocks, count, stack, block, path, link, articles = [], {}, [], [], "", 0, 0
 
     def end():
         if any(t.strip() for _, t, _ in block):
@@ -76,14 +85,16 @@ def scan(page: str) -> tuple[list, dict[str, int]]:
         if kind == "open":
             if tag in VOID:
                 continue
-            stack.append((tag, path, link))
+            stack.append((tag, path, link, articles))
             link += tag == "a"
+            poor = poor and not (articles and head(tag, token))
+            articles += tag in ("article", "main")
             if poor or tag in SECTIONS:
                 count[token] = count.get(token, 0) + 1
                 path = f"{path}\x1f{'!' if poor else ''}{token}"
         elif any(x[0] == tag for x in stack):
             while True:
-                own, path, link = stack.pop()
+                own, path, link, articles = stack.pop()
                 if own == tag:
                     break
     end()
@@ -100,25 +111,25 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1
 
 
-def shown(path: str, container: str | None) -> bool:
-    """Whether text on the path is main text: under the container, and not under boilerplate within it."""
+def shown(path: str, container: str | None, kept: frozenset) -> bool:
+    """Whether text on the path is main text: under the container, and not under boilerplate within it that is not kept."""
     own = path.split("\x1f")[1:]
     if container is not None:
         bare = [x.removeprefix("!") for x in own]
         if container not in bare:
             return False
         own = own[len(bare) - bare[::-1].index(container) :]
-    return not any(x[0] == "!" for x in own)
+    return not any(x[0] == "!" and x[1:] not in kept for x in own)
 
 
-def main_text(page: str, container: str | None) -> str:
-    """Blocks of text under the container's token (the whole page without one), boilerplate left out, joined by line ends."""
+def main_text(page: str, container: str | None, kept: frozenset = frozenset()) -> str:
+    """Blocks of text under the container's token (the whole page without one), boilerplate that is not kept left out, joined by line ends."""
     blocks, count = scan(page)
     container, known, out = container if container in count else None, {}, []
     for block in blocks:
         for path, _, _ in block:
             if path not in known:
-                known[path] = shown(path, container)
+                known[path] = shown(path, container, kept)
         own = plain("".join(t for path, t, _ in block if known[path]))
         if own:
             out.append(own)
@@ -161,27 +172,43 @@ def token_classes(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 
 def host_templates(classes: DataFrame) -> DataFrame:
-    """(host, container): the token of the main text's element; null where the whole page counts."""
+    """(host, container, kept): the token of the main text's element, null where the whole page counts, and the tokens that are no boilerplate despite their names."""
     total = classes.where("kind = 0").select("host", F.col("n").alias("all"))
     once = classes.where("kind = 1").join(total, "host").where(F.col("n") >= MOST_PAGES * F.col("all")).select("host", F.col("key").alias("token"))
     paths = written(classes.where("kind = 2").groupBy("host", "key").agg(F.sum("chars").alias("chars")).where("chars > 0"), "paths")
     rows = paths.withColumn("own", F.slice(F.split("key", "\x1f"), 2, 10**6))
+    poor = rows.select("host", "chars", F.explode(F.array_distinct(F.filter("own", lambda x: x.startswith("!")))).alias("token")).groupBy("host", "token").agg(F.sum("chars").alias("chars"))
+    everything = rows.groupBy("host").agg(F.sum("chars").alias("everything"))
+    wrappers = poor.join(everything, "host").where(F.col("chars") >= WRAPPER_SHARE * F.col("everything")).groupBy("host").agg(F.collect_set("token").alias("wrappers"))
+    rows = rows.join(wrappers, "host", "left").withColumn("wrappers", F.coalesce("wrappers", F.array().cast("array<string>")))
     # Where the last boilerplate is on the path; -1 without any.
-    last = F.array_max(F.concat(F.array(F.lit(-1)), F.transform("own", lambda x, i: F.when(x.startswith("!"), i).otherwise(-1))))
-    rows = rows.withColumn("last", last)
+    bad = lambda x: x.startswith("!") & ~F.array_contains("wrappers", x)
+    rows = rows.withColumn("last", F.array_max(F.concat(F.array(F.lit(-1)), F.transform("own", lambda x, i: F.when(bad(x), i).otherwise(-1)))))
     whole = rows.where("last < 0").groupBy("host").agg(F.sum("chars").alias("whole"))
     under = rows.select("host", "chars", "last", F.posexplode("own").alias("depth", "token")).where("depth > last")
-    under = under.groupBy("host", "token").agg(F.sum("chars").alias("chars"), F.max("depth").alias("depth"))
-    named = F.col("token").rlike(r"^<(?:article|main)[ >]") & (F.col("chars") >= MAIN_SHARE * F.col("whole"))
-    good = under.join(once, ["host", "token"]).join(whole, "host").withColumn("named", named).where("named or chars = whole")
-    return total.join(good.groupBy("host").agg(F.max_by("token", F.struct("named", "chars", "depth")).alias("container")), "host", "left").select("host", "container")
+    under = under.groupBy("host", F.ltrim("token", F.lit("!")).alias("token")).agg(F.sum("chars").alias("chars"), F.max("depth").alias("depth"))
+    named = F.col("token").rlike(r"^<(?:article|main)[ >]") & (F.col("chars") >= MAIN_SHARE * F.coalesce("whole", F.lit(0)))
+    good = under.where(F.regexp_extract("token", "^<([a-z]+)[ >]", 1).isin(*SECTIONS)).join(once, ["host", "token"]).join(whole, "host", "left").withColumn("named", named).where("named or chars = whole")
+    best = total.join(good.groupBy("host").agg(F.max_by("token", F.struct("named", "chars", "depth")).alias("container")), "host", "left").select("host", "container")
+    # Boilerplate by name within the container (within the page without one) and its share of the text there.
+    inner = rows.join(best, "host").withColumn("at", F.when(F.col("container").isNull(), 0).otherwise(F.greatest(F.array_position("own", F.col("container")), F.array_position("own", F.concat(F.lit("!"), "container"))))).where("container is null or at > 0")
+    held = inner.groupBy("host").agg(F.sum("chars").alias("held"))
+    named_in = inner.select("host", "container", "wrappers", "chars", F.explode(F.array_distinct(F.filter(F.expr("slice(own, at + 1, 1000000)"), lambda x: x.startswith("!")))).alias("token")).groupBy("host", "container", "wrappers", "token").agg(F.sum("chars").alias("chars"))
+    share = F.when(F.col("container").rlike(r"^<(?:article|main)[ >]") & ~F.col("token").rlike(r"^!<(?:nav|footer|button|menu|dialog|head)[ >]"), INNER_SHARE).otherwise(WRAPPER_SHARE)
+    kept = named_in.join(held, "host").where(F.array_contains("wrappers", F.col("token")) | (F.col("chars") >= share * F.col("held"))).groupBy("host").agg(F.collect_set(F.substring("token", 2, 10**6)).alias("kept"))
+    return best.join(kept, "host", "left")
 
 
 def _extracted(batches):
     import pyarrow as pa
 
+    known = {}
     for batch in batches:
-        texts = [main_text(h or "", c) for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        texts = []
+        for k, (name, page) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())):
+            if name not in known:
+                known[name] = (batch.column(4)[k].as_py(), frozenset(batch.column(5)[k].as_py() or ()))
+            texts.append(main_text(page or "", *known[name]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -193,5 +220,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     templates = written(host_templates(written(token_classes(pages, url_col, html_col), "classes")), "templates")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host(pages[url_col]).alias("host"))
-    rows = rows.join(templates.select("host", "container"), "host", "left")
-    return rows.select("page_id", "url", "html", "container").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    rows = rows.join(templates, "host", "left")
+    return rows.select("page_id", "url", "html", "host", "container", "kept").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -241,3 +241,14 @@ def test_html_nested_article(spark):
     page = "<html><body><div class='top'>Site</div><article><h1>Headline {0}</h1><div class='lead'>Lead text of page {0}</div><div class='content'><p>The long body of the page {0}, more than sixty of a hundred of it</p></div></article></body></html>"
     want = "Headline {0}\nLead text of page {0}\nThe long body of the page {0}, more than sixty of a hundred of it"
     assert html_texts(spark, [page.format(i) for i in range(12)]) == [want.format(i) for i in range(12)]
+
+
+@pytest.mark.parametrize("wrapper, end", [("<div class='layout has-sidebar'>", "</div>"), ("<div class='page no-ads'>", "</div>"), ("<form id='f{0}23'>", "</form>")])
+def test_html_named_wrapper(spark, wrapper, end):
+    inner = "<header><h1>Head {0}</h1></header><p>Text of page {0} of the site</p><div class='related work'>Related work of page {0} in some detail</div>"
+    want = "Head {0}\nText of page {0} of the site\nRelated work of page {0} in some detail"
+    for opening, closing in [("<article>", "</article>"), ("<div class='text'><article>", "</article></div>")]:
+        page = f"<html><body>{wrapper}<nav>menu {{0}}</nav>{opening}{inner}{closing}<div class='sidebar'>side {{0}}</div>{end}</body></html>"
+        assert html_texts(spark, [page.format(i) for i in range(12)]) == [want.format(i) for i in range(12)]
+    page = f"<html><body>{wrapper}<nav>menu {{0}}</nav><p>Text of page {{0}} of the site</p>{end}</body></html>"
+    assert html_texts(spark, [page.format(i) for i in range(12)]) == [f"Text of page {i} of the site" for i in range(12)]
