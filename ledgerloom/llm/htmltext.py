@@ -1,10 +1,11 @@
 """Main text of web pages by deducing each host's template from equivalence classes of its tokens.
 
 Tokens are elements (tags with their class or id, numbers of three digits and more as #). Those found exactly once on
-most pages of a host are its template. A block's text lies on a path of elements; texts are counted by path with map-side
+most pages of a host are its template, as are the texts of whole blocks there. A block's text lies on a path of elements; texts are counted by path with map-side
 sums, so a host with a third of all pages is as many small rows as there are tasks, and pages are parsed twice. The
 container is the article or main element with most of the text, else the innermost element of the template that leaves
 no text of its host outside but links and named boilerplate. A name makes boilerplate only of what holds little of the text.
+What is returned are the slots: the container's blocks that are no template text.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ MAIN_SHARE = 0.6
 WRAPPER_SHARE, INNER_SHARE = 0.5, 0.15
 #: Tokens of the template are on this share of a host's pages.
 MOST_PAGES = 0.8
+#: Texts are template only on hosts with this many pages, and only where at least this share of a page's main text is none.
+LEAST_PAGES, LEAST_SLOT = 5, 0.5
 #: Elements that can be the main text's own; a heading or a paragraph is never it, however often it comes.
 SECTIONS = frozenset("article main section div td body html".split())
 NUMBER = re.compile(r"[0-9]{3,}")
@@ -122,8 +125,12 @@ def shown(path: str, container: str | None, kept: frozenset) -> bool:
     return not any(x[0] == "!" and x[1:] not in kept for x in own)
 
 
-def main_text(page: str, container: str | None, kept: frozenset = frozenset()) -> str:
-    """Blocks of text under the container's token (the whole page without one), boilerplate that is not kept left out, joined by line ends."""
+def main_text(page: str, container: str | None, kept: frozenset = frozenset(), lines: frozenset = frozenset()) -> str:
+    """Blocks of text under the container's token (the whole page without one), joined by line ends.
+
+    Boilerplate that is not kept is left out, and blocks whose hash is in `lines` unless they are most of the text: such
+    a page is a copy, not a template.
+    """
     blocks, count = scan(page)
     container, known, out = container if container in count else None, {}, []
     for block in blocks:
@@ -132,8 +139,11 @@ def main_text(page: str, container: str | None, kept: frozenset = frozenset()) -
                 known[path] = shown(path, container, kept)
         own = plain("".join(t for path, t, _ in block if known[path]))
         if own:
-            out.append(own)
-    return "\n".join(out)
+            out.append((own, bool(lines) and hash_of(plain("".join(t for _, t, _ in block))) in lines))
+    slots = [own for own, common in out if not common]
+    if sum(map(len, slots)) < LEAST_SLOT * sum(len(own) for own, _ in out):
+        slots = [own for own, _ in out]
+    return "\n".join(slots)
 
 
 def rows_of(page: str):
@@ -172,10 +182,18 @@ def token_classes(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 
 def host_templates(classes: DataFrame) -> DataFrame:
-    """(host, container, kept): the token of the main text's element, null where the whole page counts, and the tokens that are no boilerplate despite their names."""
+    """(host, container, kept, lines): the token of the main text's element, null where the whole page counts, the tokens
+    that are no boilerplate despite their names, and the hashes of template texts."""
     total = classes.where("kind = 0").select("host", F.col("n").alias("all"))
     once = classes.where("kind = 1").join(total, "host").where(F.col("n") >= MOST_PAGES * F.col("all")).select("host", F.col("key").alias("token"))
-    paths = written(classes.where("kind = 2").groupBy("host", "key").agg(F.sum("chars").alias("chars")).where("chars > 0"), "paths")
+    blocks = classes.where("kind = 2")
+    lines = blocks.groupBy("host", "at").agg(F.sum("n").alias("n")).join(total, "host").where((F.col("all") >= LEAST_PAGES) & (F.col("n") >= MOST_PAGES * F.col("all"))).select("host", "at")
+    lines = written(lines, "lines")
+    own = blocks.join(lines.withColumn("common", F.lit(1)), ["host", "at"], "left").withColumn("slot", F.when(F.col("common").isNull(), F.col("chars")).otherwise(0))
+    paths = written(own.groupBy("host", "key").agg(F.sum("chars").alias("chars"), F.sum("slot").alias("slot")), "paths")
+    # Where template texts are most of a host's text, its pages are copies: then all of it counts.
+    slots = paths.groupBy("host").agg((F.sum("slot") < LEAST_SLOT * F.sum("chars")).alias("copies"))
+    paths = paths.join(slots, "host").withColumn("chars", F.when(F.col("copies"), F.col("chars")).otherwise(F.col("slot"))).where("chars > 0").select("host", "key", "chars")
     rows = paths.withColumn("own", F.slice(F.split("key", "\x1f"), 2, 10**6))
     poor = rows.select("host", "chars", F.explode(F.array_distinct(F.filter("own", lambda x: x.startswith("!")))).alias("token")).groupBy("host", "token").agg(F.sum("chars").alias("chars"))
     everything = rows.groupBy("host").agg(F.sum("chars").alias("everything"))
@@ -196,7 +214,7 @@ def host_templates(classes: DataFrame) -> DataFrame:
     named_in = inner.select("host", "container", "wrappers", "chars", F.explode(F.array_distinct(F.filter(F.expr("slice(own, at + 1, 1000000)"), lambda x: x.startswith("!")))).alias("token")).groupBy("host", "container", "wrappers", "token").agg(F.sum("chars").alias("chars"))
     share = F.when(F.col("container").rlike(r"^<(?:article|main)[ >]") & ~F.col("token").rlike(r"^!<(?:nav|footer|button|menu|dialog|head)[ >]"), INNER_SHARE).otherwise(WRAPPER_SHARE)
     kept = named_in.join(held, "host").where(F.array_contains("wrappers", F.col("token")) | (F.col("chars") >= share * F.col("held"))).groupBy("host").agg(F.collect_set(F.substring("token", 2, 10**6)).alias("kept"))
-    return best.join(kept, "host", "left")
+    return best.join(kept, "host", "left").join(lines.groupBy("host").agg(F.collect_set("at").alias("lines")), "host", "left")
 
 
 def _extracted(batches):
@@ -207,7 +225,7 @@ def _extracted(batches):
         texts = []
         for k, (name, page) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())):
             if name not in known:
-                known[name] = (batch.column(4)[k].as_py(), frozenset(batch.column(5)[k].as_py() or ()))
+                known[name] = (batch.column(4)[k].as_py(), *(frozenset(batch.column(c)[k].as_py() or ()) for c in (5, 6)))
             texts.append(main_text(page or "", *known[name]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -221,4 +239,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     templates = written(host_templates(written(token_classes(pages, url_col, html_col), "classes")), "templates")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host(pages[url_col]).alias("host"))
     rows = rows.join(templates, "host", "left")
-    return rows.select("page_id", "url", "html", "host", "container", "kept").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "container", "kept", "lines").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -252,3 +252,16 @@ def test_html_named_wrapper(spark, wrapper, end):
         assert html_texts(spark, [page.format(i) for i in range(12)]) == [want.format(i) for i in range(12)]
     page = f"<html><body>{wrapper}<nav>menu {{0}}</nav><p>Text of page {{0}} of the site</p>{end}</body></html>"
     assert html_texts(spark, [page.format(i) for i in range(12)]) == [f"Text of page {i} of the site" for i in range(12)]
+
+
+def test_html_template_text(spark):
+    page = "<html><body><article><h1>Head {0}</h1><p>Text of page {0}, <b>longer</b> than the rest of it</p><div class='x1'>Read our terms</div></article></body></html>"
+    pages = [page.format(i) for i in range(12)]
+    pages[3] = pages[3].replace("</body>", "<article>Another article</article></body>")
+    pages[4] = "<html><body><p>A page 4 of its own</p></body></html>"
+    want = [f"Head {i}\nText of page {i}, longer than the rest of it" for i in range(12)]
+    want[3] += "\nAnother article"
+    want[4] = "A page 4 of its own"
+    assert html_texts(spark, [p.replace("<body>", "<body><div class='x2'>Teaser {}</div>".format(i)) if i != 4 else p for i, p in enumerate(pages)]) == want
+    # Copies keep their text.
+    assert html_texts(spark, [page.format(1)] * 6) == ["Head 1\nText of page 1, longer than the rest of it\nRead our terms"] * 6
