@@ -37,6 +37,19 @@ def terms(text: str) -> set[str]:
     return words | {f"{w[:n]}~" for w in words for n in BEGINNINGS if len(w) > n}
 
 
+def nearest(a: list[int], b: list[int]) -> int | None:
+    """The least distance of a member of a to one of b, both ascending; None where either is empty."""
+    best, i, j = None, 0, 0
+    while i < len(a) and j < len(b):
+        apart = a[i] - b[j]
+        best = abs(apart) if best is None else min(best, abs(apart))
+        if apart < 0:
+            i += 1
+        else:
+            j += 1
+    return best
+
+
 def features(text: str, words: dict[str, float], beginnings: dict[str, float]) -> list[float]:
     """FEATURES of one text; zeros without a word."""
     raw = WORD.findall(text)
@@ -47,7 +60,7 @@ def features(text: str, words: dict[str, float], beginnings: dict[str, float]) -
     hits = [i for i, w in enumerate(own) if w in words]
     starts = [max(b) for w in own if (b := [beginnings[k] for m in BEGINNINGS if (k := w[:m]) in beginnings and len(w) > m])] if beginnings else []
     second = [i for i, w in enumerate(own) if w in SECOND_PERSON]
-    near = min((abs(i - j) for i in hits[:200] for j in second[:200]), default=None)
+    near = nearest(hits, second)
     masked = [m for m in RAW.findall(text) if MASKED.search(m)] if MASKED.search(text) else []
     unmasked = sum(any(w in words for w in WORD.findall(m.lower().translate(LEET))) for m in masked)
     letters, upper = sum(map(len, raw)), sum(1 for c in text if c.isupper()) if not text.islower() else 0

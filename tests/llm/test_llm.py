@@ -265,3 +265,14 @@ def test_html_template_text(spark):
     assert html_texts(spark, [p.replace("<body>", "<body><div class='x2'>Teaser {}</div>".format(i)) if i != 4 else p for i, p in enumerate(pages)]) == want
     # Copies keep their text.
     assert html_texts(spark, [page.format(1)] * 6) == ["Head 1\nText of page 1, longer than the rest of it\nRead our terms"] * 6
+
+
+def test_toxicity_proximity():
+    at = toxicity.FEATURES.index("proximity")
+    # 300 second-person words before the hit at the end, and as many hits before the second-person word.
+    assert toxicity.features("you word " * 300 + "more words between you idiot", {"idiot": 3.0}, {})[at] == 0.5
+    assert toxicity.features("idiot word " * 300 + "more words between idiot you", {"idiot": 3.0}, {})[at] == 0.5
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = (sorted(rng.sample(range(400), rng.randrange(12))) for _ in range(2))
+        assert toxicity.nearest(a, b) == min((abs(i - j) for i in a for j in b), default=None)
