@@ -12,6 +12,8 @@ from ..functions.scalars import changed_fields, date_points
 MOST_ANCHORS = 1000
 #: Most members of a combination, and of a block that is searched; larger blocks are reported.
 MOST_MEMBERS, MOST_BLOCK = 6, 14
+#: Most lines and most different sums of a block whose subsets are counted; the targets of larger ones are reported.
+MOST_LINES, MOST_SUMS = 200, 1 << 18
 
 
 def counterparts(anchors: DataFrame, sources: DataFrame, days: int | None, limit: int) -> DataFrame:
@@ -134,14 +136,44 @@ def exact_combinations(items: DataFrame, tolerance: int) -> DataFrame:
     return small.groupBy("block").applyInPandas(search, schema).unionByName(over)
 
 
+def subset_sums(amounts: list[int], low: int, high: int) -> dict[int, tuple[int, int]] | None:
+    """Of each sum from low to high: the number of subsets (not empty, 2 at most) and one of them as bits; None beyond MOST_SUMS."""
+    found: dict[int, tuple[int, int]] = {}
+    less, more = sum(a for a in amounts if a < 0), sum(a for a in amounts if a > 0)
+    for k, a in enumerate(amounts):
+        less, more = less - min(a, 0), more - max(a, 0)
+        new = dict(found)
+        for t, (n, own) in [(0, (1, 0)), *found.items()]:
+            count, first = new.get(t + a, (0, own | 1 << k))
+            new[t + a] = (min(2, count + n), first)
+        # Sums that the lines to come cannot bring to a target.
+        found = {t: x for t, x in new.items() if t + less <= high and t + more >= low}
+        if len(found) > MOST_SUMS:
+            return None
+    return found
+
+
 def unique_exact_subset(items: DataFrame, targets: DataFrame) -> DataFrame:
-    """(block, target_id, sources): the only set of sources that sums to the target; none where several do.
+    """(target_id, sources, over_limit): the only set of sources of the block, of any size, that sums to the target; no row where several do or none.
 
-    Each target is one document of a block of its own, so that the search is that of exact_combinations.
+    Targets of a block of more than MOST_LINES sources, which is never gathered in a task, or of more than MOST_SUMS
+    sums have over_limit 1 and no sources.
     """
-    key = F.concat_ws("/", "block", "target_id")
-    t = targets.withColumn("both", key)
-    rows = t.join(items.select("block", "id", "amount_minor"), "block").select(F.col("both").alias("block"), F.lit("SOURCE").alias("side"), "id", "amount_minor")
-    rows = rows.unionByName(t.select(F.col("both").alias("block"), F.lit("DOCUMENT").alias("side"), F.col("target_id").alias("id"), F.col("target_minor").alias("amount_minor")))
-    found = exact_combinations(rows, 0).where("over_limit = 0")
-    return found.groupBy("block", F.col("docs").alias("target_id")).agg(F.count("*").alias("n"), F.min("sources").alias("sources")).where("n = 1").select("target_id", "sources")
+    size = items.groupBy("block").agg(F.count("*").alias("lines"))
+    known = targets.join(size, "block")
+    small = items.join(size.where(F.col("lines") <= MOST_LINES), "block", "left_semi").select("block", "id", "amount_minor")
+    wanted = known.where(F.col("lines") <= MOST_LINES).groupBy("block").agg(F.min("target_minor").alias("low"), F.max("target_minor").alias("high"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = sorted(zip(pdf.id, map(int, pdf.amount_minor)), key=lambda x: (-abs(x[1]), x[0]))
+        sums = subset_sums([x[1] for x in lines], int(pdf.low.iloc[0]), int(pdf.high.iloc[0]))
+        if sums is None:
+            out = [(pdf.block.iloc[0], None, None, 1)]
+        else:
+            out = [(pdf.block.iloc[0], t, ",".join(sorted(x[0] for k, x in enumerate(lines) if own >> k & 1)), 0) for t, (n, own) in sums.items() if n == 1]
+        return pd.DataFrame(out, columns=["block", "target_minor", "sources", "over_limit"]).astype({"target_minor": "Int64"})
+
+    found = small.join(wanted, "block").groupBy("block").applyInPandas(search, "block string, target_minor long, sources string, over_limit int")
+    exact = known.join(found.where("over_limit = 0"), ["block", "target_minor"]).select("target_id", "sources", "over_limit")
+    over = known.join(found.where("over_limit = 1").select("block"), "block", "left_semi").unionByName(known.where(F.col("lines") > MOST_LINES))
+    return exact.unionByName(over.select("target_id", F.lit(None).cast("string").alias("sources"), F.lit(1).alias("over_limit")))

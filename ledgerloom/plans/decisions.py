@@ -71,9 +71,10 @@ def m2(spark, d):
 
 @query("m16_unique_reference_combination")
 def m16(spark, d):
+    """Targets over the limit have no sources."""
     rows = blocks(spark, d)
     targets = rows.where("side = 'DOCUMENT'").select("block", F.col("id").alias("target_id"), F.col("amount_minor").alias("target_minor"))
-    return D.unique_exact_subset(rows.where("side = 'SOURCE'"), targets)
+    return D.unique_exact_subset(rows.where("side = 'SOURCE'"), targets).select("target_id", "sources")
 
 
 @query("m6_alternatives", f"+{SCORE_SQL} SELECT q.invoice_id, q.source_id, o.invoice_id AS other_invoice, o.source_id AS other_source FROM q JOIN q o ON (q.invoice_id = o.invoice_id AND q.source_id <> o.source_id OR q.source_id = o.source_id AND q.invoice_id <> o.invoice_id) AND o.score >= greatest(0, q.score - 15)", "invoice", "booking", "card")

@@ -88,3 +88,18 @@ def test_alert_fields(spark):
     new = spark.createDataFrame([(1, "b", day), (2, None, day), (3, "d", None)], "id int, x string, y date")
     members = spark.createDataFrame([(1, 9), (1, 8), (2, 7)], "id int, group_id int")
     assert [(r[0], list(r[1]), list(r[2])) for r in D.revision_alerts(old, new, members, "id", ["x", "y"]).collect()] == [(1, ["x"], [8, 9])]
+
+
+def test_unique_subset_of_any_size(spark):
+    rng = random.Random(4)
+    rows = [("two ways", f"t{i}", a) for i, a in enumerate([60, 40, 20, 20, 20, 15, 10, 10, 5])] + [("seven", f"s{i}", 2**i) for i in range(8)] + [("fifteen", f"f{i:02d}", 2**i) for i in range(15)]
+    rows += [("credit", "c1", 100), ("credit", "c2", -30), ("hot", "h", 7)] + [("hot", f"h{i:03d}", 1) for i in range(D.MOST_LINES)]
+    rows += [("random", f"r{i}", rng.choice([1, 2, 3, 50, -4])) for i in range(9)]
+    targets = [("two ways", "T", 100), ("seven", "S", 127), ("fifteen", "F", 2**15 - 1), ("fifteen", "G", 5), ("fifteen", "N", 2**15), ("credit", "C", 70), ("hot", "H", 7)] + [("random", f"R{t}", t) for t in range(-9, 70)]
+    got = {tuple(r) for r in D.unique_exact_subset(spark.createDataFrame(rows, "block string, id string, amount_minor long"), spark.createDataFrame(targets, "block string, target_id string, target_minor long")).collect()}
+    want = {("H", None, 1)}
+    for block, target, minor in targets:
+        lines = [r for r in sorted(rows) if r[0] == block]
+        sets = [c for n in range(1, len(lines) + 1) for c in itertools.combinations(lines, n) if sum(x[2] for x in c) == minor] if block != "hot" else []
+        want |= {(target, ",".join(x[1] for x in sets[0]), 0)} if len(sets) == 1 else set()
+    assert got == want and {("S", "s0,s1,s2,s3,s4,s5,s6", 0), ("C", "c1,c2", 0)} < got and not any(r[0] == "T" for r in got)
