@@ -106,10 +106,22 @@ def leaf_members(closure: DataFrame, members: DataFrame) -> DataFrame:
     return closure.join(members.select("group_id", "member"), "group_id").select("root", "member").distinct()
 
 
-def exact_combinations(items: DataFrame, tolerance: int) -> DataFrame:
+def date_islands(items: DataFrame, days: int) -> DataFrame:
+    """items (currency, day, ...) with `island`, the first day of the currency's run of days with gaps of at most `days`.
+
+    Only the different days go through the window, not the items.
+    """
+    by = Window.partitionBy("currency").orderBy("day")
+    own = items.select("currency", "day").where("day is not null").distinct()
+    own = own.withColumn("start", F.when(F.coalesce(F.datediff("day", F.lag("day").over(by)) <= days, F.lit(False)), None).otherwise(F.col("day")))
+    return items.join(own.select("currency", "day", F.last("start", True).over(by).alias("island")), ["currency", "day"])
+
+
+def exact_combinations(items: DataFrame, tolerance: int, days: int | None = None) -> DataFrame:
     """Combinations of documents and sources of one block whose sums differ by at most tolerance and have one sign.
 
-    items: block, side, id, amount_minor. At most MOST_MEMBERS on a side and MOST_MEMBERS + 1 in all. A block of more
+    With `days` the sign is that of the two sums, and some document must lie within `days` of some source; without it
+    every member has the sign. items: block, side, id, amount_minor, with `days` also day. At most MOST_MEMBERS on a side and MOST_MEMBERS + 1 in all. A block of more
     than MOST_BLOCK items is returned as one row with over_limit and no members, and never gathered in a task.
     """
     from itertools import combinations
@@ -119,9 +131,15 @@ def exact_combinations(items: DataFrame, tolerance: int) -> DataFrame:
     schema = "block string, docs string, sources string, difference_minor long, over_limit int"
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [list(pdf[pdf.side == s].sort_values("id")[["id", "amount_minor"]].itertuples(index=False, name=None)) for s in ("DOCUMENT", "SOURCE")]
+        cols = ["id", "amount_minor"] if days is None else ["id", "amount_minor", "day"]
+        sides = [list(pdf[pdf.side == s].sort_values("id")[cols].itertuples(index=False, name=None)) for s in ("DOCUMENT", "SOURCE")]
         sets = [[c for n in range(1, min(MOST_MEMBERS, len(s)) + 1) for c in combinations(s, n)] for s in sides]
         sums = lambda c: sum(int(x[1]) for x in c)
+        def good(a, b) -> bool:
+            if days is None:
+                return len({x[1] > 0 for x in (*a, *b)}) == 1
+            return sums(a) * sums(b) > 0 and any(abs((x[2] - y[2]).days) <= days for x in a for y in b if not pd.isna(x[2]) and not pd.isna(y[2]))
+
         by_size: dict[tuple[int, int], list] = {}
         for c in sets[1]:
             for t in range(-tolerance, tolerance + 1):
@@ -129,7 +147,7 @@ def exact_combinations(items: DataFrame, tolerance: int) -> DataFrame:
         out = []
         for a in sets[0]:
             for n in range(1, MOST_MEMBERS + 2 - len(a)):
-                out += [(pdf.block.iloc[0], ",".join(x[0] for x in a), ",".join(x[0] for x in b), sums(a) - sums(b), 0) for b in by_size.get((sums(a), n), []) if len({v > 0 for _, v in (*a, *b)}) == 1]
+                out += [(pdf.block.iloc[0], ",".join(x[0] for x in a), ",".join(x[0] for x in b), sums(a) - sums(b), 0) for b in by_size.get((sums(a), n), []) if good(a, b)]
         return pd.DataFrame(out, columns=["block", "docs", "sources", "difference_minor", "over_limit"])
 
     over = size.where(F.col("n") > MOST_BLOCK).select("block", F.lit(None).cast("string").alias("docs"), F.lit(None).cast("string").alias("sources"), F.lit(None).cast("bigint").alias("difference_minor"), F.lit(1).alias("over_limit"))

@@ -64,11 +64,33 @@ def blocks(spark, d):
     return doc.unionByName(src).where("booking_reference IS NOT NULL").select(F.concat_ws("|", "currency", "booking_reference").alias("block"), "side", "id", "amount_minor")
 
 
-@query("m2_combinations")
+@query("m2_reference_combinations")
 def m2(spark, d):
+    """Only within a booking reference, every member of one sign."""
     return D.exact_combinations(blocks(spark, d), 1)
 
 
+def dated_items(spark, d):
+    doc = read(spark, d, "invoice").select("currency", "booking_reference", F.lit("DOCUMENT").alias("side"), F.col("invoice_id").alias("id"), F.col("total_minor").alias("amount_minor"), F.to_date("doc_date").alias("day"))
+    src = sources(spark, d).select("currency", F.col("source_reference").alias("booking_reference"), F.lit("SOURCE").alias("side"), F.col("source_id").alias("id"), "amount_minor", F.to_date("paid_on").alias("day"))
+    return doc.unionByName(src)
+
+
+def all_combinations(items, tolerance: int, days: int):
+    """Combinations of items (currency, booking_reference, side, id, amount_minor, day) within a reference or a date island, each once."""
+    cols = ["block", "side", "id", "amount_minor", "day"]
+    same = items.where("booking_reference IS NOT NULL").withColumn("block", F.concat_ws("|", "currency", "booking_reference"))
+    near = D.date_islands(items, days).withColumn("block", F.concat_ws("|", "currency", F.col("island").cast("string")))
+    found = D.exact_combinations(same.select(cols).unionByName(near.select(cols)), tolerance, days)
+    once = found.where("over_limit = 0").groupBy("docs", "sources").agg(F.min("block").alias("block"), F.first("difference_minor").alias("difference_minor"), F.first("over_limit").alias("over_limit"))
+    return once.unionByName(found.where("over_limit = 1")).select(found.columns)
+
+
+@query("m2_combinations")
+def m2_all(spark, d):
+    return all_combinations(dated_items(spark, d), 1, 7)
+
+
 @query("m16_unique_reference_combination")
 def m16(spark, d):
     """Targets over the limit have no sources."""

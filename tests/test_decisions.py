@@ -103,3 +103,20 @@ def test_unique_subset_of_any_size(spark):
         sets = [c for n in range(1, len(lines) + 1) for c in itertools.combinations(lines, n) if sum(x[2] for x in c) == minor] if block != "hot" else []
         want |= {(target, ",".join(x[1] for x in sets[0]), 0)} if len(sets) == 1 else set()
     assert got == want and {("S", "s0,s1,s2,s3,s4,s5,s6", 0), ("C", "c1,c2", 0)} < got and not any(r[0] == "T" for r in got)
+
+
+def test_all_combinations(spark):
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(n)
+    rows = [
+        ("CZK", "R1", "DOCUMENT", "d1", 100, day(0)), ("CZK", "R1", "DOCUMENT", "d2", -20, day(0)), ("CZK", "R1", "SOURCE", "s1", 80, day(3)),  # a credit note, a net payment
+        ("CZK", None, "DOCUMENT", "d3", 500, day(100)), ("CZK", None, "SOURCE", "c1", 200, day(101)), ("CZK", None, "SOURCE", "c2", 300, day(106)),  # card sources
+        ("CZK", None, "DOCUMENT", "d4", 500, day(200)), ("EUR", None, "SOURCE", "c3", 500, day(200)),
+        ("CZK", "R2", "DOCUMENT", "d5", 70, day(300)), ("CZK", "R2", "SOURCE", "s2", 70, day(308)),  # beyond the window
+    ] + [("USD", None, "SOURCE", f"u{i:02d}", 1, day(i)) for i in range(D.MOST_BLOCK + 1)]
+    got = plans.all_combinations(spark.createDataFrame(rows, "currency string, booking_reference string, side string, id string, amount_minor long, day date"), 1, 7)
+    assert {tuple(r) for r in got.collect()} == {("CZK|2026-01-01", "d1,d2", "s1", 0, 0), ("CZK|2026-04-11", "d3", "c1,c2", 0, 0), ("USD|2026-01-01", None, None, None, 1)}
+
+
+def test_m2_reports_the_islands(spark):
+    got = [tuple(r) for r in plans.m2_all(spark, SF).collect()]
+    assert got and any(r[4] == 1 for r in got) and len(got) == len(set(got))
