@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The lexicon (words, and word beginnings that many different words share) is learned from labelled training documents by
-document frequencies; the trees and the calibration are Spark ML's. All of it is fitted on a bounded sample of labelled
-rows, LABELLED at most, drawn by a hash of the id; every document is scored in one pass, without a shuffle.
+The lexicon (words, and word beginnings that many different words share) is learned from all labelled training documents
+by document frequencies; the trees and the calibration are Spark ML's. Only these are fitted on a bounded sample of
+labelled rows, LABELLED at most, drawn by a hash of the id; every document is scored in one pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import arrow_bytes, pieces, written
 from .ngramlm import remainder
 
-#: Labelled rows that the model is fitted on, at most; terms of the lexicon, at most.
-LABELLED, TERMS = 20_000, 400
+#: Labelled rows that the trees and the calibration are fitted on, at most; terms of the lexicon, at most.
+LABELLED, TERMS = 20_000, 50_000
 #: A term needs this many toxic documents and this log ratio of document frequencies.
 LEAST_TOXIC, LEAST_RATIO = 5, 2.5
 BEGINNINGS = (4, 5, 6)
@@ -120,10 +120,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), (remainder(docs[id_col]) == held_out).alias("held_out"), docs[text_col].alias("text"))
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["toxic"].cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(remainder(F.col("id")) != held_out)
-    known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(LABELLED)
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    lexicon = learned_lexicon(rows.join(known, "id").select("toxic", "text"))
     # LABELLED rows of 12 bytes at most.
-    sample = rows.join(F.broadcast(known), "id").select("id", "toxic", "text")
-    lexicon = learned_lexicon(sample)
+    sample = rows.join(F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(LABELLED)), "id").select("id", "toxic", "text")
     fit = written(with_features(sample, lexicon, "id long, toxic int"), "features").withColumn("features", array_to_vector("x")).withColumn("label", F.col("toxic").cast("double"))
     both = {r["toxic"]: r["count"] for r in fit.groupBy("toxic").count().collect()}
     scored = with_features(rows, lexicon, "id long, held_out boolean")

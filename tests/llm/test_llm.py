@@ -276,3 +276,16 @@ def test_toxicity_proximity():
     for _ in range(200):
         a, b = (sorted(rng.sample(range(400), rng.randrange(12))) for _ in range(2))
         assert toxicity.nearest(a, b) == min((abs(i - j) for i in a for j in b), default=None)
+
+
+def test_toxicity_lexicon_of_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LABELLED", 40)
+    found, learn = [], toxicity.learned_lexicon
+    monkeypatch.setattr(toxicity, "learned_lexicon", lambda rows: found.append(learn(rows)) or found[-1])
+    rare = ["zq" + c + d for c in "abcde" for d in "fghi"]
+    rows = [(i, f"plain words {i} {rare[i // 4 % 20] if i % 4 == 0 else 'calm'}", int(i % 4 == 0)) for i in range(1, 1601)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert toxicity.toxicity_scores(docs.drop("toxic"), docs.drop("text")).count() == 1600
+    assert set(rare) <= set(found[0][0])
+    many = [("x " + " ".join(f"bad{i}" for i in range(450)), 1)] * 5 + [("good words", 0)] * 100
+    assert {f"bad{i}" for i in range(450)} <= set(learn(spark.createDataFrame(many, "text string, toxic int"))[0])
