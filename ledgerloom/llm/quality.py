@@ -3,7 +3,8 @@
 Base rules look at one text. The model's verdict compares two multinomials over hashed uni- and bigrams of tokens (runs
 of letters and digits, runs of other signs): that of trusted documents and that of all documents. A document's score
 is the mean log ratio over its n-grams; documents under a fixed threshold are rejected. The table of log ratios has one
-entry for each of BUCKETS buckets whatever the input, so it goes into the plan as a literal.
+entry for each of BUCKETS buckets whatever the input, so it goes into the plan as a literal. Columns that start with two
+underscores are this module's own; the input must have none of those named below.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import marked, table, written
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.4
@@ -25,19 +26,27 @@ def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
 
-def _repeat_words(words: Column, n: Column, packed: Column) -> Column:
-    """Words in 3-word windows that occur twice or more. packed: sorted window hashes with the position in the low bits."""
+def _position_bits(n: Column) -> Column:
+    """Bits that hold a position below the bits of a window's hash."""
+    return F.when(n <= 1 << 16, 16).when(n <= 1 << 20, 20).otherwise(28)
+
+
+def _perhaps_repeated(n: Column, packed: Column) -> Column:
+    """Positions of windows whose cut hash occurs twice or more: all that repeat, and by chance a few others.
+    packed: sorted window hashes with the position in the low bits."""
     bits = _position_bits(n)
     same = lambda a, b: F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits)
     twice = F.filter(packed, lambda x, k: same(x, F.get(packed, k - 1)) | same(x, F.get(packed, k + 1)))
-    at = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)))
-    start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("sum"))
-    return F.aggregate(at, start, lambda acc, x: F.struct(x.alias("last"), (acc["sum"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("sum")), lambda acc: acc["sum"])
+    return F.transform(twice, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int"))
 
 
-def _position_bits(n: Column) -> Column:
-    """Bits that hold a position: 48 bits of the hash are left for texts of up to 65,536 words."""
-    return F.when(n <= 1 << 16, 16).when(n <= 1 << 20, 20).otherwise(28)
+def _repeat_words(windows: Column) -> Column:
+    """Words in 3-word windows that occur twice or more. windows: sorted structs of the words themselves and the position."""
+    same = lambda a, b: (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"])
+    twice = F.filter(windows, lambda x, k: same(x, F.get(windows, k - 1)) | same(x, F.get(windows, k + 1)))
+    at = F.sort_array(F.transform(twice, lambda x: x["p"].cast("long")))
+    start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("sum"))
+    return F.aggregate(at, start, lambda acc, x: F.struct(x.alias("last"), (acc["sum"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("sum")), lambda acc: acc["sum"])
 
 
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -51,12 +60,14 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hashed = lambda i: F.call_function("shiftleft", F.call_function("shiftright", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), bits), bits).bitwiseOR(i.cast("long"))
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n.cast("int") - 3), hashed)).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("__packed", F.sort_array(windows))
+    rows = rows.withColumn("__at", _perhaps_repeated(n, F.col("__packed")))
+    rows = rows.withColumn("__windows", F.sort_array(F.transform("__at", lambda p: F.struct(F.get(words, p).alias("a"), F.get(words, p + 1).alias("b"), F.get(words, p + 2).alias("c"), p.alias("p")))))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     rows = rows.withColumn("__lines", lines)
-    repeats = _repeat_words(words, n, F.col("__packed")).cast("long")
+    repeats = _repeat_words(F.col("__windows")).cast("long")
     rows = rows.withColumn("__q", F.struct(n.alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), repeats.alias("n_repeat_words")))
     rows = rows.withColumn("__q", F.col("__q").withField("base_failed", (F.col("__q.n_words") < MIN_WORDS) | (100 * F.col("__q.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__q.n_words"))))
-    return rows.drop("__words", "__n", "__packed", "__lines")
+    return rows.drop("__words", "__n", "__packed", "__at", "__windows", "__lines")
 
 
 def ngram_buckets(text: Column) -> Column:
@@ -74,8 +85,8 @@ def with_buckets(docs: DataFrame, text_col: str) -> DataFrame:
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """log(trusted / raw) of every bucket, each multinomial smoothed by one count a bucket. trusted: a column of ids."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    good = trusted.select(trusted[trusted.columns[0]].cast("long").alias("id"), F.lit(1).alias("good")).distinct()
-    rows = with_buckets(rows.join(good, "id", "left"), "text").select(F.coalesce("good", F.lit(0)).alias("good"), F.explode_outer("__buckets").alias("bucket"))  # explode() would have its array worked out once more, in a filter below
+    good = written(trusted.select(trusted[trusted.columns[0]].cast("long").alias("id")).where("id is not null").distinct(), "trusted")
+    rows = with_buckets(marked(rows, good), "text").select(F.col("marked").cast("int").alias("good"), F.explode_outer("__buckets").alias("bucket"))  # explode() would have its array worked out once more, in a filter below
     counts = rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("good")).where("bucket is not null")
     # At most BUCKETS rows.
     found = {r["bucket"]: (r["raw"], r["good"]) for r in counts.collect()}
