@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,24 @@ def parse_datetime(x: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in ("dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")])
 
 
+#: RFC 3339 texts: a date, perhaps a time with up to six digits of a second, perhaps a zone.
+RFC_3339 = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
+def parse_timestamp(x: Column) -> Column:
+    """Instant of an RFC 3339 text, in UTC where it names no zone; null where it is null, empty or no such text."""
+    s = F.trim(x)
+    full = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(s, F.lit("T00:00:00Z"))).when(s.rlike(r"(Z|[+-]\d{2}:\d{2})$"), s).otherwise(F.concat(s, F.lit("Z")))
+    return F.when(s.rlike(RFC_3339), full.try_cast("timestamp"))
+
+
+def normalize_paid(paid: Column, payed: Column) -> Column:
+    """The instant of payment under two spellings: the earlier of two within a millisecond, else the first that there is."""
+    a, b = parse_timestamp(paid), parse_timestamp(payed)
+    near = F.abs(F.unix_micros(a) - F.unix_micros(b)) < 1000
+    return F.when(near, F.least(a, b)).otherwise(F.coalesce(a, b))
+
+
 def normalize_internal_code(x: Column) -> Column:
     return F.regexp_replace(x, r"^(-*\d+)\.0$", "$1")
 
@@ -74,37 +93,87 @@ def sha256_text(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(normalize_text(p.cast("string")), F.lit("")) for p in parts]), 256)
 
 
+def booking_keys(payment: Column, reservation: Column, currency: Column, minor: Column, payout: Column, arrival: Column, departure: Column, invoice_type: Column, status: Column) -> dict[str, Column]:
+    """natural_key of the payout, row_hash of the line and source_identity of what it pays."""
+    day = payout.cast("string")
+    return {
+        "natural_key": sha256_text(payment, day, currency),
+        "row_hash": sha256_text(payment, reservation, currency, minor, day, arrival.cast("string"), departure.cast("string"), invoice_type, status),
+        "source_identity": sha256_text(payment, reservation, currency, day, invoice_type),
+    }
+
+
+def reservation_group_id(code: Column, reference: Column) -> Column:
+    """Group of the reservations that share an internal code and a reference (null: empty)."""
+    return F.sha2(F.concat(F.coalesce(code, F.lit("")), F.lit("|"), F.coalesce(reference, F.lit(""))), 256)
+
+
 def canonical_json(**cols: Column) -> Column:
     """Compact JSON with sorted keys and nulls kept."""
     return F.to_json(F.struct(*[cols[k].alias(k) for k in sorted(cols)]), {"ignoreNullFields": "false"})
 
 
+#: HTML entities that have a name, from the standard library; numeric ones are worked out.
+ENTITIES = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'"}
+ENTITY = r"(&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});)"
+
+
+def unescape_html(x: Column) -> Column:
+    """Character references decoded once: named ones of ENTITIES and numeric ones; others stay."""
+    names = F.create_map(*[F.lit(v) for kv in ENTITIES.items() for v in kv])
+
+    def decoded(e: Column) -> Column:
+        body = F.substring(e, 3, 40)
+        code = F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.regexp_replace(body, "[xX;]", ""), 16, 10)).otherwise(F.regexp_replace(body, ";", "")).cast("int")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.when(e.startswith("&#"), sign).otherwise(F.coalesce(F.try_element_at(names, e), e))
+
+    pieces = F.zip_with(F.split(x, ENTITY, -1), F.regexp_extract_all(x, F.lit(ENTITY), F.lit(1)), lambda p, e: F.concat(p, F.coalesce(decoded(e), F.lit(""))))
+    return F.when(x.contains("&"), F.array_join(pieces, "")).otherwise(x)
+
+
 def normalize_channel(x: Column) -> Column:
-    """Plain text of a note: <br> becomes a line end, tags go, common entities are decoded."""
-    s = F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", "\n"), r"<[^>]+>", "")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\r\n?", "\n"), r"[ \t]+", " "))
+    """Plain text of a note: references decoded, <br> a line end, tags a blank, blanks joined, at most one empty line."""
+    s = F.regexp_replace(F.regexp_replace(unescape_html(x), r"(?i)<br\s*/?>", "\n"), r"</?[^>]+>", " ")
+    s = F.regexp_replace(F.regexp_replace(s, r"\r\n?", "\n"), r"[\t ]+", " ")
+    return F.regexp_replace(F.regexp_replace(s, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-REFERENCE = r"(?i)original\s+id\s*:\s*(\d{6,12})"
+#: Labels and digits of a booking reference (fixed values).
+REFERENCE = r"(?i)(Original\s*ID|Channel\s*reservation\s*id)\s*[:=]?\s*([0-9]{6,20})"
+PARSER_VERSION = "1.1.0"
 
 
 def booking_references(notes: Column) -> Column:
     """Distinct references over an array of notes, in order of appearance."""
-    return F.array_distinct(F.flatten(F.transform(notes, lambda n: F.regexp_extract_all(normalize_channel(n), F.lit(REFERENCE), F.lit(1)))))
+    return F.array_distinct(F.flatten(F.transform(notes, lambda n: F.regexp_extract_all(normalize_channel(n), F.lit(REFERENCE), F.lit(2)))))
 
 
 def reference_status(found: Column) -> Column:
     return F.when(F.size(found) == 0, "MISSING").when(F.size(found) == 1, "CONFIRMED").otherwise("CONFLICT")
 
 
+#: Patterns of what must not be shown (fixed values): e-mail addresses, tokens by name, bearer tokens, JWT and API keys.
+EMAIL = r"([\w.+-]+)@([\w.-]+)"
+TOKENS = (r"(?i)(x-access-token|x-client-token|access[_ -]?token|client[_ -]?token|authorization)\s*[:=]\s*[^,;\s\"}]+", r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", r"\beyJ[A-Za-z0-9._-]{20,}\b", r"\bbh_[A-Za-z0-9._-]{20,}\b")
+SENSITIVE_KEYS = r"(?i)(access.?token|client.?token|authorization|password|secret)"
+
+
 def redact(x: Column) -> Column:
-    """Card numbers keep 6 and 4 digits, e-mail addresses their domain."""
+    """Card numbers keep 6 and 4 digits, e-mail addresses become ***@***, tokens [REDACTED]."""
     s = x
-    for n in range(9, 2, -1):
-        s = F.regexp_replace(s, rf"\b(\d{{6}})\d{{{n}}}(\d{{4}})\b", "$1" + "*" * n + "$2")
-    return F.regexp_replace(s, r"[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})", "***@$1")
+    for n in range(9, 2, -1):  # a replacement of the length of what it replaces, for each length
+        s = F.regexp_replace(s, rf"(?<!\d)(\d{{6}})\d{{{n}}}(\d{{4}})(?!\d)", "$1" + "*" * n + "$2")
+    s = F.regexp_replace(s, EMAIL, "***@***")
+    for pattern in TOKENS:
+        s = F.regexp_replace(s, pattern, "[REDACTED]")
+    return s
+
+
+def redact_map(x: Column) -> Column:
+    """A map of texts: values under sensitive keys become ***, the others are redacted."""
+    return F.transform_values(x, lambda k, v: F.when(k.rlike(SENSITIVE_KEYS), F.lit("***")).otherwise(redact(v)))
 
 
 def date_points(days: Column, booking: Column) -> Column:
@@ -125,12 +194,18 @@ def csv_safe(x: Column) -> Column:
 
 
 def reference_mentions(df: DataFrame, note: str) -> DataFrame:
-    """A row for each mention: start_at and end_at (from 0) of the whole match, and the candidate. Offsets are running lengths of the pieces between matches."""
-    rows = df.withColumn("__between", F.split(note, REFERENCE, -1)).withColumn("__found", F.regexp_extract_all(note, F.lit(REFERENCE), F.lit(0)))
+    """A row for each mention in the normalised note: label, candidate, its start_at and end_at (from 0), the hash of the
+    raw note and an id of hash, candidate, label, place and parser version. Offsets are running lengths of the pieces
+    between matches."""
+    rows = df.withColumn("__plain", normalize_channel(F.col(note)))
+    rows = rows.withColumn("__between", F.split("__plain", REFERENCE, -1)).withColumn("__found", F.regexp_extract_all("__plain", F.lit(REFERENCE), F.lit(0)))
     lengths = lambda name, n: F.aggregate(F.slice(name, 1, n), F.lit(0), lambda a, x: a + F.length(x))
     rows = rows.select(*df.columns, "__between", "__found", F.posexplode("__found").alias("__n", "__text"))
-    rows = rows.withColumn("start_at", lengths("__between", F.col("__n") + 1) + lengths("__found", F.col("__n"))).withColumn("end_at", F.col("start_at") + F.length("__text"))
-    return rows.withColumn("candidate", F.regexp_extract("__text", REFERENCE, 1)).drop("__between", "__found", "__n", "__text")
+    end = lengths("__between", F.col("__n") + 1) + lengths("__found", F.col("__n") + 1)
+    rows = rows.withColumn("label", F.regexp_extract("__text", REFERENCE, 1)).withColumn("candidate", F.regexp_extract("__text", REFERENCE, 2))
+    rows = rows.withColumn("end_at", end).withColumn("start_at", F.col("end_at") - F.length("candidate")).withColumn("snapshot_hash", F.sha2(note, 256))
+    own = F.sha2(F.concat_ws("|", "snapshot_hash", "candidate", "label", F.col("start_at").cast("string"), F.lit(PARSER_VERSION)), 256)
+    return rows.withColumn("mention_id", own).drop("__between", "__found", "__n", "__text")
 
 
 def redacted_preview(x: Column) -> Column:
@@ -139,7 +214,7 @@ def redacted_preview(x: Column) -> Column:
     for n in range(3, 8):
         s = F.regexp_replace(s, rf"(?<!\d)\d{{{n}}}(?!\d)", "•" * n)
     s = F.regexp_replace(s, r"(?<!\d)\d{8,}(?!\d)", "•" * 8)
-    return F.left(F.regexp_replace(s, r"[\w.+-]+@[\w.-]+", "•••@•••"), F.lit(240))
+    return F.left(F.regexp_replace(s, EMAIL, "•••@•••"), F.lit(240))
 
 
 def resolved_references(rows: DataFrame) -> DataFrame:

@@ -44,6 +44,16 @@ def facts_hash(*cols: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
 
 
+def candidate_facts(documents: Column, sources: Column, difference: Column, score: Column) -> Column:
+    """SHA-256 of the facts of a candidate as JSON: members as arrays of (id, version, remaining), difference, score. Ids are ASCII."""
+    members = lambda a: F.array_join(F.transform(a, lambda m: F.concat(F.lit('["'), m["id"], F.lit('",'), m["version"].cast("string"), F.lit(","), m["remaining"].cast("string"), F.lit("]"))), ",")
+    return F.sha2(F.concat(F.lit('{"difference":'), difference.cast("string"), F.lit(',"documents":['), members(documents), F.lit('],"score":'), score.cast("string"), F.lit(',"sources":['), members(sources), F.lit("]}")), 256)
+
+
+def candidate_id(facts: Column) -> Column:
+    return F.left(F.sha2(facts, 256), F.lit(24))
+
+
 def without_rejected(candidates: DataFrame, rejected: DataFrame) -> DataFrame:
     return candidates.join(rejected.select("facts_hash"), "facts_hash", "left_anti")
 

@@ -30,13 +30,30 @@ def payment_status(total: Column, used: Column) -> Column:
     return F.when(used == 0, "NEUHRAZEN").when(F.abs(used) >= F.abs(total), "UHRAZEN").otherwise("ČÁSTEČNÁ ÚHRADA")
 
 
-def tree_rollup(spark, edges: DataFrame, own: DataFrame) -> DataFrame:
-    """(root, difference, groups): each group's own difference plus those of all groups below it (recursive SQL)."""
-    return spark.sql(
-        """WITH RECURSIVE below(root, node) AS (SELECT group_id, group_id FROM {own} UNION ALL SELECT b.root, e.child FROM below b JOIN {edges} e ON e.parent = b.node)
-        SELECT root, CAST(SUM(o.difference_minor) AS BIGINT) AS difference_minor, COUNT(*) AS groups FROM below JOIN {own} o ON o.group_id = below.node GROUP BY root""",
-        edges=edges, own=own,
-    )
+def tree_rollup(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(root, difference_minor, groups): each group's own difference plus those of all groups below it.
+
+    edges (parent, child), one active parent for each child; own (group_id, difference_minor). Sums go up one level
+    after the other, added up at each parent, until no parent is left; a cycle, which would never end, raises an error.
+    A parent need not be a group itself.
+    """
+    level = own.select(F.col("group_id").alias("root"), F.col("difference_minor").cast("bigint").alias("difference_minor"), F.lit(1).cast("bigint").alias("groups")).checkpoint()
+    total, known = level, edges.count() + 1
+    for _ in range(known):
+        level = level.join(edges, level["root"] == edges["child"]).groupBy(F.col("parent").alias("root")).agg(F.sum("difference_minor").alias("difference_minor"), F.sum("groups").alias("groups")).checkpoint()
+        if level.isEmpty():
+            break
+        total = total.unionByName(level)
+    else:
+        raise ValueError("the groups hold a cycle")
+    return total.groupBy("root").agg(F.sum("difference_minor").alias("difference_minor"), F.sum("groups").alias("groups"))
+
+
+def revision_signature(members: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """(group, signature): SHA-256 of the JSON list of [content_hash, row_version] of a group's members, in this order."""
+    rows = F.sort_array(F.collect_list(F.struct(*order, "content_hash", F.col("row_version").cast("string").alias("row_version"))))
+    text = F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: F.concat(F.lit('["'), r["content_hash"], F.lit('",'), r["row_version"], F.lit("]"))), ","), F.lit("]"))
+    return members.groupBy(group).agg(F.sha2(text, 256).alias("signature"))
 
 
 def membership_from_log(log: DataFrame) -> DataFrame:

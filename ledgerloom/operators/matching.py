@@ -42,39 +42,70 @@ def amount_pairs(docs: DataFrame, sources: DataFrame, tolerance: int = TOLERANCE
 
 
 def scored_pairs(pairs: DataFrame, is_booking: Column) -> DataFrame:
-    """Evidence points of each pair, at most 100, before the bonus for uniqueness."""
+    """Evidence points of each pair, at most 100, before the bonus for uniqueness, and whether the references conflict.
+
+    A payout's reference counts where it has one and the document has the same or none: 45, with 30 for a link of the
+    document to its reservation (`linked`) and 5 for its internal code. Empty references are none. Other columns used:
+    remaining_minor, amount_minor, doc_reference, source_reference, doc_date, paid_on, paid_at, internal_code.
+    """
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    doc, src, days = given("doc_reference"), given("source_reference"), F.abs(F.datediff("doc_date", "paid_on"))
     exact = F.when(F.abs(F.col("remaining_minor") - F.col("amount_minor")) <= TOLERANCE, F.when(is_booking, 15).otherwise(60)).otherwise(0)
-    same = is_booking & (F.col("doc_reference").isNull() | F.col("source_reference").isNull() | (F.col("doc_reference") == F.col("source_reference")))
-    link = is_booking & F.col("doc_reference").isNotNull() & F.col("doc_reference").eqNullSafe(F.col("source_reference"))
-    days = F.abs(F.datediff("doc_date", "paid_on"))
-    score = exact + F.when(same, 45).otherwise(0) + F.when(link, 30).otherwise(0) + date_points(days, is_booking) + F.when(~is_booking & F.col("paid_at").isNotNull(), 5).otherwise(0)
-    return pairs.withColumn("days", days).withColumn("score", F.least(score, F.lit(100)).cast("int"))
+    same = F.coalesce(is_booking & src.isNotNull() & (doc.isNull() | (doc == src)), F.lit(False))
+    own = 45 + F.when(F.col("linked") == 1, 30).otherwise(0) + F.when(given("internal_code").isNotNull(), 5).otherwise(0)
+    score = exact + F.when(same, own).otherwise(0) + date_points(days, is_booking) + F.when(~is_booking & F.col("paid_at").isNotNull(), 5).otherwise(0)
+    return pairs.withColumns({"days": days, "score": F.least(score, F.lit(100)).cast("int"), "conflicting": F.coalesce(is_booking & (doc != src), F.lit(False)).cast("int")})
+
+
+def evidence(scored: DataFrame, is_booking: Column) -> DataFrame:
+    """scored with `evidence`: an array of (code, points) of what the score rests on, conflicts with 0 points."""
+    diff, booked = F.abs(F.col("remaining_minor") - F.col("amount_minor")), F.coalesce(is_booking & (F.coalesce("source_reference", F.lit("")) != "") & (F.col("conflicting") == 0), F.lit(False))
+    fact = lambda test, code, points: F.when(test, F.struct(F.lit(code).alias("code"), F.lit(points).cast("int").alias("points") if isinstance(points, int) else points.cast("int").alias("points")))
+    return scored.withColumn("evidence", F.array_compact(F.array(
+        fact(diff <= TOLERANCE, "EXACT_AMOUNT", F.when(is_booking, 15).otherwise(60)), fact(booked, "BOOKING_ID", 45), fact(booked & (F.col("linked") == 1), "DIRECT_LINK", 30),
+        fact(booked & (F.col("internal_code") != ""), "INTERNAL_CODE", 5), fact(F.col("conflicting") == 1, "BOOKING_CONFLICT", 0),
+        fact(F.lit(True), "DATE", date_points(F.col("days"), is_booking)), fact(~is_booking & F.col("paid_at").isNotNull(), "PAID_AT", 5),
+    )))
 
 
 def decided(scored: DataFrame, is_booking: Column) -> DataFrame:
-    """Uniqueness bonus, the best competitor over shared members, its margin, and whether the pair may be accepted."""
+    """Uniqueness bonus, the best competitor over shared members, and whether the pair may be accepted: a score and a lead
+    that are high enough, amounts within the tolerance, no conflicting references. A tie leaves no lead."""
     doc, src = Window.partitionBy("invoice_id"), Window.partitionBy("source_id")
     rows = scored.withColumn("alone", (F.count("*").over(doc) == 1) & (F.count("*").over(src) == 1))
     rows = rows.withColumn("score", F.least(F.col("score") + F.when(~is_booking & F.col("alone"), 10).otherwise(0), F.lit(100)).cast("int"))
-    for name, w in (("d", Window.partitionBy("invoice_id")), ("s", Window.partitionBy("source_id"))):
-        ranked = w.orderBy(F.desc("score"), "invoice_id", "source_id")
-        rows = rows.withColumn(f"first_{name}", F.first("score").over(ranked)).withColumn(f"second_{name}", F.nth_value("score", 2).over(ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn(f"nth_{name}", F.row_number().over(ranked))
+    # The best of the others: the highest score of the member's candidates, or the second where this one has it.
+    for name, w in (("s", src), ("d", doc)):
+        rows = rows.withColumn(f"nth_{name}", F.row_number().over(w.orderBy(F.desc("score"), "invoice_id", "source_id"))).withColumn(f"first_{name}", F.max("score").over(w))
+        rows = rows.withColumn(f"second_{name}", F.max(F.when(F.col(f"nth_{name}") == 2, F.col("score"))).over(w))
     other = lambda n: F.when(F.col(f"nth_{n}") == 1, F.col(f"second_{n}")).otherwise(F.col(f"first_{n}"))
     rows = rows.withColumn("competitor", F.coalesce(F.greatest(other("d"), other("s")), F.lit(0)))
     diff = F.abs(F.col("remaining_minor") - F.col("amount_minor"))
-    auto = (F.col("score") >= LEAST_SCORE) & (F.col("score") - F.col("competitor") >= LEAST_MARGIN) & (diff <= TOLERANCE)
+    auto = (F.col("score") >= LEAST_SCORE) & (F.col("score") - F.col("competitor") >= LEAST_MARGIN) & (diff <= TOLERANCE) & (F.col("conflicting") == 0)
     return rows.withColumn("can_auto", F.when(auto, 1).otherwise(0))
 
 
+def candidate_order(scored: DataFrame) -> list[Column]:
+    """Total order of candidates: score, amount difference, day distance, members, ids."""
+    return [F.desc("score"), F.abs(F.col("remaining_minor") - F.col("amount_minor")), F.col("days"), F.sort_array(F.array("invoice_id", "source_id"))]
+
+
 def waterfall(docs: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Fills documents (key, doc, amount) in order from sources (key, src, amount): overlaps of running totals, all of one sign."""
-    def run(df, name):
+    """Fills documents (key, doc, amount) in order from sources (key, src, amount), all of one sign.
+
+    Both running totals cut one line into stretches; on each lies the last document and the last source that began.
+    One sorted pass over documents and sources of a key, whatever their numbers: no pairs are tried.
+    """
+    def starts(df, name, other):
         w = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn("hi", F.sum("amount").over(w)).withColumn("lo", F.col("hi") - F.col("amount")).drop("amount")
+        rows = df.withColumn("hi", F.sum("amount").over(w))
+        return rows.select(*keys, (F.col("hi") - F.col("amount")).alias("at"), F.col(name), F.lit(None).cast(other).alias("src" if name == "doc" else "doc"), *[(F.col("hi") if n == name else F.lit(None).cast("long")).alias(f"{n}_end") for n in ("doc", "src")])
 
-    d, s = run(docs, "doc").withColumnsRenamed({"lo": "dlo", "hi": "dhi"}), run(sources, "src").withColumnsRenamed({"lo": "slo", "hi": "shi"})
-    both = d.join(s, keys).where("greatest(dlo, slo) < least(dhi, shi)")
-    return both.select(*keys, "doc", "src", F.expr("least(dhi, shi) - greatest(dlo, slo)").alias("amount"))
+    kinds = {n: df.schema[n].dataType for n, df in (("doc", docs), ("src", sources))}
+    rows = starts(docs, "doc", kinds["src"]).unionByName(starts(sources, "src", kinds["doc"]))
+    every, line = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("at", "doc", "src")
+    rows = rows.withColumns({"end": F.least(F.lead("at").over(line), F.max("doc_end").over(every), F.max("src_end").over(every))} | {n: F.last(n, True).over(line.rowsBetween(Window.unboundedPreceding, 0)) for n in kinds} | {f"{n}_end": F.max(f"{n}_end").over(every) for n in kinds})
+    return rows.where("doc_end IS NOT NULL AND src_end IS NOT NULL AND at < end").select(*keys, "doc", "src", (F.col("end") - F.col("at")).alias("amount"))
 
 
 def islands(df: DataFrame, keys: list[str], day: str, gap: int) -> DataFrame:
@@ -86,21 +117,97 @@ def islands(df: DataFrame, keys: list[str], day: str, gap: int) -> DataFrame:
 def reconcile_cashbook(cash: DataFrame, sources: DataFrame, days: int = 2) -> DataFrame:
     """Cash-book rows in order of time and id: exactly one unused source of the same amount within `days` is taken.
 
-    Rows act on each other only in one (currency, amount) and within a run of days without a longer gap, so each such
-    island is replayed by itself. Returns movement_id, outcome (MATCHED, NONE, SEVERAL) and source_id.
+    Rows act on each other only in one (currency, amount) and within a run of days without a longer gap. Such islands
+    are dealt out and sorted, sources first; a task streams through them with the free sources of one island by day, so
+    a row costs as much as the window has days. Returns movement_id, outcome (MATCHED, NONE, SEVERAL) and source_id.
+    """
+    rows = cash.select("movement_id", "currency", "amount_minor", "day", "ts", F.lit(1).alias("cash")).unionByName(sources.select("movement_id", "currency", "amount_minor", "day", "ts", F.lit(0).alias("cash")))
+    keys = ["currency", "amount_minor", "island"]
+
+    def replay(batches):
+        now, free = None, {}
+        for pdf in batches:
+            day = pd.to_datetime(pdf.day).to_numpy().astype("datetime64[D]").astype("int64").tolist()
+            out = []
+            for key, at, row, is_cash in zip(zip(pdf.currency, pdf.amount_minor, pdf.island), day, pdf.movement_id.tolist(), pdf.cash.tolist()):
+                if key != now:
+                    now, free = key, {}
+                if not is_cash:
+                    free.setdefault(at, []).append(row)
+                    continue
+                near = [d for d in range(at - days, at + days + 1) if free.get(d)]
+                one = len(near) == 1 and len(free[near[0]]) == 1
+                out.append((row, "MATCHED" if one else "SEVERAL" if near else "NONE", free[near[0]].pop() if one else None))
+            yield pd.DataFrame(out, columns=["movement_id", "outcome", "source_id"]).astype({"movement_id": "int64", "source_id": "Int64"})
+
+    dealt = islands(rows, keys[:2], "day", days).repartition(*keys).sortWithinPartitions(*keys, "cash", "ts", "movement_id")
+    return dealt.select(*keys, "cash", "day", "movement_id").mapInPandas(replay, "movement_id long, outcome string, source_id long")
+
+
+def match_documents(docs: DataFrame, lines: DataFrame, cards: DataFrame, days: int = 2) -> DataFrame:
+    """Open documents in order of date and id: the first payout line of the same reference with enough left, else the first
+    card row within `days` of the payment with enough left.
+
+    docs: invoice_id, currency, booking_reference, remaining_minor, doc_date, paid_at; lines: source_id, currency,
+    booking_reference, amount_minor, paid_on; cards: source_id, currency, amount_minor, paid_on. Returns a row for each
+    document with something left: outcome MATCHED (the source is used up to the amount and is then locked), MATCH_FAILED
+    (what was found is locked or of the other sign), BOOKING_SOURCE_ALREADY_USED (lines of the reference were there, none
+    with enough) or NONE, and source_id where one was found. A locked source with enough left is still found first.
+
+    Payout lines are only shared within (currency, reference), card rows only by what the first step has left, within
+    (currency, island of days). Each such block streams through one task; where a currency has rows on every day it is one
+    island, so the second step is as parallel as the calendar has gaps.
     """
-    rows = cash.select("movement_id", "currency", "amount_minor", "day", "ts", F.lit(True).alias("cash")).unionByName(sources.select("movement_id", "currency", "amount_minor", "day", "ts", F.lit(False).alias("cash")))
-    keys = ["currency", "amount_minor"]
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        src = pdf[~pdf.cash].sort_values("movement_id")
-        ids, at, free = src.movement_id.to_numpy(), pd.to_datetime(src.day).to_numpy(), [True] * len(src)
-        out = []
-        for r in pdf[pdf.cash].sort_values(["ts", "movement_id"]).itertuples():
-            hit = [i for i in range(len(ids)) if free[i] and abs((at[i] - pd.Timestamp(r.day).to_datetime64()).astype("timedelta64[D]").astype(int)) <= days]
-            if len(hit) == 1:
-                free[hit[0]] = False
-            out.append((r.movement_id, "MATCHED" if len(hit) == 1 else "NONE" if not hit else "SEVERAL", ids[hit[0]] if len(hit) == 1 else None))
-        return pd.DataFrame(out, columns=["movement_id", "outcome", "source_id"]).astype({"source_id": "Int64"})
-
-    return islands(rows, keys, "day", days).groupBy(*keys, "island").applyInPandas(replay, "movement_id long, outcome string, source_id long")
+    docs = docs.where("remaining_minor <> 0")
+    block = ["block_a", "block_b"]
+
+    def shape(df, kind, ident, amount, order, day, a, b):
+        return df.select(F.col(a).alias("block_a"), F.col(b).cast("string").alias("block_b"), F.lit(kind).alias("kind"), F.col(ident).alias("ident"), F.col(amount).cast("long").alias("amount"), F.col(order).alias("at"), F.col(day).alias("day"))
+
+    def replay(batches):
+        now, sources = None, {}
+        for pdf in batches:
+            out, day = [], pd.to_datetime(pdf.day).to_numpy().astype("datetime64[D]").astype("int64").tolist()
+            for key, at, kind, ident, amount in zip(zip(pdf.block_a, pdf.block_b), day, pdf.kind.tolist(), pdf.ident.tolist(), pdf.amount.tolist()):
+                if key != now:
+                    now, sources = key, {}
+                if kind == "LINE":
+                    sources.setdefault(0, []).append([ident, amount, False])
+                elif kind == "CARD":
+                    sources.setdefault(at, []).append([ident, amount, False])
+                else:
+                    there = sources.get(0, []) if kind == "BY_REFERENCE" else [s for d in range(at - days, at + days + 1) for s in sources.get(d, ())]
+                    hit = next((s for s in there if s[1] >= abs(amount)), None)
+                    if hit is None:
+                        out.append((ident, "NONE" if not there else "NOT_ENOUGH", None))
+                    elif hit[2] or amount < 0:
+                        out.append((ident, "MATCH_FAILED", hit[0]))
+                    else:
+                        hit[1], hit[2] = hit[1] - amount, True
+                        out.append((ident, "MATCHED", hit[0]))
+            yield pd.DataFrame(out, columns=["invoice_id", "outcome", "source_id"])
+
+    def run(parts):
+        rows = parts[0].unionByName(parts[1]).withColumn("later", F.when(F.col("kind").startswith("BY"), 1).otherwise(0))
+        return rows.repartition(*block).sortWithinPartitions(*block, "later", "at", "ident").select(*block, "kind", "ident", "amount", "day").mapInPandas(replay, "invoice_id string, outcome string, source_id string")
+
+    by_ref = run([shape(docs.where("booking_reference IS NOT NULL"), "BY_REFERENCE", "invoice_id", "remaining_minor", "doc_date", "doc_date", "currency", "booking_reference"), shape(lines.where("booking_reference IS NOT NULL"), "LINE", "source_id", "amount_minor", "paid_on", "paid_on", "currency", "booking_reference")])
+    first = docs.join(by_ref, "invoice_id", "left").withColumn("payday", F.coalesce("paid_at", "doc_date"))
+    left = first.where("outcome IS NULL OR outcome IN ('NONE', 'NOT_ENOUGH')")
+    both = left.select("currency", F.col("payday").alias("paid_on"), F.struct("invoice_id", "remaining_minor", "doc_date").alias("doc"), F.lit(None).cast("struct<source_id: string, amount_minor: bigint>").alias("card"))
+    both = both.unionByName(cards.select("currency", "paid_on", F.struct("source_id", F.col("amount_minor").cast("long").alias("amount_minor")).alias("card")), allowMissingColumns=True)
+    both = islands(both, ["currency"], "paid_on", days)
+    by_card = run([
+        shape(both.where("doc IS NOT NULL").select("currency", "island", "paid_on", "doc.*"), "BY_DAY", "invoice_id", "remaining_minor", "doc_date", "paid_on", "currency", "island"),
+        shape(both.where("card IS NOT NULL").select("currency", "island", "paid_on", "card.*"), "CARD", "source_id", "amount_minor", "paid_on", "paid_on", "currency", "island"),
+    ])
+    second = by_card.select("invoice_id", F.col("outcome").alias("then"), F.col("source_id").alias("card_id"))
+    rows = first.join(second, "invoice_id", "left")
+    found = F.when(F.col("outcome").isin("MATCHED", "MATCH_FAILED"), F.col("outcome")).when(F.col("then").isin("MATCHED", "MATCH_FAILED"), F.col("then")).when(F.col("outcome") == "NOT_ENOUGH", "BOOKING_SOURCE_ALREADY_USED").otherwise("NONE")
+    return rows.select("invoice_id", found.alias("outcome"), F.coalesce("source_id", F.when(F.col("then").isin("MATCHED", "MATCH_FAILED"), F.col("card_id"))).alias("source_id"))
+
+
+def payment_alerts(outcomes: DataFrame) -> DataFrame:
+    """Alerts of match_documents: code, severity and source of each document that failed."""
+    rows = outcomes.where("outcome IN ('MATCH_FAILED', 'BOOKING_SOURCE_ALREADY_USED')")
+    return rows.select("invoice_id", F.col("outcome").alias("code"), F.when(F.col("outcome") == "MATCH_FAILED", "INFO").otherwise("CRITICAL").alias("severity"), "source_id")

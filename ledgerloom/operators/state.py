@@ -30,6 +30,14 @@ def atomic_append(batch: DataFrame, store: DataFrame, key: str, content: str, pa
     return True
 
 
+def duplicate_files(files: DataFrame, runs: DataFrame, counters: list[str]) -> DataFrame:
+    """New runs for files (file_id, content_hash): a content that a stored run (content_hash, run_no, counters) has loaded
+    makes a DUPLICATE run with the counters of the latest such run; others are NEW without counters."""
+    last = runs.groupBy("content_hash").agg(F.max_by(F.struct(*counters), "run_no").alias("__last"))
+    rows = files.join(last, "content_hash", "left")
+    return rows.select("file_id", "content_hash", F.when(F.col("__last").isNull(), "NEW").otherwise("DUPLICATE").alias("status"), *[F.col(f"__last.{c}").alias(c) for c in counters])
+
+
 def upsert(new: DataFrame, old: DataFrame, key: str, watched: list[str]) -> DataFrame:
     """Full outer merge: the new snapshot with outcome INSERTED, UPDATED, UNCHANGED or KEPT and row_version."""
     n, o = new.alias("n"), old.alias("o")

@@ -15,8 +15,9 @@ TABLES = {
     "invoice": f"""SELECT concat('I', lpad(CAST(o_orderkey AS STRING), 10, '0')) AS invoice_id, o_orderkey AS code, o_custkey AS customer,
         {SIGN} * {MINOR} AS total_minor, {CURRENCY} AS currency, CAST(o_orderdate AS DATE) AS doc_date,
         CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) END AS paid_at, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 2 END AS pay_method,
-        CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE 1 END AS included, {REF} AS booking_reference, {RES} AS reservation_id FROM {{orders}}""",
-    "booking": f"""SELECT concat('B', lpad(CAST(o_orderkey AS STRING), 10, '0')) AS source_id, {REF} AS booking_reference,
+        CASE WHEN o_orderkey % 29 = 0 THEN 0 ELSE 1 END AS included, {REF} AS booking_reference, {RES} AS reservation_id,
+        CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS linked, CASE WHEN o_orderkey % 7 <> 0 THEN concat('G', CAST({RES} AS STRING)) END AS internal_code FROM {{orders}}""",
+    "booking": f"""SELECT concat('B', lpad(CAST(o_orderkey AS STRING), 10, '0')) AS source_id, CASE WHEN o_orderkey % 14 = 6 THEN concat('X', CAST(o_orderkey AS STRING)) WHEN o_orderkey % 10 <> 4 THEN {REF} END AS booking_reference,
         {SIGN} * CASE WHEN o_orderkey % 13 = 0 THEN {MINOR} + 1 WHEN o_orderkey % 11 = 0 THEN CAST(FLOOR({MINOR} / 2) AS BIGINT) ELSE {MINOR} END AS amount_minor,
         {CURRENCY} AS currency, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INT) AS paid_on, concat('P', CAST(o_custkey AS STRING)) AS payment_id,
         CASE WHEN o_orderkey % 23 = 0 THEN 'cancelled' ELSE 'ok' END AS status FROM {{orders}} WHERE o_orderkey % 2 = 0""",

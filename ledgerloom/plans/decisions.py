@@ -17,7 +17,20 @@ PAIR = ["invoice_id", "source_id"]
 
 def scored(spark, d):
     rows = M.scored_pairs(candidates(spark, d), F.col("is_booking") == 1)
-    return rows.withColumn("facts_hash", D.facts_hash("invoice_id", "source_id", "remaining_minor", "amount_minor", "score"))
+    member = lambda i, v: F.array(F.struct(F.col(i).alias("id"), F.lit(1).alias("version"), F.col(v).alias("remaining")))
+    return rows.withColumn("facts_hash", D.candidate_facts(member("invoice_id", "remaining_minor"), member("source_id", "amount_minor"), F.col("remaining_minor") - F.col("amount_minor"), F.col("score")))
+
+
+@query("f21_candidate_ids", f"""+{SCORE_SQL}, f AS (SELECT *, sha256('{{"difference":' || CAST(remaining_minor - amount_minor AS STRING) || ',"documents":[["' || invoice_id || '",1,' || CAST(remaining_minor AS STRING) || ']],"score":' || CAST(score AS STRING) || ',"sources":[["' || source_id || '",1,' || CAST(amount_minor AS STRING) || ']]}}') AS facts_hash FROM q) SELECT invoice_id, source_id, facts_hash, left(sha256(facts_hash), 24) AS candidate_id FROM f""", "invoice", "booking", "card")
+def f21(spark, d):
+    return scored(spark, d).select(*PAIR, "facts_hash", D.candidate_id(F.col("facts_hash")).alias("candidate_id"))
+
+
+@query("f22_revision_signature", """+m AS (SELECT group_id, side, member, sha256(concat(member, '|', CAST(amount_minor AS STRING), '|', CAST(made_on AS STRING))) AS content_hash, amount_minor % 4 AS row_version FROM membership) SELECT group_id, sha256('[' || string_agg('["' || content_hash || '",' || CAST(row_version AS STRING) || ']', ',' ORDER BY side, member, content_hash, CAST(row_version AS STRING)) || ']') AS signature FROM m GROUP BY group_id""", "membership")
+def f22(spark, d):
+    """Documents first, then sources, as their names sort."""
+    rows = read(spark, d, "membership").select("group_id", "side", "member", S.sha256_text(F.col("member"), F.col("amount_minor"), F.col("made_on")).alias("content_hash"), (F.col("amount_minor") % 4).alias("row_version"))
+    return G.revision_signature(rows, "group_id", ["side", "member"])
 
 
 @query("j9_helper_chain", "+h AS (SELECT row_no, booking_reference FROM cash_raw JOIN invoice ON code = row_no WHERE number <> '' AND booking_reference IS NOT NULL), l AS (SELECT booking_reference, min(source_id) AS source_id FROM booking WHERE booking_reference IS NOT NULL GROUP BY 1 HAVING count(*) = 1) SELECT row_no, source_id FROM h JOIN l USING (booking_reference)", "cash_raw", "invoice", "booking")

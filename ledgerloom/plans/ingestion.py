@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import normalise as N
+from ..operators import state as T
 from ..sources import payloads as P
 from .adapters import MINOR, read
 from .registry import query
@@ -106,10 +107,12 @@ def s9(spark, d):
     return P.new_snapshots(rows.where("l_returnflag <> 'R'").drop("l_returnflag"), rows.where("l_returnflag = 'R'"))
 
 
-@query("f17_reference_mentions", "SELECT conv_id, turn, CAST(v.start_at AS INTEGER) AS start_at, CAST(v.start_at + 20 AS INTEGER) AS end_at, CAST(v.base + conv_id AS STRING) AS candidate FROM conversations, (VALUES (6, 1000000), (31, 2000000)) v(start_at, base)")
+@query("f17_reference_mentions", """SELECT conv_id, turn, label, CAST(v.start_at AS INTEGER) AS start_at, CAST(v.start_at + 7 AS INTEGER) AS end_at, CAST(v.base + conv_id AS STRING) AS candidate, sha256(note) AS snapshot_hash,
+    sha256(concat(sha256(note), '|', CAST(v.base + conv_id AS STRING), '|', label, '|', CAST(v.start_at AS STRING), '|1.1.0')) AS mention_id
+    FROM (SELECT conv_id, turn, concat('<i>note</i>:  Original ID: ', CAST(1000000 + conv_id AS STRING), ' &amp; channel reservation id=', CAST(2000000 + conv_id AS STRING), '.') AS note FROM conversations), (VALUES (20, 1000000, 'Original ID'), (53, 2000000, 'channel reservation id')) v(start_at, base, label)""")
 def f17(spark, d):
-    note = F.concat(F.lit("note: Original ID: "), (F.col("conv_id") + 1000000).cast("string"), F.lit(" and "), F.lit("Original ID: "), (F.col("conv_id") + 2000000).cast("string"), F.lit("."))
-    return S.reference_mentions(read(spark, d, "conversations").select("conv_id", "turn", note.alias("note")), "note").select("conv_id", "turn", "start_at", "end_at", "candidate")
+    note = F.concat(F.lit("<i>note</i>:  Original ID: "), (F.col("conv_id") + 1000000).cast("string"), F.lit(" &amp; channel reservation id="), (F.col("conv_id") + 2000000).cast("string"), F.lit("."))
+    return S.reference_mentions(read(spark, d, "conversations").select("conv_id", "turn", note.alias("note")), "note").drop("note")
 
 
 @query("f18_redacted_preview", "SELECT o_orderkey, concat('id ', repeat('•', CAST(least(8, length(CAST((o_orderkey + 1) * 1000 AS STRING))) AS BIGINT)), ' •••@••• 12') AS preview FROM orders")
@@ -140,3 +143,76 @@ def x1(spark, d):
         .unionByName(doc(read(spark, d, "customer"), "CUSTOMER", "c_custkey", ["c_name"], none.cast("string"), none.cast("date")))
         .unionByName(doc(groups, "GROUP", "group_id", ["group_id"], F.col("currency"), F.col("made_on")))
     )
+
+
+@query("f9_parse_timestamp", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events")
+def f9(spark, d):
+    e, k = read(spark, d, "events"), F.col("event_id") % 5
+    at = lambda form, hours=0: F.date_format(F.col("ts") + F.expr(f"INTERVAL {hours} HOURS"), form)
+    text = F.when(k == 0, at("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, at("yyyy-MM-dd'T'HH:mm:ss'+02:00'", 2)).when(k == 2, at("yyyy-MM-dd HH:mm:ss'-01:30'", -1)).when(k == 3, at("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(F.when(F.col("event_id") % 2 == 0, "").otherwise("yesterday"))
+    text = F.when(k == 2, F.date_format(F.col("ts") - F.expr("INTERVAL 90 MINUTES"), "yyyy-MM-dd HH:mm:ss'-01:30'")).otherwise(text)
+    return e.select("event_id", F.date_format(S.parse_timestamp(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("f10_normalize_paid", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS paid FROM events")
+def f10(spark, d):
+    e, k = read(spark, d, "events"), F.col("event_id") % 4
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    paid = F.when(k == 0, F.concat(at, F.lit(".0005Z"))).when(k == 1, F.concat(at, F.lit("Z")))
+    payed = F.when(k == 0, F.concat(at, F.lit("Z"))).when(k == 1, F.lit("2000-01-01T00:00:00Z")).when(k == 2, at)
+    return e.select("event_id", F.date_format(S.normalize_paid(paid, payed), "yyyy-MM-dd HH:mm:ss").alias("paid"))
+
+
+@query("f14_booking_keys", """SELECT source_id, sha256(concat(payment_id, '|', CAST(paid_on AS STRING), '|', currency)) AS natural_key,
+    sha256(concat(payment_id, '|', coalesce(booking_reference, ''), '|', currency, '|', CAST(amount_minor AS STRING), '|', CAST(paid_on AS STRING), '|', CAST(paid_on - 3 AS STRING), '||Payment|', status)) AS row_hash,
+    sha256(concat(payment_id, '|', coalesce(booking_reference, ''), '|', currency, '|', CAST(paid_on AS STRING), '|Payment')) AS source_identity FROM booking""", "booking")
+def f14(spark, d):
+    keys = S.booking_keys(F.col("payment_id"), F.col("booking_reference"), F.col("currency"), F.col("amount_minor"), F.col("paid_on"), F.date_sub("paid_on", 3), F.lit(None).cast("date"), F.lit("Payment"), F.col("status"))
+    return read(spark, d, "booking").select("source_id", *[c.alias(k) for k, c in keys.items()])
+
+
+@query("f15_normalize_channel", "SELECT p_partkey, concat('Ř & ', p_name, ' €', chr(10), 'x y ', chr(10), chr(10), ' end 😀 &unknown;') AS plain FROM part")
+def f15(spark, d):
+    note = F.concat(F.lit("  &#344; &amp; "), "p_name", F.lit("&lt;x&gt;<b> </b>&euro;<BR/>x<i>y</i>\r\n\r\n\n\n\tend&nbsp;&#x1F600; &unknown; "))
+    return read(spark, d, "part").select("p_partkey", F.replace(S.normalize_channel(note), F.lit("\u00a0"), F.lit(" ")).alias("plain"))
+
+
+@query("f19_redact", """SELECT o_orderkey, concat('411111', repeat('*', CAST(o_orderkey % 7 + 3 AS BIGINT)), '1111 from ***@***, [REDACTED]; [REDACTED] ', CAST(o_orderkey AS STRING)) AS note, concat('***|id ', CAST(o_orderkey AS STRING)) AS fields FROM orders""")
+def f19(spark, d):
+    pan = F.concat(F.lit("411111"), F.repeat(F.lit("2"), (F.col("o_orderkey") % 7 + 3).cast("int")), F.lit("1111 from a.b+c@mail.example.cz, "))
+    secret = F.when(F.col("o_orderkey") % 3 == 0, "X-Access-Token: s3cr3t; bh_abcdefghijklmnopqrstuvwxyz ").when(F.col("o_orderkey") % 3 == 1, "Bearer abc.def-ghi; eyJhbGciOiJIUzI1NiIsInR5cCI6 ").otherwise("client_token=9; authorization: none ")
+    fields = S.redact_map(F.create_map(F.lit("clientToken"), F.lit("abc"), F.lit("note"), F.concat(F.lit("id "), F.col("o_orderkey").cast("string"))))
+    return read(spark, d, "orders").select("o_orderkey", S.redact(F.concat(pan, secret, F.col("o_orderkey").cast("string"))).alias("note"), F.array_join(F.map_values(fields), "|").alias("fields"))
+
+
+@query("f6_format_money", """SELECT o_orderkey, concat(replace(format('{:,}', CAST(floor(minor / 100) AS BIGINT)), ',', ' '), ',', lpad(CAST(minor % 100 AS STRING), 2, '0'), CASE WHEN o_orderkey % 2 = 0 THEN ' €' ELSE ' Kč' END) AS shown FROM (SELECT o_orderkey, CAST(ROUND(o_totalprice * 100) AS BIGINT) % 100000 AS minor FROM orders)""")
+def f6(spark, d):
+    minor = F.round(F.col("o_totalprice") * 100).cast("bigint") % 100000
+    return read(spark, d, "orders").select("o_orderkey", F.replace(S.format_money(minor, F.when(F.col("o_orderkey") % 2 == 0, "EUR").otherwise("CZK")), F.lit("\u00a0"), F.lit(" ")).alias("shown"))
+
+
+@query("f8_parse_datetime", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:00') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events")
+def f8(spark, d):
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, F.date_format("ts", "dd.MM.yyyy HH:mm:ss")).when(k == 1, F.date_format("ts", "dd.MM.yyyy HH:mm")).when(k == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("at noon")
+    return read(spark, d, "events").select("event_id", F.date_format(S.parse_datetime(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("f26_reservation_groups", """+g AS (SELECT reservation_id, internal_code, booking_reference, row_number() OVER (PARTITION BY reservation_id ORDER BY invoice_id) AS n FROM invoice WHERE internal_code IS NOT NULL)
+    SELECT sha256(concat(internal_code, '|', coalesce(booking_reference, ''))) AS group_id, count(*) AS reservations FROM g WHERE n = 1 GROUP BY 1""", "invoice")
+def f26(spark, d):
+    """A reservation belongs to the first group that it gets."""
+    rows = read(spark, d, "invoice").where("internal_code IS NOT NULL").groupBy("reservation_id").agg(F.min_by(F.struct("internal_code", "booking_reference"), "invoice_id").alias("g"))
+    return rows.groupBy(S.reservation_group_id(F.col("g.internal_code"), F.col("g.booking_reference")).alias("group_id")).agg(F.count("*").alias("reservations"))
+
+
+FILE_SQL = "f AS (SELECT file_id, sha256(concat(CAST(count(*) AS STRING), '|', CAST(min(row_no) AS STRING), '|', CAST(max(row_no) AS STRING))) AS content_hash, count(*) AS seen, count(*) FILTER (kind_text = 'Mystery') AS unknown FROM bank_raw GROUP BY file_id)"
+
+
+@query("t4_duplicate_files", f"+{FILE_SQL} SELECT file_id, content_hash, CASE WHEN file_id < '4' THEN 'DUPLICATE' ELSE 'NEW' END AS status, CASE WHEN file_id < '4' THEN seen END AS seen, CASE WHEN file_id < '4' THEN unknown END AS unknown FROM f", "bank_raw")
+def t4(spark, d):
+    """Files whose content an earlier run has loaded; the latest of two such runs counts."""
+    f = read(spark, d, "bank_raw").groupBy("file_id").agg(F.count("*").alias("seen"), F.count_if(F.col("kind_text") == "Mystery").alias("unknown"), F.min("row_no").alias("lo"), F.max("row_no").alias("hi"))
+    f = f.withColumn("content_hash", S.sha256_text(F.col("seen"), F.col("lo"), F.col("hi")))
+    old = f.where("file_id < '4'").select("content_hash", F.explode(F.array(F.struct(F.lit(1).alias("run_no"), F.lit(0).cast("bigint").alias("seen"), F.lit(0).cast("bigint").alias("unknown")), F.struct(F.lit(2).alias("run_no"), "seen", "unknown"))).alias("r"))
+    return T.duplicate_files(f.select("file_id", "content_hash"), old.select("content_hash", "r.*"), ["seen", "unknown"])

@@ -157,14 +157,14 @@ def j8(spark, d):
 
 def candidates(spark, d):
     docs = M.active_invoices(read(spark, d, "invoice")).withColumnRenamed("booking_reference", "doc_reference")
-    cols = ["invoice_id", "source_id", "remaining_minor", "amount_minor", "doc_date", "paid_on", "paid_at", "doc_reference", "source_reference", "is_booking"]
+    cols = ["invoice_id", "source_id", "remaining_minor", "amount_minor", "currency", "doc_date", "paid_on", "paid_at", "doc_reference", "source_reference", "is_booking", "linked", "internal_code"]
     src = sources(spark, d)
     by_ref = M.reference_pairs(docs.withColumn("booking_reference", F.col("doc_reference")), src.withColumn("booking_reference", F.col("source_reference")))
     by_amount = M.amount_pairs(docs, src.withColumn("real_minor", F.col("amount_minor"))).withColumn("amount_minor", F.col("real_minor"))
     return by_ref.select(*cols).unionByName(by_amount.select(*cols)).dropDuplicates(["invoice_id", "source_id"])
 
 
-CAND_SQL = f"""{DOC_SQL}, {SRC_SQL}, p AS (SELECT d.invoice_id, s.source_id, d.remaining_minor, s.amount_minor, d.paid_at, d.booking_reference AS doc_reference, s.source_reference, is_booking, abs(date_diff('day', doc_date, paid_on)) AS days
+CAND_SQL = f"""{DOC_SQL}, {SRC_SQL}, p AS (SELECT d.invoice_id, s.source_id, d.remaining_minor, s.amount_minor, d.paid_at, d.booking_reference AS doc_reference, s.source_reference, is_booking, d.linked, d.internal_code, d.currency, abs(date_diff('day', doc_date, paid_on)) AS days
     FROM d JOIN s ON d.currency = s.currency AND {PAIR_SQL} AND (d.booking_reference = s.source_reference OR abs(d.remaining_minor - s.amount_minor) <= 1))"""
 
 
@@ -173,21 +173,46 @@ def m1(spark, d):
     return candidates(spark, d).select("invoice_id", "source_id")
 
 
-SCORE_SQL = f"""{CAND_SQL}, q AS (SELECT *, CAST(least(100, CASE WHEN abs(remaining_minor - amount_minor) <= 1 THEN CASE WHEN is_booking = 1 THEN 15 ELSE 60 END ELSE 0 END
-    + CASE WHEN is_booking = 1 AND (doc_reference IS NULL OR source_reference IS NULL OR doc_reference = source_reference) THEN 45 ELSE 0 END
-    + CASE WHEN is_booking = 1 AND doc_reference = source_reference THEN 30 ELSE 0 END
-    + CASE WHEN is_booking = 1 THEN CASE WHEN days <= 2 THEN 5 WHEN days <= 4 THEN 3 WHEN days <= 7 THEN 1 ELSE 0 END ELSE CASE WHEN days <= 2 THEN 25 WHEN days <= 4 THEN 18 WHEN days <= 7 THEN 10 ELSE 0 END END
-    + CASE WHEN is_booking = 0 AND paid_at IS NOT NULL THEN 5 ELSE 0 END) AS INTEGER) AS score FROM p)"""
+SAME_SQL = "is_booking = 1 AND source_reference IS NOT NULL AND (doc_reference IS NULL OR doc_reference = source_reference)"
+POINTS_SQL = {
+    "EXACT_AMOUNT": "CASE WHEN abs(remaining_minor - amount_minor) <= 1 THEN CASE WHEN is_booking = 1 THEN 15 ELSE 60 END END",
+    "BOOKING_ID": f"CASE WHEN {SAME_SQL} THEN 45 END",
+    "DIRECT_LINK": f"CASE WHEN {SAME_SQL} AND linked = 1 THEN 30 END",
+    "INTERNAL_CODE": f"CASE WHEN {SAME_SQL} AND internal_code IS NOT NULL THEN 5 END",
+    "BOOKING_CONFLICT": "CASE WHEN is_booking = 1 AND doc_reference <> source_reference THEN 0 END",
+    "DATE": "CASE WHEN is_booking = 1 THEN CASE WHEN days <= 2 THEN 5 WHEN days <= 4 THEN 3 WHEN days <= 7 THEN 1 ELSE 0 END ELSE CASE WHEN days <= 2 THEN 25 WHEN days <= 4 THEN 18 WHEN days <= 7 THEN 10 ELSE 0 END END",
+    "PAID_AT": "CASE WHEN is_booking = 0 AND paid_at IS NOT NULL THEN 5 END",
+}
+SCORE_SQL = f"{CAND_SQL}, q AS (SELECT *, CAST(least(100, {' + '.join(f'coalesce({x}, 0)' for x in POINTS_SQL.values())}) AS INTEGER) AS score, CASE WHEN is_booking = 1 AND doc_reference <> source_reference THEN 1 ELSE 0 END AS conflicting FROM p)"
 
 
-@query("m3_scores", f"+{SCORE_SQL} SELECT invoice_id, source_id, score FROM q", "invoice", "booking", "card")
+@query("m3_scores", f"+{SCORE_SQL} SELECT invoice_id, source_id, score, conflicting FROM q", "invoice", "booking", "card")
 def m3(spark, d):
-    return M.scored_pairs(candidates(spark, d), F.col("is_booking") == 1).select("invoice_id", "source_id", "score")
+    return M.scored_pairs(candidates(spark, d), F.col("is_booking") == 1).select("invoice_id", "source_id", "score", "conflicting")
 
 
-@query("m5_decisions", f"""+{SCORE_SQL}, r AS (SELECT * REPLACE (CAST(least(100, score + CASE WHEN is_booking = 0 AND count(*) OVER (PARTITION BY invoice_id) = 1 AND count(*) OVER (PARTITION BY source_id) = 1 THEN 10 ELSE 0 END) AS INTEGER) AS score) FROM q),
-    o AS (SELECT *, coalesce((SELECT max(score) FROM r x WHERE (x.invoice_id = r.invoice_id AND x.source_id <> r.source_id) OR (x.source_id = r.source_id AND x.invoice_id <> r.invoice_id)), 0) AS competitor FROM r)
-    SELECT invoice_id, source_id, score, competitor, CASE WHEN score >= 95 AND score - competitor >= 15 AND abs(remaining_minor - amount_minor) <= 1 THEN 1 ELSE 0 END AS can_auto FROM o""", "invoice", "booking", "card")
+EVIDENCE_SQL = "concat_ws(' ', " + ", ".join(f"'{k}:' || CAST({x} AS STRING)" for k, x in POINTS_SQL.items()) + ")"
+
+
+@query("m3_evidence", f"+{SCORE_SQL} SELECT invoice_id, source_id, {EVIDENCE_SQL} AS evidence FROM q", "invoice", "booking", "card")
+def m3_evidence(spark, d):
+    b = F.col("is_booking") == 1
+    shown = F.array_join(F.transform("evidence", lambda e: F.concat(e["code"], F.lit(":"), e["points"].cast("string"))), " ")
+    return M.evidence(M.scored_pairs(candidates(spark, d), b), b).select("invoice_id", "source_id", shown.alias("evidence"))
+
+
+@query("w6_candidate_order", f"+{SCORE_SQL} SELECT invoice_id, source_id, row_number() OVER (PARTITION BY invoice_id ORDER BY score DESC, abs(remaining_minor - amount_minor), days, least(invoice_id, source_id), greatest(invoice_id, source_id)) AS nth FROM q", "invoice", "booking", "card")
+def w6(spark, d):
+    rows = M.scored_pairs(candidates(spark, d), F.col("is_booking") == 1)
+    return rows.select("invoice_id", "source_id", F.row_number().over(Window.partitionBy("invoice_id").orderBy(*M.candidate_order(rows))).alias("nth"))
+
+
+DECIDED_SQL = f"""{SCORE_SQL}, r AS (SELECT * REPLACE (CAST(least(100, score + CASE WHEN is_booking = 0 AND count(*) OVER (PARTITION BY invoice_id) = 1 AND count(*) OVER (PARTITION BY source_id) = 1 THEN 10 ELSE 0 END) AS INTEGER) AS score) FROM q),
+    o AS (SELECT *, coalesce((SELECT max(score) FROM r x WHERE (x.invoice_id = r.invoice_id AND x.source_id <> r.source_id) OR (x.source_id = r.source_id AND x.invoice_id <> r.invoice_id)), 0) AS competitor FROM r),
+    v AS (SELECT *, CASE WHEN score >= 95 AND score - competitor >= 15 AND abs(remaining_minor - amount_minor) <= 1 AND conflicting = 0 THEN 1 ELSE 0 END AS can_auto FROM o)"""
+
+
+@query("m5_decisions", f"+{DECIDED_SQL} SELECT invoice_id, source_id, score, competitor, can_auto FROM v", "invoice", "booking", "card")
 def m5(spark, d):
     b = F.col("is_booking") == 1
     return M.decided(M.scored_pairs(candidates(spark, d), b), b).select("invoice_id", "source_id", "score", "competitor", "can_auto")
@@ -313,10 +338,24 @@ def m13(spark, d):
     return M.reconcile_cashbook(m.where("kind = 'CASHBOOK'"), m.where("kind IN ('CARD', 'BOOKING')"))
 
 
-@query("m19_run_summary", f"+{SCORE_SQL} SELECT currency, count(*) AS analysed, count(q.invoice_id) AS with_candidate FROM d LEFT JOIN (SELECT DISTINCT invoice_id FROM q) q USING (invoice_id) GROUP BY currency", "invoice", "booking", "card")
+@query("m14_auto_match_documents")
+def m14(spark, d):
+    docs = M.active_invoices(read(spark, d, "invoice"), used(spark, d)).select("invoice_id", "currency", "booking_reference", "remaining_minor", "doc_date", "paid_at")
+    lines, cards = (read(spark, d, t) for t in ("booking", "card"))
+    return M.match_documents(docs, lines, cards)
+
+
+@query("g12_payment_alerts")
+def g12(spark, d):
+    return M.payment_alerts(m14(spark, d))
+
+
+@query("m19_run_summary", f"+{DECIDED_SQL}, z AS (SELECT invoice_id, count(*) AS n, CAST(sum(can_auto) AS BIGINT) AS groups FROM v GROUP BY invoice_id) SELECT currency, count(*) AS analysed, count(n) AS with_candidate, count(*) FILTER (groups > 0) AS settled, CAST(coalesce(sum(groups), 0) AS BIGINT) AS groups, count(*) - count(*) FILTER (groups > 0) AS remaining FROM d LEFT JOIN z USING (invoice_id) GROUP BY currency", "invoice", "booking", "card")
 def m19(spark, d):
-    hit = candidates(spark, d).select("invoice_id").distinct().withColumn("hit", F.lit(1))
-    return M.active_invoices(read(spark, d, "invoice")).join(hit, "invoice_id", "left").groupBy("currency").agg(F.count("*").alias("analysed"), F.count("hit").alias("with_candidate"))
+    b = F.col("is_booking") == 1
+    per = M.decided(M.scored_pairs(candidates(spark, d), b), b).groupBy("invoice_id").agg(F.count("*").alias("n"), F.sum("can_auto").alias("groups"))
+    rows = M.active_invoices(read(spark, d, "invoice")).join(per, "invoice_id", "left").groupBy("currency")
+    return rows.agg(F.count("*").alias("analysed"), F.count("n").alias("with_candidate"), F.count_if(F.col("groups") > 0).alias("settled"), F.coalesce(F.sum("groups"), F.lit(0)).alias("groups"), (F.count("*") - F.count_if(F.col("groups") > 0)).alias("remaining"))
 
 
 @query("t1_dedupe_identity", "SELECT l_orderkey, l_linenumber, count(*) AS seen, count(DISTINCT sha256(concat(CAST(l_partkey AS STRING), '|', CAST(l_suppkey AS STRING)))) AS contents, CASE WHEN contents > 1 THEN 'CONFLICT' WHEN seen > 1 THEN 'DUPLICATE' ELSE 'UNIQUE' END AS outcome FROM lineitem GROUP BY ALL")
@@ -372,16 +411,13 @@ def g3(spark, d):
     return G.group_totals(read(spark, d, "membership")).select("group_id", G.group_status(mode).alias("status"))
 
 
-@query("g5_tree_rollup", f"+{GROUP_SQL}, e AS (SELECT CAST(floor(group_id / 10) AS BIGINT) AS root, group_id FROM t WHERE group_id >= 10 UNION ALL SELECT CAST(floor(group_id / 100) AS BIGINT), group_id FROM t WHERE group_id >= 100 UNION ALL SELECT CAST(floor(group_id / 1000) AS BIGINT), group_id FROM t WHERE group_id >= 1000 UNION ALL SELECT CAST(floor(group_id / 10000) AS BIGINT), group_id FROM t WHERE group_id >= 10000 UNION ALL SELECT group_id, group_id FROM t) SELECT e.root, CAST(sum(t.difference_minor) AS BIGINT) AS difference_minor, count(*) AS groups FROM e JOIN t USING (group_id) GROUP BY e.root", "membership")
+@query("g5_tree_rollup", f"+{GROUP_SQL}, e AS (SELECT CAST(floor(group_id / pow(10, i)) AS BIGINT) AS root, group_id FROM t, unnest(generate_series(0, length(CAST(group_id AS STRING)) - 1)) AS s(i)) SELECT e.root, CAST(sum(t.difference_minor) AS BIGINT) AS difference_minor, count(*) AS groups FROM e JOIN t USING (group_id) GROUP BY e.root", "membership")
 def g5(spark, d):
-    # A parent key need not be a group itself: the sum goes up through missing levels too.
+    """A group's parent is its key without the last digit, down to one digit; a parent need not be a group itself."""
     own = G.group_totals(read(spark, d, "membership")).select("group_id", "difference_minor")
-    rows = own.select(F.col("group_id"), F.col("group_id").alias("root"), "difference_minor")
-    total = rows
-    for _ in range(4):
-        rows = rows.where("root >= 10").withColumn("root", F.floor(F.col("root") / 10).cast("bigint"))
-        total = total.unionByName(rows)
-    return total.groupBy("root").agg(F.sum("difference_minor").alias("difference_minor"), F.count("*").alias("groups"))
+    up = lambda i: F.floor(F.col("group_id") / F.pow(F.lit(10), i)).cast("bigint")
+    steps = own.where("group_id >= 10").select("group_id", F.explode(F.sequence(F.lit(1), F.length(F.col("group_id").cast("string")) - 1)).alias("i"))
+    return G.tree_rollup(steps.select(up(F.col("i")).alias("parent"), up(F.col("i") - 1).alias("child")).distinct(), own)
 
 
 @query("g7_membership_from_log", """+l AS (SELECT event_id AS seq, user_id AS group_id, CAST(CAST(ROUND(value) AS BIGINT) % 20 AS STRING) AS member, CAST(FLOOR(event_id / 3) AS BIGINT) AS command_id, CASE event_type WHEN 'purchase' THEN 'ADD' WHEN 'view' THEN 'ADD' WHEN 'click' THEN 'REMOVE' WHEN 'error' THEN 'UNDO' ELSE 'REDO' END AS action FROM events),
@@ -462,11 +498,20 @@ def f12(spark, d):
     return read(spark, d, "orders").select("o_orderkey", S.canonical_json(orderkey=F.col("o_orderkey"), custkey=F.col("o_custkey"), status=F.col("o_orderstatus")).alias("json"))
 
 
-@query("f16_booking_reference", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CAST(1000000 + conv_id AS STRING) WHEN turn % 3 = 1 THEN concat(CAST(1000000 + conv_id AS STRING), ',', CAST(2000000 + conv_id AS STRING)) ELSE '' END AS refs, CASE WHEN turn % 3 = 0 THEN 'CONFIRMED' WHEN turn % 3 = 1 THEN 'CONFLICT' ELSE 'MISSING' END AS status FROM conversations")
+LABELS = ["Original ID: ", "Channel reservation id ", "OriginalID=", "original id", "CHANNEL RESERVATION ID:"]
+
+
+def label(n):
+    return F.get(F.array(*[F.lit(x) for x in LABELS]), n % len(LABELS))
+
+
+@query("f16_booking_reference", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CAST(1000000 + conv_id AS STRING) WHEN turn % 3 = 1 THEN concat(CAST(1000000 + conv_id AS STRING), ',', '98765432', lpad(CAST(conv_id AS STRING), 12, '0')) ELSE '' END AS refs, CASE WHEN turn % 3 = 0 THEN 'CONFIRMED' WHEN turn % 3 = 1 THEN 'CONFLICT' ELSE 'MISSING' END AS status FROM conversations")
 def f16(spark, d):
     c = read(spark, d, "conversations")
-    note = lambda n: F.concat(F.lit("<p>Original ID: "), (F.lit(n) + F.col("conv_id")).cast("string"), F.lit("</p>"), F.coalesce("text", F.lit("")))
-    notes = F.when(F.col("turn") % 3 == 0, F.array(note(1000000), note(1000000))).when(F.col("turn") % 3 == 1, F.array(note(1000000), note(2000000))).otherwise(F.array(F.lit("no reference")))
+    long = F.concat(F.lit("98765432"), F.lpad(F.col("conv_id").cast("string"), 12, "0"))
+    note = lambda n, ref: F.concat(F.lit("<p>"), label(F.col("conv_id").cast("int") + n), ref, F.lit("</p>&nbsp;Original ID: 12345<br>"), F.coalesce("text", F.lit("")))
+    own = (F.lit(1000000) + F.col("conv_id")).cast("string")
+    notes = F.when(F.col("turn") % 3 == 0, F.array(note(0, own), note(1, own))).when(F.col("turn") % 3 == 1, F.array(note(2, own), note(3, long))).otherwise(F.array(F.lit("no reference")))
     found = S.booking_references(notes)
     return c.select("conv_id", "turn", F.array_join(found, ",").alias("refs"), S.reference_status(found).alias("status"))
 

@@ -79,7 +79,7 @@ def test_payload_shapes(spark):
 def test_mentions(spark):
     rows = [("Original ID: 1234567 x Original ID: 7654321",), ("none",), ("",), (None,)]
     got = S.reference_mentions(spark.createDataFrame(rows, "note string"), "note").collect()
-    assert [(r["note"][r["start_at"]:r["end_at"]], r["candidate"]) for r in got] == [("Original ID: 1234567", "1234567"), ("Original ID: 7654321", "7654321")]
+    assert [(r["note"][r["start_at"]:r["end_at"]], r["candidate"]) for r in got] == [("1234567", "1234567"), ("7654321", "7654321")]
 
 
 def test_alert_fields(spark):
