@@ -205,3 +205,38 @@ def unique_exact_subset(items: DataFrame, targets: DataFrame) -> DataFrame:
     exact = known.join(found.where("over_limit = 0"), ["block", "target_minor"]).select("target_id", "sources", "over_limit")
     over = known.join(found.where("over_limit = 1").select("block"), "block", "left_semi").unionByName(known.where(F.col("lines") > MOST_LINES))
     return exact.unionByName(over.select("target_id", F.lit(None).cast("string").alias("sources"), F.lit(1).alias("over_limit")))
+
+
+def document_reasons(docs: DataFrame, candidates: DataFrame, lines: DataFrame) -> DataFrame:
+    """(object_id, reason) of open documents that are not settled, by the first test that fails: a reservation, its
+    reference, a payout line of the reference (in the same currency), then the candidates: several, or one whose amount differs.
+
+    docs: invoice_id, currency, reservation_id, booking_reference; candidates: invoice_id, exact (1 or 0); lines: booking_reference, currency.
+    """
+    per = candidates.groupBy("invoice_id").agg(F.count("*").alias("n"), F.max("exact").alias("exact"))
+    line = lines.where("booking_reference IS NOT NULL").groupBy("booking_reference").agg(F.collect_set("currency").alias("currencies"))
+    n, exact = F.coalesce("n", F.lit(0)), F.coalesce("exact", F.lit(0))
+    reason = (
+        F.when(F.col("reservation_id").isNull(), "DOCUMENT_NO_RESERVATION").when(F.col("booking_reference").isNull(), "RESERVATION_NO_BOOKING_REFERENCE").when(n > 1, "MULTIPLE_CANDIDATES")
+        .when((n == 1) & (exact == 0), "AMOUNT_MISMATCH").when(F.col("currencies").isNull(), "BOOKING_REFERENCE_NOT_FOUND").when((n == 0) & ~F.array_contains("currencies", F.col("currency")), "CURRENCY_MISMATCH").when(n == 0, "HELPER_DATA_NOT_SYNCED")
+    )
+    rows = docs.join(per, "invoice_id", "left").join(line, "booking_reference", "left")
+    return rows.select(F.col("invoice_id").alias("object_id"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def source_reasons(sources: DataFrame, used: DataFrame) -> DataFrame:
+    """(object_id, reason) of sources (source_id, kind: BOOKING, BANK or CASHBOOK) that are in no candidate (source_id)."""
+    rows = sources.join(used.select("source_id").distinct(), "source_id", "left_anti")
+    return rows.select(F.col("source_id").alias("object_id"), F.concat("kind", F.lit("_NO_COUNTERPART")).alias("reason"))
+
+
+def audit_events(old: DataFrame, new: DataFrame, key: str, watched: list[str], hide) -> DataFrame:
+    """(object_ref, code, fields, before, after) for each object that a job has added, changed or removed; before and after
+    are JSON of the watched columns, texts passed through `hide`; null where there was or is none."""
+    shown = lambda side: F.to_json(F.struct(*[hide(F.col(f"{side}.{c}").cast("string")).alias(c) for c in watched]))
+    a, b = F.col(f"a.{key}"), F.col(f"b.{key}")
+    both = old.alias("a").join(new.alias("b"), a == b, "full_outer")
+    fields = changed_fields({c: (F.col(f"a.{c}"), F.col(f"b.{c}")) for c in watched})
+    code = F.when(a.isNull(), "ADDED").when(b.isNull(), "REMOVED").otherwise("CHANGED")
+    rows = both.select(F.coalesce(a, b).alias("object_ref"), code.alias("code"), fields.alias("fields"), F.when(a.isNotNull(), shown("a")).alias("before"), F.when(b.isNotNull(), shown("b")).alias("after"))
+    return rows.where("code <> 'CHANGED' OR size(fields) > 0")

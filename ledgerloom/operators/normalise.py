@@ -80,3 +80,34 @@ def preflight(df: DataFrame, file: str, runs: DataFrame) -> DataFrame:
     """For each file: rows, usable and rejected ones, currencies, and whether the file is in runs (one row for each file there)."""
     per = df.groupBy(file).agg(F.count("*").alias("n_rows"), F.count_if(F.col("error").isNull() & F.col("kind").isin("SALE", "REFUND")).alias("usable"), F.count_if(F.col("error").isNotNull()).alias("rejected"), F.array_join(F.sort_array(F.collect_set("currency")), ",").alias("currencies"))
     return per.join(runs.select(file).distinct().withColumn("__old", F.lit(1)), file, "left").withColumn("duplicate", F.coalesce("__old", F.lit(0))).drop("__old")
+
+
+#: Meanings of a payout line's states that make it eligible (fixed values).
+RESERVATION_OK = ("ok", "eligible", "valid", "platna", "platná", "confirmed")
+PAYMENT_OK = ("paid online", "eligible", "paid", "uhrazeno online")
+
+
+def normalize_booking(df: DataFrame, mapping: DataFrame, known: dict[str, tuple[str, ...]]) -> DataFrame:
+    """df (reservation_status, payment_status, payment_id, paid_on, amount_minor) with error, eligible and reason.
+
+    States are mapped to meanings (mapping: raw, meaning), else taken as they are; a meaning outside `known` for its
+    column is an error, as are a missing payment id and day. A line is eligible if both states are good and its amount is not 0.
+    """
+    rows = apply_value_mapping(apply_value_mapping(df, mapping, "reservation_status", "__r"), mapping, "payment_status", "__p")
+    rows = rows.withColumns({m: F.lower(F.trim(F.coalesce(F.col(m), F.col(c)))) for m, c in (("__r", "reservation_status"), ("__p", "payment_status"))})
+    lost = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    error = F.when(lost("payment_id"), "NO_IDENTITY").when(lost("paid_on"), "NO_DAY").when(~F.col("__r").isin(*known["reservation_status"]), "UNKNOWN_RESERVATION_STATUS").when(~F.col("__p").isin(*known["payment_status"]), "UNKNOWN_PAYMENT_STATUS")
+    reason = F.when(~F.col("__r").isin(*RESERVATION_OK), "RESERVATION_STATUS").when(~F.col("__p").isin(*PAYMENT_OK), "PAYMENT_STATUS").when(F.col("amount_minor") == 0, "ZERO_AMOUNT")
+    rows = rows.withColumn("error", error).withColumn("reason", F.when(F.col("error").isNull(), F.coalesce(reason, F.lit("ELIGIBLE"))))
+    return rows.withColumn("eligible", F.when(F.col("reason") == "ELIGIBLE", 1).otherwise(0)).drop("__r", "__p")
+
+
+def import_counters(df: DataFrame, file: str) -> DataFrame:
+    """A row for each file: rows seen, blank, summary, closure and ignored ones, errors, new ones and conflicts, and the
+    amounts in each currency as JSON. df: kind, error, currency, amount_minor, outcome (of what would be stored)."""
+    kind = lambda k: F.count_if((F.col("kind") == k) & F.col("error").isNull())
+    stored = lambda o: F.count_if(F.col("outcome") == o)
+    counts = df.groupBy(file).agg(F.count("*").alias("seen"), kind("BLANK").alias("blank"), kind("SUMMARY").alias("summary"), kind("CLOSURE").alias("closure"), kind("IGNORE").alias("ignored"), F.count("error").alias("errors"), stored("NEW").alias("new"), stored("IDENTICAL").alias("duplicate"), stored("CONFLICT").alias("conflict"))
+    sums = df.where("error IS NULL AND kind IN ('SALE', 'REFUND')").groupBy(file, "currency").agg(F.sum("amount_minor").alias("minor"))
+    totals = sums.groupBy(file).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "currency", F.col("minor").cast("string")))), " ").alias("totals"))
+    return counts.join(totals, file, "left").withColumn("totals", F.coalesce("totals", F.lit("")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,34 @@ def postings(docs: DataFrame, ref: str, text: str) -> DataFrame:
     return docs.select(F.col(ref).alias("ref"), F.explode(tokens).alias("token")).groupBy("token", "ref").agg(F.count("*").alias("hits"))
 
 
+def search_documents(kinds: dict[str, tuple[DataFrame, str, list[str], str, str]]) -> DataFrame:
+    """(object_ref, kind, body, currency, day) of every kind of object: its table, key, texts, currency and date as expressions."""
+    parts = [df.select(F.concat(F.lit(f"{kind}:"), F.expr(key).cast("string")).alias("object_ref"), F.lit(kind).alias("kind"), F.concat_ws(" ", *[F.expr(t).cast("string") for t in texts]).alias("body"), F.expr(currency).cast("string").alias("currency"), F.expr(day).cast("date").alias("day")) for kind, (df, key, texts, currency, day) in kinds.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def relations(links: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
+    """(object_ref, related_ref) in both directions, each once, of link tables: kind and key expression of either end."""
+    ref = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.expr(key).cast("string"))
+    one = reduce(DataFrame.unionByName, [df.select(ref(a, x).alias("object_ref"), ref(b, y).alias("related_ref")) for df, a, x, b, y in links])
+    one = one.where("object_ref IS NOT NULL AND related_ref IS NOT NULL")
+    return one.union(one.select("related_ref", "object_ref")).distinct()
+
+
+def related(edges: DataFrame, asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(asked_ref, related_ref, kind, body): the objects next to each asked one (object_ref)."""
+    near = edges.join(asked.select("object_ref").distinct(), "object_ref").select(F.col("object_ref").alias("asked_ref"), F.col("related_ref").alias("object_ref"))
+    return near.join(docs.select("object_ref", "kind", "body"), "object_ref").select("asked_ref", F.col("object_ref").alias("related_ref"), "kind", "body")
+
+
+def narrowed(found: DataFrame, docs: DataFrame, kind: str | None = None, currency: str | None = None, day: str | None = None) -> DataFrame:
+    """Search results (ref, score) of one kind or currency, or with a part of the date's text."""
+    rows = found.join(docs, found["ref"] == docs["object_ref"])
+    for test in ([F.col("kind") == kind] if kind else []) + ([F.col("currency") == currency] if currency else []) + ([F.col("day").cast("string").contains(day)] if day else []):
+        rows = rows.where(test)
+    return rows.select("ref", "kind", "score")
+
+
 def search(post: DataFrame, query: str, limit: int) -> DataFrame:
     """Refs that hold every token of the query as a prefix, by BM25."""
     import re

@@ -228,3 +228,32 @@ def g6(spark, d):
     m = read(spark, d, "membership")
     up = lambda n: m.select(F.floor(F.col("group_id") / n).cast("bigint").alias("root"), "group_id")
     return D.leaf_members(up(100).union(up(10)).distinct(), m)
+
+
+@query("m17_reasons_of_items", f"""+{SCORE_SQL}, {GROUP_SQL}, n AS (SELECT invoice_id, count(*) AS n, max(CASE WHEN abs(remaining_minor - amount_minor) <= 1 THEN 1 ELSE 0 END) AS exact FROM q GROUP BY invoice_id), y AS (SELECT booking_reference, list(DISTINCT currency) AS cs FROM booking WHERE booking_reference IS NOT NULL GROUP BY 1),
+    r AS (SELECT invoice_id AS object_id, CASE WHEN d.booking_reference IS NULL THEN 'RESERVATION_NO_BOOKING_REFERENCE' WHEN n > 1 THEN 'MULTIPLE_CANDIDATES' WHEN n = 1 AND exact = 0 THEN 'AMOUNT_MISMATCH' WHEN cs IS NULL THEN 'BOOKING_REFERENCE_NOT_FOUND' WHEN n IS NULL AND NOT list_contains(cs, currency) THEN 'CURRENCY_MISMATCH' WHEN n IS NULL THEN 'HELPER_DATA_NOT_SYNCED' END AS reason FROM d LEFT JOIN n USING (invoice_id) LEFT JOIN y ON d.booking_reference = y.booking_reference)
+    SELECT * FROM r WHERE reason IS NOT NULL UNION ALL SELECT source_id, CASE WHEN is_booking = 1 THEN 'BOOKING_NO_COUNTERPART' ELSE 'BANK_NO_COUNTERPART' END FROM s WHERE source_id NOT IN (SELECT source_id FROM q)
+    UNION ALL SELECT concat('K', CAST(c.movement_id AS STRING)), 'CASHBOOK_NO_COUNTERPART' FROM movement c WHERE kind = 'CASHBOOK' AND NOT EXISTS (SELECT 1 FROM movement m WHERE m.kind IN ('CARD', 'BOOKING') AND m.currency = c.currency AND m.amount_minor = c.amount_minor AND abs(date_diff('day', c.day, m.day)) <= 2)
+    UNION ALL SELECT concat('N', CAST(row_no AS STRING)), 'CASHBOOK_NO_DOCUMENT' FROM cash_raw WHERE number = '' UNION ALL SELECT concat('G', CAST(group_id AS STRING)), 'OPEN_AGGREGATE' FROM t WHERE difference_minor <> 0""", "invoice", "booking", "card", "movement", "cash_raw", "membership")
+def m17_items(spark, d):
+    """Reasons of every kind of item: documents, sources, cash-book rows with and without a number, open groups."""
+    pairs = candidates(spark, d)
+    docs = D.document_reasons(M.active_invoices(read(spark, d, "invoice")), pairs.select("invoice_id", (F.abs(F.col("remaining_minor") - F.col("amount_minor")) <= 1).cast("int").alias("exact")), read(spark, d, "booking"))
+    src = D.source_reasons(sources(spark, d).withColumn("kind", F.when(F.col("is_booking") == 1, "BOOKING").otherwise("BANK")), pairs)
+    m = read(spark, d, "movement")
+    cash = m.where("kind = 'CASHBOOK'").select(F.col("movement_id").alias("source_id"), "currency", "amount_minor", F.col("day").alias("cash_day"))
+    other = m.where("kind IN ('CARD', 'BOOKING')").select("currency", "amount_minor", F.col("day").alias("other_day"))
+    alone = D.source_reasons(cash.withColumn("kind", F.lit("CASHBOOK")), M.near_days(cash, other, "cash_day", "other_day", ["currency", "amount_minor"], 2)).withColumn("object_id", F.concat(F.lit("K"), F.col("object_id").cast("string")))
+    code = S.normalize_internal_code(F.col("number")).try_cast("bigint")
+    rows = read(spark, d, "cash_raw").withColumn("code", code).join(read(spark, d, "invoice").select("code"), "code", "left_anti").select(F.concat(F.lit("N"), F.col("row_no").cast("string")).alias("object_id"), F.lit("CASHBOOK_NO_DOCUMENT").alias("reason"))
+    groups = G.group_totals(read(spark, d, "membership")).where("difference_minor <> 0").select(F.concat(F.lit("G"), F.col("group_id").cast("string")).alias("object_id"), F.lit("OPEN_AGGREGATE").alias("reason"))
+    return docs.unionByName(src).unionByName(alone).unionByName(rows).unionByName(groups)
+
+
+@query("g14_audit_events", """SELECT o_orderkey AS object_ref, CASE WHEN o_orderkey % 7 = 0 THEN 'ADDED' WHEN o_orderkey % 5 = 0 THEN 'REMOVED' ELSE 'CHANGED' END AS code, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 'status,mail' ELSE 'status' END AS fields,
+    CASE WHEN o_orderkey % 7 <> 0 THEN concat('{"status":"', o_orderstatus, '","mail":"***@***"}') END AS before, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 <> 0 THEN concat('{"status":"', CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END, '","mail":"***@***"}') END AS after FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 3 = 0""")
+def g14_audit(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@mail.cz")).alias("mail"))
+    k = F.col("o_orderkey")
+    new = o.where((k % 7 == 0) | (k % 5 != 0)).withColumn("status", F.when(k % 3 == 0, "X").otherwise(F.col("status")))
+    return D.audit_events(o.where(k % 7 != 0), new, "o_orderkey", ["status", "mail"], S.redact).withColumn("fields", F.array_join("fields", ","))

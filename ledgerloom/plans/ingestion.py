@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import normalise as N
+from ..operators import search as X
 from ..operators import state as T
 from ..sources import payloads as P
 from .adapters import MINOR, read
@@ -128,21 +129,114 @@ def t13(spark, d):
     return S.resolved_references(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("reservation"), F.col("l_linenumber").alias("extraction"), F.col("l_partkey").cast("string").alias("candidate"), decision.alias("decision")))
 
 
-DOCS_SQL = "SELECT concat('INVOICE:', invoice_id) AS object_ref, 'INVOICE' AS kind, concat_ws(' ', invoice_id, booking_reference) AS body, currency, doc_date AS day FROM invoice UNION ALL SELECT concat('BOOKING:', source_id), 'BOOKING', concat_ws(' ', source_id, booking_reference, payment_id), currency, paid_on FROM booking UNION ALL SELECT concat('CARD:', source_id), 'CARD', source_id, currency, paid_on FROM card UNION ALL SELECT concat('CUSTOMER:', CAST(c_custkey AS STRING)), 'CUSTOMER', c_name, NULL, NULL FROM customer UNION ALL SELECT concat('GROUP:', CAST(group_id AS STRING)), 'GROUP', CAST(group_id AS STRING), min(currency), min(made_on) FROM membership GROUP BY group_id"
+#: Objects that can be found: table or SQL, key, texts, currency, date; expressions that both engines read.
+RESERVATION_SQL = "SELECT reservation_id, min(internal_code) AS code, min(booking_reference) AS booking_reference, min(doc_date) AS arrival FROM {invoice} GROUP BY reservation_id"
+KINDS = {
+    "INVOICE": ("SELECT * FROM {invoice}", "invoice_id", ["invoice_id", "code", "booking_reference"], "currency", "doc_date"),
+    "RESERVATION": (RESERVATION_SQL, "reservation_id", ["reservation_id", "code", "booking_reference"], "NULL", "arrival"),
+    "BOOKING": ("SELECT * FROM {booking}", "source_id", ["source_id", "booking_reference", "payment_id", "status"], "currency", "paid_on"),
+    "CARD": ("SELECT * FROM {card}", "source_id", ["source_id", "terminal"], "currency", "paid_on"),
+    "CASHBOOK_CARD": ("SELECT * FROM {movement} WHERE kind = 'CASHBOOK'", "movement_id", ["movement_id", "user_id"], "currency", "day"),
+    "MATCH_GROUP": ("SELECT group_id, min(currency) AS currency, min(made_on) AS made_on FROM {membership} GROUP BY group_id", "group_id", ["group_id"], "currency", "made_on"),
+    "MANUAL": ("SELECT * FROM {customer} WHERE c_acctbal > 0", "c_custkey", ["c_name"], "NULL", "NULL"),
+    "ALLOCATION": ("SELECT DISTINCT invoice_id, source_id FROM {allocation}", "concat(invoice_id, '/', source_id)", ["invoice_id", "source_id"], "NULL", "NULL"),
+    "IMPORT_RUN": ("SELECT file_id, count(*) AS n FROM {bank_raw} GROUP BY file_id", "file_id", ["file_id", "n"], "NULL", "NULL"),
+    "QUARANTINE": ("SELECT * FROM {bank_raw} WHERE kind_text = 'Mystery'", "row_no", ["kind_text", "file_id"], "NULL", "NULL"),
+    "AUDIT": ("SELECT event_id, event_type, user_id, CAST(ts AS DATE) AS day FROM {events}", "event_id", ["event_type", "user_id"], "NULL", "day"),
+    "BOOKING_REFERENCE": ("SELECT DISTINCT reservation_id, booking_reference FROM {invoice} WHERE booking_reference IS NOT NULL", "concat(CAST(reservation_id AS STRING), '/', booking_reference)", ["booking_reference"], "NULL", "NULL"),
+    "BILL": ("SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day FROM {orders}", "o_orderkey", ["o_orderkey", "o_orderstatus"], "NULL", "day"),
+    "BILL_ITEM": ("SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}", "concat(CAST(l_orderkey AS STRING), '/', CAST(l_partkey AS STRING))", ["l_partkey"], "NULL", "NULL"),
+    "REVISION_ALERT": ("SELECT * FROM {alert}", "alert_id", ["alert_id", "group_ids"], "NULL", "NULL"),
+}
+#: Links between them: table or SQL, kind and key of either end.
+LINKS = [
+    ("SELECT * FROM {invoice}", "INVOICE", "invoice_id", "RESERVATION", "reservation_id"),
+    ("SELECT * FROM {invoice}", "INVOICE", "invoice_id", "BILL", "code"),
+    ("SELECT DISTINCT invoice_id, source_id FROM {allocation} WHERE active = 1", "ALLOCATION", "concat(invoice_id, '/', source_id)", "INVOICE", "invoice_id"),
+    ("SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}", "BILL", "l_orderkey", "BILL_ITEM", "concat(CAST(l_orderkey AS STRING), '/', CAST(l_partkey AS STRING))"),
+    ("SELECT DISTINCT reservation_id, booking_reference FROM {invoice} WHERE booking_reference IS NOT NULL", "RESERVATION", "reservation_id", "BOOKING_REFERENCE", "concat(CAST(reservation_id AS STRING), '/', booking_reference)"),
+    ("SELECT b.source_id, i.reservation_id FROM {booking} b JOIN {invoice} i ON b.booking_reference = i.booking_reference", "BOOKING", "source_id", "RESERVATION", "reservation_id"),
+    ("SELECT * FROM {bank_raw} WHERE kind_text = 'Mystery'", "QUARANTINE", "row_no", "IMPORT_RUN", "file_id"),
+    ("SELECT * FROM {invoice}", "INVOICE", "invoice_id", "MATCH_GROUP", "code"),
+    ("SELECT * FROM {events}", "AUDIT", "event_id", "MATCH_GROUP", "user_id"),
+    ("SELECT alert_id, CAST(regexp_extract(group_ids, '([0-9]+)', 1) AS BIGINT) AS a FROM {alert}", "REVISION_ALERT", "alert_id", "MATCH_GROUP", "a"),
+    ("SELECT alert_id, CAST(regexp_extract(group_ids, ',\"([0-9]+)', 1) AS BIGINT) AS a FROM {alert}", "REVISION_ALERT", "alert_id", "MATCH_GROUP", "a"),
+]
+LINK_TABLES = ("invoice", "booking", "card", "movement", "membership", "allocation", "bank_raw", "alert")
+
+
+def told(spark, d, sql):
+    import re
+
+    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return spark.sql(sql, **{n: read(spark, d, n) for n in names})
+
+
+def plain(sql):
+    import re
+
+    return re.sub(r"\{(\w+)\}", r"\1", sql)
+
+
+DOCS_SQL = " UNION ALL ".join(f"SELECT concat('{k}:', CAST({key} AS STRING)) AS object_ref, '{k}' AS kind, concat_ws(' ', {', '.join(f'CAST({t} AS STRING)' for t in texts)}) AS body, CAST({cur} AS STRING) AS currency, CAST({day} AS DATE) AS day FROM ({plain(sql)})" for k, (sql, key, texts, cur, day) in KINDS.items())
+ONE_WAY = " UNION ALL ".join(f"SELECT concat('{a}:', CAST({x} AS STRING)) AS object_ref, concat('{b}:', CAST({y} AS STRING)) AS related_ref FROM ({plain(sql)}) WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for sql, a, x, b, y in LINKS)
+
+
+def documents_of(spark, d):
+    return X.search_documents({k: (told(spark, d, sql), *rest) for k, (sql, *rest) in KINDS.items()})
+
+
+@query("x1_search_documents", DOCS_SQL, *LINK_TABLES)
+def x1(spark, d):
+    return documents_of(spark, d)
 
 
-@query("x1_search_documents", DOCS_SQL, "invoice", "booking", "card", "membership")
-def x1(spark, d):
-    doc = lambda df, kind, key, body, currency, day: df.select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("object_ref"), F.lit(kind).alias("kind"), F.concat_ws(" ", *body).alias("body"), currency.alias("currency"), day.alias("day"))
-    groups = read(spark, d, "membership").groupBy("group_id").agg(F.min("currency").alias("currency"), F.min("made_on").alias("made_on"))
-    none = F.lit(None)
-    return (
-        doc(read(spark, d, "invoice"), "INVOICE", "invoice_id", ["invoice_id", "booking_reference"], F.col("currency"), F.col("doc_date"))
-        .unionByName(doc(read(spark, d, "booking"), "BOOKING", "source_id", ["source_id", "booking_reference", "payment_id"], F.col("currency"), F.col("paid_on")))
-        .unionByName(doc(read(spark, d, "card"), "CARD", "source_id", ["source_id"], F.col("currency"), F.col("paid_on")))
-        .unionByName(doc(read(spark, d, "customer"), "CUSTOMER", "c_custkey", ["c_name"], none.cast("string"), none.cast("date")))
-        .unionByName(doc(groups, "GROUP", "group_id", ["group_id"], F.col("currency"), F.col("made_on")))
-    )
+@query("x5_relations", f"+o AS ({ONE_WAY}) SELECT * FROM o UNION SELECT related_ref, object_ref FROM o", *LINK_TABLES)
+def x5_all(spark, d):
+    return X.relations([(told(spark, d, sql), *rest) for sql, *rest in LINKS])
+
+
+@query("x5_related_objects", f"+o AS ({ONE_WAY}), e AS (SELECT * FROM o UNION SELECT related_ref, object_ref FROM o), docs AS ({DOCS_SQL}) SELECT e.object_ref AS asked_ref, related_ref, kind, body FROM e JOIN docs ON docs.object_ref = related_ref WHERE e.object_ref LIKE 'RESERVATION:%' OR e.object_ref LIKE 'REVISION_ALERT:%'", *LINK_TABLES)
+def x5(spark, d):
+    """What lies next to every reservation and every alert."""
+    docs = documents_of(spark, d)
+    return X.related(x5_all(spark, d), docs.where("kind IN ('RESERVATION', 'REVISION_ALERT')"), docs)
+
+
+@query("x3_narrowed_search", f"+docs AS ({DOCS_SQL}) SELECT object_ref AS ref, kind FROM docs WHERE kind = 'BOOKING' AND currency = 'CZK' AND regexp_matches(lower(body), '(^|[^a-z0-9])ok') AND CAST(day AS STRING) LIKE '%-07-%'", *LINK_TABLES)
+def x3_narrowed(spark, d):
+    """A search that keeps to one kind, a currency and a month; every result (the limit is above the number of rows)."""
+    docs = documents_of(spark, d)
+    found = X.search(X.postings(docs, "object_ref", "body"), "ok", 2**31 - 1)
+    return X.narrowed(found, docs, "BOOKING", "CZK", "-07-").select("ref", "kind")
+
+
+@query("p4_normalize_booking", """SELECT source_id, CASE WHEN payment_id LIKE '%9' THEN 'UNKNOWN_PAYMENT_STATUS' END AS error, CASE WHEN payment_id LIKE '%9' THEN NULL WHEN status <> 'ok' THEN 'RESERVATION_STATUS' WHEN payment_id LIKE '%8' THEN 'PAYMENT_STATUS' ELSE 'ELIGIBLE' END AS reason FROM booking""", "booking")
+def p4_normalized(spark, d):
+    """States through the mapping: a word of its own for a good one, a known one that is not good, an unknown one."""
+    state = F.when(F.col("payment_id").endswith("9"), "???").when(F.col("payment_id").endswith("8"), "Pending").when(F.col("payment_id").endswith("7"), "Bezahlt").otherwise("Paid online")
+    rows = read(spark, d, "booking").withColumnRenamed("status", "reservation_status").withColumn("payment_status", state)
+    mapping = spark.createDataFrame([("bezahlt", "paid")], "raw string, meaning string")
+    known = {"reservation_status": ("ok", "cancelled"), "payment_status": ("paid online", "paid", "pending")}
+    return N.normalize_booking(rows, mapping, known).select("source_id", "error", "reason")
+
+
+@query("a5_import_run_counters", f"+{BANK_SQL}, o AS (SELECT *, CASE WHEN error IS NULL AND kind IN ('SALE', 'REFUND') THEN CASE WHEN row_no % 3 = 0 THEN 'NEW' WHEN row_no % 5 = 0 THEN 'CONFLICT' ELSE 'IDENTICAL' END END AS outcome FROM k), z AS (SELECT file_id, currency, CAST(sum(amount_minor) AS BIGINT) AS m FROM o WHERE outcome IS NOT NULL GROUP BY ALL), t AS (SELECT file_id, string_agg(concat(currency, ':', CAST(m AS STRING)), ' ' ORDER BY currency) AS totals FROM z GROUP BY file_id) SELECT o.file_id, count(*) AS seen, count(*) FILTER (kind = 'BLANK' AND error IS NULL) AS blank, count(*) FILTER (kind = 'SUMMARY' AND error IS NULL) AS summary, count(*) FILTER (kind = 'CLOSURE' AND error IS NULL) AS closure, count(*) FILTER (kind = 'IGNORE') AS ignored, count(error) AS errors, count(*) FILTER (outcome = 'NEW') AS new, count(*) FILTER (outcome = 'IDENTICAL') AS duplicate, count(*) FILTER (outcome = 'CONFLICT') AS conflict, coalesce(any_value(totals), '') AS totals FROM o LEFT JOIN t USING (file_id) GROUP BY o.file_id", "bank_raw")
+def a5_runs(spark, d):
+    """Counters of each file, against a store that has other contents for every fifth row and none for every third."""
+    rows = bank(spark, d)
+    usable = rows.where("error IS NULL AND kind IN ('SALE', 'REFUND')").select("row_no", F.col("amount_minor").cast("string").alias("content"))
+    store = usable.where("row_no % 3 <> 0").withColumn("content", F.when(F.col("row_no") % 5 == 0, "other").otherwise(F.col("content")))
+    outcome = T.classify_new(usable, store, "row_no", "content").select("row_no", "outcome")
+    return N.import_counters(rows.join(outcome, "row_no", "left"), "file_id")
+
+
+@query("s7_parse_parts", f"SELECT o_orderkey AS bill, concat('P', CAST(o_orderkey AS STRING)) AS part_id, CASE WHEN o_orderkey % 4 = 2 THEN 0 ELSE {MINOR} END AS amount_minor, CASE WHEN o_orderkey % 3 = 0 THEN 'EUR' ELSE 'CZK' END AS currency, CASE WHEN o_orderkey % 2 = 0 THEN 'held' END AS status FROM orders WHERE o_orderkey % 11 <> 0")
+def s7_parts(spark, d):
+    k, total = F.col("o_orderkey"), F.round("o_totalprice", 2).cast("decimal(20,2)").cast("string")
+    ident = F.when(k % 11 != 0, F.concat(F.lit("P"), k.cast("string")))
+    body = F.struct(F.when(k % 2 == 0, ident).otherwise(" ").alias("id"), F.when(k % 2 == 1, ident).alias("uuid"), F.when(k % 4 == 0, total).alias("amount"), F.when(k % 4 != 2, total).alias("total"), F.when(k % 3 == 0, "EUR").alias("currency"), F.when(k % 2 == 0, " held ").otherwise("").alias("status"))
+    return P.parse_parts(read(spark, d, "orders").select(k.alias("bill"), F.to_json(body).alias("payload")), "bill")
 
 
 @query("f9_parse_timestamp", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import filters as C
 from ..operators import groups as G
 from ..operators import matching as M
 from ..operators import search as X
@@ -86,16 +87,24 @@ def p15(spark, d):
     return items(spark, d)
 
 
-@query("p11_filter_documents", "SELECT invoice_id, total_minor FROM invoice WHERE currency = 'EUR' AND total_minor > 0 AND booking_reference IS NOT NULL AND date_diff('day', doc_date, DATE '2001-12-31') BETWEEN 365 AND 1500", "invoice")
+@query("p11_filter_documents", "SELECT invoice_id, total_minor FROM invoice WHERE currency = 'EUR' AND total_minor > 0 AND booking_reference IS NOT NULL AND date_diff('day', doc_date, DATE '2001-12-31') <= 1500 AND doc_date <= DATE '2000-12-31'", "invoice")
 def p11(spark, d):
-    age = F.datediff(F.lit("2001-12-31").cast("date"), "doc_date")
-    return read(spark, d, "invoice").where("currency = 'EUR' AND total_minor > 0 AND booking_reference IS NOT NULL").where(age.between(365, 1500)).select("invoice_id", "total_minor")
+    criteria = {"currency": "EUR", "amount_from": 1, "reference": True, "days": 1500, "to": "2000-12-31"}
+    return C.filter_rows(read(spark, d, "invoice"), criteria, "DOCUMENT", F.lit("2001-12-31").cast("date")).select("invoice_id", "total_minor")
 
 
-@query("p12_filter_sources", "SELECT source_id, amount_minor FROM booking WHERE booking_reference LIKE '%7%' AND currency = 'CZK' UNION ALL SELECT source_id, amount_minor FROM card WHERE terminal = 3 AND currency = 'CZK'", "booking", "card")
+@query("p11_stored_filter", "SELECT invoice_id, total_minor FROM invoice WHERE total_minor < 0 AND total_minor >= -5000000 AND (CAST(code AS STRING) LIKE '%7%' OR invoice_id LIKE '%7%' OR internal_code LIKE '%7%' OR booking_reference LIKE '%7%')", "invoice")
+def p11_stored(spark, d):
+    """A filter as it is stored, in JSON, with a sort order; a text that is no JSON asks for nothing."""
+    stored = '{"type": "CREDIT", "text": " 7 ", "amount_from": -5000000, "currency": "", "sort": ["-total_minor", "invoice_id"]}'
+    rows = C.filter_rows(read(spark, d, "invoice"), "not JSON", "DOCUMENT")
+    return C.filter_rows(rows, stored, "DOCUMENT").select("invoice_id", "total_minor")
+
+
+@query("p12_filter_sources", "SELECT source_id, 'BOOKING' AS kind, amount_minor, currency FROM booking WHERE (booking_reference LIKE '%7%' OR payment_id LIKE '%7%') AND currency = 'CZK' AND paid_on >= DATE '1996-01-01' UNION ALL SELECT source_id, 'CARD', amount_minor, currency FROM card WHERE CAST(terminal AS STRING) LIKE '%7%' AND currency = 'CZK' AND paid_on >= DATE '1996-01-01' UNION ALL SELECT concat('K', CAST(movement_id AS STRING)), 'CASHBOOK', amount_minor, currency FROM movement WHERE kind = 'CASHBOOK' AND CAST(user_id AS STRING) LIKE '%7%' AND currency = 'CZK' AND day >= DATE '1996-01-01'", "booking", "card", "movement")
 def p12(spark, d):
-    a = read(spark, d, "booking").where(F.col("booking_reference").contains("7") & (F.col("currency") == "CZK"))
-    return a.select("source_id", "amount_minor").unionByName(read(spark, d, "card").where("terminal = 3 AND currency = 'CZK'").select("source_id", "amount_minor"))
+    cash = read(spark, d, "movement").where("kind = 'CASHBOOK'").select(F.concat(F.lit("K"), F.col("movement_id").cast("string")).alias("source_id"), "amount_minor", "currency", "day", F.col("user_id").alias("client"))
+    return C.filter_sources({"BOOKING": read(spark, d, "booking"), "CARD": read(spark, d, "card"), "CASHBOOK": cash}, {"text": "7", "currency": "CZK", "from": "1996-01-01"})
 
 
 @query("p4_booking_eligibility", "SELECT source_id, CASE WHEN status <> 'ok' THEN 'RESERVATION_STATUS' WHEN amount_minor = 0 THEN 'ZERO_AMOUNT' WHEN booking_reference IS NULL THEN 'NO_REFERENCE' ELSE 'ELIGIBLE' END AS reason FROM booking", "booking")
@@ -532,10 +541,3 @@ def x2(spark, d):
     SELECT ref, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM h JOIN f USING (asked) JOIN z USING (ref), s GROUP BY ref HAVING count(*) = 2 ORDER BY score DESC, ref LIMIT 200""")
 def x3(spark, d):
     return X.search(X.postings(read(spark, d, "part"), "p_partkey", "p_name"), "re wid", 200)
-
-
-@query("x5_related_objects", "SELECT invoice_id AS object_ref, concat('SOURCE:', source_id) AS related_ref FROM allocation WHERE active = 1 UNION SELECT invoice_id, concat('REFERENCE:', booking_reference) FROM invoice WHERE booking_reference IS NOT NULL UNION SELECT invoice_id, concat('CUSTOMER:', CAST(customer AS STRING)) FROM invoice", "invoice", "allocation")
-def x5(spark, d):
-    inv = read(spark, d, "invoice")
-    edge = lambda df, kind, col: df.select(F.col("invoice_id").alias("object_ref"), F.concat(F.lit(f"{kind}:"), F.col(col).cast("string")).alias("related_ref"))
-    return edge(read(spark, d, "allocation").where("active = 1"), "SOURCE", "source_id").union(edge(inv.where("booking_reference IS NOT NULL"), "REFERENCE", "booking_reference")).union(edge(inv, "CUSTOMER", "customer")).distinct()

@@ -42,6 +42,18 @@ def parse_bills(df: DataFrame, payload: str = "payload") -> DataFrame:
     return p.select("id", minor("total").alias("total_minor"), minor("balance", "saldo").alias("balance_minor"), S.normalize_currency(F.coalesce("currency", F.lit("CZK"))).alias("currency"), flag(F.coalesce("is_closed", "closed")).alias("closed"))
 
 
+PART = "id STRING, uuid STRING, currency STRING, amount STRING, total STRING, status STRING"
+
+
+def parse_parts(df: DataFrame, parent: str, payload: str = "payload") -> DataFrame:
+    """Bill items and security deposits: id (else uuid; rows without either are left out), amount (else total, else 0),
+    currency (CZK where missing), status (null where empty)."""
+    p = df.select(parent, F.from_json(payload, PART).alias("p")).select(parent, "p.*")
+    given = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    rows = p.withColumn("part_id", F.coalesce(given("id"), given("uuid"))).where("part_id IS NOT NULL")
+    return rows.select(parent, "part_id", S.to_minor(S.parse_decimal(F.coalesce("amount", "total", F.lit("0")))).alias("amount_minor"), S.normalize_currency(F.coalesce("currency", F.lit("CZK"))).alias("currency"), given("status").alias("status"))
+
+
 def merge_snapshots(listed: DataFrame, detail: DataFrame, key: str) -> DataFrame:
     """(key, payload map): keys of the detail record override those of the list, nulls too; without detail the list stays."""
     rows = listed.select(key, F.col("payload").alias("__l")).join(detail.select(key, F.col("payload").alias("__d")), key, "left")
