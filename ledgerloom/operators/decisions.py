@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,28 +140,31 @@ def exact_combinations(items: DataFrame, tolerance: int, days: int | None = None
     small = items.join(size.where(F.col("n") <= MOST_BLOCK), "block", "left_semi")
     schema = "block string, docs string, sources string, difference_minor long, over_limit int"
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["id", "amount_minor"] if days is None else ["id", "amount_minor", "day"]
-        sides = [list(pdf[pdf.side == s].sort_values("id")[cols].itertuples(index=False, name=None)) for s in ("DOCUMENT", "SOURCE")]
+    def search(block: str, items: list) -> list[tuple]:
+        sides = [sorted(((x["id"], int(x["amount_minor"]), x["day"]) for x in items if x["side"] == s), key=lambda x: x[0]) for s in ("DOCUMENT", "SOURCE")]
         sets = [[c for n in range(1, min(MOST_MEMBERS, len(s)) + 1) for c in combinations(s, n)] for s in sides]
-        sums = lambda c: sum(int(x[1]) for x in c)
+        sums = lambda c: sum(x[1] for x in c)
+
         def good(a, b) -> bool:
             if days is None:
                 return len({x[1] > 0 for x in (*a, *b)}) == 1
-            return sums(a) * sums(b) > 0 and any(abs((x[2] - y[2]).days) <= days for x in a for y in b if not pd.isna(x[2]) and not pd.isna(y[2]))
+            return sums(a) * sums(b) > 0 and any(abs((x[2] - y[2]).days) <= days for x in a for y in b if x[2] is not None and y[2] is not None)
 
         by_size: dict[tuple[int, int], list] = {}
         for c in sets[1]:
             for t in range(-tolerance, tolerance + 1):
                 by_size.setdefault((sums(c) + t, len(c)), []).append(c)
-        out = []
-        for a in sets[0]:
-            for n in range(1, MOST_MEMBERS + 2 - len(a)):
-                out += [(pdf.block.iloc[0], ",".join(x[0] for x in a), ",".join(x[0] for x in b), sums(a) - sums(b), 0) for b in by_size.get((sums(a), n), []) if good(a, b)]
-        return pd.DataFrame(out, columns=["block", "docs", "sources", "difference_minor", "over_limit"])
+        return [(block, ",".join(x[0] for x in a), ",".join(x[0] for x in b), sums(a) - sums(b), 0) for a in sets[0] for n in range(1, MOST_MEMBERS + 2 - len(a)) for b in by_size.get((sums(a), n), []) if good(a, b)]
+
+    def searched(batches):
+        for batch in batches:
+            rows = [r for block, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in search(block, items)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32()))], ["block", "docs", "sources", "difference_minor", "over_limit"])
 
+    # A block is one row with a list of at most MOST_BLOCK items.
+    lists = small.groupBy("block").agg(F.collect_list(F.struct("side", "id", "amount_minor", F.col("day") if days is not None else F.lit(None).cast("date").alias("day"))).alias("items"))
     over = size.where(F.col("n") > MOST_BLOCK).select("block", F.lit(None).cast("string").alias("docs"), F.lit(None).cast("string").alias("sources"), F.lit(None).cast("bigint").alias("difference_minor"), F.lit(1).alias("over_limit"))
-    return small.groupBy("block").applyInPandas(search, schema).unionByName(over)
+    return lists.mapInArrow(searched, schema).unionByName(over)
 
 
 def subset_sums(amounts: list[int], low: int, high: int) -> dict[int, tuple[int, int]] | None:
@@ -192,16 +195,21 @@ def unique_exact_subset(items: DataFrame, targets: DataFrame) -> DataFrame:
     small = items.join(size.where(F.col("lines") <= MOST_LINES), "block", "left_semi").select("block", "id", "amount_minor")
     wanted = known.where(F.col("lines") <= MOST_LINES).groupBy("block").agg(F.min("target_minor").alias("low"), F.max("target_minor").alias("high"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = sorted(zip(pdf.id, map(int, pdf.amount_minor)), key=lambda x: (-abs(x[1]), x[0]))
-        sums = subset_sums([x[1] for x in lines], int(pdf.low.iloc[0]), int(pdf.high.iloc[0]))
-        if sums is None:
-            out = [(pdf.block.iloc[0], None, None, 1)]
-        else:
-            out = [(pdf.block.iloc[0], t, ",".join(sorted(x[0] for k, x in enumerate(lines) if own >> k & 1)), 0) for t, (n, own) in sums.items() if n == 1]
-        return pd.DataFrame(out, columns=["block", "target_minor", "sources", "over_limit"]).astype({"target_minor": "Int64"})
-
-    found = small.join(wanted, "block").groupBy("block").applyInPandas(search, "block string, target_minor long, sources string, over_limit int")
+    def searched(batches):
+        for batch in batches:
+            out = []
+            for block, items, low, high in zip(*[c.to_pylist() for c in batch.columns]):
+                lines = sorted(((x["id"], int(x["amount_minor"])) for x in items), key=lambda x: (-abs(x[1]), x[0]))
+                sums = subset_sums([x[1] for x in lines], low, high)
+                if sums is None:
+                    out.append((block, None, None, 1))
+                else:
+                    out += [(block, t, ",".join(sorted(x[0] for k, x in enumerate(lines) if own >> k & 1)), 0) for t, (n, own) in sums.items() if n == 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.string(), pa.int64(), pa.string(), pa.int32()))], ["block", "target_minor", "sources", "over_limit"])
+
+    # A block is one row with a list of at most MOST_LINES lines.
+    lists = small.groupBy("block").agg(F.collect_list(F.struct("id", "amount_minor")).alias("items")).join(wanted, "block").select("block", "items", F.col("low").cast("long"), F.col("high").cast("long"))
+    found = lists.mapInArrow(searched, "block string, target_minor long, sources string, over_limit int")
     exact = known.join(found.where("over_limit = 0"), ["block", "target_minor"]).select("target_id", "sources", "over_limit")
     over = known.join(found.where("over_limit = 1").select("block"), "block", "left_semi").unionByName(known.where(F.col("lines") > MOST_LINES))
     return exact.unionByName(over.select("target_id", F.lit(None).cast("string").alias("sources"), F.lit(1).alias("over_limit")))
