@@ -2,18 +2,20 @@
 
 Bucket-pointer refinement over suffixes that are compared to `length` bytes only:
 
-* Initial buckets: the string of q = length / 2 bytes at a position. Of the q-grams that start in a window of `length`
-  bytes, the least by hash (the leftmost of equals) is the window's anchor, so equal windows have equal anchors at equal
-  offsets, and about one position in q / 2 is an anchor. Only anchors travel, each with the windows that it stands for.
-* Refinement: an anchor's bucket is split by the identifier of all the bytes under its windows. Members that still
-  share a bucket repeat each other in all these windows and are done.
+* Initial buckets: the q-gram of GRAM bytes at most at a position.
+* Refinement: the bucket of a longer string is that of its first half together with the bucket at the later offset where
+  its second half starts; each level reuses the identifiers that the level below has given, up to `length` bytes. An
+  identifier is a 64-bit hash that is equal wherever the bytes are equal, so those of a level need no shuffle.
+* Of the strings of half the length that start in a window of `length` bytes, the least by hash (the leftmost of equals) is the
+  window's anchor: equal windows have equal anchors at equal offsets, and about one position in length / 4 is an anchor.
+  Only anchors are sorted across documents, each with the windows that it stands for, by the anchor's bucket and, within
+  it, by the identifiers at the later offsets, those of the first and the last window (which cover all the bytes).
+  Members that still share a bucket repeat each other in all these windows and are done.
 * The remaining members of buckets with several parts (the ends of passages, near copies) are refined once more, window
-  by window: the bucket of the q-gram at a window's start together with that of the q-gram at the later offset q.
+  by window, by the window's own identifier.
 
-Identifiers are 64-bit hashes that are equal wherever the bytes are equal, so a bucket's identifier at a later offset
-is at hand without a shuffle; a window is identified by its anchor's bucket and its own, 128 bits together. A window
-that is met twice in a slice of texts is settled there and sent on once, so the windows of a very common passage are a
-row for each slice.
+A window is identified by its anchor's bucket and its own, 128 bits together. What is met twice in a slice of texts is
+settled there, anchors and windows alike, and sent on once, so a very common passage is a row for each slice.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ CHUNK = 1 << 17
 #: Kinds of window rows: one that only stands for others, one that waits for a partner, one that has been met.
 SHOWN, SINGLE, SETTLED = 0, 1, 2
 ROOT = 0x9E3779B97F4A7C15 | 1
+#: Longest initial q-gram; bytes of windows that are refined in one go.
+GRAM, STRETCH = 32, 1 << 21
 
 
 @lru_cache(1)
 def _tables():
     byte = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
-    n = CHUNK + 2 * LENGTH + 2
+    n = 4 * CHUNK + STRETCH
     with np.errstate(over="ignore"):
         power = np.cumprod(np.r_[np.uint64(1), np.full(n, ROOT, np.uint64)])
         back = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(ROOT, -1, 1 << 64), np.uint64)])
@@ -50,22 +54,33 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _sums(raw: np.ndarray) -> np.ndarray:
-    byte, power, _ = _tables()
-    return np.r_[np.uint64(0), np.cumsum(byte[raw] * power[: len(raw)])]
+def identifiers(raw: np.ndarray, length: int) -> np.ndarray:
+    """Bucket identifiers of the strings of `length` bytes at every position, from those of half the length."""
+    n = max(0, len(raw) - length + 1)
+    if length <= GRAM:
+        byte, power, back = _tables()
+        sums = np.r_[np.uint64(0), np.cumsum(byte[raw] * power[: len(raw)])]
+        return _mixed((sums[length : length + n] - sums[:n]) * back[:n])
+    half = -(-length // 2)
+    below = identifiers(raw, half)
+    return _refined(below[:n], below[length - half : length - half + n])
+
+
+def _refined(first: np.ndarray, later: np.ndarray) -> np.ndarray:
+    x = first * np.uint64(ROOT) + later
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def anchors(text: bytes, length: int):
     """For each anchor: its bucket, the identifier of all bytes under its windows, the first window, their number, the anchor's place."""
-    q, found = length // 2, []
+    half, found = -(-length // 2), []
     raw = np.frombuffer(text, np.uint8)
-    _, _, back = _tables()
-    w = length - q + 1
+    w = length - half + 1
     for c in range(0, len(raw) - length + 1, CHUNK):
         m = min(CHUNK, len(raw) - length + 1 - c)
-        sums = _sums(raw[c : c + m + length - 1])
-        n = m + w - 1
-        grams = _mixed((sums[q:] - sums[:-q])[:n] * back[:n])
+        grams = identifiers(raw[c : c + m + length - 1], half)
+        n = len(grams)
+        whole = _refined(grams[:m], grams[w - 1 : w - 1 + m])
         packed = np.full(-(-n // w) * w, ~np.uint64(0))
         packed[:n] = (grams & ~np.uint64(0x3FFFF)) | np.arange(n, dtype=np.uint64)
         rows = packed.reshape(-1, w)
@@ -74,23 +89,35 @@ def anchors(text: bytes, length: int):
         cut = np.flatnonzero(at[1:] != at[:-1]) + 1
         lo, hi = np.r_[0, cut], np.r_[cut, m]
         place = at[lo] - lo
-        under = (sums[hi - 1 + length] - sums[lo]) * back[lo]
-        under = _mixed(under + _mixed((place << 20 | (hi - lo)).astype(np.uint64)))
+        under = _mixed(_refined(_mixed(whole[lo]), whole[hi - 1]) + _mixed((place << 20 | (hi - lo)).astype(np.uint64)))
         found.append((grams[at[lo]], under, lo + c, hi - lo, place))
     return found
 
 
-def windows(text: bytes, lo: int, n: int, length: int) -> np.ndarray:
-    """Identifiers of n windows from lo on: the bucket of the q-gram at the start with that at the later offset q."""
-    q = length // 2
-    sums = _sums(np.frombuffer(text, np.uint8)[lo : lo + n + length - 1])
-    _, _, back = _tables()
-    first = (sums[q : q + n] - sums[:n]) * back[:n]
-    later = (sums[length : length + n] - sums[q : q + n]) * back[q : q + n]
-    return _mixed(_mixed(first) + later)
+def windows(stretches: list[bytes], length: int) -> list[np.ndarray]:
+    """Identifiers of the windows of each stretch of bytes, many stretches at once."""
+    out, at = [], 0
+    while at < len(stretches):
+        size = np.cumsum([len(x) for x in stretches[at : at + 4096]])
+        n = max(1, int(np.searchsorted(size, STRETCH, "right")))
+        found, start = identifiers(np.frombuffer(b"".join(stretches[at : at + n]), np.uint8), length), 0
+        for x in stretches[at : at + n]:
+            out.append(found[start : start + len(x) - length + 1])
+            start += len(x)
+        at += n
+    return out
+
+
+def _twice(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a double by (a, b), and which are the first of their kind."""
+    _, at, back, many = np.unique(_mixed(a) + b, return_index=True, return_inverse=True, return_counts=True)
+    first = np.zeros(len(a), bool)
+    first[at] = True
+    return many[back] > 1, first
 
 
 def _anchor_rows(batches, length):
+    """Anchors to match elsewhere; of those met twice in a slice, one that only shows, and all of them as settled."""
     import pyarrow as pa
 
     for batch in batches:
@@ -99,33 +126,39 @@ def _anchor_rows(batches, length):
             out = []
             for k, text in enumerate(arrow_bytes(part.column(1))):
                 out += [(*x, np.full(len(x[0]), ids[k]), np.full(len(x[0]), own[k])) for x in anchors(text, length)]
-            if out:
-                a, e, lo, n, place, i, o = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(e.view(np.int64)), pa.array(i), pa.array(o), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["a", "e", "id", "own", "lo", "n", "place"])
+            if not out:
+                continue
+            a, e, lo, n, place, i, o = (np.concatenate(x) for x in zip(*out))
+            twice, first = _twice(a, e)
+            sent = ~twice | first
+            kind = np.r_[np.where(twice[sent], SHOWN, SINGLE).astype(np.int8), np.full(twice.sum(), SETTLED, np.int8)]
+            # Settled rows need no partner: keys of their own spread them.
+            apart = _mixed(_mixed(o[twice].view(np.uint64) + i[twice].view(np.uint64)) + lo[twice].astype(np.uint64))
+            a, e = np.r_[a[sent], apart], np.r_[e[sent], apart]
+            i, o, lo, n, place = (np.r_[c[sent], c[twice]] for c in (i, o, lo, n, place))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(e.view(np.int64)), pa.array(i), pa.array(o), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(kind)], ["a", "e", "id", "own", "lo", "n", "place", "kind"])
 
 
 def _window_rows(batches, length):
-    """Rows (text, id, own, todo) -> windows to match elsewhere; of those met twice in a slice, one, and the others as settled."""
+    """Rows (text, id, own, todo) -> windows to match elsewhere; of those met twice in a slice, one that only shows, and those that asked as settled."""
     import pyarrow as pa
 
     for batch in batches:
         for part in pieces(batch, 4 << 20):
-            out = []
+            out, stretches = [], []
             for text, i, o, todo in zip(opened(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
                 for x in todo:
                     n = x["n"]
-                    out.append((np.full(n, x["a"]), _mixed(windows(text, x["lo"], n, length) + np.arange(x["place"], x["place"] - n, -1).astype(np.uint64)).view(np.int64), np.full(n, i), np.full(n, o), np.arange(x["lo"], x["lo"] + n, dtype=np.int32), np.full(n, x["single"])))
+                    stretches.append(text[x["lo"] : x["lo"] + n + length - 1])
+                    out.append((np.full(n, x["a"]), np.arange(x["place"], x["place"] - n, -1), np.full(n, i), np.full(n, o), np.arange(x["lo"], x["lo"] + n, dtype=np.int32), np.full(n, x["single"])))
             if not out:
                 continue
-            a, h, i, o, lo, single = (np.concatenate(x) for x in zip(*out))
-            _, at, back, many = np.unique(_mixed(a.view(np.uint64)) + h.view(np.uint64), return_index=True, return_inverse=True, return_counts=True)
-            twice = many[back] > 1
-            settled = single & twice
-            sent = ~twice
-            sent[at] = True
-            single = single & ~twice
+            a, place, i, o, lo, single = (np.concatenate(x) for x in zip(*out))
+            h = _mixed(np.concatenate(windows(stretches, length)) + place.astype(np.uint64)).view(np.int64)
+            twice, first = _twice(a.view(np.uint64), h.view(np.uint64))
+            settled, sent = single & twice, ~twice | first
+            kind = np.r_[(single & ~twice)[sent].astype(np.int8), np.full(settled.sum(), SETTLED, np.int8)]
             # Settled rows need no partner: a key of their own (text, place) spreads them.
-            kind = np.r_[single[sent].astype(np.int8), np.full(settled.sum(), SETTLED, np.int8)]
             a, h = np.r_[a[sent], o[settled]], np.r_[h[sent], lo[settled]]
             i, o, lo = (np.r_[c[sent], c[settled]] for c in (i, o, lo))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, h, i, o, lo, kind)], ["a", "h", "id", "own", "lo", "kind"])
@@ -163,13 +196,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own is a hash of the text, so rows that repeat an id are told apart; a row that occurs twice repeats itself. Null
     and empty texts and those of fewer than `length` bytes have no span. Ranges may overlap and are in no order.
     """
-    found = _texts(docs, id_col, text_col).select("id", "text", "own").mapInArrow(lambda b: _anchor_rows(b, length), "a long, e long, id long, own long, lo int, n int, place int")
+    found = _texts(docs, id_col, text_col).select("id", "text", "own").mapInArrow(lambda b: _anchor_rows(b, length), "a long, e long, id long, own long, lo int, n int, place int, kind byte")
     # One shuffle on the bucket serves all three; a bucket's rows stream and spill, none is held in memory.
     bucket, part = Window.partitionBy("a"), Window.partitionBy("a", "e")
-    met = found.withColumns({"members": F.count("*").over(part), "nth": F.row_number().over(part.orderBy("id", "own", "lo")), "all": F.count("*").over(bucket)}).where("all > 1")
+    met = found.withColumns({"members": F.count("*").over(part), "nth": F.row_number().over(part.orderBy("id", "own", "lo")), "all": F.count("*").over(bucket)}).where(f"all > 1 OR kind = {SETTLED}")
     met = written(met, "anchors")
-    done = met.where("members > 1").select("id", "own", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi"))
-    todo = met.where("`all` > members AND nth = 1").groupBy("id", "own").agg(F.collect_list(F.struct("a", "lo", "n", "place", (F.col("members") == 1).alias("single"))).alias("todo"))
+    # Rows that only show have a settled row besides.
+    done = met.where(f"kind = {SETTLED} OR (kind = {SINGLE} AND members > 1)").select("id", "own", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi"))
+    todo = met.where(f"kind <> {SETTLED} AND `all` > members AND nth = 1").groupBy("id", "own").agg(F.collect_list(F.struct("a", "lo", "n", "place", F.expr(f"members = 1 AND kind = {SINGLE}").alias("single"))).alias("todo"))
     finer = packed_texts(docs, id_col, text_col).join(todo, ["id", "own"]).select("packed", "id", "own", "todo").mapInArrow(lambda b: _window_rows(b, length), "a long, h long, id long, own long, lo int, kind byte")
     finer = finer.withColumn("many", F.count("*").over(Window.partitionBy("a", "h")))
     more = finer.where(f"kind = {SETTLED} OR (kind = {SINGLE} AND many > 1)").select("id", "own", "lo", (F.col("lo") + length).alias("hi"))
