@@ -14,8 +14,6 @@ BANK_HEADERS = ["Typ transakce", "ID Terminálu", "ID POS", "Datum a čas vzniku
 BOOKING_HEADERS = ["Typ faktury", "Číslo rezervace", "Datum příjezdu", "Checkout", "Jméno hosta", "Poskytovatel platebních služeb", "Status rezervace", "Status platby", "Měna", "Částka", "Datum vyplacení částky", "ID platby"]
 CASHBOOK_HEADERS = ["Vystaveno", "Pohyb", "Číslo", "Označení", "Klient", "Příjem", "Výdaj", "Stav pokladny", "Měna", "Forma úhrady", "Pokladna", "Variabilní symbol", "Vystavil"]
 HEADER_ROWS = 50
-#: Columns that are looked at; a title line above the header has fewer.
-MOST_COLUMNS = 64
 
 
 def header_key(x: str | None) -> str:
@@ -29,7 +27,9 @@ def read_table(spark: SparkSession, path: str, required: list[str], header_rows:
 
     The header is the first of the top `header_rows` rows that has every required name; without one the file is refused.
     """
-    schema = ", ".join(f"_c{i} string" for i in range(MOST_COLUMNS))
+    # As many columns as the first lines have commas; a title line above the header has fewer.
+    top = spark.read.text(path).limit(4 * HEADER_ROWS).agg(F.max(F.regexp_count("value", F.lit(",")))).first()[0]
+    schema = ", ".join(f"_c{i} string" for i in range((top or 0) + 1))
     raw = spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=True, encoding="UTF-8")
     raw = raw.withColumn("__at", F.monotonically_increasing_id())
     want = {header_key(h): h for h in required}
