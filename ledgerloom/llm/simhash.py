@@ -31,6 +31,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
 #: Rows of a key that are compared in one go; larger keys are split into pairs of such blocks.
 BLOCK = 1024
+#: Fingerprints whose keys a task works out: a fingerprint has about 100 keys.
+PRINTS_A_TASK = 8192
 
 
 @lru_cache(1)
@@ -119,9 +121,31 @@ def _keys(batches):
     import pyarrow as pa
 
     for batch in batches:
-        node, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        keys, rows = fingerprint_keys(prints)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), pa.array(prints[rows])], ["key", "node", "print"])
+        prints = batch.column(0).to_numpy(zero_copy_only=False)
+        for at in range(0, len(prints), PRINTS_A_TASK):
+            keys, rows = fingerprint_keys(prints[at : at + PRINTS_A_TASK])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(prints[at + rows])], ["key", "node"])
+
+
+def met_rows(batches):
+    """Rows (key, node) sorted by both -> those of keys with at least two rows, with the key's first node as low."""
+    import pyarrow as pa
+
+    alone, last, low_of_last = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node = (batch.column(i).to_numpy() for i in (0, 1))
+        if alone is not None:
+            key, node = np.r_[alone[0], key], np.r_[alone[1], node]
+        start = np.r_[True, key[1:] != key[:-1]]
+        run, first = np.cumsum(start) - 1, np.flatnonzero(start)
+        low, met = node[first][run], np.bincount(run)[run] > 1
+        if key[0] == last:  # the run began in an earlier batch
+            low[run == 0], met[run == 0] = low_of_last, True
+        alone = None if met[-1] else (key[-1:], node[-1:])
+        last, low_of_last = (key[-1], low[-1]) if met[-1] else (None, None)
+        yield pa.RecordBatch.from_arrays([pa.array(x[met]) for x in (key, node, low)], ["key", "node", "low"])
 
 
 def spanning_links(node: np.ndarray, prints: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -140,12 +164,13 @@ def spanning_links(node: np.ndarray, prints: np.ndarray, bits: int) -> list[tupl
 
 
 def _links(batches, bits):
-    """Sorted rows (key, block, node, print) -> links within each (key, block)."""
+    """Sorted rows (key, block, print) -> links of prints within each (key, block)."""
     import pyarrow as pa
 
-    def done(key, block, node, prints):
+    def done(key, block, node):
         if not len(key):
             return
+        prints = node.view(np.uint64)
         cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
         starts, ends = np.r_[0, cut], np.r_[cut, len(key)]
         size, u, v = ends - starts, [], []
@@ -166,8 +191,7 @@ def _links(batches, bits):
 
     kept = None
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        cols[3] = cols[3].view(np.uint64)
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         if kept is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(kept, cols)]
         if not len(cols[0]):
@@ -194,14 +218,16 @@ def fingerprint_components(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"the segments cover at most {MAX_BITS} differing bits")
     nodes = written(prints.groupBy("print").agg(F.min("id").alias("node")), "nodes")
-    keys = nodes.select("node", "print").mapInArrow(_keys, "key long, node long, print long")
-    many = keys.groupBy("key").count().where("count > 1")
-    met = keys.join(many, "key").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
-    met = met.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own))).alias("block"), "node", "print")
-    links = met.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(lambda b: _links(b, bits), "u long, v long")
-    found = connected_components(links)
-    return nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
+    spread = nodes.select("print").repartition(max(1, -(-nodes.count() // PRINTS_A_TASK)), "print")
+    keys = spread.mapInArrow(_keys, "key long, node long")
+    met = written(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met_rows, "key long, node long, low long").select("key", "node"), "met")
+    many = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = met.join(written(many, "many").hint("merge"), "key").select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own))).alias("block"), "node")
+    links = dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(lambda b: _links(b, bits), "u long, v long")
+    found = written(nodes.join(connected_components(links).select(F.col("node").alias("print"), F.col("component").alias("top")).hint("merge"), "print", "left").withColumn("top", F.coalesce("top", "print")), "found")
+    lows = written(found.groupBy("top").agg(F.min("node").alias("component")), "lows")
+    return found.join(lows.hint("merge"), "top").select("print", "component")
 
 
 def simhash_near_duplicates(docs: DataFrame, words: int = 4, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,4 +237,4 @@ def simhash_near_duplicates(docs: DataFrame, words: int = 4, bits: int = MAX_BIT
     an id each give a row; no rows give no rows; other columns are not looked at.
     """
     prints = written(fingerprints(docs, words, id_col, text_col), "prints")
-    return prints.join(fingerprint_components(prints, bits), "print").select("id", "print", "component")
+    return prints.join(written(fingerprint_components(prints, bits), "components").hint("merge"), "print").select("id", "print", "component")
