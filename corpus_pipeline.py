@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, linededup, mixing, quality, shingles
-from ledgerloom.llm.common import NULL_ID, table, written
+from ledgerloom.llm.common import NULL_ID, marked, table, written
 
 
 def _kept(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,8 +35,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows that repeat an id all stay or go together, but exact repeats stay once.
     """
     found = written(shingles.similar_components(docs.select("doc_id", "text")), "near")
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    rows = rows.join(found.where("id = component").select(F.col("id").alias("__id")).distinct(), "__id", "left_semi").select(*docs.columns)
+    gone = written(found.where("id <> component").select("id").distinct(), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"))
+    rows = marked(rows, gone).where("not marked").select("row.*")
     repeated = found.groupBy("id").count().where("count > 1")
     return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 
@@ -59,7 +60,7 @@ STAGES = [
     ("byte-level BPE", token_stage),
 ]
 
-#: The n-gram ratios and fingerprints rest on xxHash64, which SQL has not; tests hold run() against brute force.
+#: The n-gram ratios rest on xxHash64, which SQL has not; tests work the stages out by hand.
 ORACLE_SQL = None
 
 

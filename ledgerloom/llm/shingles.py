@@ -1,12 +1,21 @@
 """Near-duplicates by the Jaccard similarity of word shingles, found by soft Golay decoding of long SimHashes.
 
 Two texts whose shingle sets have a similarity of 0.8 differ in 15 % of their SimHash bits: about 10 of 64, which keys
-for few differing bits do not reach. Here the SimHash has 1,104 bits, each with its margin (how far the vote was from a
-tie), cut into 48 segments of 23 bits. A segment is decoded to the CODEWORDS nearest codewords of the Golay code by
-its margins: the WEAK least certain bits are flipped in every way, each trial is decoded to its one nearest codeword,
-and codewords count by the margins of the bits in which they differ. Each of the TABLES takes three segments; the KEYS best
-triples of codewords are its keys. A pair is missed only if all tables miss it: of 1,500 simulated pairs 6 at a
-similarity of 0.8 and 1 at 0.82. Texts that meet under a key are verified on their whole shingle sets.
+for few differing bits do not reach. Here the SimHash has 1,152 bits, each with its margin (how far the vote was from a
+tie); 1,104 of them are cut into 48 segments of 23 bits. A segment is decoded to the CODEWORDS nearest codewords of the
+Golay code by its margins: the WEAK least certain bits are flipped in every way, each trial is decoded to its one nearest
+codeword, and codewords count by the margins of the bits in which they differ. Each of the TABLES takes three segments;
+the KEYS best triples of codewords are its keys. A pair is missed only if all tables miss it: of 1,500 simulated pairs 6
+at a similarity of 0.8 and 1 at 0.82.
+
+Texts that meet under a key form, with all that meet the same smallest text under any key, a group: a text is a row for
+each such smallest text, not for each key. Texts of a group are verified on their whole shingle sets, never all pairs:
+first each text with the smallest one that it most often meets, so a family around one text is linked by as many pairs as
+it has members. Groups whose smallest texts that has connected become one. Then, only in groups whose members are still
+in several components, the pairs of different components that differ in at most LIMIT bits of the SimHash; of those within SURE bits, presumed to be similar, only a spanning tree.
+Where a presumed pair fails, the groups of its texts are gone through again without what has been tested, until none
+fails. At a similarity of 0.8 a pair differs in 174 bits of 1,152 on average, with a deviation of 12, so LIMIT loses about
+1 of 200 pairs right at 0.8. What lies between SURE and LIMIT and is not yet connected is verified pair by pair.
 """
 
 from __future__ import annotations
@@ -18,17 +27,19 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, keyed, pieces, written
+from .common import arrow_bytes, keyed, marked, pieces, written
 from .components import connected_components
-from .simhash import golay_tables
+from .simhash import golay_tables, met_rows
 
 TABLES, CODEWORDS, WEAK, KEYS = 16, 4, 4, 16
 SEGMENTS, WIDTH = 3 * TABLES, 23
 LANES = -(-SEGMENTS * WIDTH // 64)
 #: Odd multipliers that turn a shingle's hash into the bits of each lane.
 LANE_FACTORS = np.random.default_rng(1).integers(1, 2**63, LANES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-#: Rounds of links: one partner for each row, again, then HUBS members of different components for each key, then all.
-HUBS = 16
+#: Pairs with more differing bits than LIMIT are not verified, those within SURE are presumed to be similar.
+LIMIT, SURE = 205, 150
+#: Members of a group that are compared in one go; larger groups are dealt as pairs of such blocks.
+BLOCK = 2048
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -47,7 +58,7 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
 
 
 def margins(hashes: np.ndarray) -> np.ndarray:
-    """Votes of a shingle set for each bit (positive: 1), as a matrix of segments."""
+    """Votes of a shingle set for each bit (positive: 1)."""
     ones, step = np.zeros(LANES * 64, np.int64), 1 << 12
     for i in range(0, len(hashes), step):
         x = hashes[i : i + step, None] * LANE_FACTORS
@@ -55,7 +66,11 @@ def margins(hashes: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
         ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(0, dtype=np.int64)
-    return (2 * ones - len(hashes))[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
+    return 2 * ones - len(hashes)
+
+
+def segments(votes: np.ndarray) -> np.ndarray:
+    return votes[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
 
 
 @lru_cache(1)
@@ -96,13 +111,14 @@ def soft_keys(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.reshape(n, -1), np.isfinite(np.take_along_axis(total, best, 2)).reshape(n, -1)
 
 
-def _digests(batches, words):
+def _digests(batches):
+    """Digests of the sequences of words: equal ones have equal shingles."""
     import pyarrow as pa
     import xxhash
 
     for batch in batches:
         for part in pieces(batch, 4 << 20):
-            sums = [xxhash.xxh3_128_digest(shingle_set(x, words).tobytes()) for x in arrow_bytes(part.column(1))]
+            sums = [xxhash.xxh3_128_digest(b" ".join(x.lower().split())) for x in arrow_bytes(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums, pa.binary())], ["id", "digest"])
 
 
@@ -114,39 +130,25 @@ def _keys(batches, words):
             for at in range(0, part.num_rows, 256):
                 rows = part.slice(at, 256)
                 sets = [shingle_set(x, words) for x in arrow_bytes(rows.column(1))]
-                keys, ok = soft_keys(np.stack([margins(x) for x in sets]))
+                keys, ok = soft_keys(np.stack([segments(margins(x)) for x in sets]))
                 ok &= np.array([len(x) > 0 for x in sets])[:, None]
                 node = np.repeat(rows.column(0).to_numpy(), ok.sum(1))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(node)], ["key", "node"])
 
 
-def _met(batches):
-    """Rows (key, node) sorted by key -> those of keys with at least two rows."""
-    import pyarrow as pa
-
-    last, alone = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, node = (batch.column(i).to_numpy() for i in (0, 1))
-        if alone is not None:
-            key, node = np.r_[alone[0], key], np.r_[alone[1], node]
-        same = key[1:] == key[:-1]
-        met = np.r_[key[0] == last, same] | np.r_[same, False]
-        alone = None if met[-1] else (key[-1:], node[-1:])
-        last = key[-1] if met[-1] else (key[-2] if len(key) > 1 else last)
-        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(node[met])], ["key", "node"])
-
-
 def _sets(batches, words):
+    """(node, shingles, bits): the whole set, and its SimHash."""
     import pyarrow as pa
 
     for batch in batches:
         for part in pieces(batch, 4 << 20):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x, words).tobytes() for x in arrow_bytes(part.column(1))], pa.binary())], ["node", "shingles"])
+            sets = [shingle_set(x, words) for x in arrow_bytes(part.column(1))]
+            bits = [np.packbits(margins(x) > 0).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(bits, pa.binary())], ["node", "shingles", "bits"])
 
 
 def _verified(batches, similarity):
+    """Rows (u, v, shingles of u, shingles of v) -> the pairs of at least this similarity."""
     import pyarrow as pa
 
     for batch in batches:
@@ -159,63 +161,121 @@ def _verified(batches, similarity):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
 
-def _open_keys(met: DataFrame, links: DataFrame | None) -> DataFrame:
-    """met (key, node) with components, without the keys whose members are all in one."""
-    rows = met.withColumn("component", F.col("node"))
-    if links is not None:
-        rows = met.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = written(rows.select("key", "node", "component"), "labelled")
-    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return rows.join(spread, "key")
+def near_pairs(node: np.ndarray, component: np.ndarray, bits: np.ndarray, tested: list):
+    """Pairs (row, row, presumed) of a group that are to be verified: see above. bits: a matrix of 64-bit words."""
+    n, out = len(node), []
+    far, step = np.empty((n, n), np.uint16), max(1, (1 << 20) // n)
+    for i in range(0, n, step):
+        far[i : i + step] = sum(np.bitwise_count(bits[i : i + step, None, lane] ^ bits[None, :, lane]).astype(np.uint16) for lane in range(bits.shape[1]))
+    far[component[:, None] == component[None, :]] = LIMIT + 1
+    for k in range(n):
+        if tested[k]:
+            gone = np.isin(node, tested[k])
+            far[k, gone] = far[gone, k] = LIMIT + 1
+    if far.min() > LIMIT:
+        return out
+    cluster, left = np.arange(n), far.min(1) <= SURE
+    for start in np.flatnonzero(left):
+        front = [start] if left[start] else []
+        left[start] = False
+        while front:
+            at = front.pop()
+            new = np.flatnonzero(left & (far[at] <= SURE))
+            left[new], cluster[new] = False, start
+            front += new.tolist()
+            out.append((np.full(len(new), at), new, np.ones(len(new), bool)))
+    a, b = np.nonzero(np.triu(far <= LIMIT, 1))
+    apart = cluster[a] != cluster[b]
+    return [*out, (a[apart], b[apart], np.zeros(int(apart.sum()), bool))]
+
+
+def _pairs(batches):
+    """Rows (key, block, node, component, bits, tested) sorted by key and block -> (u, v, presumed)."""
+    import pyarrow as pa
 
+    def done(rows):
+        node, component = (np.array([r[i] for r in rows]) for i in (2, 3))
+        found = near_pairs(node, component, np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1), [r[5] for r in rows])
+        if found:
+            a, b, presumed = (np.concatenate(x) for x in zip(*found))
+            u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            for i in range(0, len(u), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (u, v, presumed)], ["u", "v", "presumed"])
 
-def _candidates(rows: DataFrame, kind: str) -> DataFrame:
-    """Pairs (u, v) of members of different components that meet under an open key."""
-    if kind == "one":
-        pairs = rows.where("component <> low").groupBy("node").agg(F.min("low").alias("other"))
-    else:
-        others = rows.groupBy("key", "component").agg(F.min("node").alias("other"))
-        if kind == "hubs":
-            others = others.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("other"))).where(F.col("n") <= HUBS)
-        else:
-            others = rows.select("key", "component", F.col("node").alias("other"))
-        others = others.select("key", "other", F.col("component").alias("theirs"))
-        pairs = rows.join(others, "key").where("component < theirs" if kind == "all" else "component <> theirs").select("node", "other")
-    return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    rows = []
+    for batch in batches:
+        for r in zip(*[c.to_pylist() for c in batch.columns]):
+            if rows and rows[-1][:2] != r[:2]:
+                yield from done(rows)
+                rows = []
+            rows.append(r)
+    if rows:
+        yield from done(rows)
+
+
+def _first_pairs(meets: DataFrame) -> DataFrame:
+    """Each node with the low that it most often meets."""
+    often = meets.where("node <> low").groupBy("node").agg(F.max(F.struct("n", (-F.col("low")).alias("other"))).alias("best"))
+    return often.select((-F.col("best.other")).alias("u"), F.col("node").alias("v"))
+
+
+def _near_pairs(meets: DataFrame, sets: DataFrame, found: DataFrame, tested: DataFrame, failed: DataFrame | None) -> DataFrame:
+    """(u, v, presumed) of the groups whose members are in several components; with `failed` pairs, of their texts' groups."""
+    if failed is not None:
+        nodes = failed.select("u").union(failed.select("v")).distinct().withColumnRenamed("u", "node")
+        again = written(meets.join(nodes.hint("merge"), "node", "left_semi").select("low").distinct(), "again")
+        meets = meets.join(again.hint("merge"), "low", "left_semi")
+    rows = meets.select(F.col("low").alias("key"), "node").join(written(connected_components(found), "labels").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = written(rows.select("key", "node", "component"), "labelled")
+    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    rows = rows.join(written(spread.select("key", "n"), "spread").hint("merge"), "key")
+    before = tested.select("u", "v").union(tested.select("v", "u")).groupBy("u").agg(F.collect_list("v").alias("tested"))
+    known = written(sets.select(F.col("node").alias("u"), "bits").dropDuplicates(["u"]).join(before.hint("merge"), "u", "left").withColumnRenamed("u", "node"), "known")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = rows.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.least(x, own) * blocks + F.greatest(x, own))))
+    rows = rows.join(known.hint("merge"), "node").select("key", "block", "node", "component", "bits", "tested")
+    pairs = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_pairs, "u long, v long, presumed boolean")
+    return pairs.groupBy("u", "v").agg(F.max("presumed").alias("presumed"))
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: (id, digest, component), the digest of its shingle set and the smallest id that
+    """One row for each row of docs: (id, digest, component), the digest of its sequence of words and the smallest id that
     links of at least `similarity` reach.
 
-    Links are judged on the whole sets of distinct shingles. Rows with equal sets count once, texts without a word
+    Links are judged on the whole sets of distinct shingles. Rows with equal sequences count once, texts without a word
     (null, empty) are copies of each other; a null id counts as the smallest; rows that repeat an id are copies of each
-    other; no rows give no rows; other columns are not looked at.
-
-    Not all pairs that meet are verified: two rounds take one partner for each row, the next one a few hubs for each key,
-    and the last one all pairs that meet and are still in different components. So no link that matters to the
-    components is lost, and a large group of near copies is joined by its hubs, without all its pairs.
+    other; no rows give no rows; other columns are not looked at. Texts are shuffled only where an id may be a copy's or
+    has met another one (see marked).
     """
     texts = keyed(docs, id_col, text_col, "text")
-    nodes = written(texts.mapInArrow(lambda b: _digests(b, words), "id long, digest binary"), "digests")
-    same = nodes.groupBy("digest").agg(F.min("id").alias("v")).join(nodes, "digest").select(F.col("id").alias("u"), "v")
-    links = same.where("u <> v")
-    chosen = nodes.groupBy("digest").agg(F.min("id").alias("id")).select("id").distinct()
-    keys = texts.join(chosen, "id", "left_semi").mapInArrow(lambda b: _keys(b, words), "key long, node long")
-    met = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key long, node long"), "met")
-    members = met.select(F.col("node").alias("id")).distinct()
-    sets = written(texts.join(members, "id", "left_semi").mapInArrow(lambda b: _sets(b, words), "node long, shingles binary"), "sets")
-    one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
-    tested, found = None, None
-    for kind in ("one", "one", "hubs", "all"):
-        pairs = _candidates(_open_keys(met, found), kind)
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty() and kind != "one":
-            continue
-        new = written(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(lambda b: _verified(b, similarity), "u long, v long"), "links")
-        tested = pairs if tested is None else tested.union(pairs)
+    nodes = written(texts.mapInArrow(_digests, "id long, digest binary"), "digests")
+    lows = written(nodes.groupBy("digest").agg(F.min("id").alias("v")), "lows")
+    links = written(nodes.join(lows.hint("merge"), "digest").where("id <> v").select(F.col("id").alias("u"), "v"), "copies")
+    copies = written(links.select("u").distinct().join(lows.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_anti"), "copied")
+    keys = marked(texts, copies).where("not marked").select("id", "text").mapInArrow(lambda b: _keys(b, words), "key long, node long")
+    met = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met_rows, "key long, node long, low long")
+    meets = written(met.groupBy("low", "node").agg(F.count("*").alias("n")), "meets")
+    members = written(meets.select("node").distinct(), "members")
+    sets = written(marked(texts, members).where("marked").select("id", "text").mapInArrow(lambda b: _sets(b, words), "node long, shingles binary, bits binary"), "sets")
+    one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)).hint("merge") for n, s in (("u", "a"), ("v", "b")))
+    tested = pairs = written(_first_pairs(meets).withColumn("presumed", F.lit(False)), "pairs")
+    found, failed = None, None
+    while not pairs.isEmpty():
+        # The other one first: a node that many pairs share comes last, and its set is not shuffled for each of them.
+        new = written(pairs.select("u", "v").join(two, "v").join(one, "u").select("u", "v", "a", "b").mapInArrow(lambda b: _verified(b, similarity), "u long, v long"), "links")
+        if found is not None:
+            failed = written(pairs.where("presumed").join(new, ["u", "v"], "left_anti").select("u", "v"), "failed")
+            if failed.isEmpty():
+                found = found.union(new)
+                break
+        else:  # groups of the same component's smallest texts are one group from here on
+            tops = written(connected_components(new), "tops").select(F.col("node").alias("low"), F.col("component").alias("top"))
+            meets = written(meets.join(tops.hint("merge"), "low", "left").select(F.coalesce("top", "low").alias("low"), "node").distinct(), "meets")
         found = new if found is None else found.union(new)
-    groups = connected_components(links.union(found))
-    return nodes.join(groups, nodes["id"] == groups["node"], "left").select("id", "digest", F.coalesce("component", "id").alias("component"))
+        pairs = written(_near_pairs(meets, sets, found, tested, failed), "pairs")
+        tested = tested.union(pairs)
+    if found is not None:
+        links = links.union(found)
+    groups = written(connected_components(links), "groups")
+    return nodes.join(groups.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", "digest", F.coalesce("component", "id").alias("component"))
