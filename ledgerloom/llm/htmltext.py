@@ -1,17 +1,23 @@
 """Main text of web pages by deducing each host's template from equivalence classes of its tokens.
 
-Tokens are elements (tags with their class or id, numbers of three digits and more as #). Those found exactly once on
-most pages of a host are its template, as are the texts of whole blocks there. A block's text lies on a path of elements; texts are counted by path with map-side
-sums, so a host with a third of all pages is as many small rows as there are tasks, and pages are parsed twice. The
-container is the article or main element with most of the text, else the innermost element of the template that leaves
-no text of its host outside but links and named boilerplate. A name makes boilerplate only of what holds little of the text.
-What is returned are the slots: the container's blocks that are no template text.
+Tokens are elements (tags with their class or id, numbers of three digits and more as #) and the texts of whole blocks. A
+token's occurrence vector, how often each page of its host has it, is kept as the sum of a hash for each page and count,
+so tokens with equal sums occur alike and form a class; sums survive pages without an id and repeated ones, and add up
+on the map side, so a host with a third of all pages is as many small rows as there are tasks. Pages are parsed twice.
+
+The template is made of the classes that most pages support (elements found exactly once, texts) and, nested below them,
+the classes that only some pages have but in which an element and the text directly under it occur alike: wherever the
+element stands, it holds this text. The container is the article or main element with most of the text, else the
+innermost element of the template that leaves no text of its host outside but links and named boilerplate. A name makes
+boilerplate only of what holds little of the text. What is returned are the slots: the container's blocks that are no
+template text.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +48,13 @@ SECTIONS = frozenset("article main section div td body html".split())
 NUMBER = re.compile(r"[0-9]{3,}")
 
 
+@lru_cache(1 << 16)
+def opened(tag: str, attributes: str) -> tuple[str, bool]:
+    """Token of an opening tag, and whether it or its name says boilerplate."""
+    name = NUMBER.sub("#", " ".join(a or b or c for a, b, c in NAME.findall(attributes)).replace("\x1f", " ")) if attributes else ""
+    return f"<{tag}{' ' + name if name else ''}>", tag in BOILERPLATE or bool(name and tag not in ("html", "body", "article", "main") and NAMED.search(name))
+
+
 def parts(page: str):
     """('text', text), ('open', tag, token, boilerplate) and ('close', tag, token, False) in page order."""
     last = 0
@@ -54,8 +67,7 @@ def parts(page: str):
             if m[2]:
                 yield ("close", tag, f"</{tag}>", False)
             else:
-                name = NUMBER.sub("#", " ".join(a or b or c for a, b, c in NAME.findall(m[4])).replace("\x1f", " ")) if m[4] else ""
-                yield ("open", tag, f"<{tag}{' ' + name if name else ''}>", tag in BOILERPLATE or bool(name and tag not in ("html", "body", "article", "main") and NAMED.search(name)))
+                yield ("open", tag, *opened(tag, m[4]))
     if last < len(page):
         yield ("text", page[last:], "", False)
 
@@ -137,38 +149,65 @@ def main_text(page: str, container: str | None, kept: frozenset = frozenset(), l
         for path, _, _ in block:
             if path not in known:
                 known[path] = shown(path, container, kept)
-        own = plain("".join(t for path, t, _ in block if known[path]))
+        under = [t for path, t, _ in block if known[path]]
+        if not under:
+            continue
+        own = plain("".join(under))
         if own:
-            out.append((own, bool(lines) and hash_of(plain("".join(t for _, t, _ in block))) in lines))
+            whole = own if len(under) == len(block) else plain("".join(t for _, t, _ in block))
+            out.append((own, bool(lines) and hash_of(whole) in lines))
     slots = [own for own, common in out if not common]
     if sum(map(len, slots)) < LEAST_SLOT * sum(len(own) for own, _ in out):
         slots = [own for own, _ in out]
     return "\n".join(slots)
 
 
+def occurs(page: int, n: int) -> int:
+    """What a token that a page holds n times adds to its occurrence vector: 44 bits."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{page} {n}") >> 20
+
+
 def rows_of(page: str):
-    """(kind, key, at, n, chars): 0 for the page, 1 for each element found once, 2 for each block on each of its paths outside links."""
+    """((kind, key, at), pages, pages with one, chars, vector, page) of 0 the page, 1 each element, 2 each block on each of its paths outside links."""
     blocks, count = scan(page)
-    yield (0, "", 0, 1, 0)
-    yield from ((1, token, 0, 1, 0) for token, n in count.items() if n == 1)
-    seen = set()
+    own = hash_of(page)
+    yield (0, "", 0), 1, 1, 0, 0, own
+    for token, n in count.items():
+        yield (1, token, 0), 1, int(n == 1), 0, occurs(own, n), own
+    texts, many = [], {}
     for block in blocks:
-        at, chars = hash_of(plain("".join(t for _, t, _ in block))), {}
+        texts.append(hash_of(plain("".join(t for _, t, _ in block))))
+        many[texts[-1]] = many.get(texts[-1], 0) + 1
+    for at, block in zip(texts, blocks):
+        chars: dict[str, int] = {}
         for path, t, link in block:
             chars[path] = chars.get(path, 0) + (0 if link else len(t.strip()))
         for path, n in chars.items():
-            yield (2, path, at, int(at not in seen), n)
-            seen.add(at)
+            first = many.pop(at, 0)
+            yield (2, path, at), int(first > 0), int(first == 1), n, occurs(own, first) if first else 0, own
+
+
+TOKENS = "host string, kind int, key string, at long, n long, once long, chars long, vector long, low long, high long"
 
 
 def _tokens(batches):
     import pyarrow as pa
 
+    kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 7]
     for batch in batches:
-        rows = [(h, *x) for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if page for x in rows_of(page)]
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "kind", "key", "at", "n", "chars"])
+        found: dict[tuple, list[int]] = {}
+        for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, n, once, chars, vector, own in rows_of(page) if page else ():
+                x = found.setdefault((name, *key), [0, 0, 0, 0, own, own])
+                x[0] += n
+                x[1] += once
+                x[2] += chars
+                x[3] += vector
+                x[4], x[5] = min(x[4], own), max(x[5], own)
+        cols = list(zip(*[(*k, *x) for k, x in found.items()])) or [[]] * 10
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [c.split()[0] for c in TOKENS.split(", ")])
 
 
 def host(url):
@@ -176,19 +215,32 @@ def host(url):
 
 
 def token_classes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, kind, key, at, n, chars): the rows of rows_of, summed; n is a number of pages."""
+    """(host, kind, key, at, n, once, chars, vector, low, high): the rows of rows_of, summed; n and once are numbers of
+    pages, low and high the least and greatest hash of these pages."""
     rows = pages.select(host(pages[url_col]).alias("host"), pages[html_col].alias("html"))
-    return rows.mapInArrow(_tokens, "host string, kind int, key string, at long, n long, chars long").groupBy("host", "kind", "key", "at").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    sums = [F.sum(c).alias(c) for c in ("n", "once", "chars")] + [F.sum(F.col("vector").cast("decimal(20,0)")).alias("vector"), F.min("low").alias("low"), F.max("high").alias("high")]
+    return rows.mapInArrow(_tokens, TOKENS).groupBy("host", "kind", "key", "at").agg(*sums)
+
+
+def template_texts(classes: DataFrame, total: DataFrame) -> DataFrame:
+    """(host, at): texts on most pages of a host of LEAST_PAGES pages at least, and texts in one class with the element
+    directly around them, on as many pages that are not all the same."""
+    blocks = classes.where("kind = 2")
+    texts = blocks.groupBy("host", "at").agg(F.sum("n").alias("n"), F.sum("vector").alias("vector"), F.min("low").alias("low"), F.max("high").alias("high")).where(F.col("n") >= LEAST_PAGES)
+    most = texts.join(total, "host").where(F.col("n") >= MOST_PAGES * F.col("all")).select("host", "at")
+    around = blocks.select("host", "at", F.ltrim(F.element_at(F.split("key", "\x1f"), -1), F.lit("!")).alias("key")).distinct()
+    elements = classes.where("kind = 1").select("host", "key", "vector")
+    some = texts.where("low < high").join(around, ["host", "at"]).join(elements, ["host", "key", "vector"]).select("host", "at")
+    return most.union(some).distinct()
 
 
 def host_templates(classes: DataFrame) -> DataFrame:
     """(host, container, kept, lines): the token of the main text's element, null where the whole page counts, the tokens
     that are no boilerplate despite their names, and the hashes of template texts."""
     total = classes.where("kind = 0").select("host", F.col("n").alias("all"))
-    once = classes.where("kind = 1").join(total, "host").where(F.col("n") >= MOST_PAGES * F.col("all")).select("host", F.col("key").alias("token"))
+    once = classes.where("kind = 1").join(total, "host").where(F.col("once") >= MOST_PAGES * F.col("all")).select("host", F.col("key").alias("token"))
     blocks = classes.where("kind = 2")
-    lines = blocks.groupBy("host", "at").agg(F.sum("n").alias("n")).join(total, "host").where((F.col("all") >= LEAST_PAGES) & (F.col("n") >= MOST_PAGES * F.col("all"))).select("host", "at")
-    lines = written(lines, "lines")
+    lines = written(template_texts(classes, total), "lines")
     own = blocks.join(lines.withColumn("common", F.lit(1)), ["host", "at"], "left").withColumn("slot", F.when(F.col("common").isNull(), F.col("chars")).otherwise(0))
     paths = written(own.groupBy("host", "key").agg(F.sum("chars").alias("chars"), F.sum("slot").alias("slot")), "paths")
     # Where template texts are most of a host's text, its pages are copies: then all of it counts.
