@@ -1,9 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting; DataFrame functions only.
 
-Token counts of the cells (source, language, topic) are raked: margin after margin, each cell is multiplied by its
-margin's target over its margin's sum. A document of a cell is kept with probability least(1, scale x raked / tokens),
-the scale such that the expected tokens are the wanted share of all; whether it is kept follows from a hash of its id.
-Only the first step reads documents; the cells are as many as there are combinations.
+Token counts of the cells (source, language, topic) are raked to the tokens that each margin's values are to keep: margin
+after margin, each cell is multiplied by its margin's target over its margin's sum. No cell can keep more than it has:
+cells that reach all their tokens stay there and the others of the margin make up for them. A document of a cell is kept
+with probability raked / tokens, so the expected tokens are the raked ones; whether it is kept follows from a hash of its
+id. A margin whose cells together have less than their target keeps them whole. Only the first step reads documents; the
+cells are as many as there are combinations.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from .common import written
 MARGINS = ("source", "lang", "topic")
 #: Target share of a margin's value: its share of tokens to this power, then normalised (0: all alike, 1: as it is).
 POWERS = {"source": 0.0, "lang": 0.7, "topic": 0.7}
-ROUNDS = 8
+ROUNDS = 10
 SHARE = 0.6
 #: Cells beyond this number are joined by a shuffle, not broadcast.
 BROADCAST_CELLS = 50_000
@@ -38,33 +40,25 @@ def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit("unknown")), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), "__topic": topic(text), "__tokens": F.regexp_count(text, F.lit(WORD)).cast("long")})
 
 
-def rake(cells: DataFrame, powers: dict = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, tokens > 0) with `raked`: the same total, margins at their targets."""
+def rake(cells: DataFrame, powers: dict = POWERS, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """cells (source, lang, topic, tokens > 0) with `raked`, at most tokens: margins at their targets where that can be,
+    together `share` of all tokens; and `probability`."""
+    cells = written(cells.withColumn("tokens", F.col("tokens").cast("double")), "cells")
+    total = cells.agg(F.sum("tokens")).scalar()
+    rows = cells.withColumn("raked", F.col("tokens") * share)
     for m in MARGINS:
-        own, key = F.sum("tokens").over(Window.partitionBy(m)).cast("double"), Window.partitionBy(m).orderBy(*MARGINS)
-        cells = cells.withColumn("own", own).withColumn("first", F.row_number().over(key) == 1)
-        cells = cells.withColumn(f"t_{m}", F.pow("own", F.lit(float(powers[m]))))
-        every = Window.partitionBy(F.lit(0))
-        cells = cells.withColumn(f"t_{m}", F.col(f"t_{m}") / F.sum(F.when(F.col("first"), F.col(f"t_{m}"))).over(every) * F.sum("tokens").over(every)).drop("own", "first")
-    cells = written(cells.withColumn("raked", F.col("tokens").cast("double")), "cells")
+        weight = F.pow("own", F.lit(float(powers[m])))
+        every = cells.groupBy(m).agg(F.sum("tokens").alias("own")).agg(F.sum(weight)).scalar()
+        rows = rows.withColumn("own", F.sum("tokens").over(Window.partitionBy(m))).withColumn(f"t_{m}", weight / every * total * share).drop("own")
     for k in range(rounds):
         for m in MARGINS:
-            cells = cells.withColumn("raked", F.col("raked") * F.col(f"t_{m}") / F.sum("raked").over(Window.partitionBy(m)))
+            of, full, target = Window.partitionBy(m), F.col("raked") >= F.col("tokens"), F.col(f"t_{m}")
+            rows = rows.withColumns({"every": F.sum("raked").over(of), "held": F.sum(F.when(full, F.col("raked")).otherwise(0.0)).over(of), "free": F.sum(F.when(~full, F.col("raked"))).over(of)})
+            more = F.least("tokens", F.col("raked") * (target - F.col("held")) / F.col("free"))
+            rows = rows.withColumn("raked", F.when(F.col("every") >= target, F.col("raked") * target / F.col("every")).when(full, F.col("raked")).otherwise(more)).drop("every", "held", "free")
         if k % 4 == 3:
-            cells = written(cells, "cells")
-    return cells
-
-
-def keep_probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
-    """Raked cells with `probability`: cells are kept whole from the highest ratio on, the others in proportion."""
-    ratio = F.col("raked") / F.col("tokens")
-    order = Window.partitionBy(F.lit(0)).orderBy(ratio.desc(), *MARGINS)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
-    scale = (share * F.sum("tokens").over(every) - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / (F.sum("raked").over(every) - F.coalesce(F.sum("raked").over(before), F.lit(0.0)))
-    rows = cells.withColumn("scale", scale).withColumn("ratio", ratio).withColumn("nth", F.row_number().over(order))
-    best = F.min_by(F.when(F.col("scale") * F.col("ratio") <= 1, F.col("scale")), F.when(F.col("scale") * F.col("ratio") <= 1, F.col("nth"))).over(every)
-    return rows.withColumn("probability", F.least(F.lit(1.0), F.coalesce(best, F.lit(1.0)) * F.col("ratio"))).select(*MARGINS, "tokens", "raked", "probability")
+            rows = written(rows, "cells")
+    return rows.withColumn("probability", F.col("raked") / F.col("tokens"))
 
 
 def draw(id_col: Column) -> Column:
@@ -80,7 +74,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", power
     """
     rows = with_cells(docs, text_col)
     cells = rows.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("tokens")).where("tokens > 0")
-    found = written(keep_probabilities(rake(cells, powers, rounds), share), "probabilities")
+    found = written(rake(cells, powers, share, rounds), "probabilities")
     found = found.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__probability"))
     if found.count() <= BROADCAST_CELLS:
         found = F.broadcast(found)
@@ -93,17 +87,17 @@ def oracle_sql() -> str:
     topics = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in TOPICS)
     steps = [
         f"d AS MATERIALIZED (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, CASE {topics} ELSE 'general' END AS topic, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM documents)",
-        "c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE AS raked FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
+        f"c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE * {SHARE} AS raked FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
     for m in MARGINS:
-        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(own, {POWERS[m]}) / sum(pow(own, {POWERS[m]})) OVER () * sum(own) OVER () AS target FROM (SELECT {m}, sum(tokens)::DOUBLE AS own FROM c GROUP BY {m}))")
+        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(own, {POWERS[m]}) / sum(pow(own, {POWERS[m]})) OVER () * sum(own) OVER () * {SHARE} AS target FROM (SELECT {m}, sum(tokens) AS own FROM c GROUP BY {m}))")
     last = "c"
     for k in range(ROUNDS):
         for m in MARGINS:
-            steps.append(f"r{k}{m} AS MATERIALIZED (SELECT x.* REPLACE (raked * target / sum(raked) OVER (PARTITION BY {m}) AS raked) FROM {last} x JOIN t_{m} USING ({m}))")
+            steps.append(f"""r{k}{m} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN every >= target THEN raked * target / every WHEN raked >= tokens THEN raked ELSE least(tokens, raked * (target - held) / free) END AS raked
+                FROM (SELECT x.*, target, sum(raked) OVER w AS every, sum(CASE WHEN raked >= tokens THEN raked ELSE 0 END) OVER w AS held, sum(CASE WHEN raked < tokens THEN raked END) OVER w AS free FROM {last} x JOIN t_{m} USING ({m}) WINDOW w AS (PARTITION BY {m})))""")
             last = f"r{k}{m}"
-    steps.append(f"s AS MATERIALIZED (SELECT *, raked / tokens AS ratio, ({SHARE} * sum(tokens) OVER () - coalesce(sum(tokens) OVER w, 0)) / (sum(raked) OVER () - coalesce(sum(raked) OVER w, 0)) AS scale, row_number() OVER (ORDER BY raked / tokens DESC, source, lang, topic) AS nth FROM {last} WINDOW w AS (ORDER BY raked / tokens DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))")
-    steps.append("p AS MATERIALIZED (SELECT source, lang, topic, least(1.0, coalesce((SELECT arg_min(scale, nth) FROM s WHERE scale * ratio <= 1), 1.0) * ratio) AS probability FROM s)")
+    steps.append(f"p AS MATERIALIZED (SELECT source, lang, topic, raked / tokens AS probability FROM {last})")
     return f"""WITH {", ".join(steps)}
         SELECT doc_id, topic, n_tokens, round(CASE WHEN n_tokens > 0 THEN probability ELSE 1.0 END, 6) AS probability,
                CAST('0x' || substr(md5(doc_id::VARCHAR), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN n_tokens > 0 THEN probability ELSE 1.0 END AS kept
