@@ -3,7 +3,7 @@
 Counting: each task counts the pairs (context, word) of its texts by 64-bit word hashes and sends one compressed block
 for each shard of the pair's hash, so a very common pair or context is one entry for each task, and no context is
 gathered in one place. A shard's blocks are merged into two arrays, sorted pair hashes and counts, in files of the
-shared folder; what words and contexts have in the shard goes on, again in blocks, to shards of the word's hash, whose
+shared folder (counts of 32 bits, of 64 where one needs them); what words and contexts have in the shard goes on, again in blocks, to shards of the word's hash, whose
 files hold each word's count, number of contexts and the totals of what follows it. Shards are ranges of the hash, so
 the files in order are one sorted array. Only sums (tokens, words, counts of counts) come to the driver.
 
@@ -177,7 +177,8 @@ def _merged_pairs(uri, shards):
         context, word = context[order][at], word[order][at]
         store = Store(uri)
         store.put(f"pairs-{shard}", pair)
-        store.put(f"counts-{shard}", np.minimum(count, 2**32 - 1).astype(np.uint32))
+        wide = len(count) > 0 and int(count.max()) >> 32 > 0
+        store.put(f"counts{64 if wide else 32}-{shard}", count.astype(np.uint64 if wide else np.uint32))
         one = np.ones(len(pair), np.uint64)
         w, uses, contexts = summed(word, count, one)
         c, total, n1, n2, n3 = summed(context, count, *[(x).astype(np.uint64) for x in (count == 1, count == 2, count > 2)])
@@ -249,7 +250,9 @@ def _files(model):
         from pyarrow import fs
 
         names = {f.base_name for f in store.fs.get_file_info(fs.FileSelector(store.path))} if model["shards"] else set()
-        _open[model["uri"]] = [(store.get(f"{a}-{k}", np.uint64), store.get(f"{b}-{k}", t)) if f"{a}-{k}" in names else None for a, b, t in (("pairs", "counts", np.uint32), ("words", "stats", np.uint64)) for k in range(model["shards"])]
+        opened = lambda a, b, t, k: (store.get(f"{a}-{k}", np.uint64), store.get(f"{b}-{k}", t)) if f"{b}-{k}" in names else None
+        pairs = [opened("pairs", "counts32", np.uint32, k) or opened("pairs", "counts64", np.uint64, k) for k in range(model["shards"])]
+        _open[model["uri"]] = pairs + [opened("words", "stats", np.uint64, k) for k in range(model["shards"])]
     files = _open[model["uri"]]
     return files[: model["shards"]], files[model["shards"] :]
 

@@ -37,7 +37,8 @@ def op6_lm_scoring(spark, sf_dir):
 def op9_repeated_passages(spark, sf_dir):
     from .repeats import repeat_digests
 
-    return repeat_digests(table(spark, sf_dir, "documents")).withColumn("id", shown_id()).withColumnRenamed("id", "doc_id")
+    found = repeat_digests(table(spark, sf_dir, "documents")).withColumn("id", shown_id()).withColumnRenamed("id", "doc_id")
+    return found.withColumn("repeated", F.col("n_removed") > 0)
 
 
 def op3_quality_rules(spark, sf_dir):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, embeddings, htmltext, linededup, mixing, ngramlm, quality, queries, repeats, shingles, simhash, toxicity
+from ledgerloom.llm import bpe, components, embeddings, htmltext, linededup, mixing, ngramlm, quality, queries, repeats, shingles, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 #: Extra columns with names that operators use inside.
@@ -96,8 +96,26 @@ def test_simhash_blocks(spark, monkeypatch):
     assert {r["print"]: r["component"] for r in got} == want
 
 
+@pytest.mark.parametrize("slice_size", [5, 1 << 20])
+def test_components(spark, monkeypatch, slice_size):
+    """Chains, stars, cycles and repeated edges, in one slice and in many."""
+    monkeypatch.setattr(components, "EDGES_A_TASK", slice_size)
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (200, 201), (7, 7)]
+    edges += [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(90)]
+    rng.shuffle(edges)
+    low = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in low:
+        for u, v in edges:
+            if u != v:
+                low[u] = low[v] = min(low[u], low[v])
+    found = components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(6)).collect()
+    assert len(found) == len(low) and {r["node"]: r["component"] for r in found} == low
+    assert components.connected_components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
 def test_similar_components(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "HUBS", 2)
+    monkeypatch.setattr(shingles, "BLOCK", 8)
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(10**6)}"
     base = [word() for _ in range(300)]
@@ -123,6 +141,30 @@ def test_similar_components(spark, monkeypatch):
     assert got == dict(enumerate(low))
 
 
+def test_near_pairs():
+    """Every pair within LIMIT of different components is emitted or implied by presumed pairs; tested ones are neither."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, 1152)
+    rows = [np.where(rng.random(1152) < share, 1 - base, base) for share in rng.choice([0.01, 0.05, 0.09, 0.2], 60)]
+    bits = np.packbits(np.array(rows, np.uint8), axis=1).view(np.uint64)
+    node, component = np.arange(100, 160), np.r_[np.zeros(10, int), np.arange(1, 51)]
+    tested = [[] for _ in node]
+    tested[20] = [125, 126]
+    far = lambda i, j: int((rows[i] != rows[j]).sum())
+    found = {(int(a), int(b), bool(p)) for x in shingles.near_pairs(node, component, bits, tested) for a, b, p in zip(*x)}
+    low = list(range(60))
+    for _ in range(60):
+        for a, b, p in found:
+            if p:
+                low[a] = low[b] = min(low[a], low[b])
+    plain = {(min(a, b), max(a, b)) for a, b, _ in found}
+    for i in range(60):
+        for j in range(i + 1, 60):
+            allowed = component[i] != component[j] and far(i, j) <= shingles.LIMIT and not (i == 20 and j in (25, 26))
+            assert ((i, j) in plain or low[i] == low[j]) if allowed else (i, j) not in plain
+    assert all(p == (far(a, b) <= shingles.SURE) for a, b, p in found if low[a] != low[b] or p)
+
+
 def test_lines(spark):
     line, short = "This line is common to many", "short one"
     d = spark.createDataFrame([(i, f"{short}\n {line.upper()}\t\nown {i}\n{line}") for i in range(5)] + [(9, line + "\n" + line)], "doc_id long, text string")
@@ -192,19 +234,48 @@ def test_lm(spark):
     assert np.allclose(ngramlm.score_texts([*texts, b"a zz b", b""], model)[3], want)
 
 
-def test_embeddings(spark, monkeypatch):
+@pytest.mark.parametrize("centres, sigmas", [(1024, 2.4), (3, math.inf)])
+def test_embeddings(spark, monkeypatch, centres, sigmas):
+    """Against brute force: several lists and levels, copies, null and repeated ids, lengths of their own, huge and tiny components."""
     monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "MOST_CENTRES", centres)
+    monkeypatch.setattr(embeddings, "LIST_SIZE", 16)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 16))
     x[50:120] = x[0] + 0.15 * rng.normal(size=(70, 16))
     x[130] = x[131] = x[132]
-    rows = [(i, [float(f) for f in v]) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 16), (302, [float("nan")] * 16), (303, [1.0, None] * 8), (304, [1.0])]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = ((u @ u.T) >= 0.95).sum(1) - 1
-    got = {r["id"]: r for r in embeddings.embedding_near_duplicates(d).collect()}
-    assert [got[i]["n_links"] for i in range(200)] == want.tolist()
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(300, 305)) and got[131]["component"] == 130
+    x[140], x[141] = x[142] * 1e200, x[142] * 1e-200
+    vectors = [v.tolist() for v in x] + [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] * 16, [1.0, None] * 8]
+    vectors += [[1.0], [2.0], [-1.0], x[0].tolist()[:8], x[0].tolist()[:8], (x[0] + 0.01).tolist()[:8]]
+    ids = [i if i else None for i in range(len(vectors))]
+    ids[10], ids[200], ids[204] = 7, 7, 131  # repeated ids
+    rows = [(i, v, 1, "k", [1.0], "h") for i, v in zip(ids, vectors)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int, v string, codes array<double>, h1 string")
+    unit = []
+    for v in vectors:
+        ok = v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and np.any(v)
+        w = np.array(v) / np.abs(v).max() if ok else None
+        unit.append(w / np.linalg.norm(w) if ok else None)
+    order = [-(2**63) if i is None else i for i in ids]
+    low, links = list(range(len(ids))), [0] * len(ids)
+
+    def find(k):
+        while low[k] != k:
+            k = low[k]
+        return k
+
+    for i, a in enumerate(unit):
+        for j, b in enumerate(unit[:i]):
+            if a is not None and b is not None and len(a) == len(b) and a @ b >= 0.95:
+                links[i] += 1
+                links[j] += 1
+                low[find(i)] = find(j)
+    least = Counter()
+    for k, i in enumerate(order):
+        least[find(k)] = min(i, least.get(find(k), i))
+    want = sorted((i, links[k], least[find(k)], i == least[find(k)]) for k, i in enumerate(order))
+    got = sorted(tuple(r) for r in embeddings.embedding_near_duplicates(d, sigmas=sigmas).collect())
+    assert got == want and sum(links) > 4000
     assert embeddings.embedding_near_duplicates(d.limit(0)).count() == 0
 
 
@@ -289,3 +360,39 @@ def test_toxicity_lexicon_of_all_labels(spark, monkeypatch):
     assert set(rare) <= set(found[0][0])
     many = [("x " + " ".join(f"bad{i}" for i in range(450)), 1)] * 5 + [("good words", 0)] * 100
     assert {f"bad{i}" for i in range(450)} <= set(learn(spark.createDataFrame(many, "text string, toxic int"))[0])
+
+
+def test_html_optional_template(spark):
+    """A notice on some pages, always the same under its own element, is template; a text of its own there is not."""
+    page = "<html><body><article><h1>Head {0}</h1><p>Text of page {0}, long enough to be most of what the page says</p>{1}</article></body></html>"
+    notice, own = "<div class='x7'>Closed for the season</div>", "<div class='x8'>Box {0}</div>"
+    pages = [page.format(i, notice if i % 3 == 0 else own.format(i) if i % 3 == 1 else "") for i in range(30)]
+    body = "Head {0}\nText of page {0}, long enough to be most of what the page says"
+    assert html_texts(spark, pages) == [body.format(i) + (f"\nBox {i}" if i % 3 == 1 else "") for i in range(30)]
+
+
+def test_html_awkward_rows(spark):
+    """Repeated rows and null ids count like others, other columns are not looked at, no rows give no rows."""
+    page = "<html><body><div class='x1'><p>menu words</p></div><article><h1>T {0}</h1><p>Text {0} of this page</p></article></body></html>"
+    rows = [(None if i % 2 else 1, "http://h.example/x", page.format(i // 2), "h", "k", 1, "c", ["x"]) for i in range(12)] + [(5, "", "<p>alone", "h", "k", 1, "c", None), (None, None, "a" * 200_000, "h", "k", 1, "c", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, host string, key string, at int, container string, lines array<string>")
+    found = htmltext.extract_main_text(d)
+    assert sorted(r["text"] for r in found.collect()) == sorted([f"T {i // 2}\nText {i // 2} of this page" for i in range(12)] + ["alone", "a" * 200_000])
+    assert found.columns == ["page_id", "url", "text", "n_chars"] and htmltext.extract_main_text(d.limit(0)).count() == 0
+
+
+def test_mixing_margins(spark):
+    """Expected tokens meet the targets within 1 % where the cells have enough, and no cell keeps more than it has."""
+    rng = random.Random(7)
+    rows = [(f"s{i % 9}", "en" if rng.random() < 0.6 else "de", rng.choice(["general", "legal"]), rng.randrange(1, 4000) * (5 if i % 9 == 0 else 1)) for i in range(400)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    found = mixing.rake(cells, share=0.5).collect()
+    total = sum(r["tokens"] for r in found)
+    assert all(0 <= r["probability"] <= 1 for r in found) and sum(r["raked"] for r in found) == pytest.approx(0.5 * total, rel=0.01)
+    for m in mixing.MARGINS:
+        own = Counter()
+        for r in found:
+            own[r[m]] += r["tokens"]
+        weight = sum(x ** mixing.POWERS[m] for x in own.values())
+        for value, x in own.items():
+            assert sum(r["raked"] for r in found if r[m] == value) == pytest.approx(x ** mixing.POWERS[m] / weight * total * 0.5, rel=0.01)
