@@ -62,3 +62,23 @@ def test_marked(spark):
             assert found.count() == 6001 and {r["id"] for r in found.where("marked").collect()} == set(range(0, 3000, 7))
         finally:
             quality.marked.__globals__["MAP_BITS"] = 1 << 25
+
+
+def test_long_texts_in_slices(spark, monkeypatch):
+    """The same figures with slices of a few characters: words, windows, lines and n-grams across slices, repeated rows."""
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choice(["a", "bb", "é#", "c-d", "long" * 9, "<x>"]) for _ in range(rng.randrange(9))) + rng.choice(["", " ", "\t\t  "]) for _ in range(40)) for _ in range(12)]
+    texts += [texts[0], None, "", " " * 300, "x" * 500, " \n" * 90 + "one two three one two three" + "\n\t" * 99, "w " * 200, "end\n" * 60 + "last"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in range(6)], "doc_id long")
+    whole = {r["doc_id"]: r for r in quality.quality_rules(d, trusted).collect()}
+    assert {i: tuple(r["__q"]) for i, r in whole.items()} == {i: base(t) for i, t in enumerate(texts)}
+    monkeypatch.setattr(quality, "LONG", 40)
+    monkeypatch.setattr(quality, "WORD_SLICE", quality.WORD_SLICE.replace(str(quality.SLICE), "7"))
+    monkeypatch.setattr(quality, "LINE_SLICE", quality.LINE_SLICE.replace(str(quality.SLICE), "7"))
+    assert {r["doc_id"]: r for r in quality.quality_rules(d, trusted).collect()} == whole
+
+
+def test_clashing_columns(spark):
+    with pytest.raises(ValueError):
+        quality.base_rules(spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, __words int"))
