@@ -1,3 +1,3 @@
 """Derived tables, and the registered queries in modules that add themselves to the registry."""
 
-from . import decisions, ingestion, registry  # noqa: F401
+from . import decisions, ingestion, registry, streams  # noqa: F401

@@ -17,7 +17,7 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, *tables: str):
+def query(name: str, sql: str | None = None, *tables: str, recursive: bool = False):
     """Registers a query; sql follows the WITH of the named derived tables."""
 
     def add(f):
@@ -25,7 +25,8 @@ def query(name: str, sql: str | None = None, *tables: str):
         if sql is not None:
             head = ctes(*tables) if tables else ""
             body = sql.strip()
-            ORACLE_SQL[name] = f"{head}{',' if body.startswith('+') else ''} {body.removeprefix('+')}" if head else body
+            found = f"{head}{',' if body.startswith('+') else ''} {body.removeprefix('+')}" if head else body
+            ORACLE_SQL[name] = found.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else found
         return f
 
     return add
@@ -341,7 +342,15 @@ def m12(spark, d):
     return rows.where(sign | (F.abs("used_minor") > F.abs("total_minor"))).select("invoice_id", "used_minor", F.when(sign, "SIGN").otherwise("ABOVE_TOTAL").alias("reason"))
 
 
-@query("m13_auto_reconcile_cashbook")
+#: Cash rows of a key in order, each with its candidates; what earlier ones took is carried along.
+REPLAY_SQL = """+c AS (SELECT movement_id, currency, amount_minor, day, row_number() OVER (PARTITION BY currency, amount_minor ORDER BY ts, movement_id) AS n FROM movement WHERE kind = 'CASHBOOK'),
+    k AS (SELECT c.movement_id, c.currency, c.amount_minor, c.n, coalesce(list(s.movement_id) FILTER (s.movement_id IS NOT NULL), []) AS near FROM c LEFT JOIN movement s ON s.kind IN ('CARD', 'BOOKING') AND s.currency = c.currency AND s.amount_minor = c.amount_minor AND abs(date_diff('day', c.day, s.day)) <= 2 GROUP BY ALL),
+    r AS (SELECT currency, amount_minor, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS movement_id, CAST([] AS BIGINT[]) AS free, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT currency, amount_minor FROM c)
+          UNION ALL SELECT currency, amount_minor, n, movement_id, free, CASE WHEN len(free) = 1 THEN list_concat(used, free) ELSE used END FROM (SELECT k.currency, k.amount_minor, k.n, k.movement_id, list_filter(k.near, lambda x: NOT list_contains(r.used, x)) AS free, r.used FROM r JOIN k ON k.currency = r.currency AND k.amount_minor = r.amount_minor AND k.n = r.n + 1))
+    SELECT movement_id, CASE len(free) WHEN 0 THEN 'NONE' WHEN 1 THEN 'MATCHED' ELSE 'SEVERAL' END AS outcome, CASE WHEN len(free) = 1 THEN free[1] END AS source_id FROM r WHERE n > 0"""
+
+
+@query("m13_auto_reconcile_cashbook", REPLAY_SQL, "movement", recursive=True)
 def m13(spark, d):
     m = read(spark, d, "movement")
     return M.reconcile_cashbook(m.where("kind = 'CASHBOOK'"), m.where("kind IN ('CARD', 'BOOKING')"))
