@@ -10,8 +10,6 @@ from ..functions.scalars import changed_fields, date_points
 
 #: Most anchors of a counterpart search: a person's selection, which is broadcast.
 MOST_ANCHORS = 1000
-#: Most members of a combination, and of a block that is searched; larger blocks are reported.
-MOST_MEMBERS, MOST_BLOCK = 6, 14
 #: Most lines and most different sums of a block whose subsets are counted; the targets of larger ones are reported.
 MOST_LINES, MOST_SUMS = 200, 1 << 18
 
@@ -127,46 +125,6 @@ def date_islands(items: DataFrame, days: int) -> DataFrame:
     return items.join(own.select("currency", "day", F.last("start", True).over(by).alias("island")), ["currency", "day"])
 
 
-def exact_combinations(items: DataFrame, tolerance: int, days: int | None = None) -> DataFrame:
-    """Combinations of documents and sources of one block whose sums differ by at most tolerance and have one sign.
-
-    With `days` the sign is that of the two sums, and some document must lie within `days` of some source; without it
-    every member has the sign. items: block, side, id, amount_minor, with `days` also day. At most MOST_MEMBERS on a side and MOST_MEMBERS + 1 in all. A block of more
-    than MOST_BLOCK items is returned as one row with over_limit and no members, and never gathered in a task.
-    """
-    from itertools import combinations
-
-    size = items.groupBy("block").agg(F.count("*").alias("n"))
-    small = items.join(size.where(F.col("n") <= MOST_BLOCK), "block", "left_semi")
-    schema = "block string, docs string, sources string, difference_minor long, over_limit int"
-
-    def search(block: str, items: list) -> list[tuple]:
-        sides = [sorted(((x["id"], int(x["amount_minor"]), x["day"]) for x in items if x["side"] == s), key=lambda x: x[0]) for s in ("DOCUMENT", "SOURCE")]
-        sets = [[c for n in range(1, min(MOST_MEMBERS, len(s)) + 1) for c in combinations(s, n)] for s in sides]
-        sums = lambda c: sum(x[1] for x in c)
-
-        def good(a, b) -> bool:
-            if days is None:
-                return len({x[1] > 0 for x in (*a, *b)}) == 1
-            return sums(a) * sums(b) > 0 and any(abs((x[2] - y[2]).days) <= days for x in a for y in b if x[2] is not None and y[2] is not None)
-
-        by_size: dict[tuple[int, int], list] = {}
-        for c in sets[1]:
-            for t in range(-tolerance, tolerance + 1):
-                by_size.setdefault((sums(c) + t, len(c)), []).append(c)
-        return [(block, ",".join(x[0] for x in a), ",".join(x[0] for x in b), sums(a) - sums(b), 0) for a in sets[0] for n in range(1, MOST_MEMBERS + 2 - len(a)) for b in by_size.get((sums(a), n), []) if good(a, b)]
-
-    def searched(batches):
-        for batch in batches:
-            rows = [r for block, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in search(block, items)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32()))], ["block", "docs", "sources", "difference_minor", "over_limit"])
-
-    # A block is one row with a list of at most MOST_BLOCK items.
-    lists = small.groupBy("block").agg(F.collect_list(F.struct("side", "id", "amount_minor", F.col("day") if days is not None else F.lit(None).cast("date").alias("day"))).alias("items"))
-    over = size.where(F.col("n") > MOST_BLOCK).select("block", F.lit(None).cast("string").alias("docs"), F.lit(None).cast("string").alias("sources"), F.lit(None).cast("bigint").alias("difference_minor"), F.lit(1).alias("over_limit"))
-    return lists.mapInArrow(searched, schema).unionByName(over)
-
-
 def subset_sums(amounts: list[int], low: int, high: int) -> dict[int, tuple[int, int]] | None:
     """Of each sum from low to high: the number of subsets (not empty, 2 at most) and one of them as bits; None beyond MOST_SUMS."""
     found: dict[int, tuple[int, int]] = {}

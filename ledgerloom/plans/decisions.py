@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import combinations as C
 from ..operators import decisions as D
 from ..operators import groups as G
 from ..operators import matching as M
@@ -77,10 +80,34 @@ def blocks(spark, d):
     return doc.unionByName(src).where("booking_reference IS NOT NULL").select(F.concat_ws("|", "currency", "booking_reference").alias("block"), "side", "id", "amount_minor")
 
 
-@query("m2_reference_combinations")
+def _examined_sql() -> str:
+    choose = lambda n, k: "(" + " * ".join(f"({n} - {i})" for i in range(k)) + f" / {factorial(k)})"
+    pairs = [(i, j) for i in range(1, 7) for j in range(1, 7) if i + j <= 7]
+    return " + ".join(["nd * ns", *[f"{choose('nd', i)} * {choose('ns', j)}" for i, j in pairs]])
+
+
+#: All subsets of at most 6 items on each side of a block b, joined by their sums; what the rule set does not search is reported.
+SETS_SQL = f"""z AS (SELECT block, CAST(count(*) FILTER (side = 'DOCUMENT') AS DOUBLE) AS nd, CAST(count(*) FILTER (side = 'SOURCE') AS DOUBLE) AS ns FROM b GROUP BY block HAVING nd > 0 AND ns > 0),
+    y AS (SELECT *, {_examined_sql()} > 250000 AS over FROM z), t AS (SELECT b.* FROM b JOIN y USING (block) WHERE NOT over),
+    x AS (SELECT block, side, [id] AS ids, id AS last, amount_minor AS total, 1 AS n, CAST(amount_minor > 0 AS INTEGER) AS plus, [day] AS days FROM t
+          UNION ALL SELECT x.block, x.side, list_append(x.ids, t.id), t.id, x.total + t.amount_minor, x.n + 1, x.plus + CAST(t.amount_minor > 0 AS INTEGER), list_append(x.days, t.day) FROM x JOIN t ON t.block = x.block AND t.side = x.side AND t.id > x.last WHERE x.n < 6),
+    j AS (SELECT f.block, array_to_string(f.ids, ',') AS docs, array_to_string(s.ids, ',') AS sources, CAST(f.total - s.total AS BIGINT) AS difference_minor, f.plus IN (0, f.n) AND s.plus IN (0, s.n) AS pure, f.days AS doc_days, s.days AS source_days
+          FROM x f JOIN x s ON f.block = s.block AND f.side = 'DOCUMENT' AND s.side = 'SOURCE' AND abs(f.total - s.total) <= 1 AND f.n + s.n <= 7 AND sign(f.total) * sign(s.total) > 0),
+    o AS (SELECT block, CAST(NULL AS STRING) AS docs, CAST(NULL AS STRING) AS sources, CAST(NULL AS BIGINT) AS difference_minor, 1 AS over_limit FROM y WHERE over)"""
+REF_SQL = "SELECT concat(currency, '|', booking_reference) AS block, 'DOCUMENT' AS side, invoice_id AS id, total_minor AS amount_minor, doc_date AS day FROM invoice WHERE booking_reference IS NOT NULL UNION ALL SELECT concat(currency, '|', booking_reference), 'SOURCE', source_id, amount_minor, paid_on FROM booking WHERE booking_reference IS NOT NULL"
+ISLAND_SQL = """i AS (SELECT currency, 'DOCUMENT' AS side, invoice_id AS id, total_minor AS amount_minor, doc_date AS day FROM invoice UNION ALL SELECT currency, 'SOURCE', source_id, amount_minor, paid_on FROM booking UNION ALL SELECT currency, 'SOURCE', source_id, amount_minor, paid_on FROM card),
+    g AS (SELECT currency, day, max(start) OVER (PARTITION BY currency ORDER BY day) AS island FROM (SELECT currency, day, CASE WHEN coalesce(date_diff('day', lag(day) OVER (PARTITION BY currency ORDER BY day), day) <= 7, false) THEN NULL ELSE day END AS start FROM (SELECT DISTINCT currency, day FROM i)))"""
+
+
+def joined(found):
+    """Members as text."""
+    return found.withColumns({c: F.array_join(c, ",") for c in ("docs", "sources")})
+
+
+@query("m2_reference_combinations", f"+b AS ({REF_SQL}), {SETS_SQL} SELECT block, docs, sources, difference_minor, 0 AS over_limit FROM j WHERE pure UNION ALL SELECT * FROM o", "invoice", "booking", recursive=True)
 def m2(spark, d):
     """Only within a booking reference, every member of one sign."""
-    return D.exact_combinations(blocks(spark, d), 1)
+    return joined(C.exact_combinations(blocks(spark, d), 1))
 
 
 def dated_items(spark, d):
@@ -89,21 +116,52 @@ def dated_items(spark, d):
     return doc.unionByName(src)
 
 
+def block_items(items, days: int):
+    """items (currency, booking_reference, day, ...) in each of their blocks: a reference, a date island."""
+    same = items.where("booking_reference IS NOT NULL").withColumn("block", F.concat_ws("|", "currency", "booking_reference"))
+    near = D.date_islands(items, days).withColumn("block", F.concat_ws("|", "currency", F.col("island").cast("string"))).drop("island")
+    return same.unionByName(near)
+
+
 def all_combinations(items, tolerance: int, days: int):
     """Combinations of items (currency, booking_reference, side, id, amount_minor, day) within a reference or a date island, each once."""
-    cols = ["block", "side", "id", "amount_minor", "day"]
-    same = items.where("booking_reference IS NOT NULL").withColumn("block", F.concat_ws("|", "currency", "booking_reference"))
-    near = D.date_islands(items, days).withColumn("block", F.concat_ws("|", "currency", F.col("island").cast("string")))
-    found = D.exact_combinations(same.select(cols).unionByName(near.select(cols)), tolerance, days)
+    found = joined(C.exact_combinations(block_items(items, days), tolerance, days))
     once = found.where("over_limit = 0").groupBy("docs", "sources").agg(F.min("block").alias("block"), F.first("difference_minor").alias("difference_minor"), F.first("over_limit").alias("over_limit"))
     return once.unionByName(found.where("over_limit = 1")).select(found.columns)
 
 
-@query("m2_combinations")
+NEAR_SQL = "len(list_filter(doc_days, lambda u: len(list_filter(source_days, lambda v: abs(date_diff('day', u, v)) <= 7)) > 0)) > 0"
+
+
+@query("m2_combinations", f"+{ISLAND_SQL}, b AS ({REF_SQL} UNION ALL SELECT concat(currency, '|', CAST(island AS STRING)), side, id, amount_minor, day FROM i JOIN g USING (currency, day)), {SETS_SQL} SELECT min(block) AS block, docs, sources, min(difference_minor) AS difference_minor, 0 AS over_limit FROM j WHERE {NEAR_SQL} GROUP BY docs, sources UNION ALL SELECT * FROM o", "invoice", "booking", "card", recursive=True)
 def m2_all(spark, d):
     return all_combinations(dated_items(spark, d), 1, 7)
 
 
+def set_items(spark, d):
+    """Open documents and all sources with what scores need, in each of their blocks."""
+    none = lambda kind: F.lit(None).cast(kind)
+    doc = M.active_invoices(read(spark, d, "invoice")).select("currency", "booking_reference", F.lit("DOCUMENT").alias("side"), F.col("invoice_id").alias("id"), F.col("remaining_minor").alias("remaining"), F.to_date("doc_date").alias("day"), "linked", "internal_code", F.to_date("paid_at").alias("paid_at"), F.lit(0).alias("is_booking"))
+    src = sources(spark, d).select("currency", F.col("source_reference").alias("booking_reference"), F.lit("SOURCE").alias("side"), F.col("source_id").alias("id"), F.col("amount_minor").alias("remaining"), F.to_date("paid_on").alias("day"), none("int").alias("linked"), none("string").alias("internal_code"), none("date").alias("paid_at"), "is_booking")
+    return block_items(doc.unionByName(src), 7).withColumns({"version": F.lit(1).cast("long"), "reference": F.col("booking_reference")}).drop("booking_reference")
+
+
+def set_decisions(spark, d):
+    return C.decided_sets(C.scored_sets(C.set_candidates(set_items(spark, d))[0]))
+
+
+@query("m5_set_decisions")
+def m5_sets(spark, d):
+    """Scores, competitors, ties and decisions of candidates with any number of members."""
+    shown = lambda side: F.array_join(F.transform(side, lambda m: m["id"]), ",")
+    return set_decisions(spark, d).select("candidate_id", shown("documents").alias("docs"), shown("sources").alias("sources"), "difference_minor", "score", "competitor", "tie", "can_auto")
+
+
+@query("m6_set_alternatives")
+def m6_sets(spark, d):
+    return C.set_alternatives(set_decisions(spark, d))
+
+
 @query("m16_unique_reference_combination")
 def m16(spark, d):
     """Targets over the limit have no sources."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.operators import combinations as C
 from ledgerloom.operators import decisions as D
 from ledgerloom.operators import normalise as N
 from ledgerloom.plans import decisions as plans
@@ -34,10 +35,10 @@ def brute(rows, tolerance):
 def test_combinations(spark):
     rng = random.Random(3)
     rows = [(f"b{i % 4}", rng.choice(["DOCUMENT", "SOURCE"]), f"{i:03d}", rng.choice([1, 2, 3, 5, -4])) for i in range(32)]
-    hot = [("hot", "SOURCE", f"h{i:03d}", 1) for i in range(40)]
-    got = [tuple(r) for r in D.exact_combinations(spark.createDataFrame(rows + hot, ITEMS), 1).collect()]
+    hot = [("hot", "SOURCE", f"h{i:03d}", 1) for i in range(40)] + [("hot", "DOCUMENT", "h", 1)]
+    got = [tuple(r) for r in plans.joined(C.exact_combinations(spark.createDataFrame(rows + hot, ITEMS), 1)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, 1) | {("hot", None, None, None, 1)}
-    assert D.exact_combinations(spark.createDataFrame([], ITEMS), 1).count() == 0
+    assert C.exact_combinations(spark.createDataFrame([], ITEMS), 1).count() == 0
 
 
 def test_combinations_on_the_tables(spark):
@@ -112,7 +113,7 @@ def test_all_combinations(spark):
         ("CZK", None, "DOCUMENT", "d3", 500, day(100)), ("CZK", None, "SOURCE", "c1", 200, day(101)), ("CZK", None, "SOURCE", "c2", 300, day(106)),  # card sources
         ("CZK", None, "DOCUMENT", "d4", 500, day(200)), ("EUR", None, "SOURCE", "c3", 500, day(200)),
         ("CZK", "R2", "DOCUMENT", "d5", 70, day(300)), ("CZK", "R2", "SOURCE", "s2", 70, day(308)),  # beyond the window
-    ] + [("USD", None, "SOURCE", f"u{i:02d}", 1, day(i)) for i in range(D.MOST_BLOCK + 1)]
+    ] + [("USD", None, "DOCUMENT", "u", 1, day(0))] + [("USD", None, "SOURCE", f"u{i:02d}", 1, day(i)) for i in range(27)]
     got = plans.all_combinations(spark.createDataFrame(rows, "currency string, booking_reference string, side string, id string, amount_minor long, day date"), 1, 7)
     assert {tuple(r) for r in got.collect()} == {("CZK|2026-01-01", "d1,d2", "s1", 0, 0), ("CZK|2026-04-11", "d3", "c1,c2", 0, 0), ("USD|2026-01-01", None, None, None, 1)}
 
