@@ -9,13 +9,14 @@ the KEYS best triples of codewords are its keys. A pair is missed only if all ta
 at a similarity of 0.8 and 1 at 0.82.
 
 Texts that meet under a key form, with all that meet the same smallest text under any key, a group: a text is a row for
-each such smallest text, not for each key. Texts of a group are verified on their whole shingle sets, never all pairs:
-first each text with the smallest one that it most often meets, so a family around one text is linked by as many pairs as
-it has members. Groups whose smallest texts that has connected become one. Then, only in groups whose members are still
-in several components, the pairs of different components that differ in at most LIMIT bits of the SimHash; of those within SURE bits, presumed to be similar, only a spanning tree.
-Where a presumed pair fails, the groups of its texts are gone through again without what has been tested, until none
-fails. At a similarity of 0.8 a pair differs in 174 bits of 1,152 on average, with a deviation of 12, so LIMIT loses about
-1 of 200 pairs right at 0.8. What lies between SURE and LIMIT and is not yet connected is verified pair by pair.
+each such smallest text, not for each key. Texts of a group are verified on their whole shingle sets: first each text with
+the smallest one that it most often meets, so a family around one text is linked by as many pairs as it has members.
+Groups whose smallest texts that has connected become one. Then only groups whose members are still in several components
+are gone through, where their members are: pairs of different components that differ in at most LIMIT bits of the SimHash
+are verified nearest first, and a pair that another link has joined meanwhile is passed over. Only links leave the task,
+fewer than the group has members; no pair is ever a row. A group of more than PART texts (or PART_BYTES of shingles) is
+dealt as pairs of its parts. At a similarity of 0.8 a pair differs in 174 bits of 1,152 on average, with a deviation of
+12, so LIMIT loses about 1 of 200 pairs right at 0.8.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ SEGMENTS, WIDTH = 3 * TABLES, 23
 LANES = -(-SEGMENTS * WIDTH // 64)
 #: Odd multipliers that turn a shingle's hash into the bits of each lane.
 LANE_FACTORS = np.random.default_rng(1).integers(1, 2**63, LANES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-#: Pairs with more differing bits than LIMIT are not verified, those within SURE are presumed to be similar.
-LIMIT, SURE = 205, 150
-#: Members of a group that are compared in one go; larger groups are dealt as pairs of such blocks.
-BLOCK = 2048
+#: Pairs with more differing bits are not verified.
+LIMIT = 205
+#: Members of a part of a group, and bytes of their shingles, about; a task holds two parts.
+PART, PART_BYTES = 1024, 32 << 20
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -147,70 +148,72 @@ def _sets(batches, words):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(bits, pa.binary())], ["node", "shingles", "bits"])
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def _verified(batches, similarity):
     """Rows (u, v, shingles of u, shingles of v) -> the pairs of at least this similarity."""
     import pyarrow as pa
 
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-            ok.append(both >= similarity * (len(x) + len(y) - both))
+        ok = [similar(*(np.frombuffer(z.as_buffer(), np.uint64) for z in pair), similarity) for pair in zip(batch.column(2), batch.column(3))]
         ok = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
 
-def near_pairs(node: np.ndarray, component: np.ndarray, bits: np.ndarray, tested: list):
-    """Pairs (row, row, presumed) of a group that are to be verified: see above. bits: a matrix of 64-bit words."""
+def group_links(node: np.ndarray, component: np.ndarray, part: np.ndarray, bits: np.ndarray, sets: list, similarity: float) -> list[tuple[int, int]]:
+    """Links (node, node) that join the components of a group's members: see above. bits: a matrix of 64-bit words. Where
+    the members are of two parts only pairs across them are looked at, each part by itself being a row of its own."""
     n, out = len(node), []
-    far, step = np.empty((n, n), np.uint16), max(1, (1 << 20) // n)
+    _, group = np.unique(component, return_inverse=True)
+    apart = part[:, None] != part[None, :] if part.min() != part.max() else np.True_
+    near, step = [], max(1, (1 << 18) // n)
     for i in range(0, n, step):
-        far[i : i + step] = sum(np.bitwise_count(bits[i : i + step, None, lane] ^ bits[None, :, lane]).astype(np.uint16) for lane in range(bits.shape[1]))
-    far[component[:, None] == component[None, :]] = LIMIT + 1
-    for k in range(n):
-        if tested[k]:
-            gone = np.isin(node, tested[k])
-            far[k, gone] = far[gone, k] = LIMIT + 1
-    if far.min() > LIMIT:
-        return out
-    cluster, left = np.arange(n), far.min(1) <= SURE
-    for start in np.flatnonzero(left):
-        front = [start] if left[start] else []
-        left[start] = False
-        while front:
-            at = front.pop()
-            new = np.flatnonzero(left & (far[at] <= SURE))
-            left[new], cluster[new] = False, start
-            front += new.tolist()
-            out.append((np.full(len(new), at), new, np.ones(len(new), bool)))
-    a, b = np.nonzero(np.triu(far <= LIMIT, 1))
-    apart = cluster[a] != cluster[b]
-    return [*out, (a[apart], b[apart], np.zeros(int(apart.sum()), bool))]
-
-
-def _pairs(batches):
-    """Rows (key, block, node, component, bits, tested) sorted by key and block -> (u, v, presumed)."""
+        far = sum(np.bitwise_count(bits[i : i + step, None, lane] ^ bits[None, :, lane]).astype(np.uint16) for lane in range(bits.shape[1]))
+        ok = (far <= LIMIT) & (group[i : i + step, None] != group[None, :]) & (np.arange(i, min(n, i + step))[:, None] < np.arange(n))
+        a, b = np.nonzero(ok & (apart if apart.ndim == 0 else apart[i : i + step]))
+        near.append((far[a, b], (a + i).astype(np.int32), b.astype(np.int32)))
+    far, a, b = (np.concatenate(x) for x in zip(*near))
+    root = list(range(int(group.max()) + 1))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    order = np.argsort(far, kind="stable")
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        x, y = top(int(group[i])), top(int(group[j]))
+        if x != y and similar(sets[i], sets[j], similarity):
+            root[max(x, y)] = min(x, y)
+            out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _group_links(batches, similarity):
+    """Rows (key, block, part, node, component, bits, shingles) sorted by key and block -> links (u, v)."""
     import pyarrow as pa
 
     def done(rows):
-        node, component = (np.array([r[i] for r in rows]) for i in (2, 3))
-        found = near_pairs(node, component, np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1), [r[5] for r in rows])
-        if found:
-            a, b, presumed = (np.concatenate(x) for x in zip(*found))
-            u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            for i in range(0, len(u), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (u, v, presumed)], ["u", "v", "presumed"])
+        node, component, part = (np.array([r[i] for r in rows]) for i in (3, 4, 2))
+        found = group_links(node, component, part, np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1), [np.frombuffer(r[6], np.uint64) for r in rows], similarity)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     rows = []
     for batch in batches:
-        for r in zip(*[c.to_pylist() for c in batch.columns]):
+        for k in range(batch.num_rows):
+            r = [c[k].as_py() for c in batch.columns]
             if rows and rows[-1][:2] != r[:2]:
-                yield from done(rows)
+                yield done(rows)
                 rows = []
             rows.append(r)
     if rows:
-        yield from done(rows)
+        yield done(rows)
 
 
 def _first_pairs(meets: DataFrame) -> DataFrame:
@@ -219,24 +222,19 @@ def _first_pairs(meets: DataFrame) -> DataFrame:
     return often.select((-F.col("best.other")).alias("u"), F.col("node").alias("v"))
 
 
-def _near_pairs(meets: DataFrame, sets: DataFrame, found: DataFrame, tested: DataFrame, failed: DataFrame | None) -> DataFrame:
-    """(u, v, presumed) of the groups whose members are in several components; with `failed` pairs, of their texts' groups."""
-    if failed is not None:
-        nodes = failed.select("u").union(failed.select("v")).distinct().withColumnRenamed("u", "node")
-        again = written(meets.join(nodes.hint("merge"), "node", "left_semi").select("low").distinct(), "again")
-        meets = meets.join(again.hint("merge"), "low", "left_semi")
+def _spread_links(meets: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links within the groups whose members are in several components of the links found so far."""
     rows = meets.select(F.col("low").alias("key"), "node").join(written(connected_components(found), "labels").hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = written(rows.select("key", "node", "component"), "labelled")
-    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    rows = rows.join(written(spread.select("key", "n"), "spread").hint("merge"), "key")
-    before = tested.select("u", "v").union(tested.select("v", "u")).groupBy("u").agg(F.collect_list("v").alias("tested"))
-    known = written(sets.select(F.col("node").alias("u"), "bits").dropDuplicates(["u"]).join(before.hint("merge"), "u", "left").withColumnRenamed("u", "node"), "known")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = rows.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.least(x, own) * blocks + F.greatest(x, own))))
-    rows = rows.join(known.hint("merge"), "node").select("key", "block", "node", "component", "bits", "tested")
-    pairs = rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_pairs, "u long, v long, presumed boolean")
-    return pairs.groupBy("u", "v").agg(F.max("presumed").alias("presumed"))
+    known = sets.dropDuplicates(["node"]).withColumn("size", F.length("shingles").cast("long"))
+    sizes = written(known.select("node", "size"), "sizes")
+    spread = rows.join(sizes.hint("merge"), "node").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("low < high")
+    rows = rows.join(written(spread.select("key", "n", "bytes"), "spread").hint("merge"), "key")
+    parts = F.ceil(F.greatest(F.col("n") / PART, F.col("bytes") / PART_BYTES)).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.least(x, F.col("part")) * parts + F.greatest(x, F.col("part")))))
+    rows = written(rows.select("key", "block", "part", "node", "component"), "blocks").join(known.hint("merge"), "node").select("key", "block", "part", "node", "component", "bits", "shingles")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(lambda b: _group_links(b, similarity), "u long, v long")
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,23 +257,12 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     members = written(meets.select("node").distinct(), "members")
     sets = written(marked(texts, members).where("marked").select("id", "text").mapInArrow(lambda b: _sets(b, words), "node long, shingles binary, bits binary"), "sets")
     one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(s)).hint("merge") for n, s in (("u", "a"), ("v", "b")))
-    tested = pairs = written(_first_pairs(meets).withColumn("presumed", F.lit(False)), "pairs")
-    found, failed = None, None
-    while not pairs.isEmpty():
-        # The other one first: a node that many pairs share comes last, and its set is not shuffled for each of them.
-        new = written(pairs.select("u", "v").join(two, "v").join(one, "u").select("u", "v", "a", "b").mapInArrow(lambda b: _verified(b, similarity), "u long, v long"), "links")
-        if found is not None:
-            failed = written(pairs.where("presumed").join(new, ["u", "v"], "left_anti").select("u", "v"), "failed")
-            if failed.isEmpty():
-                found = found.union(new)
-                break
-        else:  # groups of the same component's smallest texts are one group from here on
-            tops = written(connected_components(new), "tops").select(F.col("node").alias("low"), F.col("component").alias("top"))
-            meets = written(meets.join(tops.hint("merge"), "low", "left").select(F.coalesce("top", "low").alias("low"), "node").distinct(), "meets")
-        found = new if found is None else found.union(new)
-        pairs = written(_near_pairs(meets, sets, found, tested, failed), "pairs")
-        tested = tested.union(pairs)
-    if found is not None:
-        links = links.union(found)
+    # The other one first: a node that many pairs share comes last, and its set is not shuffled for each of them.
+    pairs = written(_first_pairs(meets), "pairs")
+    found = written(pairs.select("u", "v").join(two, "v").join(one, "u").select("u", "v", "a", "b").mapInArrow(lambda b: _verified(b, similarity), "u long, v long"), "links")
+    # Groups of the same component's smallest texts are one group from here on.
+    tops = written(connected_components(found), "tops").select(F.col("node").alias("low"), F.col("component").alias("top"))
+    meets = written(meets.join(tops.hint("merge"), "low", "left").select(F.coalesce("top", "low").alias("low"), "node").distinct(), "meets")
+    links = links.union(found).union(written(_spread_links(meets, sets, found, similarity), "links"))
     groups = written(connected_components(links), "groups")
     return nodes.join(groups.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", "digest", F.coalesce("component", "id").alias("component"))

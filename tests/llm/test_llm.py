@@ -141,28 +141,29 @@ def test_similar_components(spark, monkeypatch):
     assert got == dict(enumerate(low))
 
 
-def test_near_pairs():
-    """Every pair within LIMIT of different components is emitted or implied by presumed pairs; tested ones are neither."""
+def test_group_links():
+    """The links join just what all pairs within LIMIT that are similar join, given the components from before."""
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2, 1152)
     rows = [np.where(rng.random(1152) < share, 1 - base, base) for share in rng.choice([0.01, 0.05, 0.09, 0.2], 60)]
     bits = np.packbits(np.array(rows, np.uint8), axis=1).view(np.uint64)
+    sets = [np.unique(rng.integers(0, 130, 400)).astype(np.uint64) for _ in rows]
     node, component = np.arange(100, 160), np.r_[np.zeros(10, int), np.arange(1, 51)]
-    tested = [[] for _ in node]
-    tested[20] = [125, 126]
-    far = lambda i, j: int((rows[i] != rows[j]).sum())
-    found = {(int(a), int(b), bool(p)) for x in shingles.near_pairs(node, component, bits, tested) for a, b, p in zip(*x)}
-    low = list(range(60))
-    for _ in range(60):
-        for a, b, p in found:
-            if p:
-                low[a] = low[b] = min(low[a], low[b])
-    plain = {(min(a, b), max(a, b)) for a, b, _ in found}
-    for i in range(60):
-        for j in range(i + 1, 60):
-            allowed = component[i] != component[j] and far(i, j) <= shingles.LIMIT and not (i == 20 and j in (25, 26))
-            assert ((i, j) in plain or low[i] == low[j]) if allowed else (i, j) not in plain
-    assert all(p == (far(a, b) <= shingles.SURE) for a, b, p in found if low[a] != low[b] or p)
+    good = lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.9 * len(set(sets[i]) | set(sets[j])) and int((rows[i] != rows[j]).sum()) <= shingles.LIMIT
+
+    def joined(links):
+        low = list(component)
+        for a, b in links:
+            x, y = low[a], low[b]
+            low = [min(x, y) if c in (x, y) else c for c in low]
+        return low
+
+    for part in (np.zeros(60, int), np.arange(60) % 2):
+        found = [(a - 100, b - 100) for a, b in shingles.group_links(node, component, part, bits, sets, 0.9)]
+        across = lambda i, j: part.max() == 0 or part[i] != part[j]
+        assert all(good(a, b) and component[a] != component[b] and across(a, b) for a, b in found) and 0 < len(found) < 51
+        assert joined(found) == joined([(i, j) for i in range(60) for j in range(i + 1, 60) if good(i, j) and across(i, j)])
+
 
 
 def test_lines(spark):

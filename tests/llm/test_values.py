@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import linededup, mixing, ngramlm, quality, queries, repeats, simhash
+from ledgerloom.llm import linededup, mixing, ngramlm, quality, queries, repeats, shingles, simhash
 from ledgerloom.llm.common import NULL_ID
 
 from .test_llm import COLS, LONG, ROWS, SF, row
@@ -155,3 +155,23 @@ def test_pipeline_stages_by_hand(spark):
     got = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == four and len(texts) > len(one) >= len(three) > len(four) > 0
     assert all(got[i][1] == hashlib.sha256(three[i].encode()).hexdigest() for i in four)
+
+
+def test_a_family_right_at_the_limit():
+    """2,000 members that all differ in 150 to 205 bits: links fewer than members, and none where no pair is similar."""
+    rng = np.random.default_rng(3)
+    n, lanes = 2000, shingles.LANES
+    core = rng.integers(0, 2, lanes * 64, dtype=np.uint8)
+    flips = np.stack([rng.permutation(lanes * 64) < 95 for _ in range(n)])
+    bits = np.packbits(core ^ flips, axis=1).view(np.uint64)
+    far = np.bitwise_count(bits[:50, None] ^ bits[None]).sum(2)
+    assert np.median(far[far > 0]) < shingles.LIMIT
+    base = np.arange(800, dtype=np.uint64)
+    own = [np.sort(np.r_[base, 10_000 + 1000 * np.uint64(i) + np.arange(50, dtype=np.uint64)]) for i in range(n)]
+    node = np.arange(n)
+    found = shingles.group_links(node, node, np.zeros(n, int), bits, own, 0.8)
+    assert len(found) <= n - 1 and len(set(sum(found, ()))) > 0.99 * n
+    assert shingles.group_links(node[:200], node[:200], np.zeros(200, int), bits[:200], [np.r_[x, 10**7 + 1000 * np.uint64(i) + np.arange(100, dtype=np.uint64)] for i, x in enumerate(own[:200])], 0.8) == []
+    half = np.arange(n) % 2
+    across = shingles.group_links(node, node, half, bits, own, 0.8)
+    assert len(across) <= n - 1 and all(half[u] != half[v] for u, v in across)
