@@ -8,29 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import changed_fields, date_points
 
-#: Most anchors of a counterpart search: a person's selection, which is broadcast.
-MOST_ANCHORS = 1000
 #: Most lines and most different sums of a block whose subsets are counted; the targets of larger ones are reported.
 MOST_LINES, MOST_SUMS = 200, 1 << 18
 
 
-def counterparts(anchors: DataFrame, sources: DataFrame, days: int | None, limit: int) -> DataFrame:
-    """The best `limit` sources of each of at most MOST_ANCHORS anchors: same currency and sign, within `days` if given.
-
-    The anchors are broadcast, so that sources are read once without a shuffle; only their best rows are.
-    """
-    if anchors.limit(MOST_ANCHORS + 1).count() > MOST_ANCHORS:
-        raise ValueError(f"more than {MOST_ANCHORS} anchors")
-    apart = F.abs(F.datediff("doc_date", "paid_on"))
-    rows = sources.join(F.broadcast(anchors), "currency").where(F.signum("remaining_minor") == F.signum("amount_minor"))
-    rows = rows.where(apart <= days) if days is not None else rows
-    book, diff = F.col("is_booking") == 1, F.abs(F.col("remaining_minor") - F.col("amount_minor"))
-    score = F.when(book & (F.col("doc_reference") == F.col("source_reference")), 75).otherwise(0) + F.when(diff == 0, F.when(book, 15).otherwise(60)).otherwise(0) + date_points(apart, book) + F.when(~book & F.col("paid_at").isNotNull(), 5).otherwise(0)
-    rows = rows.withColumn("score", F.least(score, F.lit(100)).cast("int")).withColumn("diff", diff).withColumn("days", apart)
-    best = Window.partitionBy("invoice_id").orderBy(F.desc("score"), "diff", "days", "source_id")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-
-
 def helper_chain(cash: DataFrame, invoices: DataFrame, lines: DataFrame) -> DataFrame:
     """(row_no, source_id): cash row to invoice by code, to reservation, to reference, to payout line; every hop must be the only one."""
     one = lambda df, key: df.withColumn("__n", F.count("*").over(Window.partitionBy(key))).where("__n = 1").drop("__n")

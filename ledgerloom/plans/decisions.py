@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import combinations as C
+from ..operators import counterparts as P
 from ..operators import decisions as D
 from ..operators import groups as G
 from ..operators import matching as M
@@ -42,23 +43,29 @@ def j9(spark, d):
     return D.helper_chain(cash, read(spark, d, "invoice").select("code", "reservation_id", "booking_reference"), read(spark, d, "booking").select("booking_reference", "source_id"))
 
 
-ANCHOR_SQL = f"{DOC_SQL}, {SRC_SQL}, a AS (SELECT * FROM d ORDER BY abs(remaining_minor) DESC, invoice_id LIMIT 100), w AS (SELECT invoice_id, s.source_id, abs(remaining_minor - amount_minor) AS diff, abs(date_diff('day', doc_date, paid_on)) AS days, is_booking, booking_reference, source_reference, paid_at FROM a JOIN s ON a.currency = s.currency AND sign(remaining_minor) = sign(amount_minor)), z AS (SELECT *, CAST(least(100, CASE WHEN is_booking = 1 AND booking_reference = source_reference THEN 75 ELSE 0 END + CASE WHEN diff = 0 THEN CASE is_booking WHEN 1 THEN 15 ELSE 60 END ELSE 0 END + CASE is_booking WHEN 1 THEN CASE WHEN days <= 2 THEN 5 WHEN days <= 4 THEN 3 WHEN days <= 7 THEN 1 ELSE 0 END ELSE CASE WHEN days <= 2 THEN 25 WHEN days <= 4 THEN 18 WHEN days <= 7 THEN 10 ELSE 0 END END + CASE WHEN is_booking = 0 AND paid_at IS NOT NULL THEN 5 ELSE 0 END) AS INTEGER) AS score FROM w)"
-TOP_SQL = "SELECT invoice_id, source_id, score, diff FROM z QUALIFY row_number() OVER (PARTITION BY invoice_id ORDER BY score DESC, diff, days, source_id) <= 500"
+def pair_scores_sql(days: int | None) -> str:
+    """All pairs of an open document and a source with their scores, then the best 20 of every document and of every source."""
+    best = lambda anchor, other, kind: f"SELECT {anchor} AS anchor_id, CAST(row_number() OVER (PARTITION BY {anchor} ORDER BY score DESC, diff, days, {kind}, {other}) AS INTEGER) AS rank, {kind} AS object_kind, {other} AS object_id, score, diff FROM z QUALIFY rank <= 20"
+    return f"""{DOC_SQL}, {SRC_SQL}, w AS (SELECT invoice_id, s.source_id, CAST(abs(remaining_minor - amount_minor) AS BIGINT) AS diff, abs(date_diff('day', doc_date, paid_on)) AS days, is_booking, booking_reference, source_reference, paid_at FROM d JOIN s ON d.currency = s.currency AND sign(remaining_minor) = sign(amount_minor)),
+        z AS (SELECT *, CASE is_booking WHEN 1 THEN 'BOOKING' ELSE 'CARD' END AS source_kind, CAST(least(100, CASE WHEN is_booking = 1 AND booking_reference = source_reference THEN 75 ELSE 0 END + CASE WHEN diff = 0 THEN CASE is_booking WHEN 1 THEN 15 ELSE 60 END ELSE 0 END + CASE is_booking WHEN 1 THEN CASE WHEN days <= 2 THEN 5 WHEN days <= 4 THEN 3 WHEN days <= 7 THEN 1 ELSE 0 END ELSE CASE WHEN days <= 2 THEN 25 WHEN days <= 4 THEN 18 WHEN days <= 7 THEN 10 ELSE 0 END END + CASE WHEN is_booking = 0 AND paid_at IS NOT NULL THEN 5 ELSE 0 END) AS INTEGER) AS score FROM w{f" WHERE days <= {days}" if days is not None else ""})
+        SELECT * FROM ({best("invoice_id", "source_id", "source_kind")}) UNION ALL SELECT * FROM ({best("source_id", "invoice_id", "'INVOICE'")})"""
 
 
-def anchors(spark, d):
-    rows = M.active_invoices(read(spark, d, "invoice")).orderBy(F.desc(F.abs("remaining_minor")), "invoice_id").limit(100)
-    return rows.select("invoice_id", "currency", "remaining_minor", "doc_date", "paid_at", F.col("booking_reference").alias("doc_reference"))
+def both_directions(spark, d, days: int | None):
+    """The best 20 sources of every open document, and documents of every source."""
+    docs = M.active_invoices(read(spark, d, "invoice")).select(F.lit("INVOICE").alias("kind"), F.col("invoice_id").alias("id"), "currency", F.col("remaining_minor").alias("amount_minor"), F.coalesce("paid_at", "doc_date").alias("day"), F.col("booking_reference").alias("reference"), F.col("paid_at").isNotNull().alias("paid"))
+    src = sources(spark, d).select(F.when(F.col("is_booking") == 1, "BOOKING").otherwise("CARD").alias("kind"), F.col("source_id").alias("id"), "currency", "amount_minor", F.col("paid_on").alias("day"), F.col("source_reference").alias("reference"), F.lit(False).alias("paid"))
+    return P.counterparts(docs, src, days, 20).unionByName(P.counterparts(src, docs, days, 20)).drop("days")
 
 
-@query("m15_counterparts", f"+{ANCHOR_SQL} {TOP_SQL.replace('FROM z', 'FROM z WHERE days <= 30')}", "invoice", "booking", "card")
+@query("m15_counterparts", f"+{pair_scores_sql(30)}", "invoice", "booking", "card")
 def m15(spark, d):
-    return D.counterparts(anchors(spark, d), sources(spark, d), 30, 500).select("invoice_id", "source_id", "score", "diff")
+    return both_directions(spark, d, 30)
 
 
-@query("j10_counterparts_any_day", f"+{ANCHOR_SQL} {TOP_SQL}", "invoice", "booking", "card")
+@query("j10_counterparts_any_day", f"+{pair_scores_sql(None)}", "invoice", "booking", "card")
 def j10(spark, d):
-    return D.counterparts(anchors(spark, d), sources(spark, d), None, 500).select("invoice_id", "source_id", "score", "diff")
+    return both_directions(spark, d, None)
 
 
 @query("j13_without_rejected", f"+{SCORE_SQL} SELECT invoice_id, source_id FROM q WHERE score >= 50", "invoice", "booking", "card")

@@ -50,10 +50,42 @@ def test_combinations_on_the_tables(spark):
     assert one and {tuple(r) for r in plans.m16(spark, SF).collect()} == one
 
 
-def test_too_many_anchors(spark):
-    many = spark.range(D.MOST_ANCHORS + 1).select(F.lit("CZK").alias("currency"))
-    with pytest.raises(ValueError):
-        D.counterparts(many, many, 7, 10)
+def best_plain(anchors, others, days, limit):
+    out = []
+    for a in anchors:
+        found = []
+        for o in others:
+            doc, src = (a, o) if a[0] == "INVOICE" else (o, a)
+            if a[2] != o[2] or a[3] * o[3] <= 0:
+                continue
+            gap = None if a[4] is None or o[4] is None else abs((a[4] - o[4]).days)
+            if days is not None and gap is not None and gap > days:
+                continue
+            band = next((k for k, most in enumerate((2, 4, 7)) if gap is not None and gap <= most), 3)
+            if src[0] == "BOOKING":
+                score = 75 * bool(src[5] and src[5] == doc[5]) + 15 * (a[3] == o[3]) + (5, 3, 1, 0)[band]
+            else:
+                score = 60 * (a[3] == o[3]) + (25, 18, 10, 0)[band] + 5 * (src[0] == "CARD" and doc[6])
+            found.append((-min(100, score), abs(a[3] - o[3]), 10**9 if gap is None else gap, o[0], o[1]))
+        out += [(a[1], n + 1, x[3], x[4], -x[0], x[1]) for n, x in enumerate(sorted(found)[:limit])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("days, limit", [(7, 5), (30, 3), (None, 4)])
+def test_counterparts(spark, monkeypatch, days, limit):
+    """Both directions, unknown days, many ties, one hot day; with parts of few rows."""
+    from ledgerloom.operators import counterparts as P
+
+    rng, base = random.Random(9), dt.date(2026, 5, 1)
+    day = lambda: rng.choice([None] + [base + dt.timedelta(rng.choice([0, 0, 0, 3, 9, 20, 45]))] * 9)
+    cols = "kind string, id string, currency string, amount_minor long, day date, reference string, paid boolean"
+    docs = [("INVOICE", f"i{k:02d}", rng.choice(["CZK", "EUR"]), rng.choice([100, 100, 250, -100, 0]), day(), rng.choice([None, "", "R1", "R2"]), rng.random() < 0.5) for k in range(60)]
+    src = [(rng.choice(["BOOKING", "CARD", "MANUAL"]), f"s{k:02d}", rng.choice(["CZK", "EUR"]), rng.choice([100, 101, 250, -100]), day(), rng.choice([None, "", "R1", "R2"]), False) for k in range(70)]
+    for name in ("ANCHORS", "OTHERS"):
+        monkeypatch.setattr(P, name, 7)
+    a, b = spark.createDataFrame(docs, cols), spark.createDataFrame(src, cols)
+    for x, y, p, q in ((a, b, docs, src), (b, a, src, docs)):
+        assert sorted(tuple(r)[:6] for r in P.counterparts(x, y, days, limit).collect()) == best_plain(p, q, days, limit)
 
 
 def test_preview_order(spark):
