@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import kept
+
 
 def group_totals(members: DataFrame) -> DataFrame:
     """Totals of each group: documents and other sources, their difference, currencies and members."""
@@ -30,23 +32,83 @@ def payment_status(total: Column, used: Column) -> Column:
     return F.when(used == 0, "NEUHRAZEN").when(F.abs(used) >= F.abs(total), "UHRAZEN").otherwise("ČÁSTEČNÁ ÚHRADA")
 
 
+def tree_violations(edges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(rule, group_id) of broken rules: PARENTS where a child has several parents, CYCLE where a group is above itself,
+    CURRENCY where a child's currency (groups: group_id, currency) is not its parent's. edges (parent, child)."""
+    own = edges.select("parent", "child").distinct()
+    named = lambda rule, df, col: df.select(F.lit(rule).alias("rule"), F.col(col).cast("string").alias("group_id")).distinct()
+    found = named("PARENTS", own.groupBy("child").agg(F.count("*").alias("n")).where("n > 1"), "child")
+    # In a cycle every pointer goes on for ever, however often its length is doubled; above a tree all end. A group with
+    # several parents follows the smallest.
+    one = own.groupBy("child").agg(F.min("parent").alias("parent"))
+    found = found.unionByName(named("CYCLE", _pointers(one), "node"))
+    if groups is not None:
+        kind = lambda a, b: groups.select(F.col("group_id").alias(a), F.col("currency").alias(b))
+        mixed = own.join(kind("parent", "__p"), "parent").join(kind("child", "__c"), "child").where("__p <> __c")
+        found = found.unionByName(named("CURRENCY", mixed, "child"))
+    return found
+
+
+def _pointers(parents: DataFrame) -> DataFrame:
+    """(node) of those that are above themselves: what still has an ancestor after as many doublings as make the number of
+    nodes, and is reached from one of them."""
+    state = kept(parents.select(F.col("child").alias("node"), F.col("parent").alias("up")), "pointers")
+    edges = state
+    nodes, length = state.count() + 1, 1
+    while length <= nodes and not state.isEmpty():
+        state = kept(_doubled(state), "pointers")
+        length *= 2
+    # What is left hangs below a cycle or lies on it; pointers this long end on the cycle.
+    on = kept(state.select(F.col("up").alias("node")).distinct(), "cycle")
+    # A walk of all lengths from there stays on it.
+    while not on.isEmpty():
+        more = kept(on.unionByName(edges.join(on, "node").select(F.col("up").alias("node"))).distinct(), "cycle")
+        if more.count() == on.count():
+            break
+        on = more
+    return on
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """Pointers (node, up) of twice the length, of the nodes that have ancestors so far up."""
+    return state.join(state.select(F.col("node").alias("up"), F.col("up").alias("higher")), "up").select("node", F.col("higher").alias("up"))
+
+
 def tree_rollup(edges: DataFrame, own: DataFrame) -> DataFrame:
     """(root, difference_minor, groups): each group's own difference plus those of all groups below it.
 
-    edges (parent, child), one active parent for each child; own (group_id, difference_minor). Sums go up one level
-    after the other, added up at each parent, until no parent is left; a cycle, which would never end, raises an error.
-    A parent need not be a group itself.
+    edges (parent, child); own (group_id, difference_minor). Each node holds the sum over what is less than 2^k below it
+    and a pointer to its ancestor 2^k above; one round adds that sum up at the pointer's end and doubles the pointers, so
+    a chain of n groups takes log2(n) rounds over rows that only get fewer. A second parent or a cycle raises an error. A
+    parent need not be a group itself.
     """
-    level = own.select(F.col("group_id").alias("root"), F.col("difference_minor").cast("bigint").alias("difference_minor"), F.lit(1).cast("bigint").alias("groups")).checkpoint()
-    total, known = level, edges.count() + 1
-    for _ in range(known):
-        level = level.join(edges, level["root"] == edges["child"]).groupBy(F.col("parent").alias("root")).agg(F.sum("difference_minor").alias("difference_minor"), F.sum("groups").alias("groups")).checkpoint()
-        if level.isEmpty():
-            break
-        total = total.unionByName(level)
-    else:
-        raise ValueError("the groups hold a cycle")
-    return total.groupBy("root").agg(F.sum("difference_minor").alias("difference_minor"), F.sum("groups").alias("groups"))
+    edges = kept(edges.select("parent", "child").distinct(), "edges")
+    if not edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a group has several parents")
+    both = own.select(F.col("group_id").alias("root"), F.col("difference_minor").cast("bigint").alias("difference_minor"), F.lit(1).cast("bigint").alias("groups"))
+    empty = edges.select(F.col("parent").alias("root"), F.lit(0).cast("bigint").alias("difference_minor"), F.lit(0).cast("bigint").alias("groups")).unionByName(edges.select(F.col("child").alias("root"), F.lit(0).cast("bigint").alias("difference_minor"), F.lit(0).cast("bigint").alias("groups")))
+    add = lambda df: df.groupBy("root").agg(F.sum("difference_minor").alias("difference_minor"), F.sum("groups").alias("groups"))
+    sums = kept(add(both.unionByName(empty)), "sums")
+    state, length, nodes = edges.select(F.col("child").alias("node"), F.col("parent").alias("up")), 1, edges.count() + 1
+    while not state.isEmpty():
+        if length > nodes:
+            raise ValueError("the groups hold a cycle")
+        up = state.join(sums, F.col("node") == F.col("root")).select(F.col("up").alias("root"), "difference_minor", "groups")
+        sums = kept(add(sums.unionByName(add(up))), "sums")
+        state, length = kept(_doubled(state), "pointers"), 2 * length
+    return sums.where("groups > 0")
+
+
+def tree_closure(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(root, group_id): each group below each of its ancestors and itself, in log2(depth) rounds. own (group_id)."""
+    state = kept(edges.select(F.col("child").alias("node"), F.col("parent").alias("up")).distinct(), "pointers")
+    known, length, nodes = own.select(F.col("group_id").alias("root"), "group_id"), 1, state.count() + 1
+    while not state.isEmpty():
+        if length > nodes:
+            raise ValueError("the groups hold a cycle")
+        known = kept(known.unionByName(known.join(state, F.col("root") == F.col("node")).select(F.col("up").alias("root"), "group_id")), "closure")
+        state, length = kept(_doubled(state), "pointers"), 2 * length
+    return known
 
 
 def revision_signature(members: DataFrame, group: str, order: list[str]) -> DataFrame:

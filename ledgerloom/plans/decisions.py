@@ -14,7 +14,7 @@ from ..operators import decisions as D
 from ..operators import groups as G
 from ..operators import matching as M
 from .adapters import read
-from .registry import DOC_SQL, GROUP_SQL, SCORE_SQL, SRC_SQL, USED, candidates, query, sources, used
+from .registry import DOC_SQL, GROUP_SQL, SCORE_SQL, SRC_SQL, USED, candidates, group_edges, query, sources, used
 
 PAIR = ["invoice_id", "source_id"]
 
@@ -291,8 +291,21 @@ def g4(spark, d):
 @query("g6_leaf_members", "+c AS (SELECT DISTINCT CAST(floor(group_id / 100) AS BIGINT) AS root, group_id FROM membership UNION SELECT DISTINCT CAST(floor(group_id / 10) AS BIGINT), group_id FROM membership) SELECT DISTINCT root, member FROM c JOIN membership USING (group_id)", "membership")
 def g6(spark, d):
     m = read(spark, d, "membership")
-    up = lambda n: m.select(F.floor(F.col("group_id") / n).cast("bigint").alias("root"), "group_id")
-    return D.leaf_members(up(100).union(up(10)).distinct(), m)
+    up = lambda n: F.floor(F.col("group_id") / n).cast("bigint")
+    return D.leaf_members(m.select(F.explode(F.array(up(100), up(10))).alias("root"), "group_id").distinct(), m)
+
+
+@query("g6_leaf_members_of_all", "+g AS (SELECT DISTINCT group_id FROM membership), c AS (SELECT CAST(floor(group_id / pow(10, i)) AS BIGINT) AS root, group_id FROM g, unnest(generate_series(0, length(CAST(group_id AS STRING)) - 1)) AS s(i)) SELECT DISTINCT root, member FROM c JOIN membership USING (group_id)", "membership")
+def g6_all(spark, d):
+    """Members below every group of the tree of g5."""
+    m = read(spark, d, "membership")
+    return D.leaf_members(G.tree_closure(group_edges(m), m.select("group_id").distinct()), m)
+
+
+@query("g5_tree_violations", "+g AS (SELECT group_id, min(currency) AS currency FROM membership GROUP BY group_id) SELECT 'CURRENCY' AS rule, CAST(c.group_id AS STRING) AS group_id FROM g c JOIN g p ON p.group_id = CAST(floor(c.group_id / 10) AS BIGINT) AND c.group_id >= 10 AND p.currency <> c.currency", "membership")
+def g5_violations(spark, d):
+    m = read(spark, d, "membership")
+    return G.tree_violations(group_edges(m), m.groupBy("group_id").agg(F.min("currency").alias("currency")))
 
 
 @query("m17_reasons_of_items", f"""+{SCORE_SQL}, {GROUP_SQL}, n AS (SELECT invoice_id, count(*) AS n, max(CASE WHEN abs(remaining_minor - amount_minor) <= 1 THEN 1 ELSE 0 END) AS exact FROM q GROUP BY invoice_id), y AS (SELECT booking_reference, list(DISTINCT currency) AS cs FROM booking WHERE booking_reference IS NOT NULL GROUP BY 1),

@@ -429,13 +429,18 @@ def g3(spark, d):
     return G.group_totals(read(spark, d, "membership")).select("group_id", G.group_status(mode).alias("status"))
 
 
+def group_edges(m):
+    """(parent, child) of every group and of the keys above it."""
+    up = lambda i: F.floor(F.col("group_id") / F.pow(F.lit(10), i)).cast("bigint")
+    steps = m.where("group_id >= 10").select("group_id").distinct().select("group_id", F.explode(F.sequence(F.lit(1), F.length(F.col("group_id").cast("string")) - 1)).alias("i"))
+    return steps.select(up(F.col("i")).alias("parent"), up(F.col("i") - 1).alias("child")).distinct()
+
+
 @query("g5_tree_rollup", f"+{GROUP_SQL}, e AS (SELECT CAST(floor(group_id / pow(10, i)) AS BIGINT) AS root, group_id FROM t, unnest(generate_series(0, length(CAST(group_id AS STRING)) - 1)) AS s(i)) SELECT e.root, CAST(sum(t.difference_minor) AS BIGINT) AS difference_minor, count(*) AS groups FROM e JOIN t USING (group_id) GROUP BY e.root", "membership")
 def g5(spark, d):
     """A group's parent is its key without the last digit, down to one digit; a parent need not be a group itself."""
-    own = G.group_totals(read(spark, d, "membership")).select("group_id", "difference_minor")
-    up = lambda i: F.floor(F.col("group_id") / F.pow(F.lit(10), i)).cast("bigint")
-    steps = own.where("group_id >= 10").select("group_id", F.explode(F.sequence(F.lit(1), F.length(F.col("group_id").cast("string")) - 1)).alias("i"))
-    return G.tree_rollup(steps.select(up(F.col("i")).alias("parent"), up(F.col("i") - 1).alias("child")).distinct(), own)
+    m = read(spark, d, "membership")
+    return G.tree_rollup(group_edges(m), G.group_totals(m).select("group_id", "difference_minor"))
 
 
 @query("g7_membership_from_log", """+l AS (SELECT event_id AS seq, user_id AS group_id, CAST(CAST(ROUND(value) AS BIGINT) % 20 AS STRING) AS member, CAST(FLOOR(event_id / 3) AS BIGINT) AS command_id, CASE event_type WHEN 'purchase' THEN 'ADD' WHEN 'view' THEN 'ADD' WHEN 'click' THEN 'REMOVE' WHEN 'error' THEN 'UNDO' ELSE 'REDO' END AS action FROM events),

@@ -75,6 +75,27 @@ def test_tree(spark):
     assert sorted(tuple(r) for r in G.tree_rollup(edges, own).collect()) == [(1, -5000, 3), (2, -9000, 2), (3, -10000, 1)]
 
 
+def test_a_long_chain(spark, monkeypatch):
+    """10,000 groups above each other in about 14 rounds; a second parent and cycles are told."""
+    n = 10_000
+    own = spark.range(n).select(F.col("id").alias("group_id"), F.lit(1).cast("long").alias("difference_minor"))
+    edges = spark.range(1, n).select((F.col("id") - 1).alias("parent"), F.col("id").alias("child"))
+    rounds, real = [], G._doubled
+    monkeypatch.setattr(G, "_doubled", lambda s: rounds.append(1) or real(s))
+    assert G.tree_rollup(edges, own).where("difference_minor <> 10000 - root OR groups <> 10000 - root").count() == 0 and len(rounds) <= 15
+    few = edges.where("child < 9")
+    assert {tuple(r) for r in G.tree_closure(few, own.where("group_id < 9")).collect()} == {(a, b) for b in range(9) for a in range(b + 1)}
+    second = few.union(spark.createDataFrame([(5, 2)], "parent long, child long"))
+    with pytest.raises(ValueError):
+        G.tree_rollup(second, own)
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (7, 8)], "parent long, child long")
+    with pytest.raises(ValueError):
+        G.tree_rollup(loop, own)
+    kinds = spark.createDataFrame([(7, "CZK"), (8, "EUR"), (4, "CZK"), (5, "CZK")], "group_id long, currency string")
+    assert {tuple(r) for r in G.tree_violations(loop, kinds).collect()} == {("CYCLE", "1"), ("CYCLE", "2"), ("CYCLE", "3"), ("CURRENCY", "8")}
+    assert [tuple(r) for r in G.tree_violations(second).where("rule = 'PARENTS'").collect()] == [("PARENTS", "2")]
+
+
 def test_atomic_append(spark, tmp_path):
     store = spark.createDataFrame([("a", "1")], "k string, h string")
     assert not T.atomic_append(spark.createDataFrame([("a", "2"), ("b", "1")], "k string, h string"), store, "k", "h", str(tmp_path / "out"))
