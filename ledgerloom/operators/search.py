@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import without_accents
@@ -46,19 +46,102 @@ def narrowed(found: DataFrame, docs: DataFrame, kind: str | None = None, currenc
     return rows.select("ref", "kind", "score")
 
 
-def search(post: DataFrame, query: str, limit: int) -> DataFrame:
-    """Refs that hold every token of the query as a prefix, by BM25."""
+def _asked(query: str) -> list[str]:
     import re
 
-    asked = sorted(set(re.findall("[a-z0-9]+", query.lower())))
+    return sorted(set(re.findall("[a-z0-9]+", query.lower())))
+
+
+def _ranked(hit: DataFrame, docs, mean, asked: list[str], limit: int) -> DataFrame:
+    """(ref, score) from rows (ref, asked, tf, size) of the matches; docs and mean: literals, or columns of every row."""
+    df = hit.groupBy("asked").agg(F.count("*").alias("df"))  # one row for each asked token
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    points = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
+    found = hit.join(F.broadcast(df), "asked").groupBy("ref").agg(F.sum(points).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(asked))
+    return found.select("ref", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "ref").limit(limit)
+
+
+def _prefixed(post: DataFrame, asked: list[str], *more: str) -> DataFrame:
+    """(ref, asked, tf): how often each ref holds tokens that begin with each asked one."""
+    match = F.filter(F.array(*[F.lit(a) for a in asked]), lambda a: F.col("token").startswith(a))
+    return post.select("ref", "hits", *more, F.explode(match).alias("asked")).groupBy("ref", "asked", *more).agg(F.sum("hits").alias("tf"))
+
+
+def search(post: DataFrame, query: str, limit: int) -> DataFrame:
+    """Refs that hold every token of the query as a prefix, by BM25."""
+    asked = _asked(query)
     size = post.groupBy("ref").agg(F.sum("hits").alias("size"))
     stats = size.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
-    match = F.filter(F.array(*[F.lit(a) for a in asked]), lambda a: F.col("token").startswith(a))
-    hit = post.select("ref", "hits", F.explode(match).alias("asked")).groupBy("ref", "asked").agg(F.sum("hits").alias("tf"))
-    df = hit.groupBy("asked").agg(F.count("*").alias("df"))
-    # One row for each asked token, one of totals.
-    rows = hit.join(F.broadcast(df), "asked").join(size, "ref").join(F.broadcast(stats))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    points = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    found = rows.groupBy("ref").agg(F.sum(points).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(asked))
-    return found.select("ref", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "ref").limit(limit)
+    hit = _prefixed(post, asked).join(size, "ref").join(F.broadcast(stats))
+    return _ranked(hit, F.col("docs"), F.col("mean"), asked, limit)
+
+
+class Index:
+    """Postings at rest, in segments: each is sorted by token over its files and small row groups, so that a search reads
+    the ranges of its prefixes and nothing else.
+
+    An update writes a segment with the postings of the changed objects only; what older segments say of an object that a
+    later one names is passed over. Every posting carries its object's size, and every segment the totals of all objects
+    after it, so a search reads neither all sizes nor all postings. A segment counts once its totals are there, which are
+    written last; one writer at a time. `compacted` makes one segment of all.
+    """
+
+    #: Bytes of a row group: about what a prefix range costs at least.
+    ROW_GROUP = 1 << 20
+    POSTINGS, SIZES, TOTALS = "token string, ref string, hits long, size long", "ref string, size long", "docs long, total long"
+
+    def __init__(self, spark: SparkSession, folder: str, segments: int = 0):
+        self.spark, self.folder, self.segments = spark, folder.rstrip("/"), segments
+
+    def _path(self, n: int, name: str) -> str:
+        return f"{self.folder}/segment={n:06d}/{name}"
+
+    def _read(self, n: int, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self._path(n, name))
+
+    def _live(self, name: str, schema: str, test=None) -> DataFrame:
+        """The rows of all segments that no later one replaces."""
+        parts = []
+        for n in range(self.segments):
+            rows = self._read(n, name, schema)
+            rows = rows.where(test) if test is not None else rows
+            later = [self._read(m, "sizes", self.SIZES).select("ref") for m in range(n + 1, self.segments)]
+            parts.append(rows.join(reduce(DataFrame.union, later).distinct(), "ref", "left_anti") if later else rows)
+        return reduce(DataFrame.unionByName, parts)
+
+    def updated(self, docs: DataFrame, ref: str, text: str, removed: DataFrame | None = None) -> Index:
+        """The index after the objects of docs have been added or changed, and those of removed (a column of refs) left out.
+        Objects without a token stay known, with size 0."""
+        n = self.segments
+        rows = postings(docs.select(F.col(ref).cast("string").alias("ref"), F.col(text).alias("text")), "ref", "text")
+        size = rows.groupBy("ref").agg(F.sum("hits").alias("size"))
+        named = docs.select(F.col(ref).cast("string").alias("ref")).distinct().join(size, "ref", "left")
+        named = named if removed is None else named.unionByName(removed.select(F.col(removed.columns[0]).cast("string").alias("ref"), F.lit(None).cast("long").alias("size")).join(named.select("ref"), "ref", "left_anti"))
+        named.select("ref", F.coalesce("size", F.lit(0).cast("long")).alias("size")).write.parquet(self._path(n, "sizes"))
+        known = self._read(n, "sizes", self.SIZES)
+        rows = rows.join(known, "ref").select("token", "ref", "hits", "size").repartitionByRange("token", "ref").sortWithinPartitions("token", "ref")
+        rows.write.option("parquet.block.size", self.ROW_GROUP).parquet(self._path(n, "postings"))
+        after = Index(self.spark, self.folder, n + 1)
+        after._live("sizes", self.SIZES).where("size > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0).cast("long")).alias("total")).write.parquet(self._path(n, "totals"))
+        return after
+
+    def compacted(self, folder: str) -> Index:
+        """All of it as the one segment of a new folder."""
+        new = Index(self.spark, folder, 1)
+        self._live("sizes", self.SIZES).where("size > 0").write.parquet(new._path(0, "sizes"))
+        self._live("postings", self.POSTINGS).repartitionByRange("token", "ref").sortWithinPartitions("token", "ref").write.option("parquet.block.size", self.ROW_GROUP).parquet(new._path(0, "postings"))
+        self._read(self.segments - 1, "totals", self.TOTALS).write.parquet(new._path(0, "totals"))
+        return new
+
+    def matches(self, asked: list[str]) -> DataFrame:
+        """Live postings of tokens that begin with one of asked, as ranges that the scan can use."""
+        ranges = [(F.col("token") >= a) & (F.col("token") < a[:-1] + chr(ord(a[-1]) + 1)) for a in asked]
+        return self._live("postings", self.POSTINGS, reduce(lambda x, y: x | y, ranges))
+
+    def search(self, query: str, limit: int) -> DataFrame:
+        """As search(): refs that hold every token of the query as a prefix, by BM25; an empty query finds nothing."""
+        asked = _asked(query)
+        total = self._read(self.segments - 1, "totals", self.TOTALS).first() if self.segments else None  # one row
+        if not asked or total is None or not total["docs"]:
+            return self.spark.createDataFrame([], "ref string, score double")
+        return _ranked(_prefixed(self.matches(asked), asked, "size"), F.lit(float(total["docs"])), F.lit(total["total"] / total["docs"]), asked, limit)

@@ -21,6 +21,8 @@ TABLES = {
         {SIGN} * CASE WHEN o_orderkey % 13 = 0 THEN {MINOR} + 1 WHEN o_orderkey % 11 = 0 THEN CAST(FLOOR({MINOR} / 2) AS BIGINT) ELSE {MINOR} END AS amount_minor,
         {CURRENCY} AS currency, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INT) AS paid_on, concat('P', CAST(o_custkey AS STRING)) AS payment_id,
         CASE WHEN o_orderkey % 23 = 0 THEN 'cancelled' ELSE 'ok' END AS status FROM {{orders}} WHERE o_orderkey % 2 = 0""",
+    "payout": f"""SELECT CAST(FLOOR(o_orderkey / 2) AS BIGINT) AS n, concat('B', lpad(CAST(o_orderkey AS STRING), 10, '0')) AS source_id, CASE WHEN o_orderkey % 14 = 6 THEN concat('X', CAST(o_orderkey AS STRING)) WHEN o_orderkey % 10 <> 4 THEN {REF} END AS booking_reference,
+        {SIGN} * {MINOR} AS amount_minor, concat('P', CAST(o_custkey AS STRING)) AS payment_id FROM {{orders}} WHERE o_orderkey % 2 = 0""",
     "card": f"""SELECT concat('C', lpad(CAST(o_orderkey AS STRING), 10, '0'), '-', CAST(n AS STRING)) AS source_id, {SIGN} * {MINOR} AS amount_minor,
         {CURRENCY} AS currency, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INT) AS paid_on, CAST(o_custkey % 7 AS BIGINT) AS terminal
         FROM {{orders}} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 AS n) twice WHERE o_orderkey % 2 = 1 AND (n = 0 OR o_orderkey % 19 = 0)""",

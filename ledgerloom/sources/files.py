@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import csv_safe
+from ..operators.scratch import kept
 
 #: Required headers (fixed values of the file formats).
 BANK_HEADERS = ["Typ transakce", "ID Terminálu", "ID POS", "Datum a čas vzniku", "Čas připsání na server", "Datum zaúčtování", "Částka", "Cashback", "Spropitné", "DCC", "Měna", "ARN kód", "Číslo karty/Číslo účtu", "Autoriz. kód", "Var. symbol", "Var. symbol 2", "SEQ ID", "Vydavatel karty", "Způsob načtení karty", "Obchodní místo", "Adresa obchodního místa"]
@@ -31,19 +32,34 @@ def read_table(spark: SparkSession, path: str, required: list[str], header_rows:
     top = spark.read.text(path).limit(4 * HEADER_ROWS).agg(F.max(F.regexp_count("value", F.lit(",")))).first()[0]
     schema = ", ".join(f"_c{i} string" for i in range((top or 0) + 1))
     raw = spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=True, encoding="UTF-8")
-    raw = raw.withColumn("__at", F.monotonically_increasing_id())
+    # Written once with its place: the split's number above 33 bits, the row's place in the split below.
+    raw = kept(raw.withColumn("__at", F.monotonically_increasing_id()), "table")
     want = {header_key(h): h for h in required}
     for row in raw.orderBy("__at").limit(header_rows).collect():
         names: dict[str, str] = {}
         for c in raw.columns[:-1]:
             names.setdefault(header_key(row[c]), c)
         if want.keys() <= names.keys():
-            rows = raw.where(F.col("__at") > row["__at"]).withColumn("row_number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__at")).cast("bigint"))
+            rows = numbered(raw, "__at", row["__at"])
             rows = rows.select("row_number", *[F.trim(names[k]).alias(h) for k, h in want.items()])
             return rows.where(F.coalesce(*[F.when(F.col(f"`{h}`") != "", F.lit(1)) for h in required]).isNotNull())
     raise ValueError("no header row with all required names")
 
 
+def numbered(raw: DataFrame, at: str, after: int) -> DataFrame:
+    """The rows whose place is behind `after` with row_number from 1, in two passes: the rows of each split, then each
+    split's offset. Only one count for each split comes to the driver."""
+    split = F.shiftright(at, 33)
+    rows = raw.where(F.col(at) > after)
+    counts = sorted((r["split"], r["first"], r["n"]) for r in rows.groupBy(split.alias("split")).agg(F.min(at).alias("first"), F.count("*").alias("n")).collect())
+    offsets, before = [], 0
+    for number, first, n in counts:
+        offsets.append((number, before - first + 1))  # places of a split follow each other
+        before += n
+    shift = raw.sparkSession.createDataFrame(offsets, "split long, shift long")
+    return rows.withColumn("split", split).join(F.broadcast(shift), "split").withColumn("row_number", F.col(at) + F.col("shift")).drop("split", "shift")
+
+
 def read_bank_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, BANK_HEADERS, HEADER_ROWS)
 
