@@ -85,6 +85,12 @@ def decided(scored: DataFrame, is_booking: Column) -> DataFrame:
     return rows.withColumn("can_auto", F.when(auto, 1).otherwise(0))
 
 
+def unique_evidence(decided: DataFrame, is_booking: Column) -> DataFrame:
+    """decided with UNIQUE and its 10 points at the end of `evidence` where the bonus was given."""
+    bonus = F.array(F.struct(F.lit("UNIQUE").alias("code"), F.lit(10).alias("points")))
+    return decided.withColumn("evidence", F.when(~is_booking & F.col("alone"), F.concat("evidence", bonus)).otherwise(F.col("evidence")))
+
+
 def candidate_order(scored: DataFrame) -> list[Column]:
     """Total order of candidates: score, amount difference, day distance, members, ids."""
     return [F.desc("score"), F.abs(F.col("remaining_minor") - F.col("amount_minor")), F.col("days"), F.sort_array(F.array("invoice_id", "source_id"))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -47,3 +48,28 @@ def upsert(new: DataFrame, old: DataFrame, key: str, watched: list[str]) -> Data
     version = F.when(F.col(f"o.{key}").isNull(), 1).otherwise(F.col("o.row_version") + F.when(F.col(f"n.{key}").isNotNull() & ~same, 1).otherwise(0))
     cols = [F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in watched]
     return both.select(F.coalesce(f"n.{key}", f"o.{key}").alias(key), *cols, version.cast("bigint").alias("row_version"), outcome.alias("outcome"))
+
+
+#: Hours that a run reads again before its checkpoint: least and most.
+OVERLAP_HOURS = (0, 168)
+
+
+def incremental_window(rows: DataFrame, time_col: str, checkpoint: datetime | None, hours: int = 48) -> DataFrame:
+    """The rows of an incremental run: from `hours` (0 to 168) before the checkpoint on; all without a checkpoint. Rows
+    without a time always come. What is read again is told by its content (classify_new)."""
+    if not OVERLAP_HOURS[0] <= hours <= OVERLAP_HOURS[1]:
+        raise ValueError("an overlap of 0 to 168 hours")
+    if checkpoint is None:
+        return rows
+    return rows.where(F.col(time_col).isNull() | (F.col(time_col) >= F.lit(checkpoint) - F.expr(f"INTERVAL {hours} HOURS")))
+
+
+def store_checkpoint(loaded: DataFrame, time_col: str, source: str, folder: str) -> None:
+    """Stores the latest time of what a run has loaded; a run without times leaves the checkpoint as it is."""
+    latest = loaded.agg(F.max(time_col).alias("at")).where("at IS NOT NULL").select(F.lit(source).alias("source"), F.col("at").cast("timestamp").alias("at"))
+    latest.write.mode("append").parquet(folder)
+
+
+def stored_checkpoint(spark, source: str, folder: str) -> datetime | None:
+    """The latest stored time of a source."""
+    return spark.read.schema("source string, at timestamp").parquet(folder).where(F.col("source") == source).agg(F.max("at").alias("at")).first()["at"]

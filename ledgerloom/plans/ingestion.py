@@ -129,6 +129,10 @@ def t13(spark, d):
     return S.resolved_references(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("reservation"), F.col("l_linenumber").alias("extraction"), F.col("l_partkey").cast("string").alias("candidate"), decision.alias("decision")))
 
 
+#: Candidates of open documents: the same reference, or amounts that differ by 1 at most, within 7 days and of one sign.
+CANDIDATES = """SELECT DISTINCT i.invoice_id, s.source_id, i.currency, i.doc_date FROM (SELECT *, total_minor + t AS near FROM {invoice} CROSS JOIN (SELECT -1 AS t UNION ALL SELECT 0 AS t UNION ALL SELECT 1 AS t) steps WHERE included = 1 AND pay_method = 2 AND paid_at IS NOT NULL) i
+    JOIN (SELECT source_id, currency, amount_minor, paid_on FROM {booking} UNION ALL SELECT source_id, currency, amount_minor, paid_on FROM {card}) s ON i.currency = s.currency AND i.near = s.amount_minor AND s.paid_on BETWEEN i.doc_date - 7 AND i.doc_date + 7 AND (i.total_minor > 0) = (s.amount_minor > 0)
+    UNION SELECT i.invoice_id, s.source_id, i.currency, i.doc_date FROM {invoice} i JOIN {booking} s ON i.currency = s.currency AND i.booking_reference = s.booking_reference AND s.paid_on BETWEEN i.doc_date - 7 AND i.doc_date + 7 AND (i.total_minor > 0) = (s.amount_minor > 0) WHERE i.included = 1 AND i.pay_method = 2 AND i.paid_at IS NOT NULL"""
 #: Objects that can be found: table or SQL, key, texts, currency, date; expressions that both engines read.
 RESERVATION_SQL = "SELECT reservation_id, min(internal_code) AS code, min(booking_reference) AS booking_reference, min(doc_date) AS arrival FROM {invoice} GROUP BY reservation_id"
 KINDS = {
@@ -146,6 +150,7 @@ KINDS = {
     "BOOKING_REFERENCE": ("SELECT DISTINCT reservation_id, booking_reference FROM {invoice} WHERE booking_reference IS NOT NULL", "concat(CAST(reservation_id AS STRING), '/', booking_reference)", ["booking_reference"], "NULL", "NULL"),
     "BILL": ("SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day FROM {orders}", "o_orderkey", ["o_orderkey", "o_orderstatus"], "NULL", "day"),
     "BILL_ITEM": ("SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}", "concat(CAST(l_orderkey AS STRING), '/', CAST(l_partkey AS STRING))", ["l_partkey"], "NULL", "NULL"),
+    "CANDIDATE": (CANDIDATES, "concat(invoice_id, '/', source_id)", ["invoice_id", "source_id"], "currency", "doc_date"),
     "REVISION_ALERT": ("SELECT * FROM {alert}", "alert_id", ["alert_id", "group_ids"], "NULL", "NULL"),
 }
 #: Links between them: table or SQL, kind and key of either end.
@@ -158,6 +163,9 @@ LINKS = [
     ("SELECT b.source_id, i.reservation_id FROM {booking} b JOIN {invoice} i ON b.booking_reference = i.booking_reference", "BOOKING", "source_id", "RESERVATION", "reservation_id"),
     ("SELECT * FROM {bank_raw} WHERE kind_text = 'Mystery'", "QUARANTINE", "row_no", "IMPORT_RUN", "file_id"),
     ("SELECT * FROM {invoice}", "INVOICE", "invoice_id", "MATCH_GROUP", "code"),
+    (CANDIDATES, "CANDIDATE", "concat(invoice_id, '/', source_id)", "INVOICE", "invoice_id"),
+    (f"SELECT * FROM ({CANDIDATES}) WHERE source_id LIKE 'B%'", "CANDIDATE", "concat(invoice_id, '/', source_id)", "BOOKING", "source_id"),
+    (f"SELECT * FROM ({CANDIDATES}) WHERE source_id LIKE 'C%'", "CANDIDATE", "concat(invoice_id, '/', source_id)", "CARD", "source_id"),
     ("SELECT * FROM {events}", "AUDIT", "event_id", "MATCH_GROUP", "user_id"),
     ("SELECT alert_id, CAST(regexp_extract(group_ids, '([0-9]+)', 1) AS BIGINT) AS a FROM {alert}", "REVISION_ALERT", "alert_id", "MATCH_GROUP", "a"),
     ("SELECT alert_id, CAST(regexp_extract(group_ids, ',\"([0-9]+)', 1) AS BIGINT) AS a FROM {alert}", "REVISION_ALERT", "alert_id", "MATCH_GROUP", "a"),

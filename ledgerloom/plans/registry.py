@@ -11,6 +11,7 @@ from ..operators import groups as G
 from ..operators import matching as M
 from ..operators import search as X
 from ..operators import state as T
+from ..operators.scratch import scratch
 from .adapters import ctes, read
 
 QUERIES: dict = {}
@@ -228,6 +229,15 @@ def m5(spark, d):
     return M.decided(M.scored_pairs(candidates(spark, d), b), b).select("invoice_id", "source_id", "score", "competitor", "can_auto")
 
 
+@query("m3_full_evidence", f"+{DECIDED_SQL}, n AS (SELECT invoice_id, source_id, is_booking = 0 AND count(*) OVER (PARTITION BY invoice_id) = 1 AND count(*) OVER (PARTITION BY source_id) = 1 AS alone FROM q), e AS (SELECT invoice_id, source_id, {EVIDENCE_SQL} AS evidence FROM q) SELECT invoice_id, source_id, v.score, evidence || CASE WHEN alone THEN ' UNIQUE:10' ELSE '' END AS evidence FROM v JOIN n USING (invoice_id, source_id) JOIN e USING (invoice_id, source_id)", "invoice", "booking", "card")
+def m3_full(spark, d):
+    """All evidence of the final score, with that of uniqueness."""
+    b = F.col("is_booking") == 1
+    rows = M.unique_evidence(M.decided(M.evidence(M.scored_pairs(candidates(spark, d), b), b), b), b)
+    shown = F.array_join(F.transform("evidence", lambda e: F.concat(e["code"], F.lit(":"), e["points"].cast("string"))), " ")
+    return rows.select("invoice_id", "source_id", "score", shown.alias("evidence"))
+
+
 @query("j11_shared_sources", "SELECT DISTINCT a.invoice_id, b.invoice_id AS other_id FROM allocation a JOIN allocation b ON a.source_id = b.source_id AND a.made_on = b.made_on AND a.invoice_id <> b.invoice_id WHERE a.active = 1 AND b.active = 1", "allocation")
 def j11(spark, d):
     a = read(spark, d, "allocation").where("active = 1").select("invoice_id", "source_id", "made_on").distinct()
@@ -326,13 +336,14 @@ def u3(spark, d):
     return items(spark, d).join(taken, "entity_id", "left_anti").select("entity_type", "entity_id", "amount_minor")
 
 
-@query("m9_waterfall", """+d AS (SELECT customer AS k, invoice_id AS doc, total_minor AS amount FROM invoice WHERE total_minor > 0 AND currency = 'CZK'), s AS (SELECT CAST(substr(payment_id, 2) AS BIGINT) AS k, source_id AS src, amount_minor AS amount FROM booking WHERE amount_minor > 0 AND currency = 'CZK'),
-    dd AS (SELECT *, sum(amount) OVER (PARTITION BY k ORDER BY doc) AS hi FROM d), ss AS (SELECT *, sum(amount) OVER (PARTITION BY k ORDER BY src) AS hi FROM s)
-    SELECT dd.k AS customer, doc, src, CAST(least(dd.hi, ss.hi) - greatest(dd.hi - dd.amount, ss.hi - ss.amount) AS BIGINT) AS amount FROM dd JOIN ss ON dd.k = ss.k AND greatest(dd.hi - dd.amount, ss.hi - ss.amount) < least(dd.hi, ss.hi)""", "invoice", "booking")
+@query("m9_waterfall", """+d AS (SELECT customer AS k, currency, sign(total_minor) AS sg, invoice_id AS doc, abs(total_minor) AS amount FROM invoice WHERE total_minor <> 0), s AS (SELECT CAST(substr(payment_id, 2) AS BIGINT) AS k, currency, sign(amount_minor) AS sg, source_id AS src, abs(amount_minor) AS amount FROM booking WHERE amount_minor <> 0),
+    dd AS (SELECT *, sum(amount) OVER (PARTITION BY k, currency, sg ORDER BY doc) AS hi FROM d), ss AS (SELECT *, sum(amount) OVER (PARTITION BY k, currency, sg ORDER BY src) AS hi FROM s)
+    SELECT dd.k AS customer, dd.currency, doc, src, CAST(dd.sg * (least(dd.hi, ss.hi) - greatest(dd.hi - dd.amount, ss.hi - ss.amount)) AS BIGINT) AS amount FROM dd JOIN ss ON dd.k = ss.k AND dd.currency = ss.currency AND dd.sg = ss.sg AND greatest(dd.hi - dd.amount, ss.hi - ss.amount) < least(dd.hi, ss.hi)""", "invoice", "booking")
 def m9(spark, d):
-    docs = read(spark, d, "invoice").where("total_minor > 0 AND currency = 'CZK'").select("customer", F.col("invoice_id").alias("doc"), F.col("total_minor").alias("amount"))
-    src = read(spark, d, "booking").where("amount_minor > 0 AND currency = 'CZK'").select(F.expr("CAST(substr(payment_id, 2) AS BIGINT)").alias("customer"), F.col("source_id").alias("src"), F.col("amount_minor").alias("amount"))
-    return M.waterfall(docs, src, ["customer"])
+    """Every currency and sign by itself."""
+    side = lambda df, key, name, amount: df.where(F.col(amount) != 0).select(F.expr(key).alias("customer"), "currency", F.signum(amount).cast("int").alias("sign"), F.col({"doc": "invoice_id", "src": "source_id"}[name]).alias(name), F.abs(amount).alias("amount"))
+    rows = M.waterfall(side(read(spark, d, "invoice"), "customer", "doc", "total_minor"), side(read(spark, d, "booking"), "CAST(substr(payment_id, 2) AS BIGINT)", "src", "amount_minor"), ["customer", "currency", "sign"])
+    return rows.select("customer", "currency", "doc", "src", (F.col("amount") * F.col("sign")).alias("amount"))
 
 
 @query("m12_allocation_violations", f"+{USED} SELECT invoice_id, used_minor, CASE WHEN sign(used_minor) <> sign(total_minor) THEN 'SIGN' ELSE 'ABOVE_TOTAL' END AS reason FROM invoice JOIN u USING (invoice_id) WHERE sign(used_minor) <> sign(total_minor) OR abs(used_minor) > abs(total_minor)", "invoice", "allocation")
@@ -409,6 +420,18 @@ def t9(spark, d):
     return e.where(F.col("ts") >= e.agg(F.max("ts")).scalar() - F.expr("INTERVAL 48 HOURS")).select("event_id")
 
 
+@query("t9_incremental_run", "SELECT event_id FROM events, (SELECT max(ts) FILTER (event_id % 7 <> 0 AND event_id % 3 = 0) AS since FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 240 HOUR) c WHERE ts >= since - INTERVAL 168 HOUR AND NOT (ts < (SELECT max(ts) FROM events) - INTERVAL 240 HOUR AND event_id % 7 <> 0 AND event_id % 3 = 0)")
+def t9_run(spark, d):
+    """A second run that reads again from 168 hours before the first one's stored checkpoint; what it has taken is not new."""
+    e = read(spark, d, "events").select("event_id", "ts", "value")
+    first = e.where((F.col("ts") < e.agg(F.max("ts")).scalar() - F.expr("INTERVAL 240 HOURS")) & F.expr("event_id % 7 <> 0 AND event_id % 3 = 0"))
+    folder = scratch(spark, "checkpoints")
+    T.store_checkpoint(first, "ts", "events", folder)
+    again = T.incremental_window(e, "ts", T.stored_checkpoint(spark, "events", folder), 168)
+    content = lambda df: df.withColumn("content", S.sha256_text(F.col("event_id"), F.col("value")))
+    return T.classify_new(content(again), content(first), "event_id", "content").where("outcome = 'NEW'").select("event_id")
+
+
 @query("t12_date_blocks", "+m AS (SELECT min(doc_date) AS lo, max(doc_date) AS hi FROM invoice) SELECT CAST(b AS DATE) AS first_day, least(CAST(b AS DATE) + 30, hi) AS last_day FROM m, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 31 DAY)) AS t(b)", "invoice")
 def t12(spark, d):
     m = read(spark, d, "invoice").agg(F.min("doc_date").alias("lo"), F.max("doc_date").alias("hi"))
