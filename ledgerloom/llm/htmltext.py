@@ -8,9 +8,11 @@ on the map side, so a host with a third of all pages is as many small rows as th
 The template is made of the classes that most pages support (elements found exactly once, texts) and, nested below them,
 the classes that only some pages have but in which an element and the text directly under it occur alike: wherever the
 element stands, it holds this text. The container is the article or main element with most of the text, else the
-innermost element of the template that leaves no text of its host outside but links and named boilerplate. A name makes
-boilerplate only of what holds little of the text. What is returned are the slots: the container's blocks that are no
-template text.
+innermost element of the template that leaves no text of its host outside but links and named boilerplate. What is named
+like boilerplate but holds most of the host's text is a wrapper around the container. Within the container names and tags
+of boilerplate count whatever they hold, but for weak names (WEAK), which need links for half of their text. What is
+returned are the slots: the container's blocks that are no template text, and headings with slots after them, which
+belong to what they head. A page all of whose blocks are template text is a copy of others and keeps them.
 """
 
 from __future__ import annotations
@@ -33,16 +35,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that are no main text unless they hold much of it.
 BOILERPLATE = frozenset("nav footer aside form button head header menu dialog".split())
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav\w*|menu|footer|header|masthead|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|comment-?list|replies|disqus|login|search)(?:$|[\s_-])", re.I)
-#: Names that say boilerplate outside an article only.
-HEADS = re.compile(r"(?:header|masthead)", re.I)
+#: Names that say boilerplate within an article only where links are half of the text.
+WEAK = re.compile(r"(?:header|masthead|related|search|share|social)", re.I)
+#: Elements that say what follows them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption figcaption legend summary".split())
+#: Elements and names that are never a wrapper around the main text, however much they hold.
+NEVER_WRAPPER = r"^!<(?:(?:nav|aside|footer|menu|dialog|button)[ >]|[^>]*(?i:comment|replies|disqus))"
 #: An article or main element is the container from this share of its host's text on; others must hold all of it.
 MAIN_SHARE = 0.6
-#: An element named like boilerplate is none with this share of its host's text, or with the lesser share of its article (a nav, footer, button, menu or dialog excepted).
-WRAPPER_SHARE, INNER_SHARE = 0.5, 0.15
+#: An element named like boilerplate that holds this share of its host's text is a wrapper.
+WRAPPER_SHARE = 0.5
 #: Tokens of the template are on this share of a host's pages.
 MOST_PAGES = 0.8
-#: Texts are template only on hosts with this many pages, and only where at least this share of a page's main text is none.
-LEAST_PAGES, LEAST_SLOT = 5, 0.5
+#: Texts are template only on hosts with this many pages.
+LEAST_PAGES = 5
 #: Elements that can be the main text's own; a heading or a paragraph is never it, however often it comes.
 SECTIONS = frozenset("article main section div td body html".split())
 NUMBER = re.compile(r"[0-9]{3,}")
@@ -72,44 +78,47 @@ def parts(page: str):
         yield ("text", page[last:], "", False)
 
 
-def head(tag: str, token: str) -> bool:
-    """Whether an element within an article is its own header and not boilerplate."""
-    return tag == "header" or tag not in BOILERPLATE and not NAMED.search(HEADS.sub("h", token[len(tag) + 2 : -1]))
+def weak(tag: str, token: str) -> bool:
+    """Whether an element within an article that looks like boilerplate does so by a weak name only."""
+    return tag == "header" and not NAMED.search(WEAK.sub("h", token[8:-1])) or tag not in BOILERPLATE and not NAMED.search(WEAK.sub("h", token[len(tag) + 2 : -1]))
 
 
-def scan(page: str) -> tuple[list, dict[str, int]]:
-    """Blocks of text in page order, each a list of (path, text, whether in a link), and how often each element comes.
+def scan(page: str, mark: str = "") -> tuple[list, dict[str, int]]:
+    """Blocks of text in page order, each a list of (path, text, whether in a link, whether in a heading), and how often
+    each element comes.
 
-    A path is the tokens of the open elements that can be a container or are boilerplate (these with !), each after \\x1f.
+    A path is the tokens of the open elements that can be a container or are boilerplate (these with !, the weak ones
+    within an article with `mark`), each after \\x1f.
     """
-    blocks, count, stack, block, path, link, articles = [], {}, [], [], "", 0, 0
+    blocks, count, stack, block, path, link, heading, articles = [], {}, [], [], "", 0, 0, 0
 
     def end():
-        if any(t.strip() for _, t, _ in block):
+        if any(t.strip() for _, t, _, _ in block):
             blocks.append(block.copy())
         block.clear()
 
     for kind, tag, token, poor in parts(page):
         if kind == "text":
-            block.append((path, tag, link > 0))
+            block.append((path, tag, link > 0, heading > 0))
             continue
         if tag in BLOCKS:
             end()
         elif tag == "br":
-            block.append((path, " ", link > 0))
+            block.append((path, " ", link > 0, heading > 0))
         if kind == "open":
             if tag in VOID:
                 continue
-            stack.append((tag, path, link, articles))
+            stack.append((tag, path, link, heading, articles))
             link += tag == "a"
-            poor = poor and not (articles and head(tag, token))
+            heading += tag in HEADINGS
+            slight = poor and articles > 0 and weak(tag, token)
             articles += tag in ("article", "main")
-            if poor or tag in SECTIONS:
+            if poor and not slight or tag in SECTIONS or slight and mark:
                 count[token] = count.get(token, 0) + 1
-                path = f"{path}\x1f{'!' if poor else ''}{token}"
+                path = f"{path}\x1f{mark if slight else '!' if poor else ''}{token}"
         elif any(x[0] == tag for x in stack):
             while True:
-                own, path, link, articles = stack.pop()
+                own, path, link, heading, articles = stack.pop()
                 if own == tag:
                     break
     end()
@@ -126,40 +135,58 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1
 
 
-def shown(path: str, container: str | None, kept: frozenset) -> bool:
-    """Whether text on the path is main text: under the container, and not under boilerplate within it that is not kept."""
+def shown(path: str, container: str | None, kept: frozenset, listed: frozenset) -> bool:
+    """Whether text on the path is main text: under the container and under no boilerplate within it. Wrappers (kept) are
+    none, but for within an article. listed: paths of weak elements that are lists of links."""
+    if any(path == p or path.startswith(p + "\x1f") for p in listed):
+        return False
     own = path.split("\x1f")[1:]
     if container is not None:
-        bare = [x.removeprefix("!") for x in own]
+        bare = [x.lstrip("!?") for x in own]
         if container not in bare:
             return False
-        own = own[len(bare) - bare[::-1].index(container) :]
+        own = own[bare.index(container) + 1 :]
+        if re.match("<(?:article|main)[ >]", container):
+            kept = frozenset()
     return not any(x[0] == "!" and x[1:] not in kept for x in own)
 
 
+def link_lists(blocks: list) -> frozenset:
+    """Paths of the weak elements half or more of whose text is in links."""
+    held: dict[str, list[int]] = {}
+    for block in blocks:
+        for path, t, link, _ in block:
+            at = path.find("\x1f?")
+            while at >= 0:
+                end = path.find("\x1f", at + 1)
+                x = held.setdefault(path if end < 0 else path[:end], [0, 0])
+                x[link] += len(t.strip())
+                at = path.find("\x1f?", at + 1)
+    return frozenset(p for p, (bare, linked) in held.items() if linked >= bare)
+
+
 def main_text(page: str, container: str | None, kept: frozenset = frozenset(), lines: frozenset = frozenset()) -> str:
     """Blocks of text under the container's token (the whole page without one), joined by line ends.
 
-    Boilerplate that is not kept is left out, and blocks whose hash is in `lines` unless they are most of the text: such
-    a page is a copy, not a template.
+    Boilerplate is left out, and blocks whose hash is in `lines` but for headings with other text after them; where all
+    blocks are in `lines` the page is a copy and keeps them.
     """
-    blocks, count = scan(page)
+    blocks, count = scan(page, "?")
     container, known, out = container if container in count else None, {}, []
+    listed = link_lists(blocks)
     for block in blocks:
-        for path, _, _ in block:
+        for path, _, _, _ in block:
             if path not in known:
-                known[path] = shown(path, container, kept)
-        under = [t for path, t, _ in block if known[path]]
+                known[path] = shown(path, container, kept, listed)
+        under = [t for path, t, _, _ in block if known[path]]
         if not under:
             continue
         own = plain("".join(under))
         if own:
-            whole = own if len(under) == len(block) else plain("".join(t for _, t, _ in block))
-            out.append((own, bool(lines) and hash_of(whole) in lines))
-    slots = [own for own, common in out if not common]
-    if sum(map(len, slots)) < LEAST_SLOT * sum(len(own) for own, _ in out):
-        slots = [own for own, _ in out]
-    return "\n".join(slots)
+            whole = own if len(under) == len(block) else plain("".join(t for _, t, _, _ in block))
+            out.append((own, bool(lines) and hash_of(whole) in lines, any(h for path, _, _, h in block if known[path])))
+    last = max((k for k, (_, common, _) in enumerate(out) if not common), default=len(out))
+    return "\n".join(own for k, (own, common, heading) in enumerate(out) if not common or last == len(out) or heading and k < last)
 
 
 def occurs(page: int, n: int) -> int:
@@ -178,11 +205,11 @@ def rows_of(page: str):
         yield (1, token, 0), 1, int(n == 1), 0, occurs(own, n), own
     texts, many = [], {}
     for block in blocks:
-        texts.append(hash_of(plain("".join(t for _, t, _ in block))))
+        texts.append(hash_of(plain("".join(t for _, t, _, _ in block))))
         many[texts[-1]] = many.get(texts[-1], 0) + 1
     for at, block in zip(texts, blocks):
         chars: dict[str, int] = {}
-        for path, t, link in block:
+        for path, t, link, _ in block:
             chars[path] = chars.get(path, 0) + (0 if link else len(t.strip()))
         for path, n in chars.items():
             first = many.pop(at, 0)
@@ -243,13 +270,13 @@ def host_templates(classes: DataFrame) -> DataFrame:
     lines = written(template_texts(classes, total), "lines")
     own = blocks.join(lines.withColumn("common", F.lit(1)), ["host", "at"], "left").withColumn("slot", F.when(F.col("common").isNull(), F.col("chars")).otherwise(0))
     paths = written(own.groupBy("host", "key").agg(F.sum("chars").alias("chars"), F.sum("slot").alias("slot")), "paths")
-    # Where template texts are most of a host's text, its pages are copies: then all of it counts.
-    slots = paths.groupBy("host").agg((F.sum("slot") < LEAST_SLOT * F.sum("chars")).alias("copies"))
+    # Where all of a host's text is template, its pages are copies: then all of it counts.
+    slots = paths.groupBy("host").agg((F.sum("slot") == 0).alias("copies"))
     paths = paths.join(slots, "host").withColumn("chars", F.when(F.col("copies"), F.col("chars")).otherwise(F.col("slot"))).where("chars > 0").select("host", "key", "chars")
     rows = paths.withColumn("own", F.slice(F.split("key", "\x1f"), 2, 10**6))
     poor = rows.select("host", "chars", F.explode(F.array_distinct(F.filter("own", lambda x: x.startswith("!")))).alias("token")).groupBy("host", "token").agg(F.sum("chars").alias("chars"))
     everything = rows.groupBy("host").agg(F.sum("chars").alias("everything"))
-    wrappers = poor.join(everything, "host").where(F.col("chars") >= WRAPPER_SHARE * F.col("everything")).groupBy("host").agg(F.collect_set("token").alias("wrappers"))
+    wrappers = poor.join(everything, "host").where((F.col("chars") >= WRAPPER_SHARE * F.col("everything")) & ~F.col("token").rlike(NEVER_WRAPPER)).groupBy("host").agg(F.collect_set("token").alias("wrappers"))
     rows = rows.join(wrappers, "host", "left").withColumn("wrappers", F.coalesce("wrappers", F.array().cast("array<string>")))
     # Where the last boilerplate is on the path; -1 without any.
     bad = lambda x: x.startswith("!") & ~F.array_contains("wrappers", x)
@@ -260,12 +287,8 @@ def host_templates(classes: DataFrame) -> DataFrame:
     named = F.col("token").rlike(r"^<(?:article|main)[ >]") & (F.col("chars") >= MAIN_SHARE * F.coalesce("whole", F.lit(0)))
     good = under.where(F.regexp_extract("token", "^<([a-z]+)[ >]", 1).isin(*SECTIONS)).join(once, ["host", "token"]).join(whole, "host", "left").withColumn("named", named).where("named or chars = whole")
     best = total.join(good.groupBy("host").agg(F.max_by("token", F.struct("named", "chars", "depth")).alias("container")), "host", "left").select("host", "container")
-    # Boilerplate by name within the container (within the page without one) and its share of the text there.
-    inner = rows.join(best, "host").withColumn("at", F.when(F.col("container").isNull(), 0).otherwise(F.greatest(F.array_position("own", F.col("container")), F.array_position("own", F.concat(F.lit("!"), "container"))))).where("container is null or at > 0")
-    held = inner.groupBy("host").agg(F.sum("chars").alias("held"))
-    named_in = inner.select("host", "container", "wrappers", "chars", F.explode(F.array_distinct(F.filter(F.expr("slice(own, at + 1, 1000000)"), lambda x: x.startswith("!")))).alias("token")).groupBy("host", "container", "wrappers", "token").agg(F.sum("chars").alias("chars"))
-    share = F.when(F.col("container").rlike(r"^<(?:article|main)[ >]") & ~F.col("token").rlike(r"^!<(?:nav|footer|button|menu|dialog|head)[ >]"), INNER_SHARE).otherwise(WRAPPER_SHARE)
-    kept = named_in.join(held, "host").where(F.array_contains("wrappers", F.col("token")) | (F.col("chars") >= share * F.col("held"))).groupBy("host").agg(F.collect_set(F.substring("token", 2, 10**6)).alias("kept"))
+    # Wrappers are kept around the main text only; within an article nothing named like boilerplate is.
+    kept = wrappers.select("host", F.transform("wrappers", lambda x: F.substring(x, 2, 10**6)).alias("kept"))
     return best.join(kept, "host", "left").join(lines.groupBy("host").agg(F.collect_set("at").alias("lines")), "host", "left")
 
 
