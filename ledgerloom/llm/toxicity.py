@@ -1,8 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The lexicon (words, and word beginnings that many different words share) is learned from all labelled training documents
-by document frequencies; the trees and the calibration are Spark ML's. Only these are fitted on a bounded sample of
-labelled rows, LABELLED at most, drawn by a hash of the id; every document is scored in one pass, without a shuffle.
+A hash of the id deals the labelled training documents into those that the model is learned from and a quarter that only
+calibrates it. The lexicon (words, and word beginnings that many different words share) is learned from all of the former
+by document frequencies, so the calibration meets features that its own labels have not shaped. The trees and the
+calibration are Spark ML's; only these are fitted on a bounded sample of labelled rows, LABELLED at most, drawn by a hash
+of the id; every document is scored in one pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -108,11 +110,14 @@ def with_features(rows: DataFrame, lexicon, kinds: str) -> DataFrame:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 0) -> DataFrame:
-    """(id, held_out, score, predicted) for each row of docs.
+    """(id, held_out, score, predicted, raw) for each row of docs: the calibrated score, and the trees' own, which orders
+    documents that the calibration holds equal.
 
     Labels of rows whose remainder is `held_out` are never read for fitting; where an id is labelled more than once,
     the largest label counts. Null and empty texts are scored from zero features. A null id is never labelled. With
-    no labels of either class every score is the share of toxic ones (0 without any). No rows give no rows.
+    no labels of either class every score is the share of toxic ones (0 without any). Where the calibrating quarter has
+    one class only, the trees' own score is returned. Rows that repeat an id are scored each; texts of any length are
+    whole; no rows give no rows.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -121,7 +126,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = docs.select(docs[id_col].cast("long").alias("id"), (remainder(docs[id_col]) == held_out).alias("held_out"), docs[text_col].alias("text"))
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["toxic"].cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(remainder(F.col("id")) != held_out)
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    lexicon = learned_lexicon(rows.join(known, "id").select("toxic", "text"))
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4))  # 0: calibrates only
+    lexicon = learned_lexicon(rows.join(known.where(own > 0), "id").select("toxic", "text"))
     # LABELLED rows of 12 bytes at most.
     sample = rows.join(F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(LABELLED)), "id").select("id", "toxic", "text")
     fit = written(with_features(sample, lexicon, "id long, toxic int"), "features").withColumn("features", array_to_vector("x")).withColumn("label", F.col("toxic").cast("double"))
@@ -129,14 +135,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     scored = with_features(rows, lexicon, "id long, held_out boolean")
     if not both.get(0) or not both.get(1):
         score = F.lit(float(both.get(1, 0) > 0))
-        return scored.select("id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
-    own = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4))
+        return scored.select("id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), score.alias("raw"))
     trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.2, seed=1, maxBins=64).fit(fit.where(own > 0).select("features", "label").coalesce(2))
     raw = vector_to_array("probability").getItem(1)
     steps = IsotonicRegression(featuresCol="raw").fit(trees.transform(fit.where(own == 0).select("features", "label")).select(raw.alias("raw"), "label")) if fit.where((own == 0)).agg(F.count_distinct("label")).first()[0] == 2 else None
     found = trees.transform(scored.withColumn("features", array_to_vector("x"))).select("id", "held_out", raw.alias("raw"))
-    # Calibration is a monotone step; a small share of the raw probability keeps the order inside a step.
     score = found.withColumn("score", F.col("raw"))
     if steps is not None:
-        score = steps.transform(found).withColumn("score", 0.98 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))) + 0.02 * F.col("raw"))
-    return score.select("id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        score = steps.transform(found).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))))
+    return score.select("id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "raw")

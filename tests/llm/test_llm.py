@@ -291,6 +291,9 @@ def test_toxicity_held_out(spark):
     r = queries.op5_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out")
     hits = r.agg(F.count_if(F.expr("toxic = predicted")) / F.count("*")).first()[0]
     assert hits >= 0.9
+    # The calibrated score never turns the trees' order round.
+    pairs = sorted((x["raw"], x["score"]) for x in r.collect())
+    assert all(a[1] <= b[1] + 1e-9 for a, b in zip(pairs, pairs[1:]))
 
 
 def test_pipeline(spark):
@@ -354,7 +357,7 @@ def test_toxicity_lexicon_of_all_labels(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "LABELLED", 40)
     found, learn = [], toxicity.learned_lexicon
     monkeypatch.setattr(toxicity, "learned_lexicon", lambda rows: found.append(learn(rows)) or found[-1])
-    rare = ["zq" + c + d for c in "abcde" for d in "fghi"]
+    rare = ["zq" + c + d for c in "abcde" for d in "fghi"]  # 20 documents each, 15 or so of which shape the lexicon
     rows = [(i, f"plain words {i} {rare[i // 4 % 20] if i % 4 == 0 else 'calm'}", int(i % 4 == 0)) for i in range(1, 1601)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     assert toxicity.toxicity_scores(docs.drop("toxic"), docs.drop("text")).count() == 1600

@@ -175,3 +175,42 @@ def test_a_family_right_at_the_limit():
     half = np.arange(n) % 2
     across = shingles.group_links(node, node, half, bits, own, 0.8)
     assert len(across) <= n - 1 and all(half[u] != half[v] for u, v in across)
+
+
+def test_toxicity_odd_rows(spark):
+    """Null and empty texts have the score of zero features, repeated rows the same scores, and labels of the held-out fold
+    and of the calibrating quarter do not reach the lexicon."""
+    from ledgerloom.llm import toxicity
+
+    rows = [(i, f"calm words number {i} here" if i % 3 else f"you vile fool {i} vile", int(i % 3 == 0)) for i in range(1, 400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000, None), (1001, ""), (None, "you vile fool"), (5, "you vile fool"), (5, "you vile fool"), (1002, "x " * 60_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (2000, 1)], "doc_id long, toxic int")
+    found = toxicity.toxicity_scores(docs, labels).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r["id"]].append(r)
+    assert len(found) == 405 and by[1000][0]["score"] == by[1001][0]["score"] and len(by[5]) == 3
+    assert len({r["score"] for r in by[5]}) <= 2 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
+    assert all(r["held_out"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in found if r["id"] is not None)
+    assert sum(by[i][0]["predicted"] == y for i, _, y in rows if i != 5) > 380
+    assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0 and {r["score"] for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_bpe_odd_rows(spark):
+    """Ids and texts of every row as the public library gives them."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from ledgerloom.llm import bpe
+
+    with open(bpe.vocabulary_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, None), (2, ""), (3, "Grüße, 東京!  \n\n x"), (3, "Grüße, 東京!  \n\n x"), (None, "a" * 500 + " tail"), (4, "<|endoftext|>"), (5, "word " * 20_000)]
+    d = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, id int, ids string")
+    encoded = bpe.bpe_encode(d)
+    want = sorted(((i, plain.encode_ordinary(t or "")) for i, t in rows), key=repr)
+    assert sorted(((r["id"], list(r["ids"])) for r in encoded.collect()), key=repr) == want
+    assert sorted(map(repr, (tuple(r) for r in bpe.bpe_decode(encoded).collect()))) == sorted(repr((i, t or "")) for i, t in rows)
