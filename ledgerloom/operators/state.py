@@ -22,13 +22,15 @@ def classify_new(batch: DataFrame, store: DataFrame, key: str, content: str) ->
     return batch.join(old, key, "left").withColumn("outcome", outcome).drop("__old")
 
 
-def atomic_append(batch: DataFrame, store: DataFrame, key: str, content: str, path: str) -> bool:
-    """Writes the new rows of a batch to path, or nothing where any row is in conflict; tells which."""
-    found = classify_new(batch, store, key, content)
-    if not found.where("outcome = 'CONFLICT'").isEmpty():
-        return False
-    found.where("outcome = 'NEW'").drop("outcome").write.mode("append").parquet(path)
-    return True
+def keep_bucketed(rows: DataFrame, keys: list[str], table: str, buckets: int) -> DataFrame:
+    """rows as a table of the catalogue, bucketed and sorted by their identity: a batch is compared with it by shuffling
+    the batch alone. Growing it by classify_new's new rows keeps the buckets (see grow_bucketed)."""
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def grow_bucketed(new: DataFrame, keys: list[str], table: str, buckets: int) -> None:
+    new.write.mode("append").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
 
 
 def duplicate_files(files: DataFrame, runs: DataFrame, counters: list[str]) -> DataFrame:

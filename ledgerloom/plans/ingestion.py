@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import unicode as U
 from ..operators import normalise as N
 from ..operators import search as X
 from ..operators import state as T
@@ -279,6 +280,20 @@ def f15(spark, d):
     return read(spark, d, "part").select("p_partkey", F.replace(S.normalize_channel(note), F.lit("\u00a0"), F.lit(" ")).alias("plain"))
 
 
+@query("f1_composed", "SELECT p_partkey, concat('Přílišný é ', p_name) AS name FROM part")
+def f1_composed(spark, d):
+    """Accents that follow their letters; every third name has them composed already."""
+    loose = F.concat(F.lit("Pr\u030ci\u0301lis\u030cny\u0301 e\u0301 "), "p_name")
+    return read(spark, d, "part").select("p_partkey", U.composed(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Přílišný é "), "p_name")).otherwise(loose)).alias("name"))
+
+
+@query("f15_plain_note", "SELECT p_partkey, concat('½ ≂̸ € ', p_name, chr(10), 'é & x', CASE WHEN p_partkey % 2 = 0 THEN ' ≥' ELSE '' END) AS plain FROM part")
+def f15_note(spark, d):
+    """Names outside HTML 4, of two characters, without a semicolon, numbers that mean others, and loose accents."""
+    note = F.concat(F.lit(" &half; &NotEqualTilde; &#128; "), "p_name", F.lit("<br>e\u0301 &amp x"), F.when(F.col("p_partkey") % 2 == 0, " &geq;").otherwise(""))
+    return read(spark, d, "part").select("p_partkey", U.plain_note(note).alias("plain"))
+
+
 @query("f19_redact", """SELECT o_orderkey, concat('411111', repeat('*', CAST(o_orderkey % 7 + 3 AS BIGINT)), '1111 from ***@***, [REDACTED]; [REDACTED] ', CAST(o_orderkey AS STRING)) AS note, concat('***|id ', CAST(o_orderkey AS STRING)) AS fields FROM orders""")
 def f19(spark, d):
     pan = F.concat(F.lit("411111"), F.repeat(F.lit("2"), (F.col("o_orderkey") % 7 + 3).cast("int")), F.lit("1111 from a.b+c@mail.example.cz, "))

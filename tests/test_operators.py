@@ -96,11 +96,25 @@ def test_a_long_chain(spark, monkeypatch):
     assert [tuple(r) for r in G.tree_violations(second).where("rule = 'PARENTS'").collect()] == [("PARENTS", "2")]
 
 
-def test_atomic_append(spark, tmp_path):
-    store = spark.createDataFrame([("a", "1")], "k string, h string")
-    assert not T.atomic_append(spark.createDataFrame([("a", "2"), ("b", "1")], "k string, h string"), store, "k", "h", str(tmp_path / "out"))
-    assert T.atomic_append(spark.createDataFrame([("a", "1"), ("b", "1")], "k string, h string"), store, "k", "h", str(tmp_path / "out"))
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("b", "1")]
+def test_a_bucketed_store(spark):
+    """A batch is compared with a bucketed store without an exchange on the store's side, also after it has grown."""
+    import uuid
+
+    name = f"store_{uuid.uuid4().hex}"
+    old = spark.range(1000).select(F.col("id").alias("k"), F.lit("1").alias("h"))
+    batch = spark.range(900, 1100).select(F.col("id").alias("k"), F.when(F.col("id") == 950, "2").otherwise("1").alias("h"))
+    try:
+        store = T.keep_bucketed(old, ["k"], name, 4)
+        found = T.classify_new(batch.hint("merge"), store.hint("merge"), "k", "h")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert {r[0]: r[1] for r in found.groupBy("outcome").count().collect()} == {"NEW": 100, "IDENTICAL": 99, "CONFLICT": 1}
+        T.grow_bucketed(found.where("outcome = 'NEW'").select("k", "h"), ["k"], name, 4)
+        again = T.classify_new(batch.hint("merge"), spark.table(name).hint("merge"), "k", "h")
+        assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert {r[0]: r[1] for r in again.groupBy("outcome").count().collect()} == {"IDENTICAL": 199, "CONFLICT": 1}
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def test_files(spark, tmp_path):
