@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import changed_fields, date_points
+from ..functions.scalars import changed_fields
+from .matching import waterfall
 
 #: Most lines and most different sums of a block whose subsets are counted; the targets of larger ones are reported.
 MOST_LINES, MOST_SUMS = 200, 1 << 18
@@ -72,6 +73,20 @@ def preview(members: DataFrame) -> DataFrame:
     return per.select("group_id", reason.alias("reason"), F.when(reason.isin("EXACT", "PARTIAL"), amount).otherwise(0).cast("bigint").alias("assign_minor"))
 
 
+def manual_settlements(log: DataFrame, docs: DataFrame) -> DataFrame:
+    """(settlement_id, invoice_id, amount_minor): what each settlement in force settles, over its customer's documents of
+    its currency by date and id, after the settlements before it.
+
+    log: settlement_id, version, customer, currency, amount_minor, removed; the highest version counts, so an edit
+    replaces what was settled and a removal frees it. docs: customer, currency, doc_date, invoice_id, amount_minor.
+    Amounts of either sign are spread by themselves.
+    """
+    last = log.groupBy("settlement_id").agg(F.max_by(F.struct("customer", "currency", "amount_minor", "removed"), "version").alias("s")).select("settlement_id", "s.*").where("removed = 0")
+    side = lambda df, name, *order: df.where("amount_minor <> 0").select("customer", "currency", F.signum("amount_minor").cast("int").alias("sign"), F.struct(*order).alias(name), F.abs("amount_minor").alias("amount"))
+    rows = waterfall(side(docs, "doc", "doc_date", "invoice_id"), side(last, "src", "settlement_id"), ["customer", "currency", "sign"])
+    return rows.select(F.col("src.settlement_id").alias("settlement_id"), F.col("doc.invoice_id").alias("invoice_id"), (F.col("amount") * F.col("sign")).alias("amount_minor"))
+
+
 def object_status(total: Column, used: Column, rows: Column, all_auto: Column, included: Column, review: Column, resolved: Column, aggregate: Column) -> Column:
     """Status of an invoice or source: exclusion, then the groups' statuses, then its allocations."""
     covered = F.when(all_auto == 1, "AUTO_MATCHED").otherwise("MANUAL_MATCHED")

@@ -212,6 +212,19 @@ def g9(spark, d):
     return rows.join(docs, "settlement_id").select("settlement_id", "amount_minor", F.greatest(F.lit(0).cast("bigint"), F.least("amount_minor", "docs")).alias("allocated_minor"))
 
 
+@query("g9_settled_documents", f"""+l AS (SELECT c_custkey AS settlement_id, 1 AS version, c_custkey AS customer, {MANUAL_SQL} AS amount, 0 AS removed FROM customer UNION ALL SELECT c_custkey, 2, c_custkey, CAST(floor({MANUAL_SQL} / 2) AS BIGINT), 0 FROM customer WHERE c_nationkey % 3 = 0 UNION ALL SELECT c_custkey, 3, c_custkey, 0, 1 FROM customer WHERE c_nationkey % 5 = 0 UNION ALL SELECT 10000000 + c_custkey, 1, c_custkey, 5000, 0 FROM customer),
+    m AS (SELECT settlement_id, customer, amount FROM l WHERE removed = 0 AND amount <> 0 AND version = (SELECT max(version) FROM l x WHERE x.settlement_id = l.settlement_id)),
+    s AS (SELECT *, sign(amount) AS sg, sum(abs(amount)) OVER (PARTITION BY customer, sign(amount) ORDER BY settlement_id) AS hi FROM m), d AS (SELECT customer, invoice_id, total_minor AS amount, sign(total_minor) AS sg, sum(abs(total_minor)) OVER (PARTITION BY customer, sign(total_minor) ORDER BY doc_date, invoice_id) AS hi FROM invoice WHERE total_minor <> 0 AND currency = 'CZK')
+    SELECT settlement_id, invoice_id, CAST(s.sg * (least(s.hi, d.hi) - greatest(s.hi - abs(s.amount), d.hi - abs(d.amount))) AS BIGINT) AS amount_minor FROM s JOIN d ON s.customer = d.customer AND s.sg = d.sg AND greatest(s.hi - abs(s.amount), d.hi - abs(d.amount)) < least(s.hi, d.hi)""", "invoice")
+def g9_documents(spark, d):
+    """Settlements in CZK: as made, edited (every third nation), removed (every fifth), and a second small one for everyone."""
+    c = read(spark, d, "customer").withColumn("amount", F.expr(MANUAL_SQL))
+    row = lambda df, ident, version, amount, removed: df.select(ident.alias("settlement_id"), F.lit(version).alias("version"), F.col("c_custkey").alias("customer"), F.lit("CZK").alias("currency"), amount.cast("bigint").alias("amount_minor"), F.lit(removed).alias("removed"))
+    own = F.col("c_custkey")
+    log = row(c, own, 1, F.col("amount"), 0).unionByName(row(c.where("c_nationkey % 3 = 0"), own, 2, F.floor(F.col("amount") / 2), 0)).unionByName(row(c.where("c_nationkey % 5 = 0"), own, 3, F.lit(0), 1)).unionByName(row(c, own + 10_000_000, 1, F.lit(5000), 0))
+    return D.manual_settlements(log, read(spark, d, "invoice").select("customer", "currency", "doc_date", "invoice_id", F.col("total_minor").alias("amount_minor")))
+
+
 PREVIEW_SQL = """p AS (SELECT group_id, count(*) FILTER (side = 'DOCUMENT') AS nd, count(*) FILTER (side <> 'DOCUMENT') AS ns, max(CASE WHEN method = 'MANUAL' AND group_id % 7 = 0 THEN 1 ELSE 0 END) AS locked, coalesce(sum(amount_minor) FILTER (side = 'DOCUMENT'), 0) AS docs, coalesce(sum(amount_minor) FILTER (side <> 'DOCUMENT'), 0) AS srcs FROM membership GROUP BY group_id),
     r AS (SELECT *, CASE WHEN nd = 0 OR ns = 0 THEN 'EMPTY_SIDE' WHEN locked = 1 THEN 'LOCKED' WHEN docs = srcs THEN 'EXACT' ELSE 'PARTIAL' END AS reason FROM p)"""
 

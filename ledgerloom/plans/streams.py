@@ -116,3 +116,13 @@ def x3_index(spark, d):
     index = Index(spark, scratch(spark, "index")).updated(part, "p_partkey", "p_name")
     changed = part.where("p_partkey % 10 = 0 AND p_partkey % 11 <> 5").withColumn("p_name", F.concat("p_name", F.lit(" Red Widget red")))
     return index.updated(changed, "p_partkey", "p_name", part.where("p_partkey % 11 = 5").select("p_partkey")).search("re wid", 200)
+
+
+@query("s10_export_selected", """SELECT CAST(p_partkey AS STRING) AS p_partkey, CASE WHEN p_partkey % 3 = 0 THEN concat('''-', p_name, chr(10), '"q"') ELSE p_name END AS name FROM part WHERE p_name LIKE '%re%'""")
+def s10_selected(spark, d):
+    """The objects that a search has found, exported and read again; the selection names each twice."""
+    part = read(spark, d, "part")
+    cells = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("-"), "p_name", F.lit('\n"q"'))).otherwise(F.col("p_name")).alias("name"))
+    found, folder = part.where("p_name LIKE '%re%'").select("p_partkey"), scratch(spark, "export")
+    files.export_csv(cells, folder, found.union(found), "p_partkey")
+    return spark.read.csv(folder, schema="p_partkey string, name string", header=True, multiLine=True, escape='"')

@@ -72,7 +72,10 @@ def read_cashbook_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, CASHBOOK_HEADERS, HEADER_ROWS)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """df with a header; text that a spreadsheet would run gets a leading apostrophe."""
+def export_csv(df: DataFrame, path: str, selection: DataFrame | None = None, key: str | None = None) -> None:
+    """df with a header; text that a spreadsheet would run gets a leading apostrophe. With a selection only the rows whose
+    `key` is among its first column's values, each row once whatever the selection repeats."""
+    if selection is not None:
+        df = df.join(selection.select(selection[selection.columns[0]].alias(key)), key, "left_semi").select(df.columns)
     text = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     df.select(*[csv_safe(F.col(f"`{c}`")).alias(c) if c in text else F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite").csv(path, header=True, escape='"')
