@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import date_points
+from .scratch import kept
 
 TOLERANCE, WINDOW_DAYS, LEAST_SCORE, LEAST_MARGIN = 1, 7, 95, 15
 
@@ -150,6 +151,71 @@ def reconcile_cashbook(cash: DataFrame, sources: DataFrame, days: int = 2) -> Da
     return dealt.select(*keys, "cash", "day", "movement_id").mapInPandas(replay, "movement_id long, outcome string, source_id long")
 
 
+#: Days of a run whose documents one task goes through.
+RUN_DAYS = 8
+
+
+def match_cards(docs: DataFrame, cards: DataFrame, days: int = 2, run_days: int | None = None) -> DataFrame:
+    """(invoice_id, outcome, source_id): documents in order of doc_date and id take the first card row by day and id within
+    `days` of payday with enough left; outcome MATCHED, MATCH_FAILED, NOT_ENOUGH or NONE as in match_documents.
+
+    Documents are dealt out by currency and runs of `run_days` days, and each run goes through its own in order with the
+    card rows that it can reach. A card row near an edge is reached from two runs: which document of the other run has
+    taken it, is what the round before has found, and counts for later documents only. Rounds go on until no run finds
+    anything else. Then every document has seen just what earlier ones took, so the result is that of one pass through
+    all of them; the first document that still may change is settled in each round, in practice whole runs are.
+    """
+    width = run_days or RUN_DAYS
+    number = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    run = lambda c: F.floor(c / width)
+    own = docs.select("currency", number("payday").alias("day"), F.lit(1).alias("is_doc"), number("doc_date").alias("at"), F.col("invoice_id").alias("ident"), F.col("remaining_minor").cast("long").alias("amount")).withColumn("run", run(F.col("day")))
+    there = cards.select("currency", number("paid_on").alias("day"), F.lit(0).alias("is_doc"), number("paid_on").alias("at"), F.col("source_id").alias("ident"), F.col("amount_minor").cast("long").alias("amount"))
+    there = there.withColumn("run", F.explode(F.array_distinct(F.array(run(F.col("day") - days), run(F.col("day")), run(F.col("day") + days)))))
+    there = kept(there.join(own.select("currency", "run").distinct(), ["currency", "run"], "left_semi"), "cards")
+    taken = "by_run long, by_at long, by_doc string, by_amount long"
+
+    def replay(batches):
+        now, sources = None, {}
+        for pdf in batches:
+            out = []
+            for currency, block, is_doc, day, at, ident, amount, by_run, by_at, by_doc, by_amount in zip(*[pdf[c].tolist() for c in pdf.columns]):
+                if (currency, block) != now:
+                    now, sources = (currency, block), {}
+                if not is_doc:
+                    other = None if by_doc is None or by_run == block else ((by_at, by_doc), int(by_amount))
+                    sources.setdefault(day, []).append([ident, amount, other])  # other: who took it, in order, and how much
+                    continue
+                there = [s for d in range(day - days, day + days + 1) for s in sources.get(d, ())]
+                hit, locked = None, False
+                for s in there:
+                    locked = s[2] is not None and s[2][0] < (at, ident)
+                    if s[1] - (s[2][1] if locked else 0) >= abs(amount):
+                        hit = s
+                        break
+                if hit is None:
+                    out.append((ident, "NOT_ENOUGH" if there else "NONE", None, currency, block, at, amount))
+                elif locked or amount < 0:
+                    out.append((ident, "MATCH_FAILED", hit[0], currency, block, at, amount))
+                else:
+                    hit[2] = ((at, ident), amount)
+                    out.append((ident, "MATCHED", hit[0], currency, block, at, amount))
+            yield pd.DataFrame(out, columns=["invoice_id", "outcome", "source_id", "currency", "run", "at", "amount"])
+
+    cols = ["currency", "run", "is_doc", "day", "at", "ident", "amount", "by_run", "by_at", "by_doc", "by_amount"]
+    claims = docs.sparkSession.createDataFrame([], f"ident string, {taken}")
+    while True:
+        rows = there.join(claims, "ident", "left").select(cols).unionByName(own, allowMissingColumns=True)
+        # Missing numbers would come as floating ones.
+        rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("by_run", "by_at", "by_amount")})
+        dealt = rows.repartition("currency", "run").sortWithinPartitions("currency", "run", "is_doc", "at", "ident").select(cols)
+        found = kept(dealt.mapInPandas(replay, "invoice_id string, outcome string, source_id string, currency string, run long, at long, amount long"), "matched")
+        new = found.where("outcome = 'MATCHED'").groupBy(F.col("source_id").alias("ident")).agg(F.min(F.struct(F.col("at").alias("by_at"), F.col("invoice_id").alias("by_doc"), F.col("run").alias("by_run"), F.col("amount").alias("by_amount"))).alias("c")).select("ident", "c.by_run", "c.by_at", "c.by_doc", "c.by_amount")
+        new = kept(new, "claims")
+        if new.join(claims, ["ident", "by_doc"], "left_anti").isEmpty() and claims.join(new, ["ident", "by_doc"], "left_anti").isEmpty():
+            return found.select("invoice_id", "outcome", "source_id")
+        claims = new
+
+
 def match_documents(docs: DataFrame, lines: DataFrame, cards: DataFrame, days: int = 2) -> DataFrame:
     """Open documents in order of date and id: the first payout line of the same reference with enough left, else the first
     card row within `days` of the payment with enough left.
@@ -160,9 +226,8 @@ def match_documents(docs: DataFrame, lines: DataFrame, cards: DataFrame, days: i
     (what was found is locked or of the other sign), BOOKING_SOURCE_ALREADY_USED (lines of the reference were there, none
     with enough) or NONE, and source_id where one was found. A locked source with enough left is still found first.
 
-    Payout lines are only shared within (currency, reference), card rows only by what the first step has left, within
-    (currency, island of days). Each such block streams through one task; where a currency has rows on every day it is one
-    island, so the second step is as parallel as the calendar has gaps.
+    Payout lines are only shared within (currency, reference); each such block streams through one task. Card rows are
+    matched by runs of days, see by_card.
     """
     docs = docs.where("remaining_minor <> 0")
     block = ["block_a", "block_b"]
@@ -179,10 +244,8 @@ def match_documents(docs: DataFrame, lines: DataFrame, cards: DataFrame, days: i
                     now, sources = key, {}
                 if kind == "LINE":
                     sources.setdefault(0, []).append([ident, amount, False])
-                elif kind == "CARD":
-                    sources.setdefault(at, []).append([ident, amount, False])
                 else:
-                    there = sources.get(0, []) if kind == "BY_REFERENCE" else [s for d in range(at - days, at + days + 1) for s in sources.get(d, ())]
+                    there = sources.get(0, [])
                     hit = next((s for s in there if s[1] >= abs(amount)), None)
                     if hit is None:
                         out.append((ident, "NONE" if not there else "NOT_ENOUGH", None))
@@ -200,13 +263,7 @@ def match_documents(docs: DataFrame, lines: DataFrame, cards: DataFrame, days: i
     by_ref = run([shape(docs.where("booking_reference IS NOT NULL"), "BY_REFERENCE", "invoice_id", "remaining_minor", "doc_date", "doc_date", "currency", "booking_reference"), shape(lines.where("booking_reference IS NOT NULL"), "LINE", "source_id", "amount_minor", "paid_on", "paid_on", "currency", "booking_reference")])
     first = docs.join(by_ref, "invoice_id", "left").withColumn("payday", F.coalesce("paid_at", "doc_date"))
     left = first.where("outcome IS NULL OR outcome IN ('NONE', 'NOT_ENOUGH')")
-    both = left.select("currency", F.col("payday").alias("paid_on"), F.struct("invoice_id", "remaining_minor", "doc_date").alias("doc"), F.lit(None).cast("struct<source_id: string, amount_minor: bigint>").alias("card"))
-    both = both.unionByName(cards.select("currency", "paid_on", F.struct("source_id", F.col("amount_minor").cast("long").alias("amount_minor")).alias("card")), allowMissingColumns=True)
-    both = islands(both, ["currency"], "paid_on", days)
-    by_card = run([
-        shape(both.where("doc IS NOT NULL").select("currency", "island", "paid_on", "doc.*"), "BY_DAY", "invoice_id", "remaining_minor", "doc_date", "paid_on", "currency", "island"),
-        shape(both.where("card IS NOT NULL").select("currency", "island", "paid_on", "card.*"), "CARD", "source_id", "amount_minor", "paid_on", "paid_on", "currency", "island"),
-    ])
+    by_card = match_cards(kept(left.select("invoice_id", "currency", "remaining_minor", "doc_date", "payday"), "open"), cards, days)
     second = by_card.select("invoice_id", F.col("outcome").alias("then"), F.col("source_id").alias("card_id"))
     rows = first.join(second, "invoice_id", "left")
     found = F.when(F.col("outcome").isin("MATCHED", "MATCH_FAILED"), F.col("outcome")).when(F.col("then").isin("MATCHED", "MATCH_FAILED"), F.col("then")).when(F.col("outcome") == "NOT_ENOUGH", "BOOKING_SOURCE_ALREADY_USED").otherwise("NONE")

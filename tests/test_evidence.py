@@ -77,6 +77,23 @@ def test_match_documents(spark):
         assert kinds == {"MATCH_FAILED": "INFO", "BOOKING_SOURCE_ALREADY_USED": "CRITICAL"}
 
 
+def test_cards_in_many_runs(spark, monkeypatch):
+    """One currency with rows on every day, few different amounts, documents not in the order of their paydays: runs of 3
+    days give what one pass gives, and a run is a group of its own."""
+    rng = random.Random(6)
+    monkeypatch.setattr(M, "RUN_DAYS", 3)
+    days = [DAY + dt.timedelta(k) for k in range(90)]
+    docs = [(f"I{k:03}", "CZK", None, rng.choice([100, 100, 150, -100]), d + dt.timedelta(rng.randrange(-9, 9)), d) for k, d in enumerate(days * 3)]
+    cards = [(f"C{k:03}", "CZK", rng.choice([100, 150, 260]), d) for k, d in enumerate(days * 2)]
+    found = M.match_documents(
+        spark.createDataFrame(docs, "invoice_id string, currency string, booking_reference string, remaining_minor long, doc_date date, paid_at date"),
+        spark.createDataFrame([], "source_id string, currency string, booking_reference string, amount_minor long, paid_on date"),
+        spark.createDataFrame(cards, "source_id string, currency string, amount_minor long, paid_on date"),
+    )
+    want = outcomes(docs, [], cards)
+    assert {r["invoice_id"]: (r["outcome"], r["source_id"]) for r in found.collect()} == want and len({w[0] for w in want.values()}) == 3
+
+
 def test_match_documents_on_the_tables(spark):
     from ledgerloom.plans.adapters import read
 
