@@ -127,7 +127,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     known = labels.select(labels["doc_id"].cast("long").alias("id"), labels["toxic"].cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(remainder(F.col("id")) != held_out)
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4))  # 0: calibrates only
-    lexicon = learned_lexicon(rows.join(known.where(own > 0), "id").select("toxic", "text"))
+    # The labelled texts are shuffled once, at every size alike: labels grow with the documents and are never broadcast.
+    lexicon = learned_lexicon(rows.select("id", "text").join(known.where(own > 0).hint("merge"), "id").select("toxic", "text"))
     # LABELLED rows of 12 bytes at most.
     sample = rows.join(F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(LABELLED)), "id").select("id", "toxic", "text")
     fit = written(with_features(sample, lexicon, "id long, toxic int"), "features").withColumn("features", array_to_vector("x")).withColumn("label", F.col("toxic").cast("double"))

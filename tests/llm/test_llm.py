@@ -115,7 +115,7 @@ def test_components(spark, monkeypatch, slice_size):
 
 
 def test_similar_components(spark, monkeypatch):
-    monkeypatch.setattr(shingles, "BLOCK", 8)
+    monkeypatch.setattr(shingles, "PART", 8)
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(10**6)}"
     base = [word() for _ in range(300)]
