@@ -202,18 +202,24 @@ def match_cards(docs: DataFrame, cards: DataFrame, days: int = 2, run_days: int
             yield pd.DataFrame(out, columns=["invoice_id", "outcome", "source_id", "currency", "run", "at", "amount"])
 
     cols = ["currency", "run", "is_doc", "day", "at", "ident", "amount", "by_run", "by_at", "by_doc", "by_amount"]
-    claims = docs.sparkSession.createDataFrame([], f"ident string, {taken}")
+    claims, found, again = docs.sparkSession.createDataFrame([], f"ident string, {taken}"), None, None
     while True:
-        rows = there.join(claims, "ident", "left").select(cols).unionByName(own, allowMissingColumns=True)
+        mine, near = own, there
+        if again is not None:  # only the runs that reach a card row whose taker has changed
+            mine, near = (df.join(again, ["currency", "run"], "left_semi") for df in (own, there))
+        rows = near.join(claims, "ident", "left").select(cols).unionByName(mine, allowMissingColumns=True)
         # Missing numbers would come as floating ones.
         rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("by_run", "by_at", "by_amount")})
         dealt = rows.repartition("currency", "run").sortWithinPartitions("currency", "run", "is_doc", "at", "ident").select(cols)
-        found = kept(dealt.mapInPandas(replay, "invoice_id string, outcome string, source_id string, currency string, run long, at long, amount long"), "matched")
-        new = found.where("outcome = 'MATCHED'").groupBy(F.col("source_id").alias("ident")).agg(F.min(F.struct(F.col("at").alias("by_at"), F.col("invoice_id").alias("by_doc"), F.col("run").alias("by_run"), F.col("amount").alias("by_amount"))).alias("c")).select("ident", "c.by_run", "c.by_at", "c.by_doc", "c.by_amount")
-        new = kept(new, "claims")
-        if new.join(claims, ["ident", "by_doc"], "left_anti").isEmpty() and claims.join(new, ["ident", "by_doc"], "left_anti").isEmpty():
+        new = dealt.mapInPandas(replay, "invoice_id string, outcome string, source_id string, currency string, run long, at long, amount long")
+        found = kept(new if again is None else found.join(again, ["currency", "run"], "left_anti").select("invoice_id", "outcome", "source_id", "currency", "run", "at", "amount").unionByName(new), "matched")
+        last, claims = claims, kept(found.where("outcome = 'MATCHED'").groupBy(F.col("source_id").alias("ident")).agg(F.min(F.struct(F.col("at").alias("by_at"), F.col("invoice_id").alias("by_doc"), F.col("run").alias("by_run"), F.col("amount").alias("by_amount"))).alias("c")).select("ident", "c.by_run", "c.by_at", "c.by_doc", "c.by_amount"), "claims")
+        both = claims.select("ident", F.col("by_doc").alias("now"), "by_run").join(last.select("ident", F.col("by_doc").alias("before"), F.col("by_run").alias("run_before")), "ident", "full_outer").where("NOT (now <=> before)")
+        # A run knows its own takers; what has changed matters to the other run that reaches the row.
+        other = there.join(both, "ident").where("NOT (run <=> by_run) OR NOT (run <=> run_before) AND run_before IS NOT NULL")
+        again = kept(other.select("currency", "run").distinct(), "again")
+        if again.isEmpty():
             return found.select("invoice_id", "outcome", "source_id")
-        claims = new
 
 
 def match_documents(docs: DataFrame, lines: DataFrame, cards: DataFrame, days: int = 2) -> DataFrame:
