@@ -20,8 +20,8 @@ MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.0, "lang": 0.7, "topic": 0.7}
 ROUNDS = 10
 SHARE = 0.6
-#: Cells beyond this number are joined by a shuffle, not broadcast.
-BROADCAST_CELLS = 50_000
+#: Cells up to this number are raked in one task and broadcast; more are shuffled by margin and joined by a shuffle.
+SMALL_CELLS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Topics by the first pattern that a text holds.
 TOPICS = (("legal", "License|Copyright|rights reserved"), ("contact", "[A-Za-z0-9]@[A-Za-z0-9]"), ("numeric", "[0-9]{6}"))
@@ -44,6 +44,9 @@ def rake(cells: DataFrame, powers: dict = POWERS, share: float = SHARE, rounds:
     """cells (source, lang, topic, tokens > 0) with `raked`, at most tokens: margins at their targets where that can be,
     together `share` of all tokens; and `probability`."""
     cells = written(cells.withColumn("tokens", F.col("tokens").cast("double")), "cells")
+    few = cells.count() <= SMALL_CELLS
+    if few:  # one partition meets the needs of every window, so no step shuffles
+        cells = cells.coalesce(1)
     total = cells.agg(F.sum("tokens")).scalar()
     rows = cells.withColumn("raked", F.col("tokens") * share)
     for m in MARGINS:
@@ -58,6 +61,7 @@ def rake(cells: DataFrame, powers: dict = POWERS, share: float = SHARE, rounds:
             rows = rows.withColumn("raked", F.when(F.col("every") >= target, F.col("raked") * target / F.col("every")).when(full, F.col("raked")).otherwise(more)).drop("every", "held", "free")
         if k % 4 == 3:
             rows = written(rows, "cells")
+            rows = rows.coalesce(1) if few else rows
     return rows.withColumn("probability", F.col("raked") / F.col("tokens"))
 
 
@@ -76,7 +80,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", power
     cells = rows.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("tokens")).where("tokens > 0")
     found = written(rake(cells, powers, share, rounds), "probabilities")
     found = found.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__probability"))
-    if found.count() <= BROADCAST_CELLS:
+    if found.count() <= SMALL_CELLS:
         found = F.broadcast(found)
     rows = rows.join(found, [f"__{m}" for m in MARGINS], "left").withColumn("__probability", F.when(F.col("__tokens") > 0, F.col("__probability")).otherwise(1.0))
     return rows.withColumn("__kept", draw(F.col(f"`{id_col}`")) < F.col("__probability"))
