@@ -10,6 +10,10 @@ cells are as many as there are combinations.
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +29,22 @@ SMALL_CELLS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Topics by the first pattern that a text holds.
 TOPICS = (("legal", "License|Copyright|rights reserved"), ("contact", "[A-Za-z0-9]@[A-Za-z0-9]"), ("numeric", "[0-9]{6}"))
+#: What every match of a topic's pattern holds.
+HELD = {"contact": "@"}
 
 
 def topic(text: Column) -> Column:
+    """The first topic whose pattern the text holds. Patterns of plain words are looked for as words, others only in
+    texts with what every match holds."""
     found = F.lit("general")
     for name, pattern in reversed(TOPICS):
-        found = F.when(text.rlike(pattern), name).otherwise(found)
+        if re.fullmatch(r"[A-Za-z |]+", pattern):
+            holds = reduce(operator.or_, [text.contains(word) for word in pattern.split("|")])
+        else:
+            holds = text.rlike(pattern)
+            if name in HELD:
+                holds = text.contains(HELD[name]) & holds
+        found = F.when(holds, name).otherwise(found)
     return found
 
 
@@ -56,9 +70,10 @@ def rake(cells: DataFrame, powers: dict = POWERS, share: float = SHARE, rounds:
     for k in range(rounds):
         for m in MARGINS:
             of, full, target = Window.partitionBy(m), F.col("raked") >= F.col("tokens"), F.col(f"t_{m}")
-            rows = rows.withColumns({"every": F.sum("raked").over(of), "held": F.sum(F.when(full, F.col("raked")).otherwise(0.0)).over(of), "free": F.sum(F.when(~full, F.col("raked"))).over(of)})
-            more = F.least("tokens", F.col("raked") * (target - F.col("held")) / F.col("free"))
-            rows = rows.withColumn("raked", F.when(F.col("every") >= target, F.col("raked") * target / F.col("every")).when(full, F.col("raked")).otherwise(more)).drop("every", "held", "free")
+            every, held = F.sum("raked").over(of), F.sum(F.when(full, F.col("raked")).otherwise(0.0)).over(of)
+            free = F.sum(F.when(~full, F.col("raked"))).over(of)
+            more = F.least("tokens", F.col("raked") * (target - held) / free)
+            rows = rows.withColumn("raked", F.when(every >= target, F.col("raked") * target / every).when(full, F.col("raked")).otherwise(more))
         if k % 4 == 3:
             rows = written(rows, "cells")
             rows = rows.coalesce(1) if few else rows
