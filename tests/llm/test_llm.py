@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -400,3 +401,17 @@ def test_mixing_margins(spark):
         weight = sum(x ** mixing.POWERS[m] for x in own.values())
         for value, x in own.items():
             assert sum(r["raked"] for r in found if r[m] == value) == pytest.approx(x ** mixing.POWERS[m] / weight * total * 0.5, rel=0.01)
+
+
+def test_mixing_by_margin_and_in_one_task(spark, monkeypatch):
+    """Few cells and many are raked alike; topics are those of the patterns."""
+    rows = [(s, l, t, float(1 + 37 * i % 101)) for i, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in ("en", "de") for t in ("general", "legal"))]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    few = {r[:3]: r["raked"] for r in mixing.rake(cells, rounds=4).collect()}
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 0)
+    many = {r[:3]: r["raked"] for r in mixing.rake(cells, rounds=4).collect()}
+    assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k]) for k in few)
+    texts = ["", "a @ b", "a@b", "@", "all rights reserved a@b", "license", "a License 123456", "12345", "é@1 1234567", "x@é", "a@b 123456"]
+    want = [next((n for n, p in mixing.TOPICS if re.search(p, x)), "general") for x in texts]
+    found = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").select("k", mixing.topic(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in sorted(found)] == want
