@@ -195,6 +195,28 @@ def test_repeats(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("length", [400, 271, 33])
+def test_repeats_below_the_contract(spark, length):
+    """A passage of more than 50 words but fewer than 400 bytes, in several documents: the contract's length leaves it, a shorter one finds it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = " ".join(["item"] + [word() for _ in range(54)])
+    assert 271 < len(passage.encode()) < 400
+    texts = [f"{prose(80 * k)} {passage} {prose(60)}" for k in range(1, 4)] + [prose(300), passage[:15] + prose(90)]
+    raw = [t.encode() for t in texts]
+    seen = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+    want = {}
+    for k, t in enumerate(raw):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        want[k] = (len(t), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) > 0).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest())
+    got = {r["id"]: tuple(r)[1:] for r in repeats.repeat_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length).collect()}
+    assert got == want and [got[k][1] > 0 for k in range(5)] == [length < 400] * 3 + [False] * 2
+
+
 def test_bpe():
     import base64
 
