@@ -13,6 +13,7 @@ from ..operators import counterparts as P
 from ..operators import decisions as D
 from ..operators import groups as G
 from ..operators import matching as M
+from ..operators.scratch import kept
 from .adapters import read
 from .registry import DOC_SQL, GROUP_SQL, SCORE_SQL, SRC_SQL, USED, candidates, group_edges, query, sources, used
 
@@ -55,6 +56,7 @@ def both_directions(spark, d, days: int | None):
     """The best 20 sources of every open document, and documents of every source."""
     docs = M.active_invoices(read(spark, d, "invoice")).select(F.lit("INVOICE").alias("kind"), F.col("invoice_id").alias("id"), "currency", F.col("remaining_minor").alias("amount_minor"), F.coalesce("paid_at", "doc_date").alias("day"), F.col("booking_reference").alias("reference"), F.col("paid_at").isNotNull().alias("paid"))
     src = sources(spark, d).select(F.when(F.col("is_booking") == 1, "BOOKING").otherwise("CARD").alias("kind"), F.col("source_id").alias("id"), "currency", "amount_minor", F.col("paid_on").alias("day"), F.col("source_reference").alias("reference"), F.lit(False).alias("paid"))
+    docs, src = kept(docs, "documents"), kept(src, "sources")
     return P.counterparts(docs, src, days, 20).unionByName(P.counterparts(src, docs, days, 20)).drop("days")
 
 
