@@ -52,25 +52,34 @@ def paired(cash: DataFrame, source: DataFrame, days: int = 2) -> DataFrame:
 
 
 class Waiting:
-    """One key's free sources and undecided cash rows: (time in ms, id) each."""
+    """One key's free sources, by day, and undecided cash rows: (time in ms, id) each."""
 
     def __init__(self, text: str | None):
-        self.free, self.cash = ([tuple(x) for x in side] for side in (json.loads(text) if text else ([], [])))
+        self.free: dict[int, list[tuple]] = {}
+        free, cash = json.loads(text) if text else ([], [])
+        self.cash = [tuple(x) for x in cash]
+        for at, row in free:
+            self.add(at, row)
+
+    def add(self, at: int, row) -> None:
+        self.free.setdefault(at // DAY, []).append((at, row))
 
     def text(self) -> str:
-        return json.dumps([self.free, self.cash])
+        return json.dumps([[s for day in self.free.values() for s in day], self.cash])
 
     def decide(self, watermark: int, days: int) -> list[tuple]:
-        """Cash rows in order whose sources have all come by: exactly one free source within `days` is consumed."""
-        out = []
+        """Cash rows in order whose sources have all come by: exactly one free source within `days` is consumed. A row costs
+        as much as the window has days."""
+        out, n = [], 0
         self.cash.sort()
-        while self.cash and self.due(self.cash[0], days) <= watermark:
-            at, row = self.cash.pop(0)
-            near = [s for s in self.free if abs(s[0] // DAY - at // DAY) <= days]
-            if len(near) == 1:
-                self.free.remove(near[0])
-            out.append((row, "MATCHED" if len(near) == 1 else "SEVERAL" if near else "NONE", near[0][1] if len(near) == 1 else None))
-        self.free = [s for s in self.free if self.gone(s, days) > watermark]
+        while n < len(self.cash) and self.due(self.cash[n], days) <= watermark:
+            at, row = self.cash[n]
+            n += 1
+            near = [d for d in range(at // DAY - days, at // DAY + days + 1) if self.free.get(d)]
+            one = len(near) == 1 and len(self.free[near[0]]) == 1
+            out.append((row, "MATCHED" if one else "SEVERAL" if near else "NONE", self.free[near[0]].pop()[1] if one else None))
+        self.cash = self.cash[n:]
+        self.free = {d: rows for d, rows in self.free.items() if rows and self.gone(rows[0], days) > watermark}
         return out
 
     @staticmethod
@@ -84,7 +93,7 @@ class Waiting:
         return (row[0] // DAY + 2 * days + 1) * DAY
 
     def next(self, days: int) -> int | None:
-        times = [self.due(r, days) for r in self.cash] + [self.gone(s, days) for s in self.free]
+        times = [self.due(r, days) for r in self.cash[:1]] + [self.gone(rows[0], days) for rows in self.free.values()]
         return min(times) if times else None
 
 
@@ -103,7 +112,7 @@ def paired_once(rows: DataFrame, days: int = 2, lateness: str = LATENESS) -> Dat
         for pdf in frames:
             at = pd.to_datetime(pdf["ts"]).astype("datetime64[ms]").astype("int64").tolist()
             for is_cash, t, row in zip(pdf["cash"].tolist(), at, pdf["movement_id"].tolist()):
-                (held.cash if is_cash else held.free).append((t, row))
+                held.cash.append((t, row)) if is_cash else held.add(t, row)
         watermark = state.getCurrentWatermarkMs()
         out = held.decide(watermark, days)
         wake = held.next(days)

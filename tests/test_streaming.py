@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,15 @@ def test_pairing_in_any_order(spark, tmp_path, seed):
     d = spark.createDataFrame(made, schema).withColumn("day", F.to_date("ts"))
     want = sorted(tuple(r) for r in M.reconcile_cashbook(d.where("cash = 1"), d.where("cash = 0")).collect())
     assert got == want and {r[1] for r in want} == {"MATCHED", "SEVERAL", "NONE"}
+
+
+def test_hot_key_by_days():
+    """A key of many rows: a cash row looks at the days of its window, not at all free sources."""
+    held, n = ingest.Waiting(None), 40_000
+    for i in range(n):
+        held.add(i * 6 * ingest.DAY, i)
+        held.cash.append((i * 6 * ingest.DAY, n + i))
+    again = ingest.Waiting(held.text())
+    began = time.process_time()
+    assert again.decide(n * 6 * ingest.DAY + 60 * ingest.DAY, 2) == [(n + i, "MATCHED", i) for i in range(n)]
+    assert time.process_time() - began < 20 and again.next(2) is None
