@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -103,3 +104,26 @@ def test_match_documents_on_the_tables(spark):
     want = outcomes(*[[tuple(r) for r in x] for x in (docs, lines, cards)])
     got = {r["invoice_id"]: (r["outcome"], r["source_id"]) for r in registry.QUERIES["m14_auto_match_documents"](spark, SF).collect()}
     assert got == want and registry.QUERIES["g12_payment_alerts"](spark, SF).count() == sum(o in ("MATCH_FAILED", "BOOKING_SOURCE_ALREADY_USED") for o, _ in want.values())
+
+
+def test_first_with_enough():
+    rng = random.Random(8)
+    for n in (1, 2, 7, 33):
+        plain = [rng.randrange(-3, 20) for _ in range(n)]
+        left = M.Remaining(list(plain))
+        for _ in range(300):
+            i, v, begin, end, amount = rng.randrange(n), rng.randrange(-3, 20), rng.randrange(n + 1), rng.randrange(n + 1), rng.randrange(1, 22)
+            plain[i] = v
+            left.set(i, v)
+            assert left.first(begin, end, amount) == next((k for k in range(begin, end) if plain[k] >= amount), None)
+
+
+def test_many_cards_of_a_day(spark):
+    """Each document takes the last card row that has enough: the day's rows are not gone through for each."""
+    n, day = 30_000, dt.date(2026, 1, 5)
+    ids = spark.range(1, n + 1)
+    docs = ids.selectExpr("concat('d', lpad(id, 6, '0')) AS invoice_id", "'CZK' AS currency", f"{n + 1} - id AS remaining_minor").withColumn("doc_date", F.lit(day)).withColumn("payday", F.lit(day))
+    cards = ids.selectExpr("concat('c', lpad(id, 6, '0')) AS source_id", "'CZK' AS currency", "id AS amount_minor").withColumn("paid_on", F.lit(day))
+    began = time.monotonic()
+    got = M.match_cards(docs, cards).where("outcome = 'MATCHED' AND int(substr(invoice_id, 2)) + int(substr(source_id, 2)) = 30001").count()
+    assert got == n and time.monotonic() - began < 60
