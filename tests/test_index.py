@@ -56,3 +56,13 @@ def test_row_numbers(spark):
     got = sorted((r["__at"], r["row_number"]) for r in files.numbered(raw, "__at", at[4]).collect())
     assert got == [(a, n + 1) for n, a in enumerate(at[5:])]
     assert files.numbered(raw, "__at", at[-1]).count() == 0
+
+
+def test_matching_rows(spark):
+    """Every result of the search, without a shuffle; an empty query finds nothing."""
+    docs = spark.createDataFrame([("a", "Blue Óké ring", "X"), ("b", "ok", "Y"), ("c", "book", "X"), ("d", None, "X"), ("e", "ring oke", "X")], "object_ref string, body string, kind string").withColumns({"currency": F.lit("CZK"), "day": F.lit("2026-07-01").cast("date")})
+    for query in ("ok", "ok ri", "", "z"):
+        rows = X.matching(docs, "body", query)
+        assert sorted(r["object_ref"] for r in rows.collect()) == sorted(r["ref"] for r in X.search(X.postings(docs, "object_ref", "body"), query, 99).collect())
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["object_ref"] for r in X.narrow(docs, "Y", "CZK", "-07-").collect()] == ["b"]
