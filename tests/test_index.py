@@ -66,3 +66,18 @@ def test_matching_rows(spark):
         assert sorted(r["object_ref"] for r in rows.collect()) == sorted(r["ref"] for r in X.search(X.postings(docs, "object_ref", "body"), query, 99).collect())
         assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert [r["object_ref"] for r in X.narrow(docs, "Y", "CZK", "-07-").collect()] == ["b"]
+
+
+def test_relations_each_once(spark):
+    """Repeated rows and links, both ends of one kind, keys that say the same by different columns, nulls, some kinds only."""
+    rows = spark.createDataFrame([(1, "a", "b"), (1, "a", "b"), (1, "a/b", "c"), (1, "a", "b/c"), (2, None, "d"), (3, "e", None)], "n long, x string, y string")
+    links = [(rows, "A", "n", "B", "concat(CAST(n AS STRING), '/', x)"), (rows, "C", "concat(x, '/', y)", "A", "n"), (rows, "D", "x", "E", "y"), (rows, "E", "y", "D", "x"), (rows, "F", "x", "F", "y"), (rows, "F", "y", "F", "x"), (rows, "F", "n", "F", "n")]
+    plain = {n: lambda r, n=n: r[n] and str(r[n]) for n in ("n", "x", "y")} | {"concat(CAST(n AS STRING), '/', x)": lambda r: r["x"] and f"{r['n']}/{r['x']}", "concat(x, '/', y)": lambda r: r["x"] and r["y"] and f"{r['x']}/{r['y']}"}
+    want = {(f"{a}:{plain[x](r)}", f"{b}:{plain[y](r)}") for _, a, x, b, y in links for r in rows.collect() if plain[x](r) and plain[y](r)}
+    want |= {(q, p) for p, q in want}
+    got = found(X.relations(links))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sorted(found(X.relations(links, ["A", "E"]))) == sorted(w for w in want if w[0][0] in "AE")
+    assert X.key_columns("n", "concat(CAST(n AS STRING), '/', x)") == ["n", "x"] and X.key_columns("n", "concat(x, '/', y)") is None and X.key_columns("n", "upper(x)") is None
+    alone = X.relations([(rows.select("n", "x").distinct(), *links[0][1:])])
+    assert alone._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
